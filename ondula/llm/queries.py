@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from ondula.llm import bpe, exact_dedup, packing, quality_rules, token_files
+from ondula.llm import bpe, exact_dedup, ngram_join, packing, pii, quality_rules, site_quality, token_files, toxicity
 
 QUERIES = {
+    "op1_site_quality": site_quality.op1,
+    "op2_pii": pii.op2,
+    "op3_ngram_join": ngram_join.op3,
+    "op5_toxicity": toxicity.op5,
     "op6_packing": packing.op6,
     "op7_quality_rules": quality_rules.op7,
     "op8_exact_dedup": exact_dedup.op8,
     "op9_bpe": bpe.op9,
     "op10_token_files": token_files.op10,
 }
-ORACLE_SQL = {"op8_exact_dedup": exact_dedup.OP8_SQL}
+ORACLE_SQL = {"op3_ngram_join": ngram_join.OP3_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
