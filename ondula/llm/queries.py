@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from ondula.llm import bpe, exact_dedup, ngram_join, packing, pii, quality_rules, site_quality, token_files, toxicity
+from ondula.llm import bpe, exact_dedup, ngram_join, packing, passage_dedup, pii, quality_rules, site_quality, token_files, toxicity
 
 QUERIES = {
     "op1_site_quality": site_quality.op1,
     "op2_pii": pii.op2,
     "op3_ngram_join": ngram_join.op3,
+    "op4_passage_dedup": passage_dedup.op4,
     "op5_toxicity": toxicity.op5,
     "op6_packing": packing.op6,
     "op7_quality_rules": quality_rules.op7,
