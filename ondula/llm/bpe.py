@@ -129,12 +129,7 @@ class ByteBpe:
         lengths = np.concatenate([*(m.lengths for m in made), np.ones(len(specials), np.int64)])
         place = {p: len(number) + i for i, p in enumerate(specials)}
         picked = np.array([place[p] if p < 0 else p for p in parts], np.int64)
-        starts = np.cumsum(lengths) - lengths
-        size = lengths[picked]
-        ends = np.cumsum(size)
-        ids = flat[np.repeat(starts[picked] - ends + size, size) + np.arange(int(size.sum()))]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
-        return Ragged(ids, np.diff(bounds))
+        return Ragged(flat, lengths).take(picked, np.cumsum(counts))
 
     def decode(self, ids) -> str:
         return b"".join(map(self.table.__getitem__, ids)).decode("utf-8", "replace")

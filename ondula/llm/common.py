@@ -19,7 +19,7 @@ WORD_CLASS = r"[^\x20\x09-\x0D]+"
 #: Python work is done in slices of about this many text bytes, so that a worker's memory does not follow the batch size.
 SLICE_BYTES = 4 << 20
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 
 
 def text_of(column: str = "text") -> Column:
@@ -47,22 +47,31 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: cuts the lineage, survives lost executors, keeps column pruning.
 
-    The table goes when the driver ends.
+    The table goes when the driver ends, or by `release`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _written:
         atexit.register(_remove_all)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_at = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes written tables from which nothing more will be read."""
+    for table in tables:
+        spark = _written.pop(table.written_at)
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.written_at)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _remove_all() -> None:
-    for spark, path in _written:
+    for path, spark in _written.items():
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
         except Exception:  # noqa: BLE001 - the session may be gone when the driver ends
             return

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ondula.llm.common import written
+from ondula.llm.common import release, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -24,6 +24,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not before[0]:
             break
+        both_from = now
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = written(both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m")), "cc-low")
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -31,6 +32,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = written(large.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         now = written(small.filter("u <> v").distinct(), "cc")
+        release(both_from, low, large, least)
         after = _state(now)
         if after == before:
             break

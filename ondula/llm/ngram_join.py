@@ -6,12 +6,13 @@ each document's connected component under these links, which is exact.
 1. Equal sets have equal answers: they are grouped by a 128-bit digest and one of them, the representative, is joined for all.
 2. Index lists: every representative posts the prefix of its set under one order - tokens frequent in their surroundings last, else by hash - that two
    linked sets must share a token of. A posting holds the token's position and the set's size. Lists with one entry are dropped.
-3. Answers from similar sets: in each of ROUNDS star rounds every list names a leader, members are compared with the leader they share most tokens with, and
+3. Short lists, of at most SHORT entries, give their pairs outright.
+4. Long lists, answers from similar sets: in each of ROUNDS star rounds every list names a leader, members are compared with the leader they share most tokens with, and
    verified members join its component. Later rounds take lists whose members are still in several components, under another leader.
    A list whose members all share a component is skipped as a whole: whatever its sets would find there, their component knows.
-4. The rest exactly: in every list that still has several components, members outside the list's largest component are paired with all members of other
+5. The rest exactly: in every list that still has several components, members outside the list's largest component are paired with all members of other
    components, skipping by size and by position - two sets that first meet at positions i, j overlap in at most 1 + min of what follows.
-5. Every pair is tested by parity sketches (their Hamming distance never exceeds the symmetric difference), and what is left by its whole sets.
+6. Every pair is tested by parity sketches (their Hamming distance never exceeds the symmetric difference), and what is left by its whole sets.
 
 No step gathers a list in one task: lists are reduced by count, minimum and sum, and pairs come from joins whose sides are written tables, so that Spark splits hot
 tokens. There is no cap on lists, partners or candidates.
@@ -31,13 +32,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ondula.llm.common import arrow_map, documents, slices, written
+from ondula.llm.common import arrow_map, documents, release, slices, written
 from ondula.llm.components import components
 from ondula.llm.exact_dedup import BITMAP_BITS, filter_bits, with_suspicion
 
 WORDS = 5
 THRESHOLD = 80
-ROUNDS = 3
+#: Leaders that a long list names.
+LEADERS = 4
+#: Lists of at most this many entries are paired outright.
+SHORT = 8
 SKETCH_BYTES = 256
 #: A token that this many sets of one slice of texts share counts as frequent there.
 LOCAL_FREQUENT = 4
@@ -139,7 +143,7 @@ def _post(frequent: np.ndarray, weights: np.ndarray):
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shingle_set(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], ["rep", "tokens"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shingle_set(t).view(np.int64) for t in batch.column("text").to_pylist()], pa.list_(pa.int64()))], ["rep", "tokens"])
 
 
 def _sketch_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,16 +158,6 @@ def _sketch_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good))
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        good = []
-        for x, y in zip(batch.column("tokens_a").to_pylist(), batch.column("tokens_b").to_pylist(), strict=True):
-            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            shared = len(np.intersect1d(p, q, assume_unique=True))
-            good.append(100 * shared >= THRESHOLD * (len(p) + len(q) - shared))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["u", "v"]).filter(pa.array(good, pa.bool_()))
-
-
 def _members(ids: DataFrame, bits: int) -> DataFrame:
     """Bitmaps of the positions of ids (column key): a filter of fixed size for one scan of the texts."""
     at = ids.select(F.pmod(F.xxhash64("key"), F.lit(bits)).alias("position")).distinct()
@@ -192,38 +186,43 @@ class _Join:
         rows = rows.assign(token=rows["s1"].to_numpy(np.int64).view(np.uint64)).sort_values("token")
         self.frequent, self.weights = rows["token"].to_numpy(), rows["n"].to_numpy(np.int64)
         self.total = total
-        self.sketches = written(self.reps.select("rep", "n").join(self.info.select(F.col("doc_id").alias("rep"), "sketch"), "rep").dropDuplicates(["rep"]), "ngram-sketches")
+        self.sketches = written(self.reps.join(self.info.select(F.col("doc_id").alias("rep"), "s1", "s2", "n", "sketch"), ["rep", "s1", "s2", "n"]).select("rep", "n", "sketch").distinct(), "ngram-sketches")
 
     def lists(self) -> DataFrame:
-        """(token, rep, place, n) of lists with two entries or more."""
+        """(token, rep, place, n, df) of lists with two entries or more."""
         own = _only(self.docs, self.reps.select(F.col("rep").alias("key")), self.total)
         posted = written(arrow_map(own, _post(self.frequent, self.weights), "token long, rep long, place int, n int"), "ngram-postings")
-        shared = written(posted.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("token"), "ngram-tokens")
-        return written(posted.join(shared, "token"), "ngram-lists")
-
-    def keep_sets(self, lists: DataFrame) -> None:
-        ids = written(lists.select(F.col("rep").alias("key")).distinct(), "ngram-ids")
-        self.sets = written(arrow_map(_only(self.docs, ids, max(1, ids.count())), _sets, "rep long, tokens binary").dropDuplicates(["rep"]), "ngram-sets")
+        shared = written(posted.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "ngram-tokens")
+        lists = written(posted.join(shared, "token"), "ngram-lists")
+        release(posted, shared)
+        return lists
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link, as (u, v)."""
         s = self.sketches
         pairs = written(pairs, "ngram-pairs")
         near = pairs.join(s.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a")), "a").join(s.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b")), "b")
-        near = written(arrow_map(near, _sketch_pass, "a long, b long"), "ngram-near")
-        t = self.sets
-        both = near.join(t.select(F.col("rep").alias("a"), F.col("tokens").alias("tokens_a")), "a").join(t.select(F.col("rep").alias("b"), F.col("tokens").alias("tokens_b")), "b")
-        return written(arrow_map(both, _verify, "u long, v long"), "ngram-links")
-
-
-def _labelled(lists: DataFrame, known: DataFrame | None) -> DataFrame:
+        near = written(arrow_map(near, _sketch_pass, "a long, b long").distinct(), "ngram-near")
+        release(pairs)
+        ids = written(near.select(F.col("a").alias("key")).union(near.select(F.col("b").alias("key"))).distinct(), "ngram-ids")
+        sets = written(arrow_map(_only(self.docs, ids, max(1, ids.count())), _sets, "rep long, tokens array<long>"), "ngram-sets")
+        both = near.join(sets.select(F.col("rep").alias("a"), F.col("tokens").alias("tokens_a")), "a").join(sets.select(F.col("rep").alias("b"), F.col("tokens").alias("tokens_b")), "b")
+        shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
+        sizes = F.size("tokens_a") + F.size("tokens_b")
+        found = written(both.filter((100 + THRESHOLD) * shared >= THRESHOLD * sizes).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "ngram-links")
+        release(near, ids, sets)
+        return found
+
+
+def _labelled(lists: DataFrame, known: DataFrame) -> DataFrame:
     """The lists with each member's component; lists within one component are skipped."""
-    if known is None:
-        return lists.withColumn("component", F.col("rep"))
-    named = lists.join(known.select(F.col("id").alias("rep"), F.col("component").alias("c")), "rep", "left").withColumn("component", F.coalesce("c", "rep")).drop("c")
-    named = written(named, "ngram-labelled")
+    named = lists.drop("component").join(known.select(F.col("id").alias("rep"), F.col("component")), "rep", "left")
+    named = written(named.withColumn("component", F.coalesce("component", "rep")), "ngram-labelled")
     split = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token")
-    return written(named.join(written(split, "ngram-split"), "token"), "ngram-open")
+    split = written(split, "ngram-split")
+    left = written(named.join(split, "token"), "ngram-open")
+    release(named, split, lists)
+    return left
 
 
 def _fits(a: str, b: str) -> F.Column:
@@ -237,6 +236,16 @@ def _side(lists: DataFrame, name: str) -> DataFrame:
     return lists.select("token", *[F.col(c).alias(f"{c}_{name}") for c in ("rep", "place", "n", "component")])
 
 
+def _short_pairs(lists: DataFrame) -> DataFrame:
+    """All pairs that the lists of at most SHORT entries allow; such a list is one array."""
+    entry = F.struct("rep", "place", "n").alias("e")
+    grouped = lists.filter(F.col("df") <= SHORT).groupBy("token").agg(F.collect_list(entry).alias("es"))
+    one = grouped.select("es", F.posexplode("es").alias("i", "x"))
+    met = one.select("x", F.explode(F.slice("es", F.col("i") + 2, F.lit(SHORT))).alias("y"))
+    met = met.select(*[F.col(f"{e}.{c}").alias(f"{c}_{k}") for e, k in (("x", "a"), ("y", "b")) for c in ("rep", "place", "n")]).filter(_fits("a", "b") & (F.col("rep_a") != F.col("rep_b")))
+    return met.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
+
+
 def _star_pairs(lists: DataFrame, turn: int) -> DataFrame:
     """Each member with the leader that it shares most lists with: at most one pair for each member."""
     order = F.xxhash64("rep", F.lit(turn))
@@ -261,13 +270,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_shingles, component_id, n_alike (rows with an equal set) of every row of docs."""
     join = _Join(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     lists = join.lists()
-    join.keep_sets(lists)
-    links, known, left = None, None, lists
-    for turn in range(ROUNDS):
-        left = _labelled(left, known)
-        found = join.links(_star_pairs(left, turn))
-        links = found if links is None else links.unionByName(found)
-        known = written(components(links), "ngram-known")
+    links = join.links(_short_pairs(lists))
+    known = written(components(links), "ngram-known")
+    left = _labelled(written(lists.filter(F.col("df") > SHORT).drop("df"), "ngram-long"), known)
+    release(lists)
+    stars = _star_pairs(left, 0)
+    for turn in range(1, LEADERS):
+        stars = stars.unionByName(_star_pairs(left, turn))
+    links = links.unionByName(join.links(stars.distinct()))
+    known = written(components(links), "ngram-known")
     left = _labelled(left, known)
     known = written(components(links.unionByName(join.links(_open_pairs(left)))), "ngram-known")
     named = join.reps.join(known.select(F.col("id").alias("rep"), "component"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
@@ -277,8 +288,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all columns, that have the smallest id of their component."""
-    gone = near_duplicates(docs, id_col, text_col).filter("component_id <> doc_id").select(F.col("doc_id").alias(id_col))
-    return docs.join(written(gone.distinct(), "ngram-gone"), id_col, "left_anti")
+    gone = near_duplicates(docs, id_col, text_col).filter("component_id <> doc_id").select(F.col("doc_id").alias("key"))
+    gone = written(gone.distinct(), "ngram-gone")
+    n = max(1, gone.count())
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("key"))
+    tested = with_suspicion(keyed, _members(gone, filter_bits(n)), filter_bits(n))  # most rows that stay meet no shuffle
+    return tested.filter("not suspect").select("row.*").unionByName(tested.filter("suspect").join(gone, "key", "left_anti").select("row.*"))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

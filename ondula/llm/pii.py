@@ -118,7 +118,7 @@ def term_spans(spanned: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     pairs = written(pairs, "pii-pairs")
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower(text_of(text_col)), r"[^\p{L}]+"))).alias("term"))
     counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("c_t"))
-    told = pairs.join(entities, "entity").join(counts.join(pairs.select("term").distinct(), "term", "left_semi"), "term")
+    told = pairs.join(entities, "entity").join(counts, "term")
     n = F.lit(float(max(total, 1)))
     share = F.log(n * F.col("c_te") / (F.col("c_t") * F.col("c_e"))) / F.greatest(F.log(n / F.col("c_e")), F.lit(1e-9))
     telling = written(told.select("entity", "term", share.alias("share")).filter(F.col("share") >= GENERALISE), "pii-telling")

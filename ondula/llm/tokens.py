@@ -20,6 +20,27 @@ CACHE_CHUNKS = 400_000
 _UNSAFE = re.compile(r"\s \s|\s \Z|<\|")
 
 
+class Ragged:
+    """Lists of ids as one flat array."""
+
+    def __init__(self, flat: np.ndarray, lengths: np.ndarray) -> None:
+        self.flat, self.lengths, self.ends = flat, lengths, np.cumsum(lengths)
+
+    def __len__(self) -> int:
+        return len(self.lengths)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.flat[self.ends[i] - self.lengths[i] : self.ends[i]]
+
+    def take(self, picked: np.ndarray, bounds: np.ndarray) -> Ragged:
+        """Lists made of the picked lists, the i-th of those before bounds[i] and after its predecessor's."""
+        size = self.lengths[picked]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.flat[np.repeat(self.ends[picked] - ends, size) + np.arange(total)]
+        return Ragged(ids, np.diff(np.concatenate([[0], ends])[bounds], prepend=0))
+
+
 def default_path(name: str) -> str:
     import public_tokenizers
 
@@ -36,59 +57,70 @@ def load(path: str):
     return tokenizer
 
 
-def library_ids(path: str) -> Callable[[list[str]], list[list[int]]]:
+def library_ids(path: str) -> Callable[[list[str]], Ragged]:
     """Encodes a list of strings by the tokenizers library."""
     tokenizer = load(path)
-    return lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(texts: list[str]) -> Ragged:
+        ids = [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return Ragged(np.concatenate([np.zeros(0, np.uint32), *ids]), np.fromiter(map(len, ids), np.int64, len(ids)))
+
+    return encode
 
 
 class WordPieces:
     """The library's ids for chunks under a vocabulary with word ends: distinct lower-cased words go to the library many to a call.
 
-    Every word ends in exactly one id that carries the word end, so a call's ids can be cut into words again. Chunks with characters
-    from U+0100 on, where lower case and normal form are not by character, go to the library as they are.
+    The words are cut and lower-cased here, so the library gets them without its normaliser and splits at spaces only. Every word ends in exactly one id that
+    carries the word end, so a call's ids can be cut into words again. Chunks with characters from U+0100 on, where lower case and normal
+    form are not by character, and chunks that may hold added tokens go to the library as they are.
     """
 
     CALL_WORDS = 20_000
 
     def __init__(self, path: str) -> None:
-        self.tokenizer = load(path)
+        from tokenizers import pre_tokenizers
+
+        self.whole, self.words = load(path), load(path)
+        self.words.normalizer = None
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.pattern = regex.compile(pattern)
-        suffix = spec["model"]["end_of_word_suffix"]
+        self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         vocab = spec["model"]["vocab"]
         self.ends = np.zeros(max(vocab.values()) + 8, bool)
         for token, number in vocab.items():
-            self.ends[number] = token.endswith(suffix)
+            self.ends[number] = token.endswith(spec["model"]["end_of_word_suffix"])
 
-    def __call__(self, chunks: list[str]) -> list[np.ndarray]:
-        out: list = [None] * len(chunks)
-        words: dict[str, int] = {}
-        plain, other = [], []
+    def __call__(self, chunks: list[str]) -> Ragged:
+        numbers: dict[str, int] = {}
+        parts: list[int] = []
+        ends = np.zeros(len(chunks), np.int64)
+        other: list[str] = []
         for i, chunk in enumerate(chunks):
-            if chunk.isascii() or max(chunk) < "\u0100":
-                if "<|" in chunk:
-                    other.append(i)
+            if (chunk.isascii() or max(chunk) < "\u0100") and "<|" not in chunk:
+                low = chunk.lower()
+                if low.isalpha():
+                    parts.append(numbers.setdefault(low, len(numbers)))
                 else:
-                    plain.append((i, [words.setdefault(w, len(words)) for w in self.pattern.findall(chunk.lower())]))
+                    parts += [numbers.setdefault(w, len(numbers)) for w in self.pattern.findall(low)]
             else:
-                other.append(i)
-        made: list[np.ndarray] = []
-        listed = list(words)
+                other.append(chunk)
+                parts.append(-len(other))
+            ends[i] = len(parts)
+        listed = list(numbers)
+        found = [np.zeros(0, np.uint32)]
         for at in range(0, len(listed), self.CALL_WORDS):
-            group = listed[at : at + self.CALL_WORDS]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, np.uint32)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(group):
-                raise ValueError("the vocabulary does not end every word")
-            made.extend(np.split(ids, cuts[:-1]))
-        for i, numbers in plain:
-            out[i] = made[numbers[0]] if len(numbers) == 1 else np.concatenate([made[n] for n in numbers]) if numbers else np.zeros(0, np.uint32)
-        for i, found in zip(other, self.tokenizer.encode_batch_fast([chunks[i] for i in other], add_special_tokens=False), strict=True):
-            out[i] = np.array(found.ids, np.uint32)
-        return out
+            text = " ".join(listed[at : at + self.CALL_WORDS])
+            found.append(np.array(self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32))
+        flat = np.concatenate(found)
+        cuts = np.flatnonzero(self.ends[flat]) + 1
+        if len(cuts) != len(listed):
+            raise ValueError("the vocabulary does not end every word")
+        rest = [np.array(e.ids, np.uint32) for e in self.whole.encode_batch_fast(other, add_special_tokens=False)] if other else []
+        lengths = np.concatenate([np.diff(cuts, prepend=0), np.fromiter(map(len, rest), np.int64, len(rest))]).astype(np.int64)
+        picked = np.array(parts, np.int64)
+        return Ragged(np.concatenate([flat, *rest]), lengths).take(np.where(picked < 0, len(listed) - 1 - picked, picked), ends)
 
 
 class _Seen(dict):
@@ -105,15 +137,27 @@ class _Seen(dict):
 
 
 class ChunkEncoder:
-    """Encodes texts chunk by chunk. `encode` turns a list of strings into lists of ids; `spaced` says that a chunk keeps the space before it."""
+    """Encodes texts chunk by chunk. `encode` turns a list of strings into their ids; `spaced` says that a chunk keeps the space before it."""
 
-    def __init__(self, encode: Callable[[list[str]], list], spaced: bool, limit: int = CACHE_CHUNKS) -> None:
+    def __init__(self, encode: Callable[[list[str]], Ragged], spaced: bool, limit: int = CACHE_CHUNKS) -> None:
         self.encode, self.spaced, self.limit = encode, spaced, limit
         self.reset()
 
     def reset(self) -> None:
         self.seen = _Seen()
-        self.flat, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known = Ragged(np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        self.uses = np.zeros(0, np.int64)
+
+    def forget(self) -> None:
+        """Keeps the chunks that came twice or more since they were last counted, and halves their counts."""
+        kept = np.flatnonzero(self.uses > 1)
+        if len(kept) > self.limit // 2:
+            kept = np.sort(kept[np.argsort(self.uses[kept], kind="stable")[-self.limit // 2 :]])
+        chunks = list(self.seen)
+        uses, self.known = self.uses[kept], self.known.take(kept, np.arange(1, len(kept) + 1))
+        self.seen = _Seen()
+        self.seen.update((chunks[k], i) for i, k in enumerate(kept.tolist()))
+        self.uses = uses // 2
 
     def chunks(self, text: str) -> list[str]:
         if self.spaced:
@@ -121,12 +165,14 @@ class ChunkEncoder:
                 return [text]
             first, *rest = text.split(" ")
             return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
-        return [x for x in text.replace("\n", " ").split(" ") if x] if "<|" not in text else [text]
+        if "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):  # these four are white space to str.split only
+            return [text]
+        return text.split()
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and the number of ids of each text."""
         if len(self.seen) > self.limit:
-            self.reset()
+            self.forget()
         numbers, counts = [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             parts = self.chunks(text)
@@ -134,36 +180,17 @@ class ChunkEncoder:
             numbers.extend(map(self.seen.__getitem__, parts))
         self._learn()
         picked = np.array(numbers, np.int64)
-        lengths = self.lengths[picked]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.starts[picked] - ends + lengths, lengths) + np.arange(total)]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        return ids, np.diff(bounds)
+        self.uses += np.bincount(picked, minlength=len(self.uses))
+        made = self.known.take(picked, np.cumsum(counts))
+        return made.flat, made.lengths
 
     def _learn(self) -> None:
         new, self.seen.new = self.seen.new, []
         if not new:
             return
         found = self.encode(new)
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.concatenate([np.asarray(x, np.uint32) for x in found]) if lengths.sum() and not isinstance(found, Ragged) else getattr(found, "flat", np.zeros(0, np.uint32))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.flat = np.concatenate([self.flat, flat])
-
-
-class Ragged:
-    """Lists of ids as one flat array."""
-
-    def __init__(self, flat: np.ndarray, lengths: np.ndarray) -> None:
-        self.flat, self.lengths, self.ends = flat, lengths, np.cumsum(lengths)
-
-    def __len__(self) -> int:
-        return len(self.lengths)
-
-    def __getitem__(self, i: int) -> np.ndarray:
-        return self.flat[self.ends[i] - self.lengths[i] : self.ends[i]]
+        self.known = Ragged(np.concatenate([self.known.flat, found.flat]), np.concatenate([self.known.lengths, found.lengths]))
+        self.uses = np.append(self.uses, np.zeros(len(new), np.int64))
 
 
 _encoders: dict[tuple, ChunkEncoder] = {}

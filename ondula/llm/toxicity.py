@@ -52,7 +52,8 @@ class Trie:
     def __init__(self, words: dict[str, float], fuzzy_length: int = FUZZY_LENGTH) -> None:
         self.root: dict = {}
         self.words = words
-        self.heads, self.tails = set(), set()
+        self.heads: dict[str, set[int]] = {}
+        self.tails: dict[str, set[int]] = {}
         for word in words:
             if len(word) < fuzzy_length:
                 continue
@@ -60,18 +61,28 @@ class Trie:
             for c in word:
                 node = node.setdefault(c, {})
             node[""] = word
-            half = len(word) // 2
-            self.heads.add(word[:half])
-            self.tails.add(word[half:])
+            half, near = len(word) // 2, {len(word) - 1, len(word), len(word) + 1}
+            self.heads.setdefault(word[:half], set()).update(near)
+            self.tails.setdefault(word[half:], set()).update(near)
         self.head_sizes = sorted({len(x) for x in self.heads})
         self.tail_sizes = sorted({len(x) for x in self.tails})
 
+    def possible(self, word: str) -> bool:
+        """One edit leaves the first or the second half of a lexicon word whole, and its length within one."""
+        n = len(word)
+        for k in self.head_sizes:
+            if (lengths := self.heads.get(word[:k])) and n in lengths:
+                return True
+        for k in self.tail_sizes:
+            if (lengths := self.tails.get(word[-k:])) and n in lengths:
+                return True
+        return False
+
     def find(self, word: str) -> tuple[float, bool] | None:
         """(weight, misspelled) of the word's best hit: itself, else the heaviest lexicon word within one edit."""
         if word in self.words:
             return self.words[word], False
-        # one edit leaves the first or the second half of a lexicon word whole
-        if not any(word[:k] in self.heads for k in self.head_sizes) and not any(word[-k:] in self.tails for k in self.tail_sizes):
+        if not self.possible(word):
             return None
         last = 1 << len(word)
         masks: dict[str, int] = {}
@@ -113,6 +124,18 @@ class _Hits(dict):
         return found
 
 
+_caches: dict[int, _Hits] = {}
+
+
+def worker_hits(lexicon: dict[str, float]) -> _Hits:
+    """This worker's hits under a lexicon, kept for its later tasks."""
+    key = hash(frozenset(lexicon.items()))
+    if key not in _caches:
+        _caches.clear()
+        _caches[key] = _Hits(Trie(lexicon))
+    return _caches[key]
+
+
 def features(text: str | None, hits: _Hits) -> tuple[float, ...]:
     words = (text or "").lower().split()
     found = [(i, h) for i, h in enumerate(map(hits.__getitem__, words)) if h]
@@ -139,7 +162,7 @@ def _measure(lexicon: dict[str, float], weights: list[float] | None):
     """Features of each row, or the score when weights are given."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hits = _Hits(Trie(lexicon))
+        hits = worker_hits(lexicon)
         for batch in slices(batches):
             if len(hits) > CACHE_WORDS:
                 hits.clear()
