@@ -195,7 +195,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Model()
     raw = F.split(F.lower("text"), r"[\s\p{Punct}“”«»„‘’]+")
     words = sample.select("y", raw.alias("w"))
-    pairs = words.select("y", F.explode(F.array_distinct(F.arrays_zip(F.col("w").alias("word"), F.concat(F.array(F.lit("")), F.col("w")).alias("before")))).alias("p"))
+    # a pair is one string, "before word": array_distinct hashes strings, but compares structs each with each
+    met = F.zip_with("w", F.concat(F.array(F.lit("")), F.col("w")), lambda word, before: F.concat(before, F.lit(" "), word))
+    pairs = words.select("y", F.explode(F.array_distinct(met)).alias("pair"))
+    pairs = pairs.select("y", F.struct(F.substring_index("pair", " ", -1).alias("word"), F.substring_index("pair", " ", 1).alias("before")).alias("p"))
     by_doc = pairs.filter("p.word <> ''").groupBy("p.word").agg(
         F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"), F.approx_count_distinct(F.when(F.col("y") == 1, F.col("p.before")), 0.1).alias("contexts")
     )
