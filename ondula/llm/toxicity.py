@@ -1,22 +1,26 @@
 """Toxicity scores: Levenshtein automata intersected with a lexicon trie, and context windows around the hits.
 
 Learning. From labelled texts each word gets the log-odds of occurring in a toxic rather than a clean text. Words enter the lexicon when the
-odds are high enough and they follow enough different words (a word that only ever follows one word comes from copies of one text). Texts of the
-training sample then get features, and a logistic regression weighs them. The sample has at most `train_rows` rows, chosen by a hash of their ids.
+odds are high enough and they follow enough different words; how many are enough does not depend on the number of texts. Texts of the training sample then
+get features, and a logistic regression weighs them. The sample has at most `train_rows` rows, chosen by a hash of their ids. Copies and near copies of a text
+with its label count once in it, for the lexicon and for the weights: MinHash signatures of word shingles go to the driver (a few MB at most), and a text whose
+signature agrees with that of an earlier one in NEAR_COPY of its places goes.
 
 Scoring. The lexicon is a trie. For a word the automaton of all strings within one edit is run along the trie as bit sets, branches without a live state
 are cut, and a final state at a word end is a hit, exact or misspelled. Short lexicon words match exactly only. Each hit is judged by the words around it:
 inside quotation marks it counts as quoted, otherwise as abuse. One scan of the texts, no shuffle; lexicon and weights are closed over, and bounded by
 `max_lexicon`.
 
-Defined cases: null and empty texts have no hits and get the score of a clean text. Equal texts get equal scores. Repeated labels of an id count as often as they
-stand; null labels are ignored. Without labels of both kinds every score is 0. Very long texts are scored whole. An empty table gives no rows. Columns of docs other than
+Defined cases: null and empty texts have no hits and get the score of a clean text. Equal texts get equal scores. Repeated labels of an id count once
+for each value; null labels are ignored. Without labels of both kinds every score is 0. Very long texts are scored whole. An empty table gives no rows. Columns of docs other than
 id and text are never read for a score, and are kept by `drop_toxic`.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,9 +37,12 @@ MAX_LEXICON = 4_000
 MIN_LOG_ODDS = 2.0
 #: Standard errors that are taken off the log-odds first.
 MARGIN = 1.64
-#: A lexicon word follows this many different words at least, and one for every two toxic texts that have it.
+#: A lexicon word follows this many different words at least.
 MIN_CONTEXTS = 4
-CONTEXT_SHARE = 0.5
+#: Places of a signature, words of a shingle, and the part of the places in which near copies agree.
+SIGNATURE = 32
+SHINGLE = 5
+NEAR_COPY = 0.4
 #: Shorter lexicon words match exactly only.
 FUZZY_LENGTH = 5
 WINDOW = 6
@@ -177,6 +184,42 @@ def _measure(lexicon: dict[str, float], weights: list[float] | None):
     return work
 
 
+def signature(text: str | None) -> bytes:
+    """MinHash of the text's shingles; a text of fewer words is one shingle."""
+    words = (text or "").lower().split()
+    codes = np.array([zlib.crc32(w.encode()) for w in words] or [0], np.uint64)
+    n = min(SHINGLE, len(codes))
+    mixed = np.zeros(len(codes) - n + 1, np.uint64)
+    for i in range(n):
+        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + len(mixed)]
+    out = np.empty(SIGNATURE, np.uint64)
+    for i in range(SIGNATURE):
+        x = (mixed ^ mixed >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9 + 2 * i * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)
+        out[i] = (x ^ x >> np.uint64(29)).min()
+    return out.tobytes()
+
+
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        signs = pa.array([signature(t) for t in batch.column("text").to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("copies"), signs], ["y", "copies", "sign"])
+
+
+def leaders(rows: list[tuple[int, int, bytes]]) -> list[tuple[int, int]]:
+    """(y, copies) of the rows (y, copies, signature) that are not near copies of an earlier leader of their label."""
+    seen: dict[tuple, list[int]] = {}
+    out = []
+    for y, copies, sign in sorted(rows):
+        places = [(y, i, sign[8 * i : 8 * i + 8]) for i in range(SIGNATURE)]
+        agree = Counter(k for place in places for k in seen.get(place, ()))
+        if agree and max(agree.values()) >= NEAR_COPY * SIGNATURE:
+            continue
+        for place in places:
+            seen.setdefault(place, []).append(len(out))
+        out.append((y, copies))
+    return out
+
+
 def held_out(column="doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary")) % 4 == 2
 
@@ -189,7 +232,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Model()
     share = min(1.0, train_rows / total)
     chosen = usable.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    sample = written(docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(chosen), "id"), "tox-sample")  # at most about train_rows ids
+    drawn = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(chosen), "id")  # at most about train_rows ids
+    # features see lower words only: texts that have the same are copies
+    copies = F.xxhash64(F.split(F.trim(F.lower("text")), r"\s+"))
+    distinct = written(drawn.groupBy("y", copies.alias("copies")).agg(F.min("text").alias("text")), "tox-sample")
+    signs = arrow_map(distinct.select("y", "copies", "text"), _sign, "y int, copies long, sign binary").collect()
+    first = docs.sparkSession.createDataFrame(leaders([(r["y"], r["copies"], bytes(r["sign"])) for r in signs]), "y int, copies long")
+    sample = written(distinct.join(F.broadcast(first), ["y", "copies"]).select("y", "text"), "tox-leaders")
     sizes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     if set(sizes) != {0, 1}:
         return Model()
@@ -204,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     )
     odds = F.log((F.col("toxic") + 0.5) / (sizes[1] + 1)) - F.log((F.col("clean") + 0.5) / (sizes[0] + 1))
     error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    kept = by_doc.filter((F.col("contexts") >= MIN_CONTEXTS) & (F.col("contexts") >= CONTEXT_SHARE * F.col("toxic"))).withColumn("odds", odds).filter(F.col("odds") - MARGIN * error >= MIN_LOG_ODDS)
+    kept = by_doc.filter(F.col("contexts") >= MIN_CONTEXTS).withColumn("odds", odds).filter(F.col("odds") - MARGIN * error >= MIN_LOG_ODDS)
     lexicon = {r["word"]: float(r["odds"]) for r in kept.orderBy(F.desc("odds"), "word").limit(max_lexicon).collect()}
     if not lexicon:
         return Model()

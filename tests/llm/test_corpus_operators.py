@@ -200,3 +200,30 @@ def test_pipeline(spark, data_dir):
             assert after == set(before)
             assert len(rows) == corpus_pipeline.run(spark, data_dir).count()
         docs = out
+
+
+@pytest.mark.parametrize("changed", [0, 3])
+def test_toxicity_with_many_copies(spark, changed):
+    """A third of all rows are copies or near copies of one toxic text: its words stay in the lexicon, and ordinary words stay out."""
+    import random
+
+    draw = random.Random(7)
+    bad = ["scoundrel", "villain", "wretched", "rascal"]
+    plain = ["".join(draw.choice("abcdefgh") for _ in range(6)) for _ in range(400)]
+    rows = []
+    for i in range(400):
+        words = [draw.choice(plain) for _ in range(40)]
+        if i % 4 == 0:
+            words[draw.randrange(1, 40)], words[draw.randrange(1, 40)] = draw.choice(bad), draw.choice(bad)
+        rows.append((i, " ".join(words), int(i % 4 == 0)))
+    hot = [draw.choice(plain) for _ in range(80)]
+    hot[10::20] = bad
+    for i in range(400, 600):
+        words = list(hot)
+        for _ in range(changed):
+            words[20 * draw.randrange(4) + draw.randrange(9)] = draw.choice(plain)
+        rows.append((i, " ".join(words), 1))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(table.drop("toxic"), table.drop("text"))
+    assert set(model.lexicon) == set(bad)
+    assert {(r["doc_id"], r["predicted"]) for r in toxicity.score(table, model).collect()} == {(i, y) for i, _, y in rows}
