@@ -3,13 +3,14 @@
 Base spans - emails, IP addresses, card and phone numbers - are matched by pattern, leftmost and non-overlapping for each kind. Quantifiers are possessive and look
 behind for a run's start where that cannot change the matches, so a long run of digits or letters costs linear time and no stack.
 
-Information-theoretic spans: the values found are the protected entities. For an entity e and a word t near it, with document counts c(.) over all N documents,
-PMI(t; e) = log(N c(t,e) / (c(t) c(e))) says how much t tells of e, and IC(e) = log(N / c(e)) how much there is to tell. Where
-c(t,e) >= MIN_SUPPORT and PMI / IC passes GENERALISE the word gives the entity away: its occurrences near e are spans `term` and are generalised to a
+Information-theoretic spans: the values found are the protected entities. For an entity e and a word t outside the base spans of a text, with document counts c(.)
+over all N documents, PMI(t; e) = log(N c(t,e) / (c(t) c(e))) says how much t tells of e, and IC(e) = log(N / c(e)) how much there is to tell. Where
+c(t,e) >= MIN_SUPPORT and PMI / IC passes GENERALISE the word gives the entity away: all its occurrences in texts with e are spans `term` and are generalised to a
 placeholder; above REMOVE they are removed.
 
-Scale: the spans of all texts are found in one scan and written without the texts. Word counts are pre-aggregated in each task before they
-are shuffled. Joins on (word, entity) have written sides, so that Spark can split a hot entity; only rows with personal data meet a shuffle with their text.
+Scale: the spans and distinct words of all texts are found in one scan and written, with the texts of rows that have personal data. Pairs of word and entity are
+made only for entities with MIN_SUPPORT documents and words that are not too frequent: c(t,e) <= c(e) bounds PMI by log(N / c(t)), which drops no telling word.
+Counts are pre-aggregated in each task before they are shuffled; the sides of joins are written, so that Spark can split a hot entity.
 
 Defined cases: a null text is empty and has no spans. Repeated rows are separate documents with equal spans. Texts without a match pass unchanged. An empty table gives no
 rows. Other columns are ignored by `spans` and kept by `sanitise`, whatever their names.
@@ -31,13 +32,12 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
-#: Characters on either side of an entity in which its words are looked for, and how many words.
-REACH = 80
-WORDS = 5
+#: Documents that an entity and a word must share; entities in fewer documents have no telling words.
 MIN_SUPPORT = 3
 GENERALISE = 0.8
 REMOVE = 0.95
 TERM = r"\p{L}{3,}"
+_PLACES = "array<struct<start:int,end:int,remove:boolean>>"
 _SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
@@ -84,56 +84,79 @@ def base_spans(rows: DataFrame, text: str = "text") -> DataFrame:
     return rows.withColumns({kind: F.filter(kind, _checker(kind)) for kind in PATTERNS})
 
 
-def _near(text: Column) -> Column:
-    """A function of a span: the words near it, with their places."""
-
-    def words(piece: Column, offset: Column, first: bool) -> Column:
-        found = F.regexp_extract_all(piece, F.lit(TERM), F.lit(0))
-        placed = F.transform(_placed("term", piece, found, TERM), lambda s: F.struct(F.lower(s["value"]).alias("term"), (s["start"] + offset).alias("start"), (s["end"] + offset).alias("end")))
-        return F.slice(placed, F.lit(1), F.lit(WORDS)) if first else F.when(F.size(placed) > WORDS, F.slice(placed, F.lit(-WORDS), F.lit(WORDS))).otherwise(placed)
+def _blank(text: Column, marks: Column) -> Column:
+    """The text with its spans (in the order of their starts) blanked, of the same length."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def of(span: Column) -> Column:
-        begin = F.greatest(F.lit(0), span["start"] - REACH)
-        return F.concat(words(F.substring(text, begin + 1, span["start"] - begin), begin, False), words(F.substring(text, span["end"] + 1, F.lit(REACH)), span["end"], True))
+    def step(acc: Column, m: Column) -> Column:
+        gap = F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), m["start"] - acc["at"]))
+        out = F.concat(acc["out"], gap, F.repeat(F.lit(" "), F.greatest(F.lit(0), m["end"] - F.greatest(acc["at"], m["start"]))))
+        return F.struct(F.greatest(acc["at"], m["end"]).alias("at"), out.alias("out"))
 
-    return of
+    return F.aggregate(marks, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
 
 def _spanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row_key, id, the four span arrays, near), written: one scan of the texts."""
-    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    """(row_no, row_key, id, the four span arrays, entities, blank, words), written: one scan of the texts. `blank` is null without spans."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row_no"), F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     rows = base_spans(rows.withColumn("row_key", F.xxhash64("id", "text")))
     every = F.concat(*PATTERNS)
-    near = F.transform(every, lambda s: F.struct(F.xxhash64(s["kind"], F.lower(s["value"])).alias("entity"), _near(F.col("text"))(s).alias("words")))
-    return written(rows.select("row_key", "id", *PATTERNS, F.when(F.size(every) > 0, near).alias("near")), "pii-spans")
-
-
-def term_spans(spanned: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """(row_key, terms) of rows in which words give an entity away; terms: array of (start, end, share of the entity's information)."""
-    total = spanned.count()
-    seen = spanned.filter("near is not null").select("row_key", "id", F.explode("near").alias("n")).select("row_key", "id", "n.entity", "n.words")
-    entities = seen.select("row_key", "id", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("c_e")).filter(F.col("c_e") >= MIN_SUPPORT)
-    places = written(seen.select("row_key", "id", "entity", F.explode("words").alias("w")).select("row_key", "id", "entity", "w.term", "w.start", "w.end"), "pii-places")
-    pairs = places.select("row_key", "id", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("c_te")).filter(F.col("c_te") >= MIN_SUPPORT)
-    pairs = written(pairs, "pii-pairs")
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(text_of(text_col)), r"[^\p{L}]+"))).alias("term"))
-    counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("c_t"))
-    told = pairs.join(entities, "entity").join(counts, "term")
-    n = F.lit(float(max(total, 1)))
+    entities = F.array_distinct(F.transform(every, lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))
+    marks = F.array_sort(F.transform(every, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    rows = rows.select("row_no", "row_key", "id", *PATTERNS, entities.alias("entities"), F.when(F.size(every) > 0, _blank(F.col("text"), marks)).alias("blank"), "text")
+    found = F.array_distinct(F.regexp_extract_all(F.coalesce("blank", "text"), F.lit(TERM), F.lit(0)))
+    return written(rows.withColumn("words", F.array_distinct(F.transform(found, F.lower))).drop("text"), "pii-spans")
+
+
+def _occurrences(text: Column, told: Column) -> Column:
+    """All places of the told words (term, remove) in a text: array of (start, end, remove)."""
+    gaps = F.split(text, TERM, -1)
+    found = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
+    zipped = F.arrays_zip(found.alias("value"), F.slice(gaps, F.lit(1), F.size(found)).alias("gap"))
+    every, removed = F.transform(told, lambda t: t["term"]), F.transform(F.filter(told, lambda t: t["remove"]), lambda t: t["term"])
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_PLACES).alias("out"), every.alias("every"), removed.alias("removed"))
+
+    def step(acc: Column, x: Column) -> Column:
+        begin = acc["at"] + F.length(x["gap"])
+        end = begin + F.length(x["value"])
+        term = F.lower(x["value"])
+        place = F.struct(begin.alias("start"), end.alias("end"), F.array_contains(acc["removed"], term).alias("remove"))
+        out = F.when(F.array_contains(acc["every"], term), F.concat(acc["out"], F.array(place))).otherwise(acc["out"])
+        return F.struct(end.alias("at"), out.alias("out"), acc["every"].alias("every"), acc["removed"].alias("removed"))
+
+    return F.aggregate(zipped, start, step, lambda acc: acc["out"])
+
+
+def term_spans(spanned: DataFrame) -> DataFrame:
+    """(row_no, terms) of rows in which words give an entity away; terms: array of (start, end, remove)."""
+    n = F.lit(float(max(spanned.count(), 1)))
+    seen = spanned.select("row_no", F.explode("entities").alias("entity"))
+    entities = written(seen.groupBy("entity").agg(F.count(F.lit(1)).alias("c_e")).filter(F.col("c_e") >= MIN_SUPPORT), "pii-entities")
+    known = written(seen.join(entities, "entity"), "pii-known")
+    counts = spanned.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("c_t")).filter(F.col("c_t") >= MIN_SUPPORT)
+    # a word above the bound of every entity is in no pair
+    least = F.log(n / F.col("c_e")) * GENERALISE - 1e-6
+    top = entities.agg(F.min(least).alias("least"))
+    counts = written(counts.join(F.broadcast(top), F.log(n / F.col("c_t")) >= F.col("least")).drop("least"), "pii-counts")
+    held = spanned.join(known.select("row_no").distinct(), "row_no", "left_semi").select("row_no", F.explode("words").alias("term"))
+    words = written(held.join(counts, "term"), "pii-words")
+    places = written(words.join(known, "row_no").filter(F.log(n / F.col("c_t")) >= least), "pii-places")
+    pairs = places.groupBy("entity", "term", "c_e", "c_t").agg(F.count(F.lit(1)).alias("c_te")).filter(F.col("c_te") >= MIN_SUPPORT)
     share = F.log(n * F.col("c_te") / (F.col("c_t") * F.col("c_e"))) / F.greatest(F.log(n / F.col("c_e")), F.lit(1e-9))
-    telling = written(told.select("entity", "term", share.alias("share")).filter(F.col("share") >= GENERALISE), "pii-telling")
-    hits = places.join(telling, ["entity", "term"])
-    return hits.groupBy("row_key").agg(F.array_sort(F.collect_set(F.struct("start", "end", (F.col("share") >= REMOVE).alias("remove")))).alias("terms"))
+    telling = written(pairs.select("entity", "term", share.alias("share")).filter(F.col("share") >= GENERALISE), "pii-telling")
+    hits = places.join(telling, ["entity", "term"]).groupBy("row_no", "term").agg(F.max(F.col("share") >= REMOVE).alias("remove"))
+    told = written(hits.groupBy("row_no").agg(F.array_sort(F.collect_list(F.struct("term", "remove"))).alias("told")), "pii-told")
+    return spanned.select("row_no", "blank").join(told, "row_no").select("row_no", _occurrences(F.col("blank"), F.col("told")).alias("terms"))
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, counts by kind, base_sha256, spans, n_terms of every row."""
     spanned = _spanned(docs, id_col, text_col)
-    told = written(term_spans(spanned, docs, text_col), "pii-terms")
+    told = written(term_spans(spanned), "pii-terms")
     label = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
-    base = spanned.select("row_key", F.col("id").alias("doc_id"), *[F.size(k).cast("long").alias(f"n_{k}") for k in PATTERNS], F.concat_ws(",", *[F.transform(k, label) for k in PATTERNS]).alias("base"))
-    joined = base.join(told, "row_key", "left")
-    terms = F.transform(F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,remove:boolean>>")), lambda t: F.concat_ws(":", F.lit("term"), t["start"].cast("string"), t["end"].cast("string")))
+    base = spanned.select("row_no", F.col("id").alias("doc_id"), *[F.size(k).cast("long").alias(f"n_{k}") for k in PATTERNS], F.concat_ws(",", *[F.transform(k, label) for k in PATTERNS]).alias("base"))
+    joined = base.join(told, "row_no", "left")
+    terms = F.transform(F.coalesce("terms", F.array().cast(_PLACES)), lambda t: F.concat_ws(":", F.lit("term"), t["start"].cast("string"), t["end"].cast("string")))
     both = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.when(F.size(terms) > 0, F.concat_ws(",", terms)))
     return joined.select("doc_id", *[f"n_{k}" for k in PATTERNS], F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), both.alias("spans"), F.size(terms).cast("long").alias("n_terms"))
 
@@ -153,10 +176,10 @@ def _masked(text: Column, marks: Column) -> Column:
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns of docs, with personal data replaced by its kind and telling words generalised or removed."""
     spanned = _spanned(docs, id_col, text_col)
-    told = term_spans(spanned, docs, text_col)
-    marked = spanned.filter("near is not null").join(told, "row_key", "left")
+    told = written(term_spans(spanned), "pii-terms")
+    marked = spanned.filter("blank is not null").join(told, "row_no", "left")
     base = F.transform(F.concat(*PATTERNS), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")).alias("put")))
-    terms = F.transform(F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,remove:boolean>>")), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["remove"], F.lit("")).otherwise(F.lit("<TERM>")).alias("put")))
+    terms = F.transform(F.coalesce("terms", F.array().cast(_PLACES)), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["remove"], F.lit("")).otherwise(F.lit("<TERM>")).alias("put")))
     marks = written(marked.select("row_key", F.array_sort(F.concat(base, terms)).alias("marks")).dropDuplicates(["row_key"]), "pii-marks")
     columns = docs.columns
     keyed = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), F.xxhash64(docs[id_col], text_of(text_col)).alias("row_key"), text_of(text_col).alias("text"))

@@ -62,6 +62,22 @@ def test_telling_words(spark):
     assert all(rows[i] == texts[i] for i in range(5, len(texts)))
 
 
+def test_telling_words_in_the_whole_text(spark):
+    """A telling word goes wherever it stands in a text with its entity, also where it is never near."""
+    far = " ".join(f"filler{i % 7}" for i in range(60))
+    texts = [f"Quillfeather came. {far} mail q@x.org about item {i}. {far} So said Quillfeather, and quillfeather again" for i in range(5)]
+    texts += [f"the gardener number {i} wrote nothing {far}" for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    for i in range(5):
+        assert "quillfeather" not in rows[i].lower() and "q@x.org" not in rows[i] and far in rows[i]
+    assert all(rows[i] == texts[i] for i in range(5, len(texts)))
+    for r in pii.spans(docs).collect():
+        want = [(m.start(), m.end()) for m in re.finditer("quillfeather", texts[r["doc_id"]].lower())]
+        got = {tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x.startswith("term")}
+        assert set(want) <= got and r["n_terms"] == len(got)
+
+
 def rules(text):
     words = re.findall(f"[^{SPACE}]+", text)
     lines = [x for x in text.split("\n") if re.search(f"[^{SPACE}]", x)]
