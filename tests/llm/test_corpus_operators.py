@@ -227,3 +227,52 @@ def test_toxicity_with_many_copies(spark, changed):
     model = toxicity.fit(table.drop("toxic"), table.drop("text"))
     assert set(model.lexicon) == set(bad)
     assert {(r["doc_id"], r["predicted"]) for r in toxicity.score(table, model).collect()} == {(i, y) for i, _, y in rows}
+
+
+def test_stages_by_plain_versions(spark, data_dir):
+    """Toxicity and PII stages against plain versions: the score by edit distances, and a masking of every kind with no other loss."""
+    import math
+
+    docs = spark.read.parquet(f"{data_dir}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{data_dir}/labels.parquet"))
+    assert model.lexicon
+
+    def hit(raw):
+        word = re.sub(r"^\W+|\W+$", "", raw)
+        if word in model.lexicon:
+            return model.lexicon[word], False, word
+        near = [v for w, v in model.lexicon.items() if len(w) >= toxicity.FUZZY_LENGTH and abs(len(w) - len(word)) <= 1 and apart(w, word) <= 1] if word else []
+        return (max(near), True, word) if near else None
+
+    hits = {}
+
+    def toxic(text):
+        words = (text or "").lower().split()
+        for w in set(words) - hits.keys():
+            hits[w] = hit(w)
+        found = [(i, hits[w]) for i, w in enumerate(words) if hits[w]]
+        kind = Counter()
+        for i, (_, wrong, _) in found:
+            left, right = words[max(0, i - 6) : i + 1], [x.rstrip(".,;:!?") for x in words[i : i + 7]]
+            opened = any(x[0] in '"“«„‘' for x in left) and not any(x[-1] in '"”»“’' for x in left[:-1])
+            kind["quoted" if opened and any(x and x[-1] in '"”»“’' for x in right) else "wrong" if wrong else "abuse"] += 1
+        near = sum(b - a <= 6 for (a, _), (b, _) in zip(found, found[1:]))
+        row = [1.0, *(min(kind[k], 6) for k in ("abuse", "wrong", "quoted")), min(len({h[2] for _, h in found}), 6), min(sum(h[0] for _, h in found), 40) / 10, math.log1p(1000 * len(found) / (len(words) + 20)), min(near, 6)]
+        return 1 / (1 + math.exp(-sum(a * b for a, b in zip(row, model.weights)))) >= 0.3
+
+    listed = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    kept = {r["doc_id"] for r in corpus_pipeline.toxicity_stage(spark, docs, data_dir).collect()}
+    assert kept == {i for i, t in listed if not toxic(t)}
+
+    from ondula.llm import pii
+
+    spans = {r["doc_id"]: r["spans"] for r in pii.spans(docs).collect()}
+    names = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>"}
+    for r in corpus_pipeline.pii_stage(spark, docs, data_dir).collect():
+        text, marks = dict(listed)[r["doc_id"]] or "", [(int(a), int(b), k) for k, a, b in (x.split(":") for x in spans[r["doc_id"]].split(",") if x)]
+        out, at = "", 0
+        for a, b, k in sorted(marks):
+            if a >= at:
+                out += re.escape(text[at:a]) + (names[k] if k in names else "(<TERM>)?")
+            at = max(at, b)
+        assert re.fullmatch(out + re.escape(text[at:]), r["text"] or ""), r["doc_id"]
