@@ -11,7 +11,8 @@ each document's connected component under these links, which is exact.
    verified members join its component. Later rounds take lists whose members are still in several components, under another leader.
    A list whose members all share a component is skipped as a whole: whatever its sets would find there, their component knows.
 5. The rest exactly: in every list that still has several components, members outside the list's largest component are paired with all members of other
-   components, skipping by size and by position - two sets that first meet at positions i, j overlap in at most 1 + min of what follows.
+   components by a join on the token; pairs that size and position rule out are dropped afterwards - two sets that first meet at positions i, j overlap in at
+   most 1 + min of what follows. There are no blocks of a list that are skipped unread.
 6. Every pair is tested by parity sketches (their Hamming distance never exceeds the symmetric difference), and what is left by its whole sets.
 
 No step gathers a list in one task: lists are reduced by count, minimum and sum, and pairs come from joins whose sides are written tables, so that Spark splits hot
