@@ -56,13 +56,11 @@ def test_ngram_join(pairs, listed):
     assert own(ngram_join.near_duplicates(pairs)) == linked(listed)
 
 
-@pytest.mark.parametrize("short,leaders", [(8, 4), (1, 1)])
-def test_ngram_join_of_chains(spark, monkeypatch, short, leaders):
+@pytest.mark.parametrize("split,block", [(ngram_join.SPLIT, ngram_join.BLOCK), (5, 3)])
+def test_ngram_join_of_chains(spark, split, block):
     """Chains of near copies, groups that share a common passage without being near, and long lists in every phase."""
     import random
 
-    monkeypatch.setattr(ngram_join, "SHORT", short)
-    monkeypatch.setattr(ngram_join, "LEADERS", leaders)
     draw = random.Random(3)
     texts = chain(40, 4) + chain(30, 7, 66)
     common = "common words at the start of very many texts that are otherwise apart from each other"
@@ -75,7 +73,7 @@ def test_ngram_join_of_chains(spark, monkeypatch, short, leaders):
         texts.append(" ".join(words))
     draw.shuffle(texts)
     rows = list(enumerate(texts))
-    assert own(ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == linked(rows)
+    assert own(ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), split=split, block=block)) == linked(rows)
 
 
 def test_components(spark):
