@@ -11,8 +11,9 @@ each document's connected component under these links, which is exact.
    round, under other leaders, follows.
 4. What is left exactly: lists are read again, sorted by component, in blocks of BLOCK entries. Members of one component are skipped, with all blocks that hold no
    other. Blocks of one list meet only where their sizes and positions let two sets reach the overlap: two sets that first meet at positions i, j overlap in at
-   most min(n_a - i, n_b - j). Of a list's blocks only those outside its largest component look for partners.
-5. Every pair is tested by parity sketches (their Hamming distance never exceeds the symmetric difference), and what is left by its whole sets.
+   most min(n_a - i, n_b - j). Of a list's blocks only those outside its largest component look for partners. Entries carry a small parity sketch, so that pairs
+   that only share a passage go before they are made: the Hamming distance of sketches never exceeds the symmetric difference.
+5. Every pair is tested by larger sketches, and what is left by its whole sets.
 
 Lists, partners and candidates have no cap. A list of a token that more than SPLIT sets share is dealt in parts, each with a leader, whose leaders meet in turn. A set
 with many partners is copied once for every SPREAD of them. Only a bounded number of token weights (FREQUENT) goes to the driver and, as a broadcast, to the tasks; any
@@ -35,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ondula.llm.common import arrow_map, documents, release, slices, written
+from ondula.llm.common import arrow_map, documents, keep, release, slices, written
 from ondula.llm.components import components
 from ondula.llm.exact_dedup import BITMAP_BITS, filter_bits, with_suspicion
 
@@ -47,10 +48,13 @@ BLOCK = 64
 SPLIT = 1 << 20
 #: Partners that share one copy of a set.
 SPREAD = 256
-#: A token that this many sets of one slice of texts share counts there; FREQUENT tokens with the highest counts, of at least 16, are ordered by them.
+#: A token that this many sets of one slice of texts share counts there; FREQUENT tokens with the highest counts are ordered by them.
 LOCAL_FREQUENT = 2
+LEAST_COUNT = 4
 FREQUENT = 1 << 18
 CACHE_WORDS = 100_000
+#: Bytes of the sketch that list entries carry.
+SMALL = 64
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -89,20 +93,30 @@ def required(size: int | np.ndarray):
 
 
 def sketch(tokens: np.ndarray) -> bytes:
-    """Parity of the tokens on each of a power of two of places, two to four a token between 64 and 8,192 in all."""
-    places = 64
+    """Parity of the tokens on each of a power of two of places, two to four a token between 8 * SMALL and 8,192 in all."""
+    places = 8 * SMALL
     while places < min(8192, 2 * len(tokens)):
         places *= 2
     counts = np.bincount((tokens & np.uint64(places - 1)).astype(np.int64), minlength=places)
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-_INFO = "kind int, doc_id long, text_key long, n long, s1 long, s2 long, sketch binary"
+def folded(data: bytes, size: int) -> np.ndarray:
+    """A sketch on fewer places."""
+    return np.bitwise_xor.reduce(np.frombuffer(data, np.uint8).reshape(-1, size), axis=0)
+
+
+def _apart_enough(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether sketches (rows of numbers) rule out a link. With a union of u and an overlap o >= t u the symmetric difference, u - o, is at most (1 - t) / (1 + t) of the sizes' sum."""
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) * (100 + THRESHOLD) > (100 - THRESHOLD) * sizes
+
+
+_INFO = "kind int, doc_id long, text_key long, n long, s1 long, s2 long, sketch binary, small binary"
 
 
 def _info(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of kind 0: a document's set size, digest and sketch. Kind 1: a token (s1) that n sets of a slice share."""
-    known = _WordHash()
+    known = keep("shingle words", _WordHash)
     for batch in slices(batches):
         sets = [shingle_set(t, known=known) for t in batch.column("text").to_pylist()]
         sums = [int(x.sum(dtype=np.uint64)) for x in sets]
@@ -111,6 +125,7 @@ def _info(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = counts >= LOCAL_FREQUENT
         extra = int(often.sum())
         signed = lambda v: np.array(v, np.uint64).view(np.int64)
+        sketches = [sketch(x) for x in sets]
         columns = [
             pa.array([0] * len(sets) + [1] * extra, pa.int32()),
             pa.concat_arrays([batch.column("doc_id").cast(pa.int64()), pa.nulls(extra, pa.int64())]),
@@ -118,9 +133,10 @@ def _info(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pa.array(np.concatenate([[len(x) for x in sets], counts[often]]).astype(np.int64)),
             pa.array(np.concatenate([signed(sums), seen[often].view(np.int64)])),
             pa.array(np.concatenate([signed(xors), np.zeros(extra, np.int64)])),
-            pa.array([sketch(x) for x in sets] + [None] * extra, pa.binary()),
+            pa.array(sketches + [None] * extra, pa.binary()),
+            pa.array([folded(x, SMALL).tobytes() for x in sketches] + [None] * extra, pa.binary()),
         ]
-        yield pa.RecordBatch.from_arrays(columns, ["kind", "doc_id", "text_key", "n", "s1", "s2", "sketch"])
+        yield pa.RecordBatch.from_arrays(columns, ["kind", "doc_id", "text_key", "n", "s1", "s2", "sketch", "small"])
 
 
 _POSTING = "token long, salt int, rep long, place int, n int"
@@ -131,7 +147,7 @@ def _post(weights_of, split: int):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, weights = weights_of.value
-        known = _WordHash()
+        known = keep("shingle words", _WordHash)
         for batch in slices(batches):
             ids, tokens, places, sizes, salts = [], [], [], [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -175,7 +191,7 @@ def _starts(rows: np.ndarray) -> np.ndarray:
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries, sorted by list, of lists with two entries or more. leader: the list's first entry where it may link; many: three entries or more; first: it leads.
+    """Entries, sorted by list, of lists with two entries or more. leader: the list's first entry where it may link; many: three entries or more, or a part of a list; first: it leads.
 
     Of a list that may go on in the next batch only its leader and, below three entries, its entries are kept.
     """
@@ -187,7 +203,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         starts = _starts(rows)
         lengths = np.diff(np.append(starts, rows.shape[1]))
-        lead, many, first = rows[:, starts], lengths >= 3, np.ones(len(starts), bool)
+        lead, many, first = rows[:, starts], (lengths >= 3) | (rows[1, starts] >= 0), np.ones(len(starts), bool)
         if going is not None and (rows[:2, 0] == going[:2]).all():
             lead[:, 0], many[0], first[0] = going, True, False
         held, going = rows[:, :0], None
@@ -209,7 +225,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["token", "salt", "rep", "place", "n", "leader", "many", "first"])
 
 
-_OPEN = "a long, b long, token long, block long, n_low int, n_high int, tail int, low long, high long, reps array<long>, places array<int>, ns array<int>, components array<long>"
+_OPEN = "a long, b long, token long, block long, n_low int, n_high int, tail int, low long, high long, reps array<long>, places array<int>, ns array<int>, components array<long>, smalls binary"
 
 
 def _open(block: int):
@@ -217,10 +233,13 @@ def _open(block: int):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["token", "salt", "rep", "place", "n", "component"]
-        schema = pa.schema([(c, t) for c, t in zip("a b token block n_low n_high tail low high".split(), [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.int64()] * 2, strict=True)] + [("reps", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("ns", pa.list_(pa.int32())), ("components", pa.list_(pa.int64()))])
-        held, going, number = np.zeros((6, 0), np.int64), None, TaskContext.get().partitionId() << 33
+        schema = pa.schema([(c, t) for c, t in zip("a b token block n_low n_high tail low high".split(), [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.int64()] * 2, strict=True)] + [("reps", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("ns", pa.list_(pa.int32())), ("components", pa.list_(pa.int64())), ("smalls", pa.binary())])
+        held, going, number = np.zeros((6 + SMALL // 8, 0), np.int64), None, TaskContext.get().partitionId() << 33
         for batch in chain(batches, [None]):
-            rows = held if batch is None else np.concatenate([held, _columns(batch, names)], axis=1)
+            rows = held
+            if batch is not None:
+                small = np.frombuffer(b"".join(batch.column("small").to_pylist()), np.int64).reshape(-1, SMALL // 8)
+                rows = np.concatenate([held, np.concatenate([_columns(batch, names), small.T])], axis=1)
             if not rows.shape[1]:
                 continue
             starts = _starts(rows)
@@ -235,45 +254,51 @@ def _open(block: int):
                 last -= 1
                 held, going = rows[:, cuts[-1] :], rows[:2, cuts[-1]] if follows[-1] else None
             whole = follows | goes_on | (rows[1, cuts] >= 0)
-            found_a, found_b = [], []
+            found = []
             for size in np.unique(sizes[:last]):
                 if size < 2:
                     continue
                 i, j = np.triu_indices(size, 1)
                 of = cuts[:last][sizes[:last] == size]
                 for few in np.array_split(of, max(1, len(of) * len(i) // 500_000)):
-                    a, b = rows[2:, few[:, None] + i], rows[2:, few[:, None] + j]
-                    good = (a[3] != b[3]) & (a[0] != b[0]) & _fits(a[2], a[1], b[2], b[1])
-                    found_a.append(a[0][good])
-                    found_b.append(b[0][good])
-            if found_a and sum(map(len, found_a)):
-                a, b = np.concatenate(found_a), np.concatenate(found_b)
+                    found.append(_linkable(rows[2:], (few[:, None] + i).ravel(), rows[2:], (few[:, None] + j).ravel()))
+            if found and sum(x.shape[1] for x in found):
+                a, b = np.concatenate(found, axis=1)
                 none = {f.name: pa.nulls(len(a), f.type) for f in schema}
                 yield pa.RecordBatch.from_arrays(list((none | {"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))}).values()), schema=schema)
             out = []
             for at, size in zip(cuts[:last][whole[:last]], sizes[:last][whole[:last]], strict=True):
-                token, _, reps, places, ns, parts = rows[:, at : at + size]
+                token, _, reps, places, ns, parts = rows[:6, at : at + size]
                 number += 1
-                out.append((None, None, int(token[0]), number, int(ns.min()), int(ns.max()), int((ns - places).max()), int(parts.min()), int(parts.max()), reps, places.astype(np.int32), ns.astype(np.int32), parts))
+                bounds = (int(ns.min()), int(ns.max()), int((ns - places).max()), int(parts.min()), int(parts.max()))
+                out.append((None, None, int(token[0]), number, *bounds, reps, places.astype(np.int32), ns.astype(np.int32), parts, rows[6:, at : at + size].T.tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     return work
 
 
+def _linkable(left: np.ndarray, i: np.ndarray, right: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Pairs (rep, rep) of entries i and j that components, sizes, positions and sketches leave. Rows: rep, place, n, component, sketch."""
+    a, b = left[:4, i], right[:4, j]
+    good = np.flatnonzero((a[3] != b[3]) & (a[0] != b[0]) & _fits(a[2], a[1], b[2], b[1]))
+    good = good[~_apart_enough(left[4:, i[good]].T, right[4:, j[good]].T, a[2, good] + b[2, good])]
+    return np.stack([a[0, good], b[0, good]])
+
+
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs between two blocks of a list."""
     for batch in batches:
         for row in batch.to_pylist():
-            rep, place, n, part = ([np.asarray(row[f"{c}_{k}"], np.int64) for k in "ab"] for c in ("reps", "places", "ns", "components"))
-            good = (part[0][:, None] != part[1]) & (rep[0][:, None] != rep[1]) & _fits(n[0][:, None], place[0][:, None], n[1], place[1])
-            i, j = np.nonzero(good)
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[0][i], rep[1][j])), pa.array(np.maximum(rep[0][i], rep[1][j]))], ["a", "b"])
+            sides = [np.concatenate([np.array([row[f"{c}_{k}"] for c in ("reps", "places", "ns", "components")], np.int64), np.frombuffer(row[f"smalls_{k}"], np.int64).reshape(-1, SMALL // 8).T]) for k in "ab"]
+            i, j = np.indices((sides[0].shape[1], sides[1].shape[1]))
+            a, b = _linkable(sides[0], i.ravel(), sides[1], j.ravel())
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = _WordHash()
+    known = keep("shingle words", _WordHash)
     for batch in slices(batches):
         sets = [shingle_set(t, known=known).view(np.int64) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["rep", "tokens"])
@@ -284,14 +309,11 @@ def _sketch_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist()
         sizes = np.array([min(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64)
-        apart = np.zeros(batch.num_rows, np.int64)
+        both = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+        good = np.zeros(batch.num_rows, bool)
         for size in np.unique(sizes):
             at = np.flatnonzero(sizes == size)
-            sides = [np.stack([np.bitwise_xor.reduce(np.frombuffer(side[i], np.uint8).reshape(-1, size), axis=0) for i in at]) for side in (a, b)]
-            apart[at] = np.bitwise_count(sides[0] ^ sides[1]).sum(axis=1, dtype=np.int64)
-        both = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-        # a union of u, overlap o: o >= t u and the symmetric difference is u - o, so it is at most (1 - t) / (1 + t) of the sizes' sum
-        good = apart * (100 + THRESHOLD) <= (100 - THRESHOLD) * both
+            good[at] = ~_apart_enough(*(np.stack([folded(side[i], size) for i in at]) for side in (a, b)), both[at])
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good))
 
 
@@ -326,9 +348,9 @@ class _Join:
         every = written(arrow_map(docs.withColumn("text_key", F.xxhash64("text")), _info, _INFO), "ngram-info")
         self.info = every.filter("kind = 0").drop("kind")
         self.total = max(1, self.info.count())
-        alike = self.info.filter("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.any_value("sketch").alias("sketch"))
+        alike = self.info.filter("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.any_value("sketch").alias("sketch"), F.any_value("small").alias("small"))
         self.reps = written(alike, "ngram-reps")
-        often = every.filter("kind = 1").groupBy("s1").agg(F.sum("n").alias("n")).filter("n >= 16").orderBy(F.desc("n"), "s1").limit(FREQUENT).toPandas()
+        often = every.filter("kind = 1").groupBy("s1").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "s1").limit(FREQUENT).toPandas()
         often = often.assign(token=often["s1"].to_numpy(np.int64).view(np.uint64)).sort_values("token")
         self.weights = docs.sparkSession.sparkContext.broadcast((often["token"].to_numpy(), often["n"].to_numpy(np.int64)))
 
@@ -376,9 +398,10 @@ def _labelled(lists: DataFrame, known: DataFrame) -> DataFrame:
     return many.join(known.select(F.col("id").alias("rep"), "component").hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
 
-def _open_pairs(lists: DataFrame, known: DataFrame, block: int) -> DataFrame:
-    """All pairs across components that a list allows."""
-    dealt = _labelled(lists, known).repartition("token", "salt").sortWithinPartitions("token", "salt", "component", "place", "n", "rep")
+def _open_pairs(lists: DataFrame, known: DataFrame, reps: DataFrame, block: int) -> DataFrame:
+    """All pairs across components that a list and small sketches allow."""
+    entries = _labelled(lists, known).join(reps.select("rep", "small").hint("merge"), "rep")
+    dealt = entries.repartition("token", "salt").sortWithinPartitions("token", "salt", "component", "place", "n", "rep")
     rows = written(arrow_map(dealt, _open(block), _OPEN), "ngram-open")
     blocks = rows.filter("block is not null").drop("a", "b")
     sizes = blocks.filter("low = high").groupBy("token", "low").agg(F.sum(F.size("reps")).alias("k"))
@@ -389,7 +412,7 @@ def _open_pairs(lists: DataFrame, known: DataFrame, block: int) -> DataFrame:
     sizes = (100 * F.col("n_high_a") >= THRESHOLD * F.col("n_low_b")) & (100 * F.col("n_high_b") >= THRESHOLD * F.col("n_low_a"))
     reach = (100 + THRESHOLD) * F.least("tail_a", "tail_b") >= THRESHOLD * (F.col("n_low_a") + F.col("n_low_b"))
     met = a.filter("apart_a").join(b, "token").filter(meet & sizes & reach)
-    across = arrow_map(met.select(*[f"{c}_{k}" for k in "ab" for c in ("reps", "places", "ns", "components")]), _across, "a long, b long")
+    across = arrow_map(met.select(*[f"{c}_{k}" for k in "ab" for c in ("reps", "places", "ns", "components", "smalls")]), _across, "a long, b long")
     return rows.filter("a is not null").select("a", "b").unionByName(across).distinct()
 
 
@@ -403,13 +426,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = links.unionByName(join.links(_pairs_of(second)))
     release(known, second)
     known = written(components(links), "ngram-known")
-    last = join.links(_open_pairs(lists, known, block))
+    last = join.links(_open_pairs(lists, known, join.reps, block))
     release(known, lists)
     known = written(components(links.unionByName(last)), "ngram-known")
     named = join.reps.join(known.select(F.col("id").alias("rep"), "component"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
     named = written(named, "ngram-named")
     release(join.reps, known)
-    return join.info.drop("sketch").join(named, ["s1", "s2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), "text_key")
+    return join.info.drop("sketch", "small").join(named, ["s1", "s2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), "text_key")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
