@@ -2,7 +2,8 @@
 
 Symbols of many words lie in one flat array with their word's number. In each round all adjacent pairs are looked up by binary search over the sorted pair
 keys; in every word the pair of lowest rank is merged wherever it occurs, left to right, and the array is compacted. Rounds go on until no word has
-a pair left. A word takes as many rounds as it has distinct merges, so a batch takes about as many rounds as its longest word.
+a pair left. A word takes as many rounds as it has distinct merges, so a batch takes about as many rounds as its longest word; words of more than LONG bytes, as
+in scripts without spaces, would make each round a scan of little use and are merged one by one with a heap of their pairs, to the same ids.
 
 Words come from the byte-level pattern; distinct chunks are encoded once per worker (tokens.ChunkEncoder). Added special tokens found in a text
 become their ids, as in the tokenizers library. Decoding maps ids back to bytes and reads them as UTF-8, with U+FFFD for broken sequences.
@@ -14,6 +15,7 @@ in slices of words, so memory follows the text and not its square.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -30,6 +32,7 @@ from ondula.llm.tokens import Ragged, default_path, worker_encoder
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Symbols that one run of merge rounds holds.
 BATCH_SYMBOLS = 1 << 20
+LONG = 1024
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -53,6 +56,7 @@ class ByteBpe:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = keys[order], order, made
         self.added = added
+        self.known: dict[int, int] | None = None
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.table = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
 
@@ -100,6 +104,29 @@ class ByteBpe:
         order = np.argsort(owner, kind="stable")
         return Ragged(symbols[order].astype(np.uint32), np.bincount(owner, minlength=len(words)))
 
+    def merge_long(self, word: bytes) -> np.ndarray:
+        """Ids of one long word: the pair of lowest rank, leftmost first, from a heap; neighbours are linked by place."""
+        if self.known is None:
+            self.known = dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
+        symbols, made, known = self.first[np.frombuffer(word, np.uint8)].tolist(), self.made.tolist(), self.known
+        n = len(symbols)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(rank, i) for i in range(n - 1) if (rank := known.get(symbols[i] << 32 | symbols[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = after[i]
+            if symbols[i] < 0 or j >= n or known.get(symbols[i] << 32 | symbols[j]) != rank:
+                continue  # one of the two has gone into another symbol
+            symbols[i], symbols[j], after[i] = made[rank], -1, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+                if (new := known.get(symbols[i] << 32 | symbols[after[i]])) is not None:
+                    heapq.heappush(heap, (new, i))
+            if before[i] >= 0 and (new := known.get(symbols[before[i]] << 32 | symbols[i])) is not None:
+                heapq.heappush(heap, (new, before[i]))
+        return np.array([x for x in symbols if x >= 0], np.uint32)
+
     def encode_chunks(self, chunks: list[str]) -> Ragged:
         """Ids of each chunk: split by the pattern, distinct words merged together."""
         number: dict[str, int] = {}
@@ -117,6 +144,13 @@ class ByteBpe:
         group, held = [], 0
         for word in number:
             data = word.encode()
+            if len(data) > LONG:
+                if group:
+                    made.append(self.merge(group))
+                    group, held = [], 0
+                ids = self.merge_long(data)
+                made.append(Ragged(ids, np.array([len(ids)])))
+                continue
             group.append(data)
             held += len(data)
             if held >= BATCH_SYMBOLS:
@@ -135,15 +169,13 @@ class ByteBpe:
         return b"".join(map(self.table.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_decoders: dict[str, ByteBpe] = {}
-
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def encode_text_batches(path: str, with_ids: bool):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder("merge", path)
-        coder = _decoders.setdefault(path, ByteBpe.from_file(path) if path not in _decoders else _decoders[path])
+        coder = encoder.encode.__self__
         digits = [str(i) for i in range(len(coder.table))]
         for batch in slices(batches):
             ids, sizes = encoder([t or "" for t in batch.column("text").to_pylist()])

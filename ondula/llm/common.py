@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -35,11 +34,13 @@ def reach_workers(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares: spark.checkpoint.dir, or a folder of this machine where that is unset (tests)."""
+    """The folder that the cluster shares: spark.checkpoint.dir. A session on one machine that has none gets a folder under its warehouse; on a cluster that is an error."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="ondula-")
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/ondula-shared"
         context.setCheckpointDir(found)
     return found.rstrip("/")
 
@@ -82,6 +83,17 @@ def arrow_map(df: DataFrame, work: Callable[[Iterator], Iterator], schema: str)
     return df.mapInArrow(work, schema)
 
 
+_kept: dict = {}
+
+
+def keep(owner, make: Callable[[], object]):
+    """What a Python worker keeps for its later tasks. Only one owner's is kept: what a stage before has left goes."""
+    if owner not in _kept:
+        _kept.clear()
+        _kept[owner] = make()
+    return _kept[owner]
+
+
 def slices(batches: Iterator, column: str = "text", limit: int = SLICE_BYTES) -> Iterator:
     """Cuts Arrow record batches so that a piece holds about `limit` bytes of text, and one row at least."""
     for batch in batches:

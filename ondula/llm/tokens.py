@@ -14,6 +14,8 @@ from collections.abc import Callable
 import numpy as np
 import regex
 
+from ondula.llm.common import keep
+
 #: A worker forgets its cached chunks beyond this many.
 CACHE_CHUNKS = 400_000
 #: A space between white space: there a cut at the space would change the ids.
@@ -193,41 +195,21 @@ class ChunkEncoder:
         self.uses = np.append(self.uses, np.zeros(len(new), np.int64))
 
 
-_encoders: dict[tuple, ChunkEncoder] = {}
-
-
 def worker_encoder(kind: str, path: str) -> ChunkEncoder:
-    """This worker's encoder, kept for its later tasks. kind: byte (spaces kept), word (white space dropped) or merge (rounds in NumPy)."""
-    if (kind, path) not in _encoders:
+    """This worker's encoder. kind: byte (spaces kept), word (white space dropped) or merge (rounds in NumPy)."""
+
+    def make() -> ChunkEncoder:
         if kind == "merge":
             from ondula.llm.bpe import ByteBpe
 
             encode = ByteBpe.from_file(path).encode_chunks
         else:
             encode = WordPieces(path) if kind == "word" else library_ids(path)
-        _encoders[kind, path] = ChunkEncoder(encode, spaced=kind != "word")
-    return _encoders[kind, path]
+        return ChunkEncoder(encode, spaced=kind != "word")
+
+    return keep(("encoder", kind, path), make)
 
 
 def added_tokens(path: str) -> dict[str, int]:
     with open(path, encoding="utf-8") as f:
         return {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
-
-
-_rank_encoders: dict[str, object] = {}
-
-
-def rank_encoder(path: str):
-    """A byte-level vocabulary file as a tiktoken encoder: the same merges and ids, several times as fast on whole texts."""
-    if path not in _rank_encoders:
-        import tiktoken
-
-        from ondula.llm.bpe import PATTERN, byte_alphabet
-
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        alphabet = byte_alphabet()
-        ranks = {bytes(alphabet[c] for c in token): number for token, number in spec["model"]["vocab"].items()}
-        special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        _rank_encoders[path] = tiktoken.Encoding("vocabulary", pat_str=PATTERN.pattern, mergeable_ranks=ranks, special_tokens=special)
-    return _rank_encoders[path]

@@ -30,10 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ondula.llm import logistic
-from ondula.llm.common import arrow_map, documents, slices, text_of, written
+from ondula.llm.common import arrow_map, documents, keep, slices, text_of, written
 
 TRAIN_ROWS = 20_000
-MAX_LEXICON = 4_000
 MIN_LOG_ODDS = 2.0
 #: Standard errors that are taken off the log-odds first.
 MARGIN = 1.64
@@ -47,7 +46,7 @@ NEAR_COPY = 0.4
 FUZZY_LENGTH = 5
 WINDOW = 6
 THRESHOLD = 0.3
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 _EDGES = re.compile(r"^\W+|\W+$")
 _OPEN, _CLOSE = "\"“«„‘", "\"”»“’"
 FEATURES = ("one", "abuse", "misspelled", "quoted", "kinds", "weight", "density", "near")
@@ -131,16 +130,9 @@ class _Hits(dict):
         return found
 
 
-_caches: dict[int, _Hits] = {}
-
-
 def worker_hits(lexicon: dict[str, float]) -> _Hits:
-    """This worker's hits under a lexicon, kept for its later tasks."""
-    key = hash(frozenset(lexicon.items()))
-    if key not in _caches:
-        _caches.clear()
-        _caches[key] = _Hits(Trie(lexicon))
-    return _caches[key]
+    """This worker's hits under a lexicon."""
+    return keep(("hits", frozenset(lexicon.items())), lambda: _Hits(Trie(lexicon)))
 
 
 def features(text: str | None, hits: _Hits) -> tuple[float, ...]:
@@ -224,9 +216,10 @@ def held_out(column="doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary")) % 4 == 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS, max_lexicon: int = MAX_LEXICON) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS) -> Model:
     """Learns lexicon and weights from the labelled rows that are not held out."""
     usable = labels.filter(~held_out(id_col) & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
+    usable = usable.groupBy("id").agg(F.max("y").alias("y"))  # an id that labels repeat counts once
     total = usable.count()
     if not total:
         return Model()
@@ -254,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     odds = F.log((F.col("toxic") + 0.5) / (sizes[1] + 1)) - F.log((F.col("clean") + 0.5) / (sizes[0] + 1))
     error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     kept = by_doc.filter(F.col("contexts") >= MIN_CONTEXTS).withColumn("odds", odds).filter(F.col("odds") - MARGIN * error >= MIN_LOG_ODDS)
-    lexicon = {r["word"]: float(r["odds"]) for r in kept.orderBy(F.desc("odds"), "word").limit(max_lexicon).collect()}
+    lexicon = {r["word"]: float(r["odds"]) for r in kept.select("word", "odds").collect()}  # words of the bounded sample
     if not lexicon:
         return Model()
     rows = arrow_map(sample.select("y", "text"), _measure(lexicon, None), "y int, features array<double>").collect()  # at most about train_rows rows of eight numbers
