@@ -3,9 +3,9 @@
 Every document is tokenised once, gets the end id, and is cut into pieces of at most `window` ids: whole windows first, then its rest. Whole windows are
 sequences of their own. The rests' length histogram (at most `window` bins, whatever the corpus) goes to the driver, which enumerates
 combinations of two and three lengths that fill a window exactly and solves their repeat counts against the histogram by non-negative least
-squares. Each partition of pieces then takes its share of the plan - the solved counts scaled to its own histogram, rounded
+squares; all lengths take part, and the residual is logged. Each partition of pieces then takes its share of the plan - the solved counts scaled to its own histogram, rounded
 down - and packs what is left over by best fit, longest first. Sequences never cross partitions, so packing needs no shuffle of texts and no global order;
-sequence ids are the partition number in the high bits and a counter below. A task that is run again makes the same sequences.
+sequence ids are the partition number in the high bits and a counter below. A partition is read in sorted order, so a task that is run again makes the same sequences.
 
 Padding: sequences are padded to `window`, except at a power of two. Pieces that are a power of two long may stay alone.
 
@@ -15,6 +15,7 @@ windows. An empty table gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import logging
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -28,14 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ondula.llm.common import arrow_map, documents, slices, written
-from ondula.llm.tokens import default_path, rank_encoder
+from ondula.llm.tokens import default_path, worker_encoder
+
+log = logging.getLogger("ondula")
 
 WINDOW = 1024
 END_ID = 0
 #: Pieces that one packing task takes; a task's leftovers cost at most a few sequences.
 TASK_PIECES = 200_000
-#: Lengths that combinations of three are made of: the most frequent ones.
-TRIPLE_LENGTHS = 48
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -43,12 +44,13 @@ PACKED = PIECES + ", sequence_id long, offset long"
 
 def _cut(path: str, window: int, end_id: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = rank_encoder(path)
-        tail = np.array([end_id], "<u4")
+        coder = worker_encoder("byte", path)
         for batch in slices(batches):
             rows: tuple[list, ...] = ([], [], [], [], [])
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.append(coder.encode_to_numpy(text, allowed_special="all").astype("<u4") if text else tail[:0], tail)
+            flat, lengths = coder([t or "" for t in batch.column("text").to_pylist()])
+            ends = np.cumsum(lengths)
+            for doc, a, b in zip(batch.column("doc_id").to_pylist(), (ends - lengths).tolist(), ends.tolist(), strict=True):
+                ids = np.append(flat[a:b], end_id).astype("<u4")
                 for start in range(0, len(ids), window):
                     own = ids[start : start + window]
                     for column, value in zip(rows, (doc, start, len(own), zlib.crc32(own.tobytes()), len(ids)), strict=True):
@@ -63,38 +65,41 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_I
     return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), _cut(path, window, end_id), PIECES)
 
 
-def combinations(histogram: dict[int, int], window: int = WINDOW) -> list[tuple[int, ...]]:
-    """Two and three lengths of the histogram that fill the window exactly."""
-    present = sorted(histogram)
-    have = set(present)
-    found = {(a, window - a) for a in present if a <= window - a and window - a in have}
-    often = sorted(present, key=lambda n: (-histogram[n], n))[:TRIPLE_LENGTHS]
-    for i, a in enumerate(often):
-        for b in often[i:]:
-            c = window - a - b
-            if c > 0 and c in have:
-                found.add(tuple(sorted((a, b, c))))
-    return sorted(found)
-
-
-def solve(histogram: dict[int, int], combos: list[tuple[int, ...]], rounds: int = 200) -> np.ndarray:
-    """Repeat counts x >= 0 with small |A x - h|^2, by projected coordinate descent (a convex problem with at most three entries a column)."""
-    used = {n: np.float64(0) for n in histogram}
-    x = np.zeros(len(combos))
-    parts = [[(n, c.count(n)) for n in set(c)] for c in combos]
-    for _ in range(rounds):
-        moved = 0.0
-        for j, part in enumerate(parts):
-            step = sum(k * (histogram[n] - used[n]) for n, k in part) / sum(k * k for _, k in part)
-            new = max(0.0, x[j] + step)
-            if new != x[j]:
-                for n, k in part:
-                    used[n] += k * (new - x[j])
-                moved = max(moved, abs(new - x[j]))
-                x[j] = new
-        if moved < 0.25:
-            break
-    return x
+def combinations(histogram: dict[int, int], window: int = WINDOW) -> np.ndarray:
+    """All pairs and triples of the histogram's lengths that fill the window exactly: rows of ascending lengths, a pair with 0 in front."""
+    have = np.zeros(window + 1, bool)
+    have[[n for n in histogram if 0 < n < window]] = True
+    present = np.append(0, np.flatnonzero(have))
+    a, b = present[:, None], present[None, 1:]
+    c = window - a - b
+    i, j = np.nonzero((a <= b) & (b <= c) & have[np.clip(c, 0, window)])
+    return np.stack([present[i], present[1 + j], c[i, j]], axis=1).reshape(-1, 3)
+
+
+def solve(histogram: dict[int, int], combos: np.ndarray, tolerance: float = 1e-5, rounds: int = 5_000) -> tuple[np.ndarray, float]:
+    """Repeat counts x >= 0 with small |A x - h|, by multiplicative steps (A and h have no negative entries, so every step lowers the norm); and |A x - h| / |h|.
+
+    The steps end when a hundred of them lower the norm by less than `tolerance` of |h|. What is not covered is packed greedily, so a residual costs padding only.
+    """
+    size = int(combos.max(initial=0)) + 1
+    h = np.zeros(max(size, max(histogram, default=0) + 1))
+    h[list(histogram)] = list(histogram.values())
+    h[0] = 0.0
+    flat = combos.ravel()
+    back = lambda v: v[combos].sum(axis=1)
+    there = lambda x: np.bincount(flat, np.where(flat > 0, np.repeat(x, 3), 0.0), len(h))
+    wanted = back(h)
+    x = np.full(len(combos), h.sum() / max(1, 3 * len(combos)))
+    norm, before, left = max(float(np.linalg.norm(h)), 1e-300), np.inf, 1.0
+    for k in range(rounds if len(combos) else 0):
+        covered = there(x)
+        if k % 100 == 0:
+            left = float(np.linalg.norm(covered - h)) / norm
+            if before - left < tolerance:
+                break
+            before = left
+        x *= wanted / np.maximum(back(covered), 1e-300)
+    return x, left
 
 
 def pack(lengths: np.ndarray, plan: list[tuple[tuple[int, ...], float]], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, int]:
@@ -164,11 +169,13 @@ def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDO
     rows = cut.filter(F.col("length") < window).groupBy("length").count().collect()  # at most `window` rows
     histogram = {int(r["length"]): int(r["count"]) for r in rows}
     combos = combinations(histogram, window)
-    counts = solve(histogram, combos)
-    plan = [(c, float(x)) for c, x in zip(combos, counts, strict=True) if x >= 1]
+    counts, left = solve(histogram, combos)
+    log.info("%d combinations leave %.4f of the histogram's norm to greedy packing", len(combos), left)
+    plan = [(tuple(n for n in c if n), x) for c, x in zip(combos.tolist(), counts.tolist(), strict=True) if x >= 1]
     total = cut.count()
     parts = max(1, -(-total // TASK_PIECES))
-    return cut.repartition(parts, F.xxhash64("doc_id", "start")).mapInPandas(_pack_partition(plan, histogram, window), PACKED)
+    dealt = cut.repartition(parts, F.xxhash64("doc_id", "start")).sortWithinPartitions("doc_id", "start", "length", "ids_crc32")
+    return dealt.mapInPandas(_pack_partition(plan, histogram, window), PACKED)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
