@@ -4,12 +4,13 @@ Base spans - emails, IP addresses, card and phone numbers - are matched by patte
 behind for a run's start where that cannot change the matches, so a long run of digits or letters costs linear time and no stack.
 
 Information-theoretic spans: the values found are the protected entities. For an entity e and a word t outside the base spans of a text, with document counts c(.)
-over all N documents, PMI(t; e) = log(N c(t,e) / (c(t) c(e))) says how much t tells of e, and IC(e) = log(N / c(e)) how much there is to tell. Where
-c(t,e) >= MIN_SUPPORT and PMI / IC passes GENERALISE the word gives the entity away: all its occurrences in texts with e are spans `term` and are generalised to a
-placeholder; above REMOVE they are removed.
+over all N documents, PMI(t; e) = log(N c(t,e) / (c(t) c(e))) says how much t tells of e, and IC(e) = log(N / c(e)) how much there is to tell. Where their
+ratio, discounted by c(t,e) / (c(t,e) + DISCOUNT), passes GENERALISE and c(t,e) PMI passes EVIDENCE, the word gives the entity away: all its occurrences in texts with e are spans `term` and are
+generalised to a placeholder; above REMOVE they are removed. Most entities are in one document, which proves nothing about its words; their evidence is pooled
+over classes - an e-mail's domain, a network, the first digits of a number - that are entities too.
 
 Scale: the spans and distinct words of all texts are found in one scan and written, with the texts of rows that have personal data. Pairs of word and entity are
-made only for entities with MIN_SUPPORT documents and words that are not too frequent: c(t,e) <= c(e) bounds PMI by log(N / c(t)), which drops no telling word.
+made only for entities and words with LEAST documents, and words that are not too frequent: c(t,e) <= c(e) bounds PMI by log(N / c(t)), which drops no telling word.
 Counts are pre-aggregated in each task before they are shuffled; the sides of joins are written, so that Spark can split a hot entity.
 
 Defined cases: a null text is empty and has no spans. Repeated rows are separate documents with equal spans. Texts without a match pass unchanged. An empty table gives no
@@ -32,11 +33,18 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
-#: Documents that an entity and a word must share; entities in fewer documents have no telling words.
-MIN_SUPPORT = 3
+#: Shared documents are discounted by c / (c + DISCOUNT): one alone proves little, as every word of an entity's only document is in it.
+DISCOUNT = 0.5
 GENERALISE = 0.8
 REMOVE = 0.95
+#: The least c(t,e) that can pass GENERALISE after the discount. Rarer words and entities are in no telling pair.
+LEAST = 2
+#: Nats that the shared documents must tell together, c(t,e) PMI: below, a rare word may be with a frequent class by chance.
+EVIDENCE = 12.0
 TERM = r"\p{L}{3,}"
+#: Elements that are summed in one go, and characters that are rewritten in one go.
+GROUP = 128
+PART = 4096
 _PLACES = "array<struct<start:int,end:int,remove:boolean>>"
 _SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
@@ -57,19 +65,31 @@ def _checker(kind: str):
     return lambda span: _valid(kind, span["value"])
 
 
-def _placed(kind: str, text: Column, found: Column, pattern: str) -> Column:
-    """The matches `found` with their places: the texts between matches give the offsets."""
-    gaps = F.split(text, pattern, -1)
-    zipped = F.arrays_zip(found.alias("value"), F.slice(gaps, F.lit(1), F.size(found)).alias("gap"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+def _running(steps: Column) -> Column:
+    """Running sums of an array of ints. Sums are taken in groups of GROUP and then over the groups, as an array that grows by one is copied each time."""
+    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / GROUP).cast("int")), lambda k: F.slice(steps, k * GROUP + 1, F.lit(GROUP)))
+    none = F.array().cast("array<int>")
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(x["value"])
-        span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def sums(values: Column, first: Column) -> Column:
+        start = F.struct(first.alias("at"), none.alias("out"))
+        return F.aggregate(values, start, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.array_append(acc["out"], acc["at"] + x).alias("out")), lambda acc: acc["out"])
 
-    return F.when(F.size(found) > 0, F.aggregate(zipped, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(_SPAN))
+    totals = F.transform(groups, lambda g: F.aggregate(g, F.lit(0), lambda acc, x: acc + x))
+    before = F.zip_with(sums(totals, F.lit(0)), totals, lambda x, own: x - own)
+    return F.when(F.size(steps) > 0, F.flatten(F.zip_with(groups, before, sums))).otherwise(none)
+
+
+def _starts(text: Column, found: Column, pattern: str) -> Column:
+    """Where the matches `found` of a pattern start: the texts between matches give the offsets."""
+    gaps = F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), F.length)
+    before = F.concat(F.array(F.lit(0)), F.transform(found, F.length))
+    return F.when(F.size(found) > 0, _running(F.transform(F.arrays_zip(gaps.alias("gap"), F.slice(before, F.lit(1), F.size(found)).alias("before")), lambda x: x["gap"] + x["before"]))).otherwise(F.array().cast("array<int>"))
+
+
+def _placed(kind: str, found: Column, starts: Column) -> Column:
+    """The matches as spans."""
+    span = lambda v, at: F.struct(F.lit(kind).alias("kind"), at.alias("start"), (at + F.length(v)).alias("end"), v.alias("value"))
+    return F.zip_with(found, starts, span)
 
 
 def base_spans(rows: DataFrame, text: str = "text") -> DataFrame:
@@ -80,20 +100,44 @@ def base_spans(rows: DataFrame, text: str = "text") -> DataFrame:
         every = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
         found[f"found_{kind}"] = F.when(F.contains(F.col(text), F.lit(hints[kind])), every).otherwise(F.array().cast("array<string>")) if kind in hints else every
     rows = rows.withColumns(found)
-    rows = rows.withColumns({kind: _placed(kind, F.col(text), F.col(f"found_{kind}"), pattern) for kind, pattern in PATTERNS.items()}).drop(*found)
+    rows = rows.withColumns({f"at_{kind}": _starts(F.col(text), F.col(f"found_{kind}"), pattern) for kind, pattern in PATTERNS.items()})
+    rows = rows.withColumns({kind: _placed(kind, F.col(f"found_{kind}"), F.col(f"at_{kind}")) for kind in PATTERNS}).drop(*found, *[f"at_{k}" for k in PATTERNS])
     return rows.withColumns({kind: F.filter(kind, _checker(kind)) for kind in PATTERNS})
 
 
+def _rewritten(text: Column, marks: Column, put) -> Column:
+    """The text with marks (in the order of their starts) replaced; a mark that starts inside an earlier one only widens it.
+
+    The text is taken in parts of PART characters, so that no step reads it from its start. put: from a mark and the characters of it in a part to what stands for them.
+    """
+
+    def part(piece: Column, k: Column) -> Column:
+        base = k * PART
+        near = F.filter(marks, lambda m: (m["start"] < base + F.length(piece)) & (m["end"] > base))
+        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+        def step(acc: Column, m: Column) -> Column:
+            begin, end = F.greatest(m["start"] - base, acc["at"]), F.least(m["end"] - base, F.length(piece))
+            gap = F.substring(piece, acc["at"] + 1, begin - acc["at"])
+            new = F.concat(acc["out"], gap, put(m, F.greatest(F.lit(0), end - begin), m["start"] - base >= acc["at"]))
+            return F.struct(F.greatest(acc["at"], end).alias("at"), new.alias("out"))
+
+        return F.aggregate(near, start, step, lambda acc: F.concat(acc["out"], F.substring(piece, acc["at"] + 1, F.length(piece))))
+
+    return F.concat_ws("", F.transform(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0)), part))
+
+
 def _blank(text: Column, marks: Column) -> Column:
-    """The text with its spans (in the order of their starts) blanked, of the same length."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with its spans blanked, of the same length."""
+    return _rewritten(text, marks, lambda m, size, fresh: F.repeat(F.lit(" "), size))
 
-    def step(acc: Column, m: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), m["start"] - acc["at"]))
-        out = F.concat(acc["out"], gap, F.repeat(F.lit(" "), F.greatest(F.lit(0), m["end"] - F.greatest(acc["at"], m["start"]))))
-        return F.struct(F.greatest(acc["at"], m["end"]).alias("at"), out.alias("out"))
 
-    return F.aggregate(marks, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+def _class(span: Column) -> Column:
+    """The class of an entity: an e-mail's domain, an IP address without its last number, the first six digits of a card or phone."""
+    digits = F.substring(F.regexp_replace(span["value"], "[^0-9]", ""), 1, 6)
+    host = F.lower(F.substring_index(span["value"], "@", -1))
+    name = F.when(span["kind"] == "email", host).when(span["kind"] == "ip", F.substring_index(span["value"], ".", 3)).otherwise(digits)
+    return F.xxhash64(F.lit("class"), span["kind"], name)
 
 
 def _spanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -101,52 +145,44 @@ def _spanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.monotonically_increasing_id().alias("row_no"), F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     rows = base_spans(rows.withColumn("row_key", F.xxhash64("id", "text")))
     every = F.concat(*PATTERNS)
-    entities = F.array_distinct(F.transform(every, lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))
+    entities = F.array_distinct(F.concat(F.transform(every, lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))), F.transform(every, _class)))
     marks = F.array_sort(F.transform(every, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
     rows = rows.select("row_no", "row_key", "id", *PATTERNS, entities.alias("entities"), F.when(F.size(every) > 0, _blank(F.col("text"), marks)).alias("blank"), "text")
     found = F.array_distinct(F.regexp_extract_all(F.coalesce("blank", "text"), F.lit(TERM), F.lit(0)))
     return written(rows.withColumn("words", F.array_distinct(F.transform(found, F.lower))).drop("text"), "pii-spans")
 
 
-def _occurrences(text: Column, told: Column) -> Column:
-    """All places of the told words (term, remove) in a text: array of (start, end, remove)."""
-    gaps = F.split(text, TERM, -1)
-    found = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
-    zipped = F.arrays_zip(found.alias("value"), F.slice(gaps, F.lit(1), F.size(found)).alias("gap"))
-    every, removed = F.transform(told, lambda t: t["term"]), F.transform(F.filter(told, lambda t: t["remove"]), lambda t: t["term"])
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_PLACES).alias("out"), every.alias("every"), removed.alias("removed"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(x["value"])
-        term = F.lower(x["value"])
-        place = F.struct(begin.alias("start"), end.alias("end"), F.array_contains(acc["removed"], term).alias("remove"))
-        out = F.when(F.array_contains(acc["every"], term), F.concat(acc["out"], F.array(place))).otherwise(acc["out"])
-        return F.struct(end.alias("at"), out.alias("out"), acc["every"].alias("every"), acc["removed"].alias("removed"))
-
-    return F.aggregate(zipped, start, step, lambda acc: acc["out"])
+def _occurrences(rows: DataFrame) -> DataFrame:
+    """Adds `terms`: all places of the told words (term, remove) in `blank`, as an array of (start, end, remove)."""
+    rows = rows.withColumn("found", F.regexp_extract_all("blank", F.lit(TERM), F.lit(0)))
+    rows = rows.withColumn("at", _starts(F.col("blank"), F.col("found"), TERM))
+    rows = rows.withColumns({"every": F.transform("told", lambda t: t["term"]), "removed": F.transform(F.filter("told", lambda t: t["remove"]), lambda t: t["term"])})
+    hits = F.filter(F.zip_with("found", "at", lambda v, at: F.struct(F.lower(v).alias("term"), at.alias("start"), (at + F.length(v)).alias("end"))), lambda x: F.array_contains("every", x["term"]))
+    return rows.withColumn("terms", F.transform(hits, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.array_contains("removed", x["term"]).alias("remove"))))
 
 
 def term_spans(spanned: DataFrame) -> DataFrame:
     """(row_no, terms) of rows in which words give an entity away; terms: array of (start, end, remove)."""
     n = F.lit(float(max(spanned.count(), 1)))
     seen = spanned.select("row_no", F.explode("entities").alias("entity"))
-    entities = written(seen.groupBy("entity").agg(F.count(F.lit(1)).alias("c_e")).filter(F.col("c_e") >= MIN_SUPPORT), "pii-entities")
+    entities = written(seen.groupBy("entity").agg(F.count(F.lit(1)).alias("c_e")).filter(F.col("c_e") >= LEAST), "pii-entities")
     known = written(seen.join(entities, "entity"), "pii-known")
-    counts = spanned.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("c_t")).filter(F.col("c_t") >= MIN_SUPPORT)
+    counts = spanned.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("c_t")).filter(F.col("c_t") >= LEAST)
     # a word above the bound of every entity is in no pair
     least = F.log(n / F.col("c_e")) * GENERALISE - 1e-6
     top = entities.agg(F.min(least).alias("least"))
     counts = written(counts.join(F.broadcast(top), F.log(n / F.col("c_t")) >= F.col("least")).drop("least"), "pii-counts")
     held = spanned.join(known.select("row_no").distinct(), "row_no", "left_semi").select("row_no", F.explode("words").alias("term"))
     words = written(held.join(counts, "term"), "pii-words")
-    places = written(words.join(known, "row_no").filter(F.log(n / F.col("c_t")) >= least), "pii-places")
-    pairs = places.groupBy("entity", "term", "c_e", "c_t").agg(F.count(F.lit(1)).alias("c_te")).filter(F.col("c_te") >= MIN_SUPPORT)
-    share = F.log(n * F.col("c_te") / (F.col("c_t") * F.col("c_e"))) / F.greatest(F.log(n / F.col("c_e")), F.lit(1e-9))
-    telling = written(pairs.select("entity", "term", share.alias("share")).filter(F.col("share") >= GENERALISE), "pii-telling")
+    places = written(words.join(known, "row_no").filter((F.log(n / F.col("c_t")) >= least) & (F.col("c_t") * F.log(n / F.col("c_e")) >= EVIDENCE)), "pii-places")
+    pairs = places.groupBy("entity", "term", "c_e", "c_t").agg(F.count(F.lit(1)).alias("c_te")).filter(F.col("c_te") >= LEAST)
+    share = F.log(n * F.col("c_te") / (F.col("c_t") * F.col("c_e"))) / F.greatest(F.log(n / F.col("c_e")), F.lit(1e-9)) * F.col("c_te") / (F.col("c_te") + DISCOUNT)
+    told = F.col("c_te") * F.log(n * F.col("c_te") / (F.col("c_t") * F.col("c_e")))
+    telling = written(pairs.filter(told >= EVIDENCE).select("entity", "term", share.alias("share")).filter(F.col("share") >= GENERALISE - 1e-9), "pii-telling")
     hits = places.join(telling, ["entity", "term"]).groupBy("row_no", "term").agg(F.max(F.col("share") >= REMOVE).alias("remove"))
     told = written(hits.groupBy("row_no").agg(F.array_sort(F.collect_list(F.struct("term", "remove"))).alias("told")), "pii-told")
-    return spanned.select("row_no", "blank").join(told, "row_no").select("row_no", _occurrences(F.col("blank"), F.col("told")).alias("terms"))
+    found = spanned.select("row_no", "blank").join(told, "row_no")
+    return _occurrences(found).select("row_no", "terms")
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,15 +198,8 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def _masked(text: Column, marks: Column) -> Column:
-    """The text with marks (start, end, put) replaced, from the left; a mark inside an earlier one only widens it."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, m: Column) -> Column:
-        fresh = m["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, m["start"] - acc["at"]), m["put"])).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], m["end"]).alias("at"), out.alias("out"))
-
-    return F.aggregate(marks, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    """The text with marks (start, end, put) replaced, from the left."""
+    return _rewritten(text, marks, lambda m, size, fresh: F.when(fresh, m["put"]).otherwise(F.lit("")))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
