@@ -1,6 +1,6 @@
 """Token-id files in patched frame-of-reference blocks.
 
-Ids are written in ascending doc_id order. A file is a Parquet table in the folder the cluster shares; a row is a segment: a document index
+Ids are written in ascending doc_id order. A file is a Parquet table in a folder of one's choice; a row is a segment: a document index
 and a byte string of blocks. A block holds BLOCK ids: their minimum is subtracted, the differences are packed at a width that covers PERCENTILE of
 them, and the rest (exceptions) are listed by position with their high bits. The segment starts with a table of block starts, so that any id is
 reached by decoding one block.
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ondula.llm.common import arrow_map, documents, slices, written
@@ -174,11 +174,23 @@ def _encode(path: str, end_id: int, kind: str):
     return work
 
 
-def write_tokens(docs: DataFrame, path: str | None = None, end_id: int = END_ID, kind: str = "word", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes and writes all documents in ascending doc_id order; returns the written files as a DataFrame of segments."""
+def write_tokens(docs: DataFrame, path: str | None = None, end_id: int = END_ID, kind: str = "word", id_col: str = "doc_id", text_col: str = "text", to: str | None = None) -> DataFrame:
+    """Encodes and writes all documents in ascending doc_id order; returns the written files as a DataFrame of segments.
+
+    to: the folder for the files, which must not exist yet. Without it they lie in the cluster's shared folder and go when the driver ends.
+    """
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = chosen.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return written(arrow_map(ordered, _encode(path or default_path("word_bpe_49k.json"), end_id, kind), FILE_SCHEMA), "token-files")
+    segments = arrow_map(ordered, _encode(path or default_path("word_bpe_49k.json"), end_id, kind), FILE_SCHEMA)
+    if to is None:
+        return written(segments, "token-files")
+    segments.write.parquet(to)
+    return open_files(docs.sparkSession, to)
+
+
+def open_files(spark: SparkSession, path: str) -> DataFrame:
+    """The segments of a folder that write_tokens has written."""
+    return spark.read.schema(FILE_SCHEMA).parquet(path)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
