@@ -207,3 +207,108 @@ def test_columns_stay(work, edge_docs):
     assert work(edge_docs).columns == edge_docs.columns
 
 
+def test_telling_words_by_brute_force(spark):
+    """Every told word of every text, from plain document counts of words, entities and classes."""
+    import math
+    import random
+
+    draw = random.Random(11)
+    names = ["quill", "marlow", "tessa", "borin"]
+    texts = []
+    for i in range(240):
+        words = [draw.choice(("the", "and", "of", "water", "stone", "green", "river")) for _ in range(12)]
+        if i % 6 == 0:
+            who = (i // 6) % 4
+            words[3:3] = [names[who].title(), "from", f"{names[who] if i % 12 else 'staff' + str(i)}@{names[who]}.org"]
+        if i % 30 == 1:
+            words[5:5] = ["10.1.2.7", "harbour"]
+        texts.append(" ".join(words))
+    n, blank, holds = len(texts), [], []
+    for t in texts:
+        found = personal(t)
+        out = list(t)
+        for _, a, b in found:
+            out[a:b] = " " * (b - a)
+        blank.append("".join(out))
+        kinds = set()
+        for k, a, b in found:
+            v = t[a:b].lower()
+            digits = re.sub("[^0-9]", "", v)[:6]
+            kinds |= {(k, v), ("class", k, v.split("@")[-1] if k == "email" else v.rsplit(".", 1)[0] if k == "ip" else digits)}
+        holds.append(kinds)
+    words = [set(re.findall(r"[a-z]{3,}", t.lower())) for t in blank]
+    c_t, c_e = Counter(w for ws in words for w in ws), Counter(e for es in holds for e in es)
+    c_te = Counter((e, w) for es, ws in zip(holds, words) for e in es for w in ws)
+
+    def telling(e, w):
+        c = c_te[e, w]
+        pmi = math.log(n * c / (c_t[w] * c_e[e]))
+        return c >= 2 and c * pmi >= pii.EVIDENCE and pmi / math.log(n / c_e[e]) * c / (c + pii.DISCOUNT) >= pii.GENERALISE - 1e-9
+
+    rows = {r["doc_id"]: r for r in pii.spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    some = 0
+    for i, t in enumerate(blank):
+        told = {w for w in words[i] if any(telling(e, w) for e in holds[i])}
+        expected = [f"term:{m.start()}:{m.end()}" for m in re.finditer(r"[A-Za-z]{3,}", t) if m.group().lower() in told]
+        assert [x for x in rows[i]["spans"].split(",") if x.startswith("term")] == expected, (i, told)
+        some += len(expected)
+    assert some > 20
+
+
+def test_many_spans_in_one_text(spark):
+    """Offsets and masks of thousands of spans, across the groups and parts in which they are made."""
+    text = " ".join(f"mail {i} to user{i}@site{i % 7}.org or 10.0.{i % 200}.1;" for i in range(4000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = pii.spans(docs).first()
+    assert row["spans"] == ",".join(f"{k}:{a}:{b}" for k, a, b in personal(text)) and row["n_email"] == 4000
+    out, at = "", 0
+    for a, b, k in sorted((a, b, k) for k, a, b in personal(text)):
+        if a >= at:
+            out += text[at:a] + f"<{k.upper()}>"
+        at = max(at, b)
+    assert pii.sanitise(docs).first()["text"] == out + text[at:]
+
+
+LONG_TEXTS = ["a" + " " * 1_000_000 + "b", "\n" * 300_000 + "x", "".join(chr(97 + i * i % 26) for i in range(200_000)), "z" * 50_000, "漢字" * 5_000]
+
+
+def test_one_very_long_word_or_gap(spark):
+    docs = spark.createDataFrame(list(enumerate(LONG_TEXTS)), "doc_id long, text string")
+    byte, word = load(default_path("byte_bpe_50k.json")), load(default_path("word_bpe_49k.json"))
+    pieces, tokens = Counter(), {}
+    for r in packing.pack_documents(docs).collect():
+        pieces[r["doc_id"]] += r["length"]
+    read = {r["doc_id"]: r["n_tokens"] for r in token_files.read_index(token_files.write_tokens(docs)).collect()}
+    coded = {r["doc_id"]: r for r in bpe.digests(docs).collect()}
+    for i, t in enumerate(LONG_TEXTS):
+        tokens[i] = byte.encode(t, add_special_tokens=False).ids
+        assert coded[i]["n_tokens"] == len(tokens[i]) and coded[i]["ids_sha256"] == sha(",".join(map(str, tokens[i])))
+        assert coded[i]["decoded_sha256"] == sha(t) and pieces[i] == len(tokens[i]) + 1
+        assert read[i] == len(word.encode(t, add_special_tokens=False).ids) + 1
+
+
+def test_token_files_stay_and_give_single_blocks(spark, pairs, tmp_path):
+    where = str(tmp_path / "tokens")
+    made = sorted(map(tuple, token_files.read_index(token_files.write_tokens(pairs, to=where)).collect()))
+    files = token_files.open_files(spark, where)
+    assert sorted(map(tuple, token_files.read_index(files).collect())) == made
+    for r in files.collect():
+        whole = token_files.decode_segment(r["data"])
+        count, starts = token_files.block_starts(r["data"])
+        assert count == r["n_ids"] == len(whole)
+        for k in range(0, len(starts), 7):
+            block = token_files.decode_block(r["data"], int(starts[k]))
+            assert (block[: count - 128 * k][:128] == whole[128 * k : 128 * k + 128]).all()
+
+
+def test_plan_fills_windows_and_leaves_little():
+    import numpy as np
+
+    draw = np.random.default_rng(1)
+    histogram = {int(n): int(c) for n, c in zip(*np.unique(draw.integers(1, 1024, 50_000), return_counts=True))}
+    combos = packing.combinations(histogram)
+    assert (combos.sum(axis=1) == 1024).all() and len(combos) == len({tuple(c) for c in combos.tolist()})
+    expected = sum(1 for a in range(0, 1024) for b in range(max(a, 1), 1024) if b <= 1024 - a - b < 1024)
+    assert len(combos) == expected
+    counts, left = packing.solve(histogram, combos)
+    assert (counts >= 0).all() and left < 0.3
