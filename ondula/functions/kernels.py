@@ -38,17 +38,29 @@ def butterworth(order: int, cut: list[float], kind: str, rate: float) -> tuple[n
     return np.real(gain * np.poly(digital)), np.real(np.poly((4 + poles) / (4 - poles)))
 
 
+def _linear(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: float, x: np.ndarray, state: np.ndarray, length: int = 256) -> np.ndarray:
+    """y[i] = c s[i] + d x[i] with s[i + 1] = a s[i] + b x[i], in blocks: only the states at block starts follow each other one by one."""
+    powers = [np.eye(len(a))]
+    for _ in range(length):
+        powers.append(powers[-1] @ a)
+    answer = np.array([d, *(c @ powers[k] @ b for k in range(length - 1))])
+    lag = np.subtract.outer(np.arange(length), np.arange(length))
+    inside = np.where(lag >= 0, answer[np.abs(lag)], 0.0)
+    blocks = np.append(x, np.zeros(-len(x) % length)).reshape(-1, length)
+    drive = blocks @ np.array([powers[length - 1 - k] @ b for k in range(length)])
+    states = np.empty((len(blocks), len(a)))
+    for k in range(len(blocks)):
+        states[k] = state
+        state = powers[length] @ state + drive[k]
+    return (blocks @ inside.T + states @ np.array([c @ powers[k] for k in range(length)]).T).reshape(-1)[: len(x)]
+
+
 def _recursive(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
-    out = np.empty(len(x))
-    z = list(state) + [0.0]
-    bs, as_ = b.tolist(), a.tolist()
-    n = len(bs)
-    for i, value in enumerate(x.tolist()):
-        y = bs[0] * value + z[0]
-        for j in range(1, n):
-            z[j - 1] = bs[j] * value + z[j] - as_[j] * y
-        out[i] = y
-    return out
+    """A digital filter from a state of the transposed direct form."""
+    n = len(state)
+    step = np.eye(n, k=1)
+    step[:, 0] -= a[1:]
+    return _linear(step, b[1:] - a[1:] * b[0], np.eye(n)[0], b[0], x, np.asarray(state, float))
 
 
 def zero_phase(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -80,14 +92,22 @@ def savgol(x: np.ndarray, window: int, order: int) -> np.ndarray:
 
 
 def kalman(x: np.ndarray, q: float = 0.1, r: float = 0.1, start: float = 1000.0) -> np.ndarray:
-    """Positions of a constant-velocity model with unit steps; the gains do not depend on the data."""
+    """Positions of a constant-velocity model with unit steps and white-noise acceleration of variance q.
+
+    The gains do not depend on the data; once they have settled, what is left is a linear filter.
+    """
     position, speed = float(x[0]), 0.0
     p00, p01, p11 = start, 0.0, start
-    out = np.empty(len(x))
+    out, k0, k1 = np.empty(len(x)), 0.0, 0.0
     for i, value in enumerate(np.asarray(x, float).tolist()):
-        position += speed
-        p00, p01, p11 = p00 + 2 * p01 + p11 + q, p01 + p11, p11 + q
+        p00, p01, p11 = p00 + 2 * p01 + p11 + q / 4, p01 + p11 + q / 2, p11 + q
+        before = (k0, k1)
         k0, k1 = p00 / (p00 + r), p01 / (p00 + r)
+        if abs(k0 - before[0]) + abs(k1 - before[1]) < 1e-15:
+            step = np.array([[1 - k0, 1 - k0], [-k1, 1 - k1]])
+            out[i:] = _linear(step, np.array([k0, k1]), step[0], k0, np.asarray(x[i:], float), np.array([position, speed]))
+            break
+        position += speed
         miss = value - position
         position, speed = position + k0 * miss, speed + k1 * miss
         p00, p01, p11 = (1 - k0) * p00, (1 - k0) * p01, p11 - k1 * p01
@@ -106,19 +126,38 @@ def local_maxima(x: np.ndarray) -> np.ndarray:
     return (starts[top] + ends[top]) // 2
 
 
+def _lows(x: np.ndarray, peaks: np.ndarray) -> list[tuple[float, int]]:
+    """For each peak the lowest value, and its nearest place, back to the last higher sample or a gap. Lower peaks and what lies under them are passed over once."""
+    stack: list[tuple[float, float, int]] = []  # falling peaks: height, lowest value since the peak before, its place
+    found, before = [], -1
+    for p in peaks.tolist():
+        span = x[before + 1 : p + 1][::-1]
+        gaps = np.flatnonzero(np.isnan(span))
+        if len(gaps):
+            stack, span = [], span[: gaps[0]]
+        k = int(np.argmin(span))
+        low, at = float(span[k]), p - k
+        while stack and stack[-1][0] <= x[p]:
+            _, under, place = stack.pop()
+            if under < low:
+                low, at = under, place
+        stack.append((float(x[p]), low, at))
+        found.append((low, at))
+        before = p
+    return found
+
+
 def prominences(x: np.ndarray, peaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Prominence and the bases on either side of each peak."""
-    found, left, right = np.zeros(len(peaks)), np.zeros(len(peaks), int), np.zeros(len(peaks), int)
-    for k, p in enumerate(peaks):
-        higher = np.flatnonzero(~(x[:p] <= x[p]))
-        a = higher[-1] + 1 if len(higher) else 0
-        higher = np.flatnonzero(~(x[p + 1 :] <= x[p]))
-        b = p + 1 + higher[0] if len(higher) else len(x)
-        low = x[a : p + 1]
-        left[k] = p - int(np.argmin(low[::-1]))
-        right[k] = p + int(np.argmin(x[p:b]))
-        found[k] = x[p] - max(low.min(), x[p:b].min())
-    return found, left, right
+    """Prominence and the bases on either side of each local maximum of ascending `peaks`."""
+    every = np.union1d(local_maxima(x), peaks).astype(int)  # lower maxima between peaks bound nothing, higher ones do
+    if not len(every):
+        return np.zeros(0), np.zeros(0, int), np.zeros(0, int)
+    left = _lows(x, every)
+    right = _lows(x[::-1], len(x) - 1 - every[::-1])[::-1]
+    at = np.searchsorted(every, peaks)
+    bases = np.array([[left[k][1], len(x) - 1 - right[k][1]] for k in at], int).reshape(-1, 2)
+    found = np.array([x[every[k]] - max(left[k][0], right[k][0]) for k in at], float)
+    return found, bases[:, 0], bases[:, 1]
 
 
 def widths(x: np.ndarray, peaks: np.ndarray, share: float) -> np.ndarray:
@@ -148,9 +187,9 @@ def find_peaks(x: np.ndarray, height: float = 0, distance: int = 1, prominence:
         keep = np.ones(len(peaks), bool)
         for k in np.argsort(x[peaks], kind="stable")[::-1]:
             if keep[k]:
-                near = np.abs(peaks - peaks[k]) < distance
-                near[k] = False
-                keep &= ~near
+                a, b = np.searchsorted(peaks, peaks[k] - distance, side="right"), np.searchsorted(peaks, peaks[k] + distance)
+                keep[a:k] = False
+                keep[k + 1 : b] = False
         peaks = peaks[keep]
     if prominence:
         peaks = peaks[prominences(x, peaks)[0] >= prominence]
@@ -188,8 +227,46 @@ def resample_cycle(values: np.ndarray, n: int) -> np.ndarray:
     return pchip(np.linspace(0, 1, len(values)), values, grid)
 
 
+def _basis(knots: np.ndarray, at: np.ndarray, degree: int) -> tuple[np.ndarray, np.ndarray]:
+    """The degree + 1 B-splines that are not 0 at each place, by the recurrence over degrees, and the number of the first one."""
+    i = np.clip(np.searchsorted(knots, at, side="right") - 1, degree, len(knots) - degree - 2)
+    out = np.zeros((degree + 1, len(at)))
+    out[0] = 1.0
+    for d in range(1, degree + 1):
+        left = np.zeros(len(at))
+        for k in range(d):
+            low, high = knots[i + 1 + k - d], knots[i + 1 + k]
+            part = out[k] / (high - low)
+            out[k], left = left + (high - at) * part, (at - low) * part
+        out[d] = left
+    return out, i - degree
+
+
+def spline(x: np.ndarray, y: np.ndarray, at: np.ndarray, degree: int) -> np.ndarray:
+    """Interpolating spline through (x, y): cubic with not-a-knot ends, quadratic with knots midway between samples but the outer ones."""
+    inner = x[2:-2] if degree == 3 else (x[1:-2] + x[2:-1]) / 2
+    knots = np.concatenate([np.full(degree + 1, x[0]), inner, np.full(degree + 1, x[-1])])
+    basis, first = _basis(knots, x, degree)
+    n, wide = len(x), degree
+    band = np.zeros((n, 2 * wide + 1))  # row r holds columns r - wide to r + wide
+    for k in range(degree + 1):
+        band[np.arange(n), first + k - np.arange(n) + wide] = basis[k]
+    c = np.asarray(y, float).copy()
+    for r in range(n):  # elimination within the band; such matrices need no pivots
+        for s in range(r + 1, min(n, r + wide + 1)):
+            share = band[s, r - s + wide] / band[r, wide]
+            if share:
+                band[s, r - s + wide : r - s + 2 * wide + 1] -= share * band[r, wide:]
+                c[s] -= share * c[r]
+    for r in range(n - 1, -1, -1):
+        reach = min(wide, n - 1 - r)
+        c[r] = (c[r] - band[r, wide + 1 : wide + 1 + reach] @ c[r + 1 : r + 1 + reach]) / band[r, wide]
+    basis, first = _basis(knots, at, degree)
+    return sum(basis[k] * c[first + k] for k in range(degree + 1))
+
+
 def smooth(values: np.ndarray, method: str) -> np.ndarray:
-    """Interpolation on a grid ten times as fine and back. Quadratic and cubic pass through the samples, as the linear kinds do."""
+    """Interpolation on a grid ten times as fine and back."""
     n = len(values)
     if n < 4:
         return values
@@ -201,7 +278,8 @@ def smooth(values: np.ndarray, method: str) -> np.ndarray:
         step = (n - 1) / (n * 10 - 1)
         return first[np.clip(np.ceil(at / step - 0.5).astype(int), 0, n * 10 - 1)]
     if method in ("QUADRATIC", "CUBIC"):
-        return np.asarray(values, float)  # a spline through all fine points of a spline gives the samples back, to rounding
+        degree = 2 if method == "QUADRATIC" else 3
+        return spline(fine, spline(at, values, fine, degree), at, degree)
     raise ValueError(f"unknown method {method!r}")
 
 

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ondula.dataset import Dataset, PipelineError, Table, _column, _mask, quoted, whole
+from ondula.dataset import Dataset, PipelineError, Table, _column, _mask, by_time, quoted, whole
 from ondula.functions import cycles as C
 from ondula.functions import kernels
 from ondula.functions.duration import duration
 from ondula.operators.samples import per_batch, to_here
 
+log = logging.getLogger("ondula")
+
 
 def by_wave() -> WindowSpec:
     return Window.partitionBy("rec").orderBy("wave_no")
@@ -32,15 +35,15 @@ def partition(ds: Dataset, channels: list[str], index: str, outs: list[str] | No
     ds.needs(*channels)
     outs = outs or channels
     starts = F.array_contains("markers", index).cast("int")
-    rows = ds.samples.select("rec", "idx", "frequency", F.sum(starts).over(to_here()).cast("int").alias("wave_no"), *[quoted(c).alias(f"x{i}") for i, c in enumerate(channels)])
+    first = F.lag("idx").over(by_time()).isNull()
+    rows = ds.samples.select("rec", "idx", "frequency", first.alias("first"), F.sum(starts).over(to_here()).cast("int").alias("wave_no"), *[quoted(c).alias(f"x{i}") for i, c in enumerate(channels)])
     in_order = F.array_sort(F.collect_list(F.struct("idx", *[f"x{i}" for i in range(len(channels))])))
-    cut = rows.groupBy("rec", "wave_no").agg(in_order.alias("v"), F.first("frequency").alias("frequency"))
+    cut = rows.groupBy("rec", "wave_no").agg(in_order.alias("v"), F.first("frequency").alias("frequency"), F.max("first").alias("first"))
     columns = {_column(o): _field("v", f"x{k}") for k, o in enumerate(outs)}
-    cut = cut.withColumns(columns).drop("v")
     # an empty cycle 0 where the first sample is marked
-    least = cut.groupBy("rec").agg(F.min("wave_no").alias("low"), F.first("frequency").alias("frequency")).filter("low > 0")
-    empty = least.select("rec", F.lit(0).alias("wave_no"), "frequency", *[_none().alias(c) for c in columns])
-    every = cut.select("rec", "wave_no", "frequency", *columns).unionByName(empty)
+    twice = F.when((F.col("wave_no") == 1) & F.col("first"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
+    cut = cut.withColumn("empty", F.explode(twice))
+    every = cut.select("rec", F.when(F.col("empty"), 0).otherwise(F.col("wave_no")).alias("wave_no"), "frequency", *[F.when(F.col("empty"), _none()).otherwise(v).alias(c) for c, v in columns.items()])
     if del_first:
         every = every.filter("wave_no > 0").withColumn("wave_no", F.col("wave_no") - 1)
     if del_last:
@@ -206,7 +209,11 @@ def aggregated(ds: Dataset, channel: str, form: str, mask: str = "", weights: st
     """One row per recording from its valid cycles, value by value: mean (weighted), variance, std, min, max, difference, median, mode.
 
     Outliers are judged over all cycles and then leave the mask. Valid cycles of unequal length are an error when it runs. Recordings without a valid cycle give NaN.
+    A dataset without the channel passes through.
     """
+    if not ds.has(channel):
+        log.debug("no cycles %s to aggregate", channel)
+        return ds
     out, form = out or channel, form.lower()
     names = [channel, *([weights] if weights and ds.has(weights) else [])]
     ds, i = ds.together(names, [mask] if mask else [])
@@ -252,16 +259,18 @@ def aggregated(ds: Dataset, channel: str, form: str, mask: str = "", weights: st
 # kernels over cycles
 
 
-def interpolated(ds: Dataset, channel: str, length: int | None = None, frequency: float | None = None, out: str | None = None) -> Dataset:
-    """Every cycle on a new number of points by a monotone cubic."""
-    if not length and not frequency:
+def interpolated(ds: Dataset, channel: str, length: int | None = None, frequency: float | None = None, out: str | None = None, rates: DataFrame | None = None) -> Dataset:
+    """Every cycle on a new number of points by a monotone cubic. rates: (filename, rate) to go by instead of one frequency; others keep their own."""
+    if not length and not frequency and rates is None:
         raise PipelineError("interpolate needs a length or a frequency")
 
     def kernel(v: np.ndarray, row: dict) -> list:
-        n = int((len(v) - 1) / row["frequency"] * frequency) + 1 if frequency else int(length)
+        to = row.get("_rate", frequency)
+        n = int((len(v) - 1) / row["frequency"] * to) + 1 if to else int(length)
         return kernels.resample_cycle(v, n).tolist()
 
-    return _by_kernel(ds, channel, out or channel, kernel)
+    side = None if rates is None else ds.recordings().join(rates, "filename", "left").select("rec", F.coalesce("rate", "frequency").alias("_rate"))
+    return _by_kernel(ds, channel, out or channel, kernel, side)
 
 
 def shaped(ds: Dataset, channel: str, features: list[str], mask: str = "", prominence_level: float = 0.05, out: str | None = None) -> Dataset:
@@ -278,12 +287,14 @@ def shaped(ds: Dataset, channel: str, features: list[str], mask: str = "", promi
     return _by_kernel(ds, channel, out or channel, kernel)
 
 
-def _by_kernel(ds: Dataset, channel: str, out: str, kernel) -> Dataset:
+def _by_kernel(ds: Dataset, channel: str, out: str, kernel, side: DataFrame | None = None) -> Dataset:
     i = ds.table_of(channel)
     table = ds.tables[i]
     frame = table.frame.withColumn("_v", ds.values(channel))
     slim = frame.select("rec", "wave_no", "frequency", *[_mask(m) for m in table.masks], "_v")
-    done = slim.mapInPandas(per_batch(kernel), slim.schema)
+    if side is not None:
+        slim = slim.join(side, "rec", "left")
+    done = slim.mapInPandas(per_batch(kernel), slim.schema).drop("_rate")
     return ds.add_table(Table(done.withColumnRenamed("_v", _column(out)), (out,), ()))
 
 

@@ -253,6 +253,8 @@ def aligned(ds: Dataset, other: Dataset, source: str, change: str, out: str | No
     """
     other.needs(source, change)
     out = out or source
+    latest = other.samples.groupBy("filename").agg(F.max("rec").alias("rec"))  # of recordings with one file name the last counts
+    other = replace(other, samples=other.samples.join(latest, ["filename", "rec"], "left_semi"))
     first = F.first(quoted(change)).over(by_time())
     there = other.samples.withColumn("_first", first)
     there = there.groupBy("filename").agg(F.count(F.lit(1)).alias("n2"), F.coalesce(F.min(F.when(quoted(change) != F.col("_first"), F.col("idx"))), F.lit(0)).alias("c"))
@@ -274,32 +276,38 @@ def aligned(ds: Dataset, other: Dataset, source: str, change: str, out: str | No
     return ds.with_samples(joined, out)
 
 
-def resampled(ds: Dataset, frequency: float | None = None, length: int | None = None) -> Dataset:
+def resampled(ds: Dataset, frequency: float | None = None, length: int | None = None, rates: DataFrame | None = None) -> Dataset:
     """All channels of every recording on a new number of samples, by monotone cubics over forward-filled values.
 
-    Markers and comments move with their samples to the nearest new one (halves to even); the last to arrive stays.
+    Markers and comments move with their samples to the nearest new one (halves to even); the last to arrive stays. rates: (filename, rate) to go by instead of
+    one frequency; a recording without one keeps its own.
     """
     names, kind = list(ds.channels), ds.samples.schema["rec"].dataType.simpleString()
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("idx")
-        n, fs = len(frame), float(frame["frequency"].iloc[0])
-        new = int((n - 1) / fs * frequency) + 1 if frequency else int(length)
-        out = {"rec": np.repeat(frame["rec"].iloc[0], new), "filename": np.repeat(frame["filename"].iloc[0], new), "idx": np.arange(new), "frequency": np.full(new, float(frequency) if frequency else fs * new / n)}
+        n, fs, to = len(frame), float(frame["frequency"].iloc[0]), float(frame["_rate"].iloc[0])
+        new = int(length) if np.isnan(to) else int((n - 1) / fs * to) + 1
+        out = {"rec": np.repeat(frame["rec"].iloc[0], new), "filename": np.repeat(frame["filename"].iloc[0], new), "idx": np.arange(new), "frequency": np.full(new, fs * new / n if np.isnan(to) else to)}
+        place = np.minimum(np.rint(frame["idx"].to_numpy(np.int64) * new / n).astype(np.int64), new - 1)
+        notes, said = np.full(new, "", object), frame["comment"].to_numpy(object)
+        spoken = np.array([bool(c) for c in said])
+        notes[place[spoken]] = said[spoken]
+        marks = np.empty(new, object)
+        marks[:] = [[]] * new
+        for k, m in zip(place, frame["markers"]):
+            marks[k] = m
+        out |= {"comment": notes, "markers": marks}
         for i in range(len(names)):
             v = frame[f"x{i}"].replace([np.inf, -np.inf], np.nan).ffill().fillna(0.0).to_numpy(float)
             out[f"x{i}"] = kernels.pchip(np.linspace(0, 1, n), v, np.linspace(0, 1, new)) if n > 1 else np.full(new, v[0])
         return pd.DataFrame(out)
 
-    picked = ds.samples.select("rec", "filename", "idx", "frequency", *[quoted(c).alias(f"x{i}") for i, c in enumerate(names)])
-    made = picked.groupBy("rec").applyInPandas(work, f"rec {kind}, filename string, idx long, frequency double" + "".join(f", x{i} double" for i in range(len(names))))
-    counts = ds.samples.groupBy("rec").agg(F.count(F.lit(1)).alias("n"), F.first("frequency").alias("fs"))
-    new = ((F.col("n") - 1) / F.col("fs") * F.lit(frequency)).cast("long") + 1 if frequency else F.lit(length).cast("long")
-    placed = ds.samples.join(counts.withColumn("new", new), "rec").withColumn("to", F.bround(F.col("idx") * F.col("new") / F.col("n")).cast("long"))
-    placed = placed.withColumn("to", F.least("to", F.col("new") - 1))
-    notes = placed.groupBy("rec", F.col("to").alias("idx")).agg(F.max_by("markers", "idx").alias("markers"), F.max_by("comment", F.when(F.col("comment") != "", F.col("idx"))).alias("comment"))
-    joined = made.join(notes, ["rec", "idx"], "left").withColumns({"markers": F.coalesce("markers", F.array().cast("array<string>")), "comment": F.coalesce("comment", F.lit(""))})
-    return replace(ds, samples=joined.withColumnsRenamed({f"x{i}": c for i, c in enumerate(names)}))
+    samples = ds.samples if rates is None else ds.samples.join(rates, "filename", "left")
+    rate = F.lit(float(frequency) if frequency else None).cast("double") if rates is None else F.coalesce("rate", "frequency").cast("double")
+    picked = samples.select("rec", "filename", "idx", "frequency", "comment", "markers", rate.alias("_rate"), *[quoted(c).alias(f"x{i}") for i, c in enumerate(names)])
+    made = picked.groupBy("rec").applyInPandas(work, f"rec {kind}, filename string, idx long, frequency double, comment string, markers array<string>" + "".join(f", x{i} double" for i in range(len(names))))
+    return replace(ds, samples=made.withColumnsRenamed({f"x{i}": c for i, c in enumerate(names)}))
 
 
 def per_batch(kernel: Callable[..., list]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tomllib
 from collections.abc import Callable
 from typing import Any
 
@@ -28,31 +30,36 @@ def _filter(name: str, function: str, channel: str, out: str, **more: Any) -> Bl
     return {"class_name": "filter", "in": name, "function": function, "in_channel": channel, "out_channel": out, "out": name} | more
 
 
-def pulse(name: str, channel: str, mask: str, tag: str, rate: str | None = None) -> list[Block]:
-    """Diastolic, mean, systolic, amplitude of every beat, the indices between them, and their period-weighted means."""
+def _indices(name: str, tag: str) -> list[Block]:
+    """Pulsatility, resistance and systolic-diastolic ratio of the beats."""
+    wave = lambda k: f"{k}_{tag}_wave"
+    return [_divide(name, wave("amp"), wave("mean"), wave("pi")), _divide(name, wave("amp"), wave("sys"), wave("ri")), _divide(name, wave("sys"), wave("dias"), wave("sd"))]
+
+
+def pulse(name: str, channel: str, mask: str, tag: str, period: str, rate: tuple[str, str] | None = None) -> list[Block]:
+    """Diastolic, mean, systolic, amplitude of every beat, the indices between them, and their period-weighted means. rate: names of beats a minute, each and mean."""
     kinds = {"dias": "min", "mean": "mean", "sys": "max", "amp": "amplitude"}
     made = [_measure(name, channel, form, f"{k}_{tag}_wave") for k, form in kinds.items()]
-    made += [_measure(name, channel, "period", f"{tag}_period_wave"), _measure(name, channel, "frequency", f"{tag}_freq_wave")]
-    wave = lambda k: f"{k}_{tag}_wave"
-    made += [_divide(name, wave("amp"), wave("mean"), wave("pi")), _divide(name, wave("amp"), wave("sys"), wave("ri")), _divide(name, wave("sys"), wave("dias"), wave("sd"))]
-    ends = {k: f"{k}_{tag}" for k in ("dias", "mean", "sys", "amp", "pi", "ri", "sd")}
+    made.append(_measure(name, channel, "period", period))
     if rate:
-        made.append({"class_name": "arithmetic", "in": name, "in_channel": f"{tag}_freq_wave", "format": "*", "num": 60, "out_channel": f"{rate}_wave", "out": name})
-    made += [_average(name, wave(k), f"{tag}_period_wave", out, mask) for k, out in ends.items()]
+        made.append(_measure(name, channel, "frequency", rate[0]))
+    made += _indices(name, tag)
     if rate:
-        made.append(_average(name, f"{rate}_wave", f"{tag}_period_wave", rate, mask))
-        made.append({"class_name": "aggregate", "in": name, "in_channel": wave("amp"), "format": "difference", "mask": mask, "out_channel": f"amp_{tag}_difference", "out": name})
+        made.append({"class_name": "arithmetic", "in": name, "in_channel": rate[0], "format": "*", "num": 60, "out_channel": rate[0], "out": name})
+    made += [_average(name, f"{k}_{tag}_wave", period, f"{k}_{tag}", mask) for k in ("dias", "mean", "sys", "pi", "ri", "sd", "amp")]
+    made.append(_average(name, f"amp_{tag}_wave", period, f"amp_{tag}_difference", mask) | {"format": "difference"})
+    if rate:
+        made.append(_average(name, rate[0], period, rate[1], mask))
     return made
 
 
-def gas(name: str, index_channel: str, channel_name: str, out_channel: str, form: str = "mean") -> list[Block]:
-    """One channel cut at an index and averaged by period."""
-    wave = f"{out_channel}_wave"
+def gas(name: str, index_channel: str, channel_name: str, out_channel: str) -> list[Block]:
+    """One channel cut at an index and averaged; the periods are taken of the means, so that every cycle weighs the same."""
     return [
-        {"class_name": "partition", "in": name, "index": index_channel, "in_channel": channel_name, "out_channel": wave, "out": name},
-        _measure(name, wave, "period", f"{wave}_period"),
-        _measure(name, wave, form, f"{wave}_value"),
-        _average(name, f"{wave}_value", f"{wave}_period", out_channel),
+        {"class_name": "partition", "in": name, "index": index_channel, "in_channel": channel_name, "out_channel": "petco2_wave", "out": name},
+        _measure(name, "petco2_wave", "mean", "petco2_wave"),
+        _measure(name, "petco2_wave", "period", "petco2_wave_period"),
+        _average(name, "petco2_wave", "petco2_wave_period", out_channel),
     ]
 
 
@@ -62,21 +69,32 @@ def detect(name: str, channel: str, index: str, smooth: str = "125ms", span: str
 
 
 def vessel(name: str, diameter: str, velocity: str, mask: str) -> list[Block]:
-    """Area and flow of a vessel, beat by beat, and the pulse measures of diameter, area, velocity and flow."""
-    squared = {"class_name": "arithmetic", "in": name, "in_channel": diameter, "format": "^", "num": 2, "out_channel": "area_wave", "out": name}
-    area = {"class_name": "arithmetic", "in": name, "in_channel": "area_wave", "format": "*", "num": 0.7854, "out_channel": "area_wave", "out": name}
-    flow = {"class_name": "arithmetic", "in": name, "in_channel": velocity, "in_channel_2": "area_wave", "format": "*", "out_channel": "flow_wave", "out": name}
-    made = [squared, area, flow]
+    """Area and flow of a vessel, beat by beat, and means of diameter, area, velocity and flow, all weighted by the diameter's periods."""
+    period = "period_diameter_wave"
+    made: list[Block] = [
+        {"class_name": "arithmetic", "in": name, "in_channel": diameter, "in_channel_2": diameter, "format": "*", "out_channel": "diameter2_wave", "out": name},
+        {"class_name": "arithmetic", "in": name, "in_channel": "diameter2_wave", "format": "*", "num": 0.7854, "out_channel": "area_wave", "out": name},
+        {"class_name": "arithmetic", "in": name, "in_channel": velocity, "in_channel_2": "area_wave", "format": "*", "out_channel": "flow_wave", "out": name},
+        _measure(name, diameter, "period", period),
+    ]
     for channel, tag in ((diameter, "diameter"), ("area_wave", "area"), (velocity, "velocity"), ("flow_wave", "flow")):
-        made += pulse(name, channel, mask, tag)
+        kinds = ["sys", "mean", "dias", "amp"]
+        made += [_measure(name, channel, form, f"{k}_{tag}_wave") for k, form in zip(kinds, ("max", "mean", "min", "amplitude"), strict=True)]
+        if tag in ("velocity", "flow"):
+            made += _indices(name, tag)
+            kinds += ["pi", "ri", "sd"]
+        made += [_average(name, f"{k}_{tag}_wave", period, f"{k}_{tag}", mask) for k in kinds]
     return made
 
 
 def terason_dist(name: str, index_channel_terason: str, channel_name_diameter: str, channel_name_velocity: str, diameter_mask_name: str) -> list[Block]:
-    cut = {"class_name": "partition", "in": name, "index": index_channel_terason, "in_channel": [channel_name_diameter, channel_name_velocity], "out_channel": ["diameter_cut", "velocity_cut"], "out": name}
-    last = {"class_name": "take", "in": name, "in_channel": ["diameter_cut", "velocity_cut"], "out_channel": ["diameter_wave", "velocity_wave"], "waves": 10, "consecutive": True, "direction": "-", "minimum": False, "out": name}
-    checks = [{"class_name": "check", "in": name, "in_channel": "diameter_wave", "variable": v, "compare": c, "num": n, "mask": diameter_mask_name, "out": name} for v, c, n in (("MIN", ">", 0), ("MAX", "<", 2), ("AMP", "<", 0.5), ("FLAT", ">=", 0))]
-    return [cut, last, *checks, *vessel(name, "diameter_wave", "velocity_wave", diameter_mask_name)]
+    """The last ten good beats of a scan: beats too thin, too slow, too long or too short are masked."""
+    waves = ["diameter_wave", "velocity_wave"]
+    cut = {"class_name": "partition", "in": name, "index": index_channel_terason, "in_channel": [channel_name_diameter, channel_name_velocity], "out_channel": waves, "out": name}
+    last = {"class_name": "take", "in": name, "in_channel": waves, "out_channel": waves, "waves": 10, "consecutive": True, "direction": "-", "out": name}
+    limits = (("diameter_wave", "min", "y", ">=", {"num": 0.1}), ("velocity_wave", "min", "y", ">=", {"num": 10.5}), ("diameter_wave", "end", "x", "<=", {"time": "40BPM"}), ("diameter_wave", "end", "x", ">=", {"time": "150BPM"}))
+    checks = [{"class_name": "check", "in": name, "in_channel": c, "variable": v, "format": f, "compare": how, "mask": diameter_mask_name, "out": name} | limit for c, v, f, how, limit in limits]
+    return [cut, last, *checks, *vessel(name, *waves, diameter_mask_name)]
 
 
 def take_max(name: str, channel: str, mask_name: str, time: str, resultant: str) -> list[Block]:
@@ -95,17 +113,27 @@ def respiratory_cycle(name: str, index_channel: str, out_channel_name: str) -> l
     ]
 
 
-def respiract(name: str, channels: list[str] = ("desired_po2", "desired_pco2", "po2_respirac", "pco2_respirac"), index: str = "desired_pco2") -> list[Block]:
-    return [b for c in channels for b in gas(name, index, c, c, "median")]
+#: Channels of a gas controller's record (fixed values).
+CONTROLLER = (
+    "desired_pco2", "desired_po2", "achievable_po2", "achievable_pco2", "po2_respirac", "pco2_respirac", "tidal_volume", "respiration_rate", "resting_po2",
+    "resting_pco2", "breath_idx", "o2_adjustment", "co2_adjustment", "g1_target_vol", "g1_fco2", "g1_fo2", "g2_fco2", "g2_fo2",
+)
+
+
+def respiract(name: str, channels: list[str] = CONTROLLER, index: str = "desired_pco2") -> list[Block]:
+    """Every channel cut at one index, its medians averaged by the periods of the index channel."""
+    period, channels = "respiract_period_internal", list(channels)
+    cuts = [{"class_name": "partition", "in": name, "index": index, "in_channel": c, "out_channel": c, "out": name} for c in channels]
+    return [*cuts, _measure(name, index, "period", period), *[_measure(name, c, "median", c) for c in channels], *[_average(name, c, period, c) for c in channels]]
 
 
 MACROS: dict[str, Callable[..., list[Block]]] = {
-    "bp": lambda name, channel_name, mask_name="": pulse(name, channel_name, mask_name, "bp", "hr"),
-    "mcav": lambda name, channel_name, mask_name="": pulse(name, channel_name, mask_name, "mcav", "hr_mca"),
-    "tonometer": lambda name, channel_name, mask_name="": pulse(name, channel_name, mask_name, "tonometer"),
+    "bp": lambda name, channel_name, mask_name="": pulse(name, channel_name, mask_name, "bp", "bp_period_wave", ("bp_freq_wave", "hr_bp")),
+    "mcav": lambda name, channel_name, mask_name="": pulse(name, channel_name, mask_name, "mcav", "mca_period_wave", ("mca_freq_wave", "hr_mca")),
+    "tonometer": lambda name, channel_name, mask_name="": pulse(name, channel_name, mask_name, "tono", "tono_period_wave"),
     "cardiac_output": lambda name, co_channel_name, sv_channel_name, mask_name="": [
-        _measure(name, co_channel_name, "median", "co_wave"), _measure(name, sv_channel_name, "median", "sv_wave"), _measure(name, co_channel_name, "period", "co_period_wave"),
-        _average(name, "co_wave", "co_period_wave", "co", mask_name), _average(name, "sv_wave", "co_period_wave", "sv", mask_name),
+        _measure(name, co_channel_name, "median", "mean_co_wave"), _measure(name, co_channel_name, "period", "period_co_wave"), _measure(name, sv_channel_name, "median", "mean_sv_wave"),
+        _average(name, "mean_co_wave", "period_co_wave", "cardiac_output", mask_name), _average(name, "mean_sv_wave", "period_co_wave", "stroke_volume", mask_name),
     ],
     "co2": gas,
     "respiratory_cycle": respiratory_cycle,
@@ -124,12 +152,33 @@ MACROS: dict[str, Callable[..., list[Block]]] = {
 }
 
 
+def _filled(value: Any, given: Block) -> Any:
+    if isinstance(value, str):
+        return re.sub(r"\{(\w+)\}", lambda m: str(given[m.group(1)]) if m.group(1) in given else m.group(0), value)
+    if isinstance(value, list):
+        return [_filled(v, given) for v in value]
+    return {k: _filled(v, given) for k, v in value.items()} if isinstance(value, dict) else value
+
+
+def _listed(table: Block) -> list[Block]:
+    """The `command` blocks of a TOML document, those under headings included."""
+    return [b for k, v in table.items() for b in (v if k == "command" else _listed(v) if isinstance(v, dict) else [])]
+
+
+def from_file(path: str) -> Callable[..., list[Block]]:
+    """A macro of one's own: a TOML file of blocks, in which {parameter} stands for what the calling block gives. Other braces stay, as templates use them."""
+    with open(path, "rb") as f:
+        blocks = _listed(tomllib.load(f))
+    return lambda **given: [_filled(b, given) for b in blocks]
+
+
 def expand(block: Block) -> list[Block]:
-    """The blocks of a macro; a list given for a parameter that is no list by nature makes one group of blocks per value."""
+    """The blocks of a macro, built in or a TOML file; a list given for a parameter that is no list by nature makes one group of blocks per value."""
     given = {k: v for k, v in block.items() if k not in ("class_name", "meta_name", "verbosity")}
-    make = MACROS.get(str(block.get("meta_name", "")).lower())
+    called = str(block.get("meta_name", ""))
+    make = MACROS.get(called.lower()) or (from_file(called) if called.endswith(".toml") else None)
     if make is None:
-        raise PipelineError(f"unknown macro {block.get('meta_name')!r}")
+        raise PipelineError(f"unknown macro {called!r}")
     spread = {k: v for k, v in given.items() if isinstance(v, list) and k not in ATOMIC}
     count = max(map(len, spread.values()), default=1)
     return [b for i in range(count) for b in make(**{k: (v[i % len(v)] if k in spread else v) for k, v in given.items()})]

@@ -59,10 +59,10 @@ def _one(ds: Dataset, kind: str, s: dict[str, Any], catalog: Catalog) -> Dataset
     if kind == "expand":
         return cyc.expanded(ds, source, s["weights"], s["mask"] or s["alright"], s["method"], out)
     if kind == "interpolate":
-        rate = s["frequency"]
-        if s["in_frequency"]:
-            rate = catalog[s["in_frequency"]].samples.agg(F.first("frequency")).first()[0]
-        return smp.resampled(ds, rate, s["length"]) if source == "DATA" else cyc.interpolated(ds, source, s["length"], rate, out)
+        rate, rates = s["frequency"], None
+        if s["in_frequency"] and not rate:  # of recordings with one file name the first counts
+            rates = catalog[s["in_frequency"]].recordings().groupBy("filename").agg(F.min_by("frequency", "rec").alias("rate"))
+        return smp.resampled(ds, rate, s["length"], rates) if source == "DATA" else cyc.interpolated(ds, source, s["length"], rate, out, rates)
     if kind == "adjust":
         return smp.aligned(ds, catalog[s["in_2"]], source, s["in_channel_2"], out, s["comments"], s["shift"], s["direction"])
     if kind == "check":

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ondula.dataset import Dataset, quoted
 from ondula.operators import cycles as cyc
 from ondula.operators import samples as smp
+from ondula.plans.pipeline import run
 from ondula.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -206,8 +207,17 @@ query(
     f"WITH {S}, e AS (SELECT rec, n, idx, x FROM s UNION ALL SELECT rec, n, -idx, x FROM s WHERE idx BETWEEN 1 AND 3 UNION ALL SELECT rec, n, 2 * (n - 1) - idx, x FROM s WHERE idx BETWEEN n - 4 AND n - 2), "
     "m AS (SELECT rec, n, idx, x, avg(x) OVER f AS a, avg(x * x) OVER f AS q FROM e WINDOW f AS (PARTITION BY rec ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 3 FOLLOWING)) SELECT rec, idx, round((x - a) / sqrt(greatest(q - a * a, 1e-10)), 6) AS y FROM m WHERE idx BETWEEN 0 AND n - 1",
 )(lambda ds: sampled(smp.filtered(ds, "sliding_standard", "VALUE", "A", time="600ms"), "A"))
-query("filter_kalman")(lambda ds: sampled(smp.filtered(ds, "kalman", "VALUE", "K"), "K"))
-query("filter_savgol", None)(lambda ds: sampled(smp.filtered(ds, "savgol", "VALUE", "K", window=5, power=2), "K"))
+KALMAN = (
+    f"WITH RECURSIVE {S}, k AS (SELECT rec, CAST(-1 AS BIGINT) AS idx, x AS pos, CAST(0 AS DOUBLE) AS speed, CAST(1000 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b, CAST(1000 AS DOUBLE) AS d FROM s WHERE idx = 0 UNION ALL "
+    "SELECT rec, idx, guess + k0 * (x - guess), speed + k1 * (x - guess), (1 - k0) * a, (1 - k0) * b, d - k1 * b FROM (SELECT *, a / (a + CAST(0.1 AS DOUBLE)) AS k0, b / (a + CAST(0.1 AS DOUBLE)) AS k1 FROM "
+    "(SELECT s.rec, s.idx, s.x, k.pos + k.speed AS guess, k.speed, k.a + 2 * k.b + k.d + CAST(0.025 AS DOUBLE) AS a, k.b + k.d + CAST(0.05 AS DOUBLE) AS b, k.d + CAST(0.1 AS DOUBLE) AS d FROM k JOIN s ON s.rec = k.rec AND s.idx = k.idx + 1))) "
+    "SELECT rec, idx, round(pos, 6) AS y FROM k WHERE idx >= 0"
+)
+query("filter_kalman", KALMAN)(lambda ds: sampled(smp.filtered(ds, "kalman", "VALUE", "K"), "K"))
+_FITS = {0: (31, 9, -3, -5, 3), 1: (9, 13, 12, 6, -5)}  # a parabola through five samples, at its first and second
+_AHEAD, _BACK = (lambda w, f=f, to=to: " + ".join(f"{c} * {f}(x, {k}) OVER o" for c, k in zip(w, to)) for f, to in (("lead", (0, 1, 2, 3, 4)), ("lag", (0, 1, 2, 3, 4))))
+query("filter_savgol", f"WITH {S} SELECT rec, idx, round((CASE idx WHEN 0 THEN {_AHEAD(_FITS[0])} WHEN 1 THEN {' + '.join(f'{c} * lead(x, {k}) OVER o' for c, k in zip(_FITS[1], (-1, 0, 1, 2, 3)))} WHEN n - 1 THEN {_BACK(_FITS[0])} WHEN n - 2 THEN {' + '.join(f'{c} * lag(x, {k}) OVER o' for c, k in zip(_FITS[1], (-1, 0, 1, 2, 3)))} "
+      "ELSE -3 * lag(x, 2) OVER o + 12 * lag(x) OVER o + 17 * x + 12 * lead(x) OVER o - 3 * lead(x, 2) OVER o END) / 35, 6) AS y FROM s WINDOW o AS (PARTITION BY rec ORDER BY idx)")(lambda ds: sampled(smp.filtered(ds, "savgol", "VALUE", "K", window=5, power=2), "K"))
 query("filter_butterworth", None)(lambda ds: sampled(smp.filtered(ds, "butterworth", "VALUE", "K", power=2, frequency=2, ftype="low"), "K"))
 
 
@@ -224,7 +234,11 @@ query(
     f"WITH {S}, t AS (SELECT rec, idx, x FROM s WINDOW o AS (PARTITION BY rec ORDER BY idx) QUALIFY {PEAK}), b AS (SELECT t.rec, t.idx, t.x, (SELECT coalesce(max(idx), -1) FROM s WHERE s.rec = t.rec AND s.idx < t.idx AND s.x > t.x) AS l, (SELECT coalesce(min(idx), 1000000000) FROM s WHERE s.rec = t.rec AND s.idx > t.idx AND s.x > t.x) AS r FROM t), "
     "m AS (SELECT b.rec, b.idx, b.x, min(CASE WHEN s.idx <= b.idx THEN s.x END) AS a, min(CASE WHEN s.idx >= b.idx THEN s.x END) AS c FROM b JOIN s ON s.rec = b.rec AND s.idx > b.l AND s.idx < b.r GROUP BY 1, 2, 3) SELECT rec, idx FROM m WHERE x - greatest(a, c) >= 20",
 )(lambda ds: marked(smp.peaks(ds, "VALUE", prominence=20), "VALUE"))
-query("peaks_distance")(lambda ds: marked(smp.peaks(ds, "VALUE", difference="500ms"), "VALUE"))
+query(
+    "peaks_distance",
+    f"WITH {S}, t AS (SELECT rec, idx, x FROM s WINDOW o AS (PARTITION BY rec ORDER BY idx) QUALIFY {PEAK}), "
+    "h AS (SELECT rec, list_reduce(list([idx] ORDER BY x DESC, idx DESC), lambda a, b: CASE WHEN len(list_filter(a, lambda y: abs(y - b[1]) < 5)) > 0 THEN a ELSE list_concat(a, b) END) AS kept FROM t GROUP BY rec) SELECT rec, unnest(kept) AS idx FROM h",
+)(lambda ds: marked(smp.peaks(ds, "VALUE", difference="500ms"), "VALUE"))
 query(
     "marker_interval",
     f"WITH {S}, h AS (SELECT rec, idx, c, max(CASE WHEN c = 'SIGNUP' THEN idx END) OVER (PARTITION BY rec ORDER BY idx) AS a, max(CASE WHEN c = 'PURCHASE' THEN idx END) OVER (PARTITION BY rec ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM s) "
@@ -260,12 +274,29 @@ query(
     "expand_flat",
     f"WITH {C}, g AS (SELECT rec, wave_no, coalesce(list_avg(v), 0) AS y, len(v) AS k FROM c0), e AS (SELECT rec, y, sum(k) OVER (PARTITION BY rec ORDER BY wave_no) - k AS a, k FROM g) SELECT s.rec, s.idx, round(e.y, 6) AS y FROM s JOIN e ON s.rec = e.rec AND s.idx >= e.a AND s.idx < e.a + e.k",
 )(lambda ds: sampled(cyc.expanded(cyc.measured(cyc.measured(cut_up(ds), "V", "mean", "M"), "V", "period", "P"), "M", weights="P", out="E"), "E"))
-query("interp_wave", f"WITH {C} SELECT rec, wave_no, CAST(12 AS BIGINT) AS n, round(CASE WHEN len(v) < 2 THEN 0 ELSE v[1] END, 6) AS first, round(CASE WHEN len(v) < 2 THEN 1 ELSE v[-1] END, 6) AS last FROM c0")(
-    lambda ds: cyc.interpolated(cut_up(ds), "V", length=12, out="I").cycles("I").select("rec", "wave_no", F.size("values").cast("long").alias("n"), near(F.element_at("values", 1)).alias("first"), near(F.element_at("values", -1)).alias("last"))
-)
-query("interp_recording", f"WITH {S} SELECT rec, CAST(CAST(floor((max(n) - 1) / CAST(10 AS DOUBLE) * 25) AS BIGINT) + 1 AS BIGINT) AS n, round(max(CASE WHEN idx = 0 THEN x END), 6) AS first FROM s GROUP BY rec")(
-    lambda ds: smp.resampled(ds, frequency=25.0).samples.groupBy("rec").agg(F.count(F.lit(1)).alias("n"), near(F.min_by("VALUE", "idx")).alias("first"))
-)
+def pchip_sql(source: str, places: str, keys: str) -> str:
+    """Tables d (slopes at evenly spaced samples) and r (values at `places` points t, in samples). source: keys, idx, x, n; places: keys, j, t."""
+    on = " AND ".join(f"a.{k} = b.{k}" for k in keys.split(", "))
+    return (
+        f"e AS (SELECT *, lead(x) OVER o - x AS s, x - lag(x) OVER o AS p, lead(x, 2) OVER o - lead(x) OVER o AS s2, lag(x) OVER o - lag(x, 2) OVER o AS p2 FROM {source} WINDOW o AS (PARTITION BY {keys} ORDER BY idx)), "
+        "f AS (SELECT *, coalesce((3 * coalesce(s, p) - coalesce(CASE WHEN p IS NULL THEN s2 ELSE p2 END, coalesce(s, p))) / 2, 0) AS y, coalesce(s, p) AS q, CASE WHEN p IS NULL THEN s2 ELSE p2 END AS q2 FROM e), "
+        "d AS (SELECT *, CASE WHEN p IS NULL OR s IS NULL THEN CASE WHEN q2 IS NULL THEN q WHEN sign(y) <> sign(q) THEN 0 WHEN sign(q) <> sign(q2) AND abs(y) > 3 * abs(q) THEN 3 * q ELSE y END WHEN p * s > 0 THEN 2 * p * s / (p + s) ELSE 0 END AS g FROM f), "
+        f"r AS (SELECT {', '.join('b.' + k for k in keys.split(', '))}, b.j, a.x * (1 + 2 * u) * (1 - u) * (1 - u) + a.g * u * (1 - u) * (1 - u) + c.x * u * u * (3 - 2 * u) + c.g * u * u * (u - 1) AS y "
+        f"FROM (SELECT *, t - i AS u FROM (SELECT *, CAST(least(floor(t), n - 2) AS BIGINT) AS i FROM {places})) b JOIN d a ON {on} AND a.idx = b.i JOIN d c ON {on.replace('a.', 'c.')} AND c.idx = b.i + 1)"
+    )
+
+
+query(
+    "interp_wave",
+    f"WITH {C}, x AS (SELECT rec, wave_no, row_number() OVER (PARTITION BY rec, wave_no ORDER BY idx) - 1 AS idx, x, count(*) OVER (PARTITION BY rec, wave_no) AS n FROM w), "
+    "t AS (SELECT rec, wave_no, n, j, j * (n - 1) / CAST(11 AS DOUBLE) AS t FROM (SELECT DISTINCT rec, wave_no, n FROM x WHERE n > 1), range(0, 12) AS g(j)), "
+    f"{pchip_sql('x', 't', 'rec, wave_no')}, v AS (SELECT rec, wave_no, list(y ORDER BY j) AS v FROM r GROUP BY ALL UNION ALL SELECT rec, wave_no, list_transform(range(0, 12), lambda j: j / CAST(11 AS DOUBLE)) FROM c0 WHERE len(v) < 2) {listed_sql('v')}",
+)(lambda ds: listed(cyc.interpolated(cut_up(ds), "V", length=12, out="I"), "I"))
+query(
+    "interp_recording",
+    f"WITH {S}, m AS (SELECT rec, n, CAST(floor((n - 1) / CAST(10 AS DOUBLE) * 25) AS BIGINT) + 1 AS k FROM s WHERE idx = 0), t AS (SELECT rec, n, j, j * (n - 1) / CAST(k - 1 AS DOUBLE) AS t FROM m, LATERAL (SELECT unnest(range(0, k)) AS j)), "
+    f"{pchip_sql('s', 't', 'rec')} SELECT rec, j AS idx, round(y, 6) AS y FROM r",
+)(lambda ds: sampled(smp.resampled(ds, frequency=25.0), "VALUE"))
 
 
 @query(
@@ -284,5 +315,67 @@ query("plot_data")(lambda ds: writers.plot_data(ds, ["VALUE"]).select("rec", "ch
 
 # shape
 
-query("morph_auc", f"WITH {C} SELECT rec, wave_no, CAST(12 AS BIGINT) AS n FROM c0")(lambda ds: cyc.shaped(cut_up(ds), "V", ["X", "PROMINENCE"], out="S").cycles("S").select("rec", "wave_no", F.size("values").cast("long").alias("n")))
+query(
+    "morph_scalars",
+    f"WITH {C}, x AS (SELECT rec, wave_no, row_number() OVER q - 1 AS i, count(*) OVER (PARTITION BY rec, wave_no) AS n, x, lag(x) OVER q AS a, lead(x) OVER q AS b FROM w WINDOW q AS (PARTITION BY rec, wave_no ORDER BY idx)), "
+    "p AS (SELECT rec, wave_no, min(CASE WHEN x > a AND x > b THEN i END) AS top, count(CASE WHEN x > a AND x > b THEN 1 END) AS peaks FROM x GROUP BY ALL), "
+    "g AS (SELECT rec, wave_no FROM x JOIN p USING (rec, wave_no) WHERE n > 3 AND peaks >= 3 AND x < a AND x < b AND i >= top GROUP BY ALL HAVING count(*) >= 2), "
+    "m AS (SELECT rec, wave_no, sum(x) AS auc, sum(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE abs(b - 2 * x + a) / power(1 + (x - a) * (x - a), 1.5) END) AS vci, avg(x) AS mean, quantile_cont(x, 0.5) AS median, stddev_samp(x) AS std, var_samp(x) AS var, "
+    "CASE WHEN sum(x) = 0 THEN 0 ELSE sum(i * x) / sum(x) END AS centre FROM x JOIN g USING (rec, wave_no) GROUP BY ALL) "
+    "SELECT rec, wave_no, round(auc, 6) AS auc, round(vci, 6) AS vci, round(mean, 6) AS mean, round(median, 6) AS median, round(std, 6) AS std, round(var, 6) AS var, round(centre, 6) AS centre FROM c0 LEFT JOIN m USING (rec, wave_no)",
+)(
+    lambda ds: cyc.shaped(cut_up(ds), "V", ["AUC", "VCI", "STATS_Y", "STATS_X"], prominence_level=0, out="S").cycles("S").select(
+        "rec", "wave_no", *[near(F.element_at("values", k)).alias(c) for k, c in ((1, "auc"), (2, "vci"), (3, "mean"), (4, "median"), (6, "std"), (7, "var"), (8, "centre"))]
+    )
+)
 query("morphology_full")(lambda ds: cyc.shaped(cut_up(ds), "V", ["X", "Y", "WIDTH_50", "PROMINENCE", "CURVATURE", "SLOPE", "INTEGRAL", "ANGLE", "STATS_Y", "STATS_X", "AUC", "DECAY", "VCI"], out="S").cycles("S").select("rec", "wave_no", F.size("values").cast("long").alias("n"), near(F.element_at("values", -2)).alias("decay")))
+
+# macros
+
+BEATS = (
+    f"WITH {C}, b AS (SELECT rec, wave_no, len(v) / CAST(10 AS DOUBLE) AS period, CASE WHEN len(v) > 0 THEN list_min(v) ELSE 0 END AS dias, coalesce(list_avg(v), 0) AS mean, CASE WHEN len(v) > 0 THEN list_max(v) ELSE 0 END AS sys, "
+    "CASE WHEN len(v) > 0 THEN list_max(v) - list_min(v) ELSE 0 END AS amp, CASE WHEN len(v) > 0 THEN CAST(600 AS DOUBLE) / len(v) ELSE 0 END AS hr FROM c0) "
+)
+
+
+def _mean_sql(value: str, name: str) -> str:
+    known = f"CASE WHEN {value} IS NOT NULL THEN period END"
+    return f"round(sum(period * ({value})) / nullif(sum({known}), 0), 6) AS {name}"
+
+
+def _ratio(a: str, b: str) -> str:
+    return f"CASE WHEN {b} <> 0 THEN {a} / {b} END"
+
+
+def finals(ds: Dataset, **channels: str) -> DataFrame:
+    """One row per recording of what a macro leaves."""
+    made = None
+    for name, channel in channels.items():
+        one = ds.cycles(channel).select("rec", near(F.element_at("values", 1)).alias(name))
+        made = one if made is None else made.join(one, "rec")
+    return made
+
+
+def macro(ds: Dataset, **block: object) -> Dataset:
+    return run(ds.samples.sparkSession, [{"class_name": "meta", "name": "X"} | block], {"X": ds})["X"]
+
+
+PULSE = {"dias": "dias", "mean": "mean", "sys": "sys", "amp": "amp", "pi": _ratio("amp", "mean"), "ri": _ratio("amp", "sys"), "sd": _ratio("sys", "dias")}
+for kind, tag, rate in (("bp", "BP", "HR_BP"), ("mcav", "MCAV", "HR_MCA"), ("tonometer", "TONO", "")):
+    columns = {k: f"{k.upper()}_{tag}" for k in PULSE} | {"spread": f"AMP_{tag}_DIFFERENCE"} | ({"hr": rate} if rate else {})
+    query(f"macro_{kind}", f"{BEATS} SELECT rec, {', '.join(_mean_sql(v, k) for k, v in PULSE.items())}, round(max(amp) - min(amp), 6) AS spread{', ' + _mean_sql('hr', 'hr') if rate else ''} FROM b GROUP BY rec")(
+        lambda ds, kind=kind, columns=columns: finals(macro(cut_up(ds), meta_name=kind, channel_name="V"), **columns)
+    )
+query("macro_cardiac_output", f"WITH {C}, b AS (SELECT rec, len(v) / CAST(10 AS DOUBLE) AS period, CASE WHEN len(v) > 0 THEN list_median(v) ELSE 0 END AS m FROM c0) SELECT rec, {_mean_sql('m', 'co')}, {_mean_sql('m', 'sv')} FROM b GROUP BY rec")(
+    lambda ds: finals(macro(cut_up(ds), meta_name="cardiac_output", co_channel_name="V", sv_channel_name="V"), co="CARDIAC_OUTPUT", sv="STROKE_VOLUME")
+)
+query("macro_co2", f"WITH {C} SELECT rec, round(avg(coalesce(list_avg(v), 0)), 6) AS y FROM c0 GROUP BY rec")(
+    lambda ds: finals(macro(ds, meta_name="co2", index_channel="PURCHASE", channel_name="VALUE", out_channel="Y"), y="Y")
+)
+query("macro_respiract", f"WITH {C}, b AS (SELECT rec, len(v) / CAST(10 AS DOUBLE) AS period, CASE WHEN len(v) > 0 THEN list_median(v) ELSE 0 END AS m FROM c0) SELECT rec, {_mean_sql('m', 'y')} FROM b GROUP BY rec")(
+    lambda ds: finals(macro(_renamed(ds, "PURCHASE"), meta_name="respiract", channels=["PURCHASE"], index="PURCHASE"), y="PURCHASE")
+)
+
+
+def _renamed(ds: Dataset, name: str) -> Dataset:
+    return Dataset(ds.samples.withColumnRenamed("VALUE", name), (name,))

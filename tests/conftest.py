@@ -39,20 +39,3 @@ def duck():
 @pytest.fixture(scope="session")
 def data_dir():
     return DATA
-
-
-def plain(value):
-    if isinstance(value, float):
-        return None if value != value else float(f"{value:.6g}")
-    return [plain(v) for v in value] if isinstance(value, list) else value
-
-
-def same_rows(df, duck, sql):
-    """Spark's rows and DuckDB's, as sorted tuples by sorted column names."""
-    names = sorted(df.columns)
-    own = sorted(str(tuple(plain(row[n]) for n in names)) for row in df.collect())
-    result = duck.execute(sql)
-    columns = [d[0] for d in result.description]
-    assert sorted(columns) == names
-    other = sorted(str(tuple(plain(row[columns.index(n)]) for n in names)) for row in result.fetchall())
-    return own, other

@@ -51,10 +51,11 @@ def test_prominence_by_brute_force():
     for _ in range(50):
         x = rng.integers(0, 9, 40).astype(float)
         peaks = kernels.local_maxima(x)
-        for p, found in zip(peaks, kernels.prominences(x, peaks)[0], strict=True):
+        for p, found, low, high in zip(peaks, *kernels.prominences(x, peaks), strict=True):
             a = max((i + 1 for i in range(p) if x[i] > x[p]), default=0)
             b = min((i for i in range(p + 1, len(x)) if x[i] > x[p]), default=len(x))
             assert found == x[p] - max(x[a : p + 1].min(), x[p:b].min())
+            assert low == max(i for i in range(a, p + 1) if x[i] == x[a : p + 1].min()) and high == min(i for i in range(p, b) if x[i] == x[p:b].min())
 
 
 def test_pchip_does_not_overshoot_and_meets_its_nodes():
@@ -68,6 +69,56 @@ def test_kalman_settles_on_a_line():
     assert abs(kernels.kalman(np.arange(200.0))[-1] - 199) < 0.01
 
 
+def test_kalman_by_the_matrix_recursion():
+    x = np.random.default_rng(2).normal(size=700).cumsum()
+    move, noise = np.array([[1.0, 1], [0, 1]]), 0.1 * np.array([[0.25, 0.5], [0.5, 1]])
+    state, spread, out = np.array([x[0], 0.0]), 1000 * np.eye(2), []
+    for z in x:
+        state, spread = move @ state, move @ spread @ move.T + noise
+        gain = spread[:, 0] / (spread[0, 0] + 0.1)
+        state, spread = state + gain * (z - state[0]), spread - np.outer(gain, spread[0])
+        out.append(state[0])
+    assert np.allclose(gain, [0.75, 0.5]) and np.allclose(kernels.kalman(x), out, rtol=0, atol=1e-9)
+
+
+def test_filter_in_blocks_by_plain_recursion():
+    b, a = kernels.butterworth(3, [4, 9], "bandpass", 50)
+    x, z, out = np.random.default_rng(3).normal(size=1000), np.arange(len(a) - 1.0), []
+    state = z.copy()
+    for value in x:
+        y = b[0] * value + state[0]
+        state = np.append(state[1:], 0) + b[1:] * value - a[1:] * y
+        out.append(y)
+    assert np.allclose(kernels._recursive(b, a, x, z), out, rtol=0, atol=1e-8)
+
+
+@pytest.mark.parametrize("degree", [2, 3])
+def test_splines_keep_polynomials_of_their_degree(degree):
+    x = np.array([0, 1, 2, 3.5, 5, 6, 8.0])
+    at = np.linspace(0, 8, 41)
+    assert np.allclose(kernels.spline(x, x**degree - 2 * x, at, degree), at**degree - 2 * at)
+    y = np.random.default_rng(4).normal(size=7)
+    assert np.allclose(kernels.spline(x, y, x, degree), y)
+
+
+def test_cubic_smoothing_moves_steps_a_little():
+    steps = np.repeat([10.0, 35, 20, 28], 6)
+    for method, most in (("CUBIC", 0.01), ("QUADRATIC", 0.5)):
+        moved = np.abs(kernels.smooth(steps, method) - steps).max()
+        assert 0 < moved < most
+
+
+def test_distance_by_brute_force():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        x, far = rng.integers(0, 9, 60).astype(float), int(rng.integers(2, 9))
+        left, kept = kernels.local_maxima(x).tolist(), []
+        for p in sorted(left, key=lambda p: (x[p], p), reverse=True):
+            if all(abs(p - q) >= far for q in kept):
+                kept.append(p)
+        assert kernels.find_peaks(x, distance=far).tolist() == sorted(kept)
+
+
 def test_shape_of_three_bells():
     t = np.arange(300.0)
     wave = sum(np.exp(-(((t - c) / 20) ** 2)) for c in (75, 150, 225))

@@ -1,7 +1,7 @@
 """Every query with SQL gives DuckDB's rows; the others give rows."""
 
 import pytest
-from conftest import same_rows
+from helpers import same_rows
 
 from ondula.queries import QUERIES, SQL
 

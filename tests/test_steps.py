@@ -125,3 +125,53 @@ def test_live_cycles(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r["wave_no"], r["n"], r["mean"]) for r in spark.table("live").orderBy("wave_no").collect()] == [(0, 3, 1.0), (1, 3, 4.0)]
+
+
+def two_rates(spark):
+    rows = [(r, f, i, rate, "", [], float(i)) for r, f, rate, n in ((1, "one", 10.0, 11), (2, "two", 20.0, 21), (3, "none", 5.0, 6)) for i in range(n)]
+    return Dataset(spark.createDataFrame(rows, SAMPLE), ("X",))
+
+
+def test_resampling_takes_each_file_to_its_own_rate(spark):
+    other = Dataset(spark.createDataFrame([(1, "one", 0, 20.0, "", [], 0.0), (2, "two", 0, 5.0, "", [], 0.0), (3, "two", 0, 99.0, "", [], 0.0)], SAMPLE), ("X",))
+    catalog = run(spark, [{"class_name": "interpolate", "in": "A", "in_channel": "DATA", "in_frequency": "B", "out": "C"}], {"A": two_rates(spark), "B": other})
+    found = catalog["C"].samples.groupBy("rec").agg(F.count("idx"), F.min("frequency"), F.max("X")).collect()
+    assert sorted(map(tuple, found)) == [(1, 21, 20.0, 10.0), (2, 6, 5.0, 20.0), (3, 6, 5.0, 5.0)]
+
+
+def test_resampling_moves_markers_and_comments(spark):
+    ds = smp.resampled(recording(spark, range(11), {3: ["M"], 10: ["N"]}, {4: "HERE"}), frequency=20.0)
+    rows = ds.samples.orderBy("idx").collect()
+    assert len(rows) == 21 and {r["idx"]: r["markers"] for r in rows if r["markers"]} == {6: ["M"], 19: ["N"]}
+    assert {r["idx"]: r["comment"] for r in rows if r["comment"]} == {8: "HERE"}
+
+
+def test_alignment_takes_the_last_of_equal_file_names(spark):
+    rows = [(r, "one", i, 10.0, "", [], float(v)) for r, v in ((1, 5), (2, 7)) for i in range(3)]
+    other = Dataset(spark.createDataFrame(rows, SAMPLE), ("X",))
+    ds = smp.aligned(recording(spark, [0, 0, 0]), other, "X", "X", "Y")
+    assert [r["Y"] for r in ds.samples.orderBy("idx").collect()] == [7.0, 7.0, 7.0]
+
+
+def test_aggregate_of_an_absent_channel_passes_through(spark):
+    ds = recording(spark, [1, 2])
+    assert cyc.aggregated(ds, "W", "mean") is ds
+
+
+def test_a_macro_of_ones_own(spark, tmp_path):
+    path = tmp_path / "own.toml"
+    path.write_text('[[command]]\nclass_name = "partition"\nin = "{name}"\nindex = "M"\nin_channel = "{source}"\nout_channel = "{source}_cut"\nout = "{name}"\n[later]\n[[later.command]]\nclass_name = "measurement"\nin = "{name}"\nin_channel = "{source}_cut"\nformat = "max"\nout_channel = "{source}_top"\nout = "{name}"\n')
+    ds = run(spark, [{"class_name": "meta", "meta_name": str(path), "name": "A", "source": "X"}], {"A": recording(spark, [1, 4, 2, 3], {2: ["M"]})})["A"]
+    assert cycles(ds, "X_TOP") == [[4.0], [3.0]]
+
+
+def test_scan_macro_masks_by_its_four_limits(spark):
+    """Beats of 10 samples at 10 a second last 1 s: within 40 and 150 a minute; of the last ten the thin and the slow beat are masked."""
+    wide, fast = [2.0] * 120, [20.0] * 120
+    wide[50:60], fast[70:80] = [0.05] * 10, [5.0] * 10
+    ds = recording(spark, wide, {i: ["B"] for i in range(0, 120, 10)})
+    ds = Dataset(ds.samples.join(spark.createDataFrame(list(enumerate(fast)), "idx long, V double"), "idx"), ("X", "V"))
+    made = run(spark, [{"class_name": "meta", "meta_name": "terason_dist", "name": "A", "index_channel_terason": "B", "channel_name_diameter": "X", "channel_name_velocity": "V", "diameter_mask_name": "OK"}], {"A": ds})["A"]
+    masks = [r["ok"] for r in made.mask("OK").orderBy("wave_no").collect()]
+    assert masks == [1, 1, 1, 0, 1, 0, 1, 1, 1, 1]
+    assert cycles(made, "SYS_DIAMETER") == [[2.0]] and cycles(made, "MEAN_FLOW") == [[pytest.approx(20 * 4 * 0.7854)]]
