@@ -108,7 +108,8 @@ def folded(data: bytes, size: int) -> np.ndarray:
 
 def _apart_enough(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Whether sketches (rows of numbers) rule out a link. With a union of u and an overlap o >= t u the symmetric difference, u - o, is at most (1 - t) / (1 + t) of the sizes' sum."""
-    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) * (100 + THRESHOLD) > (100 - THRESHOLD) * sizes
+    different = (a ^ b).view(f"u{a.itemsize}")  # the count is that of the absolute value, which signed numbers would change
+    return np.bitwise_count(different).sum(axis=1, dtype=np.int64) * (100 + THRESHOLD) > (100 - THRESHOLD) * sizes
 
 
 _INFO = "kind int, doc_id long, text_key long, n long, s1 long, s2 long, sketch binary, small binary"
