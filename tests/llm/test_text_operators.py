@@ -147,6 +147,20 @@ def test_repeated_passages_of_few_letters(spark, length, gram, monkeypatch):
     assert {(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows} == want
 
 
+@pytest.mark.parametrize("words,gram", [(51, 32), (4, 2)])
+def test_repeated_words(pairs, listed, words, gram):
+    """Words inside passages that occur elsewhere, by counting every window of words."""
+    split = {i: re.findall(f"[^{SPACE}]+", t or "") for i, t in listed}
+    seen = Counter(tuple(w[k : k + words]) for w in (split[i] for i, _ in listed) for k in range(len(w) - words + 1))
+    want = Counter()
+    for i, _ in dict(listed).items():
+        w = split[i]
+        inside = {k + j for k in range(len(w) - words + 1) if seen[tuple(w[k : k + words])] > 1 for j in range(words)}
+        if inside:
+            want[len(inside)] += 1
+    assert Counter(r["n_repeated_words"] for r in passage_dedup.repeated_words(pairs, words, gram).collect()) == want
+
+
 def test_byte_bpe(pairs, listed):
     library = load(default_path("byte_bpe_50k.json"))
     rows = bpe.digests(pairs).collect()
