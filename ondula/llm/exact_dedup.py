@@ -1,11 +1,12 @@
 """Exact deduplication by two-pass Bloom filtering, in DataFrame functions only.
 
-Pass one counts the filter positions of all text hashes and keeps those that were hit twice or more as bitmaps. Pass two tests every row
-against these bitmaps by a broadcast join: a row whose position was hit once has no copy and passes straight through; only the rest
+Pass one counts the HASHES filter positions of all text hashes and keeps those that were hit twice or more as bitmaps. Pass two tests every row
+against these bitmaps by broadcast joins: a row with a position that was hit once has no copy and passes straight through; only the rest
 is shuffled by its hash and grouped. A false positive costs a row of shuffle and never changes the result.
 
-The broadcast has a fixed bound: at most MAX_BITS / 8 bytes of bitmaps (32 MiB), whatever the corpus. Beyond MAX_BITS / BITS_PER_ROW rows the
-filter lets more rows through to the shuffle; results stay exact.
+The broadcast has a fixed bound: at most MAX_BITS / 8 bytes of bitmaps (32 MiB), whatever the corpus. Beyond MAX_BITS / BITS_PER_ROW rows (8 million) the
+filter grows fuller and lets more rows through to the shuffle; beyond some 10^8 rows it holds back few. Results stay exact; `duplicate_groups` then shuffles
+fingerprints of 40 bytes a row, `drop_duplicates_exact` the rows themselves.
 
 Defined cases: a null text counts as empty; empty texts are equal to each other. Rows that repeat a doc_id with the same text share one decision.
 A null doc_id never wins over another one. An empty table gives no rows. Other columns are ignored by `duplicate_groups` and
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from ondula.llm.common import SPACE_CLASS, text_of, written
 
 BITS_PER_ROW = 32
+#: Positions of a key in the filter.
+HASHES = 2
 MAX_BITS = 1 << 28
 #: Bits in one bitmap of bitmap_construct_agg.
 BITMAP_BITS = 32768
@@ -42,22 +45,25 @@ def filter_bits(rows: int) -> int:
     return bits
 
 
-def repeated_positions(keys: DataFrame, bits: int) -> DataFrame:
-    """(bucket, bitmap) of the filter positions that two or more rows hit: at most bits / BITMAP_BITS rows of 4 KiB."""
-    twice = keys.groupBy(F.pmod(F.xxhash64("key"), F.lit(bits)).alias("position")).count().filter("count > 1")
-    return twice.groupBy(F.expr(f"position div {BITMAP_BITS}").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.col("position") % BITMAP_BITS).alias("bitmap")
-    )
+def _positions(bits: int, key: str = "key") -> list[Column]:
+    return [F.pmod(F.xxhash64(key, F.lit(k)), F.lit(bits)) for k in range(HASHES)]
+
+
+def filter_of(keys: DataFrame, bits: int, least: int = 1) -> DataFrame:
+    """(bucket, bitmap) of the filter positions that `least` or more rows hit: at most bits / BITMAP_BITS rows of 4 KiB."""
+    hit = keys.select(F.explode(F.array(*_positions(bits))).alias("position")).groupBy("position").count().filter(F.col("count") >= least)
+    return hit.groupBy(F.expr(f"position div {BITMAP_BITS}").alias("bucket")).agg(F.bitmap_construct_agg(F.col("position") % BITMAP_BITS).alias("bitmap"))
 
 
 def with_suspicion(rows: DataFrame, bitmaps: DataFrame, bits: int) -> DataFrame:
-    """Adds `suspect`: the row's filter position was hit more than once. No shuffle: the bitmaps have a fixed bound and are broadcast."""
-    at = rows.withColumn("position", F.pmod(F.xxhash64("key"), F.lit(bits)))
-    at = at.withColumn("bucket", F.expr(f"position div {BITMAP_BITS}"))
-    bit = F.expr(
-        f"shiftright(cast(conv(hex(substring(bitmap, cast(position % {BITMAP_BITS} div 8 as int) + 1, 1)), 16, 10) as int), cast(position % 8 as int)) & 1"
-    )
-    return at.join(F.broadcast(bitmaps), "bucket", "left").withColumn("suspect", F.coalesce(bit == 1, F.lit(False))).drop("bucket", "bitmap", "position")
+    """Adds `suspect`: all filter positions of the row's key are set. No shuffle: the bitmaps have a fixed bound and are broadcast."""
+    columns = rows.columns
+    bit = F.expr(f"shiftright(cast(conv(hex(substring(bitmap, cast(position % {BITMAP_BITS} div 8 as int) + 1, 1)), 16, 10) as int), cast(position % 8 as int)) & 1")
+    rows = rows.withColumn("suspect", F.lit(True))
+    for position in _positions(bits):
+        at = rows.withColumn("position", position).withColumn("bucket", F.expr(f"position div {BITMAP_BITS}"))
+        rows = at.join(F.broadcast(bitmaps), "bucket", "left").withColumn("suspect", F.col("suspect") & F.coalesce(bit == 1, F.lit(False))).select(*columns, "suspect")
+    return rows
 
 
 def _groups(keys: DataFrame, bitmaps: DataFrame, bits: int) -> DataFrame:
@@ -72,7 +78,7 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
     keys = written(docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("key")), "exact-keys")
     bits = filter_bits(keys.count())
-    bitmaps = written(repeated_positions(keys, bits), "exact-bitmaps")
+    bitmaps = written(filter_of(keys, bits, 2), "exact-bitmaps")
     groups = _groups(keys, bitmaps, bits)
     tested = with_suspicion(keys, bitmaps, bits)
     alone = tested.filter("not suspect").select("id", "key", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
@@ -90,7 +96,7 @@ def drop_duplicates_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str
     keyed = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), docs[id_col].alias("id"), text_key(text_col).alias("key"))
     keys = written(keyed.select("id", "key"), "exact-keys")
     bits = filter_bits(keys.count())
-    bitmaps = written(repeated_positions(keys, bits), "exact-bitmaps")
+    bitmaps = written(filter_of(keys, bits, 2), "exact-bitmaps")
     groups = _groups(keys, bitmaps, bits)
     tested = with_suspicion(keyed, bitmaps, bits)
     suspects = tested.filter("suspect").join(groups, "key", "left").filter(F.col("keep_id").isNull() & F.col("group_size").isNull() | F.col("id").eqNullSafe(F.col("keep_id")))

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from ondula.llm.common import arrow_map, documents, keep, release, slices, written
 from ondula.llm.components import components
-from ondula.llm.exact_dedup import BITMAP_BITS, filter_bits, with_suspicion
+from ondula.llm.exact_dedup import filter_bits, filter_of, with_suspicion
 
 WORDS = 5
 THRESHOLD = 80
@@ -320,8 +320,7 @@ def _sketch_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _members(ids: DataFrame, bits: int) -> DataFrame:
     """Bitmaps of the positions of ids (column key): a filter of fixed size for one scan of the texts."""
-    at = ids.select(F.pmod(F.xxhash64("key"), F.lit(bits)).alias("position")).distinct()
-    return written(at.groupBy(F.expr(f"position div {BITMAP_BITS}").alias("bucket")).agg(F.bitmap_construct_agg(F.col("position") % BITMAP_BITS).alias("bitmap")), "ngram-members")
+    return written(filter_of(ids, bits), "ngram-members")
 
 
 def _only(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:

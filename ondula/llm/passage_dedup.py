@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ondula.llm.common import arrow_map, documents, keep, release, slices, text_of, written
-from ondula.llm.exact_dedup import BITMAP_BITS, filter_bits, with_suspicion
+from ondula.llm.exact_dedup import filter_bits, filter_of, with_suspicion
 
 LENGTH = 400
 GRAM = 256
@@ -280,8 +280,7 @@ def _count(length: int):
 def _holds(rows: DataFrame, keys: DataFrame, n: int) -> DataFrame:
     """rows with `suspect`: the row's key is in keys (row_key), or, seldom, only seems to be. No shuffle of rows."""
     bits = filter_bits(n)
-    at = keys.select(F.pmod(F.xxhash64("row_key"), F.lit(bits)).alias("position")).distinct()
-    bitmaps = written(at.groupBy(F.expr(f"position div {BITMAP_BITS}").alias("bucket")).agg(F.bitmap_construct_agg(F.col("position") % BITMAP_BITS).alias("bitmap")), "passage-members")
+    bitmaps = written(filter_of(keys.select(F.col("row_key").alias("key")), bits), "passage-members")
     return with_suspicion(rows.withColumn("key", F.col("row_key")), bitmaps, bits).drop("key")
 
 
