@@ -17,7 +17,9 @@ import regex
 from ondula.llm.common import keep
 
 #: A worker forgets its cached chunks beyond this many.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 250_000
+#: Texts that go to the library in one call.
+CALL_TEXTS = 2_000
 #: A space between white space: there a cut at the space would change the ids.
 _UNSAFE = re.compile(r"\s \s|\s \Z|<\|")
 
@@ -64,7 +66,9 @@ def library_ids(path: str) -> Callable[[list[str]], Ragged]:
     tokenizer = load(path)
 
     def encode(texts: list[str]) -> Ragged:
-        ids = [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = []
+        for at in range(0, len(texts), CALL_TEXTS):  # the library's results are large beside their ids
+            ids += [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(texts[at : at + CALL_TEXTS], add_special_tokens=False)]
         return Ragged(np.concatenate([np.zeros(0, np.uint32), *ids]), np.fromiter(map(len, ids), np.int64, len(ids)))
 
     return encode
