@@ -117,7 +117,8 @@ def standardised(samples: DataFrame, source: str, out: str, widths: dict[float,
         lambda p: (p >= -half) & (p < F.col("_n") + half) & ((p < 0) | (p >= F.col("_n"))),
     )
     slim = core.select("rec", "frequency", "_n", "idx", quoted(source).alias("_x"))
-    mirrored = slim.withColumn("_place", F.explode(F.array_distinct(copies))).select("rec", "frequency", "_n", "_place", "_x", F.lit(False).alias("_own"))
+    near = slim.filter((F.col("idx") <= half) | (F.col("idx") > F.col("_n") - 2 - half))  # the others have no copy
+    mirrored = near.withColumn("_place", F.explode(F.array_distinct(copies))).select("rec", "frequency", "_n", "_place", "_x", F.lit(False).alias("_own"))
     every = slim.select("rec", "frequency", "_n", F.col("idx").alias("_place"), "_x", F.lit(True).alias("_own")).unionByName(mirrored)
     order = Window.partitionBy("rec").orderBy("_place")
     value = F.lit(0.0)

@@ -20,7 +20,7 @@ from ondula.sources import readers, writers
 
 Catalog = dict[str, Dataset]
 log = logging.getLogger("ondula")
-READERS = {"LABCHART": readers.labchart, "TERASON": readers.terason, "RESPIRAC": readers.respirac}
+READERS = {"LABCHART": readers.labchart, "TERASON": readers.terason, "RESPIRAC": readers.respirac, "ADI": readers.adi}
 EXTRA: dict[str, Callable[[Dataset, dict[str, Any]], Dataset]] = {}
 
 
@@ -110,6 +110,8 @@ def run(spark: SparkSession, blocks: Iterable[dict[str, Any]], catalog: Catalog
     for kind, s in _fused([x for b in flat for x in steps(b)]):
         log.info("%s %s", kind, s)
         if kind == "read":
+            if s["format"] not in READERS:
+                raise PipelineError(f"unknown format {s['format']!r}; there are {', '.join(READERS)}")
             catalog[s["out"]] = READERS[s["format"]](spark, f"{s['folder']}{s['file']}{s['ext']}")
             continue
         if s["in"] not in catalog:

@@ -1,7 +1,7 @@
 """Recordings from text exports, CSV files, staged binary records and plain tables, as Datasets.
 
-Files are read as distributed lines. A line's place is its byte order within the file, from Spark's row position in a text split; files of one recording are small next to
-the number of files, so work spreads over recordings.
+Files are read as distributed lines, so a large file is split. A line's place is (start of its file block, its order within the block). Headers differ from file to file:
+they are a small table that is joined to the lines, and only distinct header lines reach the driver, which must know the channels' names.
 """
 
 from __future__ import annotations
@@ -17,16 +17,23 @@ DEFAULT_RATE = 200.0
 
 
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """filename, n (line number from 0), line of every line of text files. A file is one row while it is cut into lines."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.regexp_replace("value", "\r", "").alias("value"))
-    cut = whole.select("path", F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("n", "line"))
-    return cut.withColumn("filename", F.regexp_extract("path", r"([^/]+)$", 1)).drop("path")
+    """filename, n (place in the file, which sorts), line of every line of text files."""
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    return spark.read.text(path).select(F.col("_metadata.file_name").alias("filename"), place.alias("n"), F.regexp_replace("value", "\r", "").alias("line"))
 
 
-def _headers(rows: DataFrame, condition: Column) -> dict[str, str]:
-    """The first line of each file that meets the condition: one short line per file reaches the driver."""
-    found = rows.filter(condition).groupBy("filename").agg(F.min_by("line", "n").alias("line"))
-    return {r["filename"]: r["line"] for r in found.collect()}
+def _distinct(heads: DataFrame) -> list[str]:
+    """Names in the order of first sight over distinct headers (column names)."""
+    return list(dict.fromkeys(c for r in sorted(r["names"] for r in heads.select("names").distinct().collect()) for c in r))
+
+
+def _tidy(column: Column) -> Column:
+    return F.upper(F.regexp_replace(F.regexp_replace(column, " ", ""), r"^[(){}]+|[(){}]+$", ""))
+
+
+def _cell(name: str) -> Column:
+    """The row's number under its file's column of that name; 0 where there is none."""
+    return F.coalesce(F.try_element_at("cells", F.nullif(F.array_position("names", name), F.lit(0)).cast("int")).try_cast("double"), F.lit(0.0))
 
 
 def _clean(name: str) -> str:
@@ -39,34 +46,25 @@ def labchart(spark: SparkSession, path: str | list[str]) -> Dataset:
     The first row of every block is commented RESET. Cells that are no number are 0, short rows are filled with 0. Recordings with other channels than the union hold 0.
     """
     rows = lines(spark, path)
-    titles = {f: ["TIME", *[_clean(c) for c in line.split("\t")[1:] if c.strip()]] for f, line in _headers(rows, F.col("line").startswith("ChannelTitle=")).items()}
-    rates = {f: 1.0 / float(m[1]) if (m := re.search(r"Interval=\s*([0-9.eE+-]+)", line)) else DEFAULT_RATE for f, line in _headers(rows, F.col("line").startswith("Interval=")).items()}
-    channels = tuple(dict.fromkeys(c for t in titles.values() for c in t))
     order = Window.partitionBy("filename").orderBy("n")
+    titles = rows.filter(F.col("line").startswith("ChannelTitle=")).groupBy("filename").agg(F.min_by("line", "n").alias("line"))
+    heads = F.split("line", "\t")
+    names = F.transform(F.filter(F.slice(heads, F.lit(2), F.size(heads)), lambda c: F.trim(c) != ""), _tidy)
+    titles = titles.select("filename", F.concat(F.array(F.lit("TIME")), names).alias("names"))
+    steps = rows.filter(F.col("line").startswith("Interval=")).groupBy("filename").agg(F.min_by("line", "n").alias("line"))
+    steps = steps.select("filename", F.try_divide(F.lit(1.0), F.regexp_extract("line", r"Interval=\s*([0-9.eE+-]+)", 1).try_cast("double")).alias("rate"))
+    channels = tuple(_distinct(titles))
     is_row = F.col("line").rlike("^[0-9]")
     rows = rows.withColumn("starts", is_row & ~F.coalesce(F.lag(is_row).over(order), F.lit(False))).filter(is_row)
-    cells = rows.withColumn("cells", F.split("line", "\t"))
+    cells = rows.withColumn("cells", F.split("line", "\t")).withColumn("idx", (F.row_number().over(order) - 1).cast("long"))
+    cells = cells.join(titles, "filename", "left").join(steps, "filename", "left")
     note = F.regexp_extract("line", r"#\* ([^\t]*)", 1)
     event = F.regexp_extract("line", r"#(\d+) Event Marker", 1)
-    tidy = F.upper(F.regexp_replace(F.regexp_replace(note, " ", ""), r"^[(){}]+|[(){}]+$", ""))
-    place = {f: {c: t.index(c) for c in t} for f, t in titles.items()}
-
-    def value(channel: str) -> Column:
-        out = None
-        for position in sorted({p[channel] for p in place.values() if channel in p}):
-            files = [f for f, p in place.items() if p.get(channel) == position]
-            own = F.coalesce(F.expr(f"try_cast(try_element_at(cells, {position + 1}) as double)"), F.lit(0.0))
-            out = F.when(F.col("filename").isin(files), own) if out is None else out.when(F.col("filename").isin(files), own)
-        return out.otherwise(F.lit(0.0))
-
-    rate = F.lit(DEFAULT_RATE)
-    for f, r in rates.items():
-        rate = F.when(F.col("filename") == f, F.lit(r)).otherwise(rate)
     samples = cells.select(
-        F.col("filename").alias("rec"), "filename", (F.row_number().over(order) - 1).cast("long").alias("idx"), rate.alias("frequency"),
-        F.when(F.col("starts"), F.lit("RESET")).otherwise(tidy).alias("comment"),
+        F.col("filename").alias("rec"), "filename", "idx", F.coalesce("rate", F.lit(DEFAULT_RATE)).alias("frequency"),
+        F.when(F.col("starts"), F.lit("RESET")).otherwise(_tidy(note)).alias("comment"),
         F.when(event != "", F.array(F.concat(F.lit("#"), event))).otherwise(F.array().cast("array<string>")).alias("markers"),
-        *[value(c).alias(c) for c in channels],
+        *[_cell(c).alias(c) for c in channels],
     )
     return Dataset(samples, channels)
 
@@ -76,25 +74,26 @@ def terason(spark: SparkSession, path: str | list[str]) -> Dataset:
     rows = lines(spark, path)
     order = Window.partitionBy("filename").orderBy("n")
     after = F.max(F.when(F.trim("line") == "{Data}", F.col("n"))).over(order)
-    body = rows.withColumn("after", after)
-    heads = _headers(body.filter("n = after + 1"), F.lit(True))
-    drop = re.compile(r"\((sec|cm|cm/s)\)", re.IGNORECASE)
-    names = {f: [re.sub(r"[()\s]", "", drop.sub("", c)).upper() for c in line.split(",")] for f, line in heads.items()}
-    listed = next(iter(names.values()), [])
+    body = rows.withColumn("after", after).withColumn("head", F.trim(F.lag("line").over(order)) == "{Data}")
+    heads = body.filter("head").groupBy("filename").agg(F.min_by("line", "n").alias("line"))
+    name = lambda c: F.upper(F.regexp_replace(F.regexp_replace(c, r"(?i)\((sec|cm|cm/s)\)", ""), r"[()\s]", ""))
+    heads = heads.select("filename", F.transform(F.split("line", ","), name).alias("names"))
+    listed = _distinct(heads)
     times = rows.groupBy("filename").agg(*[F.max(F.when(F.col("line").startswith(k), _seconds(F.col("line")))).alias(a) for k, a in (("Start Time", "t0"), ("End Time", "t1"))])
-    data = body.filter(F.col("n") > F.col("after") + 1).filter(F.trim("line") != "").withColumn("cells", F.split("line", ","))
-    number = {c: F.coalesce(F.expr(f"try_cast(try_element_at(cells, {i + 1}) as double)"), F.lit(0.0)) for i, c in enumerate(listed)}
+    data = body.filter((F.col("n") > F.col("after")) & ~F.col("head") & (F.trim("line") != "")).withColumn("cells", F.split("line", ",")).join(heads, "filename")
+    number = {c: _cell(c) for c in listed}
     gone = next((c for c in listed if c.startswith("DELETED")), None)
     wave = next((c for c in listed if c.replace("-", "") == "RWAVE"), None)
     kept = F.struct(*[v.alias(f"x{i}") for i, v in enumerate(number.values())])
     here = order.rowsBetween(Window.unboundedPreceding, 0)
-    filled = data.withColumn("row", F.last(F.when(number[gone] == 0, kept) if gone else kept, True).over(here)).join(times, "filename")
     rows_in = F.count(F.lit(1)).over(Window.partitionBy("filename"))
-    marks = F.array(*[F.lit(listed[i]) for i in (1, 2) if i < len(listed)])
+    filled = data.withColumns({"row": F.last(F.when(number[gone] == 0, kept) if gone else kept, True).over(here), "idx": (F.row_number().over(order) - 1).cast("long"), "rows_in": rows_in}).join(times, "filename")
+    none = F.array().cast("array<string>")
+    marks = F.filter(F.slice("names", 2, 2), F.isnotnull)
     samples = filled.select(
-        F.col("filename").alias("rec"), "filename", (F.row_number().over(order) - 1).cast("long").alias("idx"),
-        F.coalesce(F.bround(F.try_divide(rows_in, F.col("t1") - F.col("t0"))), F.lit(DEFAULT_RATE)).cast("double").alias("frequency"), F.lit("").alias("comment"),
-        (F.when(F.abs(number[wave] - 1) < 1e-9, marks).otherwise(F.array().cast("array<string>")) if wave else F.array().cast("array<string>")).alias("markers"),
+        F.col("filename").alias("rec"), "filename", "idx",
+        F.coalesce(F.bround(F.try_divide("rows_in", F.col("t1") - F.col("t0"))), F.lit(DEFAULT_RATE)).cast("double").alias("frequency"), F.lit("").alias("comment"),
+        (F.when(F.abs(number[wave] - 1) < 1e-9, marks).otherwise(none) if wave else none).alias("markers"),
         *[F.coalesce(F.col(f"row.x{i}"), F.lit(0.0)).alias(c) for i, c in enumerate(listed)],
     )
     return Dataset(samples, tuple(listed))
@@ -137,7 +136,7 @@ def staged(records: DataFrame, least_rate: float = 200.0) -> Dataset:
     top = records.groupBy("rec").agg(F.greatest(F.lit(least_rate), F.max("fs")).alias("rate"))
     parts = records.groupBy("rec", "channel", "record", "fs").agg(F.transform(F.array_sort(F.collect_list(F.struct("sample_idx", "value"))), lambda s: s["value"]).alias("v")).join(top, "rec")
     n = F.size("v")
-    new = F.greatest(F.lit(1), F.bround(n * F.col("rate") / F.col("fs")).cast("int"))
+    new = F.greatest(F.lit(1), F.floor(n * F.col("rate") / F.col("fs")).cast("int"))
     step = F.try_divide(n, F.greatest(new - 1, F.lit(1)))
     held = F.transform(F.sequence(F.lit(0), new - 1), lambda i: F.element_at("v", F.least(F.floor(i * step), n - 1).cast("int") + 1))
     parts = parts.select("rec", "channel", "record", "rate", F.when(F.col("fs") < F.col("rate"), held).otherwise(F.col("v")).alias("v"))
@@ -156,6 +155,11 @@ def staged(records: DataFrame, least_rate: float = 200.0) -> Dataset:
     return Dataset(samples, ("TIME", *[c.upper() for c in names]))
 
 
+def adi(spark: SparkSession, path: str | list[str]) -> Dataset:
+    """Records of binary files that a parser outside of Spark has staged as Parquet, with the columns of `staged`; the binary format itself has no public reader here."""
+    return staged(spark.read.parquet(*([path] if isinstance(path, str) else path)))
+
+
 def from_events(events: DataFrame, rate: float = 10.0) -> Dataset:
     """A table of timed events as recordings: one per user, its value as channel VALUE, its type as comment and marker."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")

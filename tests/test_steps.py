@@ -92,6 +92,24 @@ def test_text_exports(spark, tmp_path):
     assert ds.channels == ("TIME", "BP", "CO2") and [r["BP"] for r in rows] == [1.5, 0.0, 3.0] and rows[0]["comment"] == "RESET" and rows[2]["markers"] == ["#20"] and rows[0]["frequency"] == 10.0
 
 
+def test_text_exports_of_two_kinds_in_many_splits(spark, tmp_path):
+    """Each file has its own columns and rate; lines keep their order when a file is split."""
+    body = "".join(f"{i / 10}\t{i}\t{-i}\n" for i in range(3000))
+    (tmp_path / "a.txt").write_text("Interval=\t0.1 s\nChannelTitle=\tBP\tCO2\n" + body)
+    (tmp_path / "b.txt").write_text("Interval=\t0.02 s\nChannelTitle=\tCO2\tFLOW\n0\t5\t6\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        ds = readers.labchart(spark, str(tmp_path))
+        assert readers.lines(spark, str(tmp_path)).rdd.getNumPartitions() > 4
+        rows = ds.samples.orderBy("filename", "idx").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert set(ds.channels) == {"TIME", "BP", "CO2", "FLOW"}
+    assert [(r["idx"], r["BP"], r["CO2"], r["FLOW"], r["frequency"]) for r in rows[:3000]] == [(i, float(i), float(-i), 0.0, 10.0) for i in range(3000)]
+    assert [(r["BP"], r["CO2"], r["FLOW"], r["frequency"], r["comment"]) for r in rows[3000:]] == [(0.0, 5.0, 6.0, 50.0, "RESET")]
+
+
 def test_device_csv(spark, tmp_path):
     (tmp_path / "t.csv").write_text("Start Time (hh:mm:ss),00:00:00\nEnd Time (hh:mm:ss),00:00:01\n{Data}\nTime (sec),Diameter (cm),R-wave,Deleted Data\n0,1,0,1\n0.3,2,1,0\n0.6,9,0,1\n0.9,4,0,0\n")
     rows = readers.terason(spark, str(tmp_path / "t.csv")).samples.orderBy("idx").collect()
@@ -175,3 +193,12 @@ def test_scan_macro_masks_by_its_four_limits(spark):
     masks = [r["ok"] for r in made.mask("OK").orderBy("wave_no").collect()]
     assert masks == [1, 1, 1, 0, 1, 0, 1, 1, 1, 1]
     assert cycles(made, "SYS_DIAMETER") == [[2.0]] and cycles(made, "MEAN_FLOW") == [[pytest.approx(20 * 4 * 0.7854)]]
+
+
+def test_staged_records_by_the_read_step(spark, tmp_path):
+    rows = [("r", "a", 0, 200.0, i, float(i)) for i in range(4)] + [("r", "b", 0, 130.0, i, float(i)) for i in range(3)]
+    spark.createDataFrame(rows, "rec string, channel string, record int, fs double, sample_idx long, value double").write.parquet(str(tmp_path / "s.adi"))
+    ds = run(spark, [{"class_name": "read", "format": "ADI", "folder": f"{tmp_path}/", "file": "s", "ext": ".adi", "out": "a"}])["A"]
+    assert [r["B"] for r in ds.samples.orderBy("idx").collect()] == [0.0, 1.0, 2.0, 2.0] and ds.channels == ("TIME", "A", "B")  # 3 samples at 130 are int(4.6) at 200
+    with pytest.raises(PipelineError):
+        run(spark, [{"class_name": "read", "format": "OTHER", "folder": "", "file": "s", "ext": "", "out": "a"}])
