@@ -115,10 +115,17 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), _work, SCHEMA)
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose text the rules keep."""
-    good = measure(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(good, id_col, "left_semi")
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        kept = [measure_text(t)[-1] for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.bool_())], ["row", "kept"])
+
+
+def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all columns, whose text the rules keep. Each row is judged by its own text, whatever its id."""
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].alias("text"))
+    kind = packed.schema["row"].dataType.simpleString()
+    return arrow_map(packed, _judge, f"row {kind}, kept boolean").filter("kept").select("row.*")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

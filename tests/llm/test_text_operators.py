@@ -96,6 +96,42 @@ def test_quality_rules(pairs, listed):
         assert not (r["kept"] and r["base_failed"])
 
 
+def test_quality_verdict_by_brute_force(pairs, listed):
+    """Coverage of each n-gram length, share of repeated lines and the verdict, from sets of tuples; keep_good keeps just those rows."""
+    q = quality_rules
+
+    def shares(text):
+        words = [w.encode() for w in re.findall(f"[^{SPACE}]+", text)]
+        out, total = [], sum(map(len, words))
+        for n in q.COVERAGE_LIMITS:
+            seen, inside = set(), set()
+            for i in range(len(words) - n + 1):
+                gram = tuple(words[i : i + n])
+                if gram in seen:
+                    inside |= set(range(i, i + n))
+                seen.add(gram)
+            out.append(sum(len(words[i]) for i in inside) / total if total else 0.0)
+        data, seen, again = text.encode(), set(), 0
+        for line in data.split(b"\n"):
+            if line.strip(b" \t\n\v\f\r"):
+                again += len(line) * (line in seen)
+                seen.add(line)
+        return out, again / len(data) if data else 0.0
+
+    texts = dict(listed)
+    good = Counter()
+    for r in quality_rules.measure(pairs).collect():
+        text = texts[r["doc_id"]] or ""
+        cover, line = shares(text)
+        names = [c for c in r.asDict() if c.startswith("coverage_")]
+        assert [r[c] for c in names] == pytest.approx(cover) and r["dup_line_share"] == pytest.approx(line), r["doc_id"]
+        n_words, _, symbols, _, _, failed = rules(text)
+        kept = not failed and all(c <= x for c, x in zip(cover, q.COVERAGE_LIMITS.values())) and line <= q.LINE_LIMIT and symbols <= q.SYMBOL_LIMIT * n_words
+        assert r["kept"] == kept
+        good[r["doc_id"]] += kept
+    assert Counter(r["doc_id"] for r in quality_rules.keep_good(pairs).collect()) == +good
+
+
 def test_exact_duplicates(pairs, listed):
     rows = exact_dedup.duplicate_groups(pairs).collect()
     key = lambda t: re.sub(f"[{SPACE}]+", " ", t or "")
