@@ -49,6 +49,7 @@ class Dataset:
     samples: DataFrame
     channels: tuple[str, ...]
     tables: tuple[Table, ...] = field(default=())
+    rates: tuple[float, ...] | None = None  # the sampling rates, where a reader knows them
 
     def __post_init__(self) -> None:
         reach_workers(self.samples.sparkSession)
@@ -60,6 +61,10 @@ class Dataset:
             if name not in self.channels:
                 raise PipelineError(f"no sample channel {name!r}; there are {', '.join(self.channels)}")
 
+    def sampling_rates(self) -> tuple[float, ...]:
+        """The distinct rates, which windows need as literals: a job over the samples only where no reader has told them."""
+        return self.rates or tuple(r[0] for r in self.samples.select("frequency").distinct().collect())
+
     def with_samples(self, samples: DataFrame, *added: str) -> Dataset:
         return replace(self, samples=samples, channels=(*self.channels, *(a for a in dict.fromkeys(added) if a not in self.channels)))
 

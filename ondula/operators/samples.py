@@ -87,9 +87,8 @@ def derivative(x: Column) -> Column:
 
 def _by_frequency(ds: Dataset, make: Callable[[int], Column], length: str) -> Column:
     """An expression with a literal window for each sampling rate; rates are few, and only they are read."""
-    rates = [r[0] for r in ds.samples.select("frequency").distinct().collect()]
     out = None
-    for rate in rates:
+    for rate in ds.sampling_rates():
         own = make(duration(length).count(rate))
         out = F.when(F.col("frequency") == rate, own) if out is None else out.when(F.col("frequency") == rate, own)
     return F.lit(None).cast("double") if out is None else out
@@ -156,7 +155,7 @@ def filtered(ds: Dataset, function: str, source: str, out: str | None = None, po
     if function == "AVERAGE":
         return ds.with_samples(ds.samples.withColumn(out, _by_frequency(ds, lambda w: moving_average(x, w), time)), out)
     if function == "SLIDING_STANDARD":
-        rates = {r[0]: duration(time).count(r[0]) for r in ds.samples.select("frequency").distinct().collect()}
+        rates = {r: duration(time).count(r) for r in ds.sampling_rates()}
         return ds.with_samples(standardised(ds.samples, source, out, rates), out)
     size = (lambda fs: window) if isinstance(window, int) else (lambda fs: duration(window).count(fs))
     if function == "SAVGOL":
@@ -308,7 +307,7 @@ def resampled(ds: Dataset, frequency: float | None = None, length: int | None =
     rate = F.lit(float(frequency) if frequency else None).cast("double") if rates is None else F.coalesce("rate", "frequency").cast("double")
     picked = samples.select("rec", "filename", "idx", "frequency", "comment", "markers", rate.alias("_rate"), *[quoted(c).alias(f"x{i}") for i, c in enumerate(names)])
     made = picked.groupBy("rec").applyInPandas(work, f"rec {kind}, filename string, idx long, frequency double, comment string, markers array<string>" + "".join(f", x{i} double" for i in range(len(names))))
-    return replace(ds, samples=made.withColumnsRenamed({f"x{i}": c for i, c in enumerate(names)}))
+    return replace(ds, samples=made.withColumnsRenamed({f"x{i}": c for i, c in enumerate(names)}), rates=(float(frequency),) if frequency else None)
 
 
 def per_batch(kernel: Callable[..., list]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:

@@ -35,7 +35,8 @@ def _union(parts: list[Dataset]) -> Dataset:
     for part in parts[1:]:
         samples = samples.unionByName(part.samples, allowMissingColumns=True)
         channels += [c for c in part.channels if c not in channels]
-    return Dataset(samples.fillna(0.0, channels), tuple(channels))
+    rates = None if any(p.rates is None for p in parts) else tuple(dict.fromkeys(r for p in parts for r in p.rates))
+    return Dataset(samples.fillna(0.0, channels), tuple(channels), rates=rates)
 
 
 def _one(ds: Dataset, kind: str, s: dict[str, Any], catalog: Catalog) -> Dataset:

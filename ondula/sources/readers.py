@@ -124,7 +124,7 @@ def breaths(raw: DataFrame, time_column: str, columns: dict[str, str], rate: flo
         F.col("filename").alias("rec"), "filename", "idx", F.lit(rate).alias("frequency"), F.lit("").alias("comment"),
         F.when(F.col("idx") == F.col("_end") - 1, F.array(*map(F.lit, channels))).otherwise(F.array().cast("array<string>")).alias("markers"), *[quoted(c) for c in channels],
     )
-    return Dataset(samples, channels)
+    return Dataset(samples, channels, rates=(rate,))
 
 
 def staged(records: DataFrame, least_rate: float = 200.0) -> Dataset:
@@ -167,4 +167,4 @@ def from_events(events: DataFrame, rate: float = 10.0) -> Dataset:
         F.col("user_id").alias("rec"), F.col("user_id").cast("string").alias("filename"), (F.row_number().over(order) - 1).cast("long").alias("idx"), F.lit(rate).alias("frequency"),
         F.upper("event_type").alias("comment"), F.array(F.upper("event_type")).alias("markers"), F.col("value").alias("VALUE"),
     )
-    return Dataset(samples, ("VALUE",))
+    return Dataset(samples, ("VALUE",), rates=(rate,))
