@@ -11,8 +11,10 @@ from dataclasses import replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ondula.dataset import Dataset, PipelineError, by_time, quoted, whole
 from ondula.functions import kernels
@@ -135,14 +137,14 @@ def standardised(samples: DataFrame, source: str, out: str, widths: dict[float,
 
 
 def _per_recording(ds: Dataset, source: str, kernel: Callable[[np.ndarray, float], np.ndarray]) -> DataFrame:
-    """rec, idx, y with y a kernel of the whole recording: one Arrow group each."""
+    """The samples with a column _y, a kernel of the whole recording: one Arrow group each, whose other columns pass through as they are."""
 
-    def work(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("idx")
-        return pd.DataFrame({"rec": frame["rec"], "idx": frame["idx"], "y": np.asarray(kernel(frame["x"].to_numpy(float), float(frame["frequency"].iloc[0])), float)})
+    def work(table: pa.Table) -> pa.Table:
+        table = table.sort_by("idx")
+        y = kernel(table.column(source).to_numpy().astype(float), float(table.column("frequency")[0].as_py()))
+        return table.append_column("_y", pa.array(np.asarray(y, float)))
 
-    kind = ds.samples.schema["rec"].dataType.simpleString()
-    return ds.samples.select("rec", "idx", "frequency", quoted(source).alias("x")).groupBy("rec").applyInPandas(work, f"rec {kind}, idx long, y double")
+    return ds.samples.groupBy("rec").applyInArrow(work, StructType([*ds.samples.schema.fields, StructField("_y", DoubleType())]))
 
 
 def filtered(ds: Dataset, function: str, source: str, out: str | None = None, power: int = 1, window: str | int = "", time: str = "", frequency=1, ftype: str = "low") -> Dataset:
@@ -170,8 +172,7 @@ def filtered(ds: Dataset, function: str, source: str, out: str | None = None, po
 
     else:
         raise PipelineError(f"unknown filter {function!r}")
-    done = _per_recording(ds, source, kernel).withColumnRenamed("y", out)
-    return ds.with_samples(ds.samples.drop(out).join(done, ["rec", "idx"]), out)
+    return ds.with_samples(_per_recording(ds, source, kernel).drop(out).withColumnRenamed("_y", out), out)
 
 
 # events
@@ -202,14 +203,19 @@ def peaks(ds: Dataset, channel: str, difference: str = "", prominence: float = 0
             hit[kernels.find_peaks(sign * v, height, max(1, apart.count(fs)), prominence)] = 1
             return hit
 
-        found = _per_recording(ds, channel, kernel).filter("y = 1").select("rec", "idx")
+        hits = _per_recording(ds, channel, kernel)
+        return replace(ds, samples=hits.withColumn("markers", _with_marker(F.col("_y") == 1, channel, overwrite)).drop("_y"))
     return _marked(ds, found, channel, overwrite)
 
 
+def _with_marker(hit: Column, channel: str, overwrite: bool) -> Column:
+    before = F.array_remove("markers", channel) if overwrite else F.col("markers")
+    return F.when(hit, F.array_append(before, F.lit(channel))).otherwise(before)
+
+
 def _marked(ds: Dataset, found: DataFrame, channel: str, overwrite: bool) -> Dataset:
-    own = ds.samples.withColumn("markers", F.array_remove("markers", channel)) if overwrite else ds.samples
-    joined = own.join(found.distinct().withColumn("_hit", F.lit(True)), ["rec", "idx"], "left")
-    return replace(ds, samples=joined.withColumn("markers", F.when(F.col("_hit"), F.array_append("markers", F.lit(channel))).otherwise(F.col("markers"))).drop("_hit"))
+    joined = ds.samples.join(found.distinct().withColumn("_hit", F.lit(True)), ["rec", "idx"], "left")
+    return replace(ds, samples=joined.withColumn("markers", _with_marker(F.col("_hit"), channel, overwrite)).drop("_hit"))
 
 
 def tangents(ds: Dataset, channel: str, max_index: str, min_index: str) -> Dataset:
