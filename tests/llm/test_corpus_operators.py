@@ -125,6 +125,17 @@ def test_toxicity_without_labels(spark, edge_docs, empty_docs):
     assert toxicity.score(empty_docs, toxicity.fit(empty_docs, none)).collect() == []
 
 
+def test_edges_under_a_fitted_model(edge_docs, empty_docs):
+    model = toxicity.Model({"passage": 3.0}, [-2.0, 1.0, 1.0, -1.0, 0.5, 0.5, 0.1, 0.1])
+    assert toxicity.score(empty_docs, model).collect() == [] and toxicity.drop_toxic(empty_docs, model).collect() == []
+    rows = toxicity.score(edge_docs, model).collect()
+    texts = edge_docs.collect()
+    assert Counter(r["doc_id"] for r in rows) == Counter(r["doc_id"] for r in texts) and all(0 <= r["score"] <= 1 for r in rows)
+    kept = toxicity.drop_toxic(edge_docs, model)
+    assert kept.columns == edge_docs.columns
+    assert Counter(r["text"] for r in kept.collect()) == Counter(r["text"] for r in texts if "passage" not in (r["text"] or ""))
+
+
 def test_quoted_and_misspelled():
     hits = toxicity.worker_hits({"scoundrel": 3.0})
     names = toxicity.FEATURES
