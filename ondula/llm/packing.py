@@ -76,10 +76,10 @@ def combinations(histogram: dict[int, int], window: int = WINDOW) -> np.ndarray:
     return np.stack([present[i], present[1 + j], c[i, j]], axis=1).reshape(-1, 3)
 
 
-def solve(histogram: dict[int, int], combos: np.ndarray, tolerance: float = 1e-5, rounds: int = 5_000) -> tuple[np.ndarray, float]:
+def solve(histogram: dict[int, int], combos: np.ndarray, tolerance: float = 2e-3, rounds: int = 1_000) -> tuple[np.ndarray, float]:
     """Repeat counts x >= 0 with small |A x - h|, by multiplicative steps (A and h have no negative entries, so every step lowers the norm); and |A x - h| / |h|.
 
-    The steps end when a hundred of them lower the norm by less than `tolerance` of |h|. What is not covered is packed greedily, so a residual costs padding only.
+    The steps end when fifty of them lower the norm by less than `tolerance` of |h|. What is not covered is packed greedily, so a residual costs padding only.
     """
     size = int(combos.max(initial=0)) + 1
     h = np.zeros(max(size, max(histogram, default=0) + 1))
@@ -87,13 +87,18 @@ def solve(histogram: dict[int, int], combos: np.ndarray, tolerance: float = 1e-5
     h[0] = 0.0
     flat = combos.ravel()
     back = lambda v: v[combos].sum(axis=1)
-    there = lambda x: np.bincount(flat, np.where(flat > 0, np.repeat(x, 3), 0.0), len(h))
+
+    def there(x: np.ndarray) -> np.ndarray:
+        covered = np.bincount(flat, np.repeat(x, 3), len(h))
+        covered[0] = 0.0
+        return covered
+
     wanted = back(h)
     x = np.full(len(combos), h.sum() / max(1, 3 * len(combos)))
     norm, before, left = max(float(np.linalg.norm(h)), 1e-300), np.inf, 1.0
     for k in range(rounds if len(combos) else 0):
         covered = there(x)
-        if k % 100 == 0:
+        if k % 50 == 0:
             left = float(np.linalg.norm(covered - h)) / norm
             if before - left < tolerance:
                 break
