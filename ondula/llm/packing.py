@@ -16,6 +16,7 @@ windows. An empty table gives no rows. Other columns are ignored.
 from __future__ import annotations
 
 import logging
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -28,13 +29,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ondula.llm.common import arrow_map, documents, slices, written
-from ondula.llm.tokens import default_path, worker_encoder
+from ondula.llm.common import arrow_map, documents, keep, slices, written
+from ondula.llm.tokens import default_path, library_ids, rank_encoder
 
 log = logging.getLogger("ondula")
 
 WINDOW = 1024
 END_ID = 0
+#: Texts with such runs go to the tokenizers library; the encoder of the others has limits there.
+_LONG_RUN = re.compile(r"\s{1000}|\S{4000}")
 #: Pieces that one packing task takes; a task's leftovers cost at most a few sequences.
 TASK_PIECES = 200_000
 
@@ -44,13 +47,13 @@ PACKED = PIECES + ", sequence_id long, offset long"
 
 def _cut(path: str, window: int, end_id: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = worker_encoder("byte", path)
+        coder, library = rank_encoder(path), keep(("library", path), lambda: library_ids(path))
         for batch in slices(batches):
             rows: tuple[list, ...] = ([], [], [], [], [])
-            flat, lengths = coder([t or "" for t in batch.column("text").to_pylist()])
-            ends = np.cumsum(lengths)
-            for doc, a, b in zip(batch.column("doc_id").to_pylist(), (ends - lengths).tolist(), ends.tolist(), strict=True):
-                ids = np.append(flat[a:b], end_id).astype("<u4")
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                text = text or ""
+                own_ids = library([text]).flat if _LONG_RUN.search(text) else coder.encode_to_numpy(text, allowed_special="all")
+                ids = np.append(own_ids, end_id).astype("<u4")
                 for start in range(0, len(ids), window):
                     own = ids[start : start + window]
                     for column, value in zip(rows, (doc, start, len(own), zlib.crc32(own.tobytes()), len(ids)), strict=True):
