@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from ondula.functions import carried
+
 
 def butterworth(order: int, cut: list[float], kind: str, rate: float) -> tuple[np.ndarray, np.ndarray]:
     """Numerator and denominator of a digital Butterworth filter: analog prototype, frequency transform, bilinear map."""
@@ -38,83 +40,35 @@ def butterworth(order: int, cut: list[float], kind: str, rate: float) -> tuple[n
     return np.real(gain * np.poly(digital)), np.real(np.poly((4 + poles) / (4 - poles)))
 
 
-def _linear(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: float, x: np.ndarray, state: np.ndarray, length: int = 256) -> np.ndarray:
-    """y[i] = c s[i] + d x[i] with s[i + 1] = a s[i] + b x[i], in blocks: only the states at block starts follow each other one by one."""
-    powers = [np.eye(len(a))]
-    for _ in range(length):
-        powers.append(powers[-1] @ a)
-    answer = np.array([d, *(c @ powers[k] @ b for k in range(length - 1))])
-    lag = np.subtract.outer(np.arange(length), np.arange(length))
-    inside = np.where(lag >= 0, answer[np.abs(lag)], 0.0)
-    blocks = np.append(x, np.zeros(-len(x) % length)).reshape(-1, length)
-    drive = blocks @ np.array([powers[length - 1 - k] @ b for k in range(length)])
-    states = np.empty((len(blocks), len(a)))
-    for k in range(len(blocks)):
-        states[k] = state
-        state = powers[length] @ state + drive[k]
-    return (blocks @ inside.T + states @ np.array([c @ powers[k] for k in range(length)]).T).reshape(-1)[: len(x)]
-
-
-def _recursive(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
-    """A digital filter from a state of the transposed direct form."""
-    n = len(state)
-    step = np.eye(n, k=1)
-    step[:, 0] -= a[1:]
-    return _linear(step, b[1:] - a[1:] * b[0], np.eye(n)[0], b[0], x, np.asarray(state, float))
+def zero_phase(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Forward and backward filtering of a whole recording over an odd extension, from steady states."""
+    own = carried.zero_phase(tuple(b), tuple(a))
+    return own.finish(0, x, own.carried([0], [len(x)], [np.array(own.summary(0, x))])[0])
 
 
-def zero_phase(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Forward and backward filtering over an odd extension, from steady states."""
-    n = max(len(a), len(b))
-    b, a = np.append(b, np.zeros(n - len(b))) / a[0], np.append(a, np.zeros(n - len(a))) / a[0]
-    pad = 3 * n
-    if len(x) <= pad:
-        raise ValueError(f"a recording of {len(x)} samples is too short for this filter")
-    companion = np.eye(n - 1) - np.vstack([-a[1:], np.eye(n - 2, n - 1)]).T
-    steady = np.linalg.solve(companion, b[1:] - a[1:] * b[0])
-    wide = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
-    once = _recursive(b, a, wide, steady * wide[0])[::-1]
-    return _recursive(b, a, once, steady * once[0])[::-1][pad:-pad]
-
-
-def savgol(x: np.ndarray, window: int, order: int) -> np.ndarray:
-    """Local polynomial smoothing; the ends take the fit of the first and last window."""
+def savgol(x: np.ndarray, window: int, order: int, ends: tuple[bool, bool] = (True, True)) -> np.ndarray:
+    """Local polynomial smoothing; a recording's ends take the fit of its first and last window, ends that are none are NaN."""
     if window > len(x) or order >= window or window < 1:
         raise ValueError(f"window {window} does not fit {len(x)} samples and order {order}")
     half = window // 2
     places = np.arange(-half, window - half) + (0.5 if window % 2 == 0 else 0.0)
     weights = np.linalg.pinv(np.vander(places, order + 1, increasing=True))[0]
-    out = np.convolve(x, weights[::-1], mode="valid")
-    head, tail = (np.polyfit(np.arange(window), part, order) for part in (x[:window], x[-window:]))
-    before = np.polyval(head, np.arange(half))
-    after = np.polyval(tail, np.arange(window - (len(x) - half - len(out)), window))
-    return np.concatenate([before, out, after])
-
-
-def kalman(x: np.ndarray, q: float = 0.1, r: float = 0.1, start: float = 1000.0) -> np.ndarray:
-    """Positions of a constant-velocity model with unit steps and white-noise acceleration of variance q.
-
-    The gains do not depend on the data; once they have settled, what is left is a linear filter.
-    """
-    position, speed = float(x[0]), 0.0
-    p00, p01, p11 = start, 0.0, start
-    out, k0, k1 = np.empty(len(x)), 0.0, 0.0
-    for i, value in enumerate(np.asarray(x, float).tolist()):
-        p00, p01, p11 = p00 + 2 * p01 + p11 + q / 4, p01 + p11 + q / 2, p11 + q
-        before = (k0, k1)
-        k0, k1 = p00 / (p00 + r), p01 / (p00 + r)
-        if abs(k0 - before[0]) + abs(k1 - before[1]) < 1e-15:
-            step = np.array([[1 - k0, 1 - k0], [-k1, 1 - k1]])
-            out[i:] = _linear(step, np.array([k0, k1]), step[0], k0, np.asarray(x[i:], float), np.array([position, speed]))
-            break
-        position += speed
-        miss = value - position
-        position, speed = position + k0 * miss, speed + k1 * miss
-        p00, p01, p11 = (1 - k0) * p00, (1 - k0) * p01, p11 - k1 * p01
-        out[i] = position
+    out = np.full(len(x), np.nan)
+    out[half : half + len(x) - window + 1] = np.convolve(x, weights[::-1], mode="valid")
+    if ends[0]:
+        out[:half] = np.polyval(np.polyfit(np.arange(window), x[:window], order), np.arange(half))
+    if ends[1]:
+        first = half + len(x) - window + 1
+        out[first:] = np.polyval(np.polyfit(np.arange(window), x[-window:], order), np.arange(window - (len(x) - first), window))
     return out
 
 
+def kalman(x: np.ndarray) -> np.ndarray:
+    """Positions of a constant-velocity model over a whole recording."""
+    own = carried.kalman()
+    return own.finish(0, np.asarray(x, float), np.array([float(x[0]), 0.0]))
+
+
 def local_maxima(x: np.ndarray) -> np.ndarray:
     """Strict maxima; a plateau counts at its middle; ends do not count."""
     if len(x) < 3:

@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ondula.dataset import Dataset, PipelineError, by_time, quoted, whole
-from ondula.functions import kernels
+from ondula.functions import carried, kernels
 from ondula.functions.duration import duration
-
+from ondula.operators import chunks
 
 
 def to_here() -> WindowSpec:
@@ -159,20 +159,23 @@ def filtered(ds: Dataset, function: str, source: str, out: str | None = None, po
     if function == "SLIDING_STANDARD":
         rates = {r: duration(time).count(r) for r in ds.sampling_rates()}
         return ds.with_samples(standardised(ds.samples, source, out, rates), out)
-    size = (lambda fs: window) if isinstance(window, int) else (lambda fs: duration(window).count(fs))
     if function == "SAVGOL":
-        kernel = lambda v, fs: kernels.savgol(v, size(fs), power)
-    elif function == "KALMAN":
-        kernel = lambda v, fs: kernels.kalman(v)
+        size = (lambda fs: window) if isinstance(window, int) else duration(window).count
+        halo = max((size(rate) for rate in ds.sampling_rates()), default=1)
+        smoothed = chunks.haloed(ds.samples, source, halo, halo, lambda v, fs, ends: kernels.savgol(v, size(fs), power, ends))
+        return ds.with_samples(smoothed.drop(out).withColumnRenamed("_y", out), out)
+    if function == "KALMAN":
+        make = lambda fs: carried.kalman()
     elif function == "BUTTERWORTH":
+        kind = {"lowpass": "low", "highpass": "high"}.get(ftype, ftype)
 
-        def kernel(v: np.ndarray, fs: float) -> np.ndarray:
-            y = kernels.zero_phase(*kernels.butterworth(power, frequency, {"lowpass": "low", "highpass": "high"}.get(ftype, ftype), fs), v)
-            return v if np.isnan(y).any() else y
+        def make(fs: float) -> carried.Filter:
+            b, a = kernels.butterworth(power, frequency, kind, fs)
+            return carried.zero_phase(tuple(b), tuple(a))
 
     else:
         raise PipelineError(f"unknown filter {function!r}")
-    return ds.with_samples(_per_recording(ds, source, kernel).drop(out).withColumnRenamed("_y", out), out)
+    return ds.with_samples(chunks.scanned(ds.samples, source, make).drop(out).withColumnRenamed("_y", out), out)
 
 
 # events
@@ -285,35 +288,64 @@ def aligned(ds: Dataset, other: Dataset, source: str, change: str, out: str | No
 def resampled(ds: Dataset, frequency: float | None = None, length: int | None = None, rates: DataFrame | None = None) -> Dataset:
     """All channels of every recording on a new number of samples, by monotone cubics over forward-filled values.
 
-    Markers and comments move with their samples to the nearest new one (halves to even); the last to arrive stays. rates: (filename, rate) to go by instead of
-    one frequency; a recording without one keeps its own.
+    Each sample makes the new places up to the next one, from slopes by lag and lead; chunks of a recording lend each other their edges and carry its length and last known values.
+    A marker moves to the nearest new place (halves to even), where the last sample's markers stay, also if it has none; of comments the last to arrive stays, and
+    when a recording gets shorter its last place takes none. rates: (filename, rate) to go by instead of one frequency; a recording without one keeps its own.
     """
-    names, kind = list(ds.channels), ds.samples.schema["rec"].dataType.simpleString()
-
-    def work(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("idx")
-        n, fs, to = len(frame), float(frame["frequency"].iloc[0]), float(frame["_rate"].iloc[0])
-        new = int(length) if np.isnan(to) else int((n - 1) / fs * to) + 1
-        out = {"rec": np.repeat(frame["rec"].iloc[0], new), "filename": np.repeat(frame["filename"].iloc[0], new), "idx": np.arange(new), "frequency": np.full(new, fs * new / n if np.isnan(to) else to)}
-        place = np.minimum(np.rint(frame["idx"].to_numpy(np.int64) * new / n).astype(np.int64), new - 1)
-        notes, said = np.full(new, "", object), frame["comment"].to_numpy(object)
-        spoken = np.array([bool(c) for c in said])
-        notes[place[spoken]] = said[spoken]
-        marks = np.empty(new, object)
-        marks[:] = [[]] * new
-        for k, m in zip(place, frame["markers"]):
-            marks[k] = m
-        out |= {"comment": notes, "markers": marks}
-        for i in range(len(names)):
-            v = frame[f"x{i}"].replace([np.inf, -np.inf], np.nan).ffill().fillna(0.0).to_numpy(float)
-            out[f"x{i}"] = kernels.pchip(np.linspace(0, 1, n), v, np.linspace(0, 1, new)) if n > 1 else np.full(new, v[0])
-        return pd.DataFrame(out)
-
     samples = ds.samples if rates is None else ds.samples.join(rates, "filename", "left")
     rate = F.lit(float(frequency) if frequency else None).cast("double") if rates is None else F.coalesce("rate", "frequency").cast("double")
-    picked = samples.select("rec", "filename", "idx", "frequency", "comment", "markers", rate.alias("_rate"), *[quoted(c).alias(f"x{i}") for i, c in enumerate(names)])
-    made = picked.groupBy("rec").applyInPandas(work, f"rec {kind}, filename string, idx long, frequency double, comment string, markers array<string>" + "".join(f", x{i} double" for i in range(len(names))))
-    return replace(ds, samples=made.withColumnsRenamed({f"x{i}": c for i, c in enumerate(names)}), rates=(float(frequency),) if frequency else None)
+    known = {f"_x{i}": F.when(~F.isnan(quoted(c)) & (F.abs(quoted(c)) < float("inf")), quoted(c)) for i, c in enumerate(ds.channels)}
+    picked = samples.select("rec", "filename", "idx", "frequency", "comment", "markers", rate.alias("_rate"), *[v.alias(k) for k, v in known.items()])
+    rows = chunks.joined_up(picked, list(known), before=1, after=2)
+    n, fs, to = F.col("_n"), F.col("frequency"), F.col("_rate")
+    new = F.coalesce(F.floor((n - 1) / fs * to).cast("long") + 1, F.lit(length).cast("long"))
+    rows = rows.withColumns({"_new": new, "frequency": F.coalesce(to, fs * F.lit(length) / n)})
+    new = F.col("_new")
+
+    # samples
+
+    order = chunks.own_order()
+    cubic = {}
+    for k in known:
+        x, before, after, second = F.coalesce(k, F.lit(0.0)), F.lag(F.coalesce(k, F.lit(0.0))).over(order), F.lead(F.coalesce(k, F.lit(0.0))).over(order), F.lead(F.coalesce(k, F.lit(0.0)), 2).over(order)
+        cubic[k] = F.struct(x.alias("x"), after.alias("y"), (after - x).alias("s"), (x - before).alias("p"), (second - after).alias("q"))
+    spans = rows.withColumns(cubic).filter("_own")
+    i = F.col("idx")
+    first = F.when(new == 1, F.lit(0)).otherwise(F.expr("(idx * (_new - 1) + _n - 2) div (_n - 1)"))
+    last = F.when(new == 1, -i).when(i == n - 2, new - 1).otherwise(F.expr("((idx + 1) * (_new - 1) + _n - 2) div (_n - 1)") - 1)
+    places = F.when(n == 1, F.sequence(F.lit(0).cast("long"), new - 1)).when((i < n - 1) & (first <= last), F.sequence(first.cast("long"), last.cast("long")))
+    made = spans.withColumn("_j", F.explode(places))
+    u = F.when((n == 1) | (new == 1), F.lit(0.0)).otherwise(F.col("_j") * (n - 1) / (new - 1) - i)
+    made = made.withColumn("_u", u.cast("double")).select("rec", "filename", F.col("_j").alias("idx"), "frequency", *[_cubic(k, F.col("_u")).alias(c) for k, c in zip(known, ds.channels, strict=True)])
+
+    # markers and comments
+
+    share = F.when(n > 1, (new - 1) / F.greatest(n - 1, F.lit(1))).otherwise(F.lit(0.0))
+    place = lambda k: F.rint(k * share).cast("long")
+    room = F.greatest(F.lit(1), F.least(new, F.floor(n * share)))
+    stays = (place(i + 1) != place(i)) | (i == n - 1)
+    told = rows.filter("_own").select("rec", "idx", place(i).alias("_at"), F.least(place(i), room - 1).cast("long").alias("_said"), F.when(stays, F.col("markers")).alias("markers"), "comment")
+    notes = told.select("rec", "idx", F.explode(F.array(F.struct(F.col("_at").alias("at"), "markers", F.lit("").alias("comment")), F.struct(F.col("_said").alias("at"), F.lit(None).cast("array<string>").alias("markers"), "comment"))).alias("t"))
+    notes = notes.filter((F.size("t.markers") > 0) | (F.col("t.comment") != "")).groupBy("rec", F.col("t.at").alias("idx"))
+    notes = notes.agg(F.max_by("t.comment", F.when(F.col("t.comment") != "", F.col("idx"))).alias("comment"), F.max_by("t.markers", F.when(F.size("t.markers") > 0, F.col("idx"))).alias("markers"))
+    done = made.join(notes, ["rec", "idx"], "left")
+    done = done.withColumns({"comment": F.coalesce("comment", F.lit("")), "markers": F.coalesce("markers", F.array().cast("array<string>"))})
+    return replace(ds, samples=done.select("rec", "filename", "idx", "frequency", "comment", "markers", *[quoted(c) for c in ds.channels]), rates=(float(frequency),) if frequency else None)
+
+
+def _cubic(k: str, u: Column) -> Column:
+    """The monotone cubic at u between a sample x and the next, y; s, p, q are the steps to the next, from the one before, and from the next to the one after."""
+    x, y, s, p, q = (F.col(f"{k}.{part}") for part in "xyspq")
+
+    def inner(a: Column, b: Column) -> Column:
+        return F.when(a * b > 0, 2 * a * b / (a + b)).otherwise(F.lit(0.0))
+
+    def end(near: Column, far: Column) -> Column:
+        value = (3 * near - far) / 2
+        return F.when(far.isNull(), near).when(F.signum(value) != F.signum(near), F.lit(0.0)).when((F.signum(near) != F.signum(far)) & (F.abs(value) > 3 * F.abs(near)), 3 * near).otherwise(value)
+
+    d0, d1 = F.when(p.isNull(), end(s, q)).otherwise(inner(p, s)), F.when(q.isNull(), end(s, p)).otherwise(inner(s, q))
+    return F.coalesce(x * (1 + 2 * u) * (1 - u) * (1 - u) + d0 * u * (1 - u) * (1 - u) + y * u * u * (3 - 2 * u) + d1 * u * u * (u - 1), x)
 
 
 def per_batch(kernel: Callable[..., list]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:

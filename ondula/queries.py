@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ondula.dataset import Dataset, quoted
+from ondula.functions import carried, kernels
 from ondula.operators import cycles as cyc
 from ondula.operators import samples as smp
 from ondula.plans.pipeline import run
@@ -218,7 +219,29 @@ _FITS = {0: (31, 9, -3, -5, 3), 1: (9, 13, 12, 6, -5)}  # a parabola through fiv
 _AHEAD, _BACK = (lambda w, f=f, to=to: " + ".join(f"{c} * {f}(x, {k}) OVER o" for c, k in zip(w, to)) for f, to in (("lead", (0, 1, 2, 3, 4)), ("lag", (0, 1, 2, 3, 4))))
 query("filter_savgol", f"WITH {S} SELECT rec, idx, round((CASE idx WHEN 0 THEN {_AHEAD(_FITS[0])} WHEN 1 THEN {' + '.join(f'{c} * lead(x, {k}) OVER o' for c, k in zip(_FITS[1], (-1, 0, 1, 2, 3)))} WHEN n - 1 THEN {_BACK(_FITS[0])} WHEN n - 2 THEN {' + '.join(f'{c} * lag(x, {k}) OVER o' for c, k in zip(_FITS[1], (-1, 0, 1, 2, 3)))} "
       "ELSE -3 * lag(x, 2) OVER o + 12 * lag(x) OVER o + 17 * x + 12 * lead(x) OVER o - 3 * lead(x, 2) OVER o END) / 35, 6) AS y FROM s WINDOW o AS (PARTITION BY rec ORDER BY idx)")(lambda ds: sampled(smp.filtered(ds, "savgol", "VALUE", "K", window=5, power=2), "K"))
-query("filter_butterworth", None)(lambda ds: sampled(smp.filtered(ds, "butterworth", "VALUE", "K", power=2, frequency=2, ftype="low"), "K"))
+
+
+def zero_phase_sql(b: list[float], a: list[float], steady: list[float]) -> str:
+    """A filter of second order over the odd extension of s, forward (f) and back (g), sample by sample."""
+    (b0, b1, b2), (_, a1, a2), (z1, z2) = ([f"CAST({v!r} AS DOUBLE)" for v in values] for values in (b, a, steady))
+    pad = 9
+
+    def once(name: str, source: str, first: str, there: str) -> str:
+        y = f"({b0} * e.x + p.z1)"
+        return (
+            f"{name} AS (SELECT rec, n, CAST(-1 AS BIGINT) AS k, CAST(0 AS DOUBLE) AS x, {z1} * x AS z1, {z2} * x AS z2 FROM {source} WHERE k = {first} UNION ALL "
+            f"SELECT e.rec, e.n, p.k + 1, {y}, {b1} * e.x - {a1} * {y} + p.z2, {b2} * e.x - {a2} * {y} FROM {name} p JOIN {source} e ON e.rec = p.rec AND e.k = {there})"
+        )
+
+    return (
+        f"h AS (SELECT rec, max(CASE WHEN idx = 0 THEN x END) AS first, max(CASE WHEN idx = n - 1 THEN x END) AS last FROM s GROUP BY rec), e0 AS (SELECT rec, n, idx + {pad} AS k, x FROM s UNION ALL SELECT rec, n, {pad} - idx, 2 * first - x FROM s JOIN h USING (rec) WHERE idx BETWEEN 1 AND {pad} "
+        f"UNION ALL SELECT rec, n, {pad} + 2 * (n - 1) - idx, 2 * last - x FROM s JOIN h USING (rec) WHERE idx BETWEEN n - 1 - {pad} AND n - 2), "
+        f"{once('f', 'e0', '0', 'p.k + 1')}, e1 AS (SELECT * FROM f WHERE k >= 0), {once('g', 'e1', f'n + {2 * pad - 1}', f'p.n + {2 * pad - 2} - p.k')} SELECT rec, n + {pad - 1} - k AS idx, round(x, 6) AS y FROM g WHERE k BETWEEN {pad} AND n + {pad - 1}"
+    )
+
+
+_B, _A = kernels.butterworth(2, 2.0, "low", 10.0)
+query("filter_butterworth", f"WITH RECURSIVE {S}, {zero_phase_sql(_B.tolist(), _A.tolist(), carried.zero_phase(tuple(_B), tuple(_A)).steady.tolist())}")(lambda ds: sampled(smp.filtered(ds, "butterworth", "VALUE", "K", power=2, frequency=2, ftype="low"), "K"))
 
 
 def marked(ds: Dataset, channel: str) -> DataFrame:
@@ -292,6 +315,13 @@ query(
     "t AS (SELECT rec, wave_no, n, j, j * (n - 1) / CAST(11 AS DOUBLE) AS t FROM (SELECT DISTINCT rec, wave_no, n FROM x WHERE n > 1), range(0, 12) AS g(j)), "
     f"{pchip_sql('x', 't', 'rec, wave_no')}, v AS (SELECT rec, wave_no, list(y ORDER BY j) AS v FROM r GROUP BY ALL UNION ALL SELECT rec, wave_no, list_transform(range(0, 12), lambda j: j / CAST(11 AS DOUBLE)) FROM c0 WHERE len(v) < 2) {listed_sql('v')}",
 )(lambda ds: listed(cyc.interpolated(cut_up(ds), "V", length=12, out="I"), "I"))
+_SHARE = "(k - 1) / CAST(n - 1 AS DOUBLE)"
+query(
+    "interp_markers",
+    f"WITH {S}, m AS (SELECT *, CAST(floor((n - 1) / CAST(10 AS DOUBLE) * 4) AS BIGINT) + 1 AS k FROM s WHERE n > 1), p AS (SELECT *, CAST(round_even(idx * {_SHARE}, 0) AS BIGINT) AS place, greatest(1, least(k, CAST(floor(n * {_SHARE}) AS BIGINT))) AS room FROM m), "
+    "t AS (SELECT rec, idx, c, place, least(place, room - 1) AS said FROM p), a AS (SELECT rec, place AS idx, max_by(c, idx) AS markers FROM t GROUP BY 1, 2), b AS (SELECT rec, said AS idx, max_by(c, idx) AS comment FROM t GROUP BY 1, 2), "
+    "g AS (SELECT DISTINCT rec, unnest(range(0, k)) AS idx FROM m UNION SELECT rec, 0 FROM s WHERE n = 1), o AS (SELECT rec, idx, markers, comment FROM a FULL JOIN b USING (rec, idx) UNION ALL SELECT rec, 0, c, c FROM s WHERE n = 1) SELECT rec, idx, coalesce(markers, '') AS markers, coalesce(comment, '') AS comment FROM g LEFT JOIN o USING (rec, idx)",
+)(lambda ds: smp.resampled(ds, frequency=4.0).samples.select("rec", "idx", F.array_join("markers", ",").alias("markers"), "comment"))
 query(
     "interp_recording",
     f"WITH {S}, m AS (SELECT rec, n, CAST(floor((n - 1) / CAST(10 AS DOUBLE) * 25) AS BIGINT) + 1 AS k FROM s WHERE idx = 0), t AS (SELECT rec, n, j, j * (n - 1) / CAST(k - 1 AS DOUBLE) AS t FROM m, LATERAL (SELECT unnest(range(0, k)) AS j)), "

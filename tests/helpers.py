@@ -1,4 +1,21 @@
-"""Comparison of Spark's rows with DuckDB's."""
+"""Literal recordings, and comparison of Spark's rows with DuckDB's."""
+
+from ondula.dataset import Dataset
+
+SAMPLE = "rec long, filename string, idx long, frequency double, comment string, markers array<string>, X double"
+
+
+def recordings(spark, values, markers=None, comments=None, rate=10.0):
+    """A recording for each list of values, numbered from 1; markers and comments by index, for each recording."""
+    rows = []
+    for k, own in enumerate(values):
+        marks, notes = markers[k] if markers else {}, comments[k] if comments else {}
+        rows += [(k + 1, "one" if k == 0 else f"file{k}", i, rate, notes.get(i, ""), marks.get(i, []), float(v)) for i, v in enumerate(own)]
+    return Dataset(spark.createDataFrame(rows, SAMPLE), ("X",))
+
+
+def recording(spark, values, markers=None, comments=None, rate=10.0):
+    return recordings(spark, [values], [markers or {}], [comments or {}], rate)
 
 
 def plain(value):

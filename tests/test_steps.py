@@ -9,14 +9,7 @@ from ondula.operators import samples as smp
 from ondula.plans.pipeline import run
 from ondula.sources import readers, writers
 from ondula.streaming.live import live_cycles
-
-SAMPLE = "rec long, filename string, idx long, frequency double, comment string, markers array<string>, X double"
-
-
-def recording(spark, values, markers=None, comments=None, rate=10.0):
-    rows = [(1, "one", i, rate, (comments or {}).get(i, ""), (markers or {}).get(i, []), float(v)) for i, v in enumerate(values)]
-    return Dataset(spark.createDataFrame(rows, SAMPLE), ("X",))
-
+from tests.helpers import SAMPLE, recording
 
 def cycles(ds, channel):
     return [r["values"] for r in ds.cycles(channel).orderBy("wave_no").collect()]
@@ -160,7 +153,7 @@ def test_resampling_takes_each_file_to_its_own_rate(spark):
 def test_resampling_moves_markers_and_comments(spark):
     ds = smp.resampled(recording(spark, range(11), {3: ["M"], 10: ["N"]}, {4: "HERE"}), frequency=20.0)
     rows = ds.samples.orderBy("idx").collect()
-    assert len(rows) == 21 and {r["idx"]: r["markers"] for r in rows if r["markers"]} == {6: ["M"], 19: ["N"]}
+    assert len(rows) == 21 and {r["idx"]: r["markers"] for r in rows if r["markers"]} == {6: ["M"], 20: ["N"]}
     assert {r["idx"]: r["comment"] for r in rows if r["comment"]} == {8: "HERE"}
 
 
