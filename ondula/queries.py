@@ -315,7 +315,7 @@ query(
     "t AS (SELECT rec, wave_no, n, j, j * (n - 1) / CAST(11 AS DOUBLE) AS t FROM (SELECT DISTINCT rec, wave_no, n FROM x WHERE n > 1), range(0, 12) AS g(j)), "
     f"{pchip_sql('x', 't', 'rec, wave_no')}, v AS (SELECT rec, wave_no, list(y ORDER BY j) AS v FROM r GROUP BY ALL UNION ALL SELECT rec, wave_no, list_transform(range(0, 12), lambda j: j / CAST(11 AS DOUBLE)) FROM c0 WHERE len(v) < 2) {listed_sql('v')}",
 )(lambda ds: listed(cyc.interpolated(cut_up(ds), "V", length=12, out="I"), "I"))
-_SHARE = "(k - 1) / CAST(n - 1 AS DOUBLE)"
+_SHARE = "((k - 1) / CAST(n - 1 AS DOUBLE))"
 query(
     "interp_markers",
     f"WITH {S}, m AS (SELECT *, CAST(floor((n - 1) / CAST(10 AS DOUBLE) * 4) AS BIGINT) + 1 AS k FROM s WHERE n > 1), p AS (SELECT *, CAST(round_even(idx * {_SHARE}, 0) AS BIGINT) AS place, greatest(1, least(k, CAST(floor(n * {_SHARE}) AS BIGINT))) AS room FROM m), "
