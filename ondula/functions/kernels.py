@@ -132,19 +132,24 @@ def widths(x: np.ndarray, peaks: np.ndarray, share: float) -> np.ndarray:
     return out
 
 
+def apart(places: np.ndarray, heights: np.ndarray, distance: int) -> np.ndarray:
+    """Which ascending places stay when the highest goes first (of equals the last) and removes all that are closer than `distance`."""
+    keep = np.ones(len(places), bool)
+    for k in np.argsort(heights, kind="stable")[::-1]:
+        if keep[k]:
+            a, b = np.searchsorted(places, places[k] - distance, side="right"), np.searchsorted(places, places[k] + distance)
+            keep[a:k] = False
+            keep[k + 1 : b] = False
+    return keep
+
+
 def find_peaks(x: np.ndarray, height: float = 0, distance: int = 1, prominence: float = 0) -> np.ndarray:
     """Maxima of at least `height`, then the highest of those closer than `distance`, then of at least `prominence`; 0 asks for nothing."""
     peaks = local_maxima(x)
     if height:
         peaks = peaks[x[peaks] >= height]
     if distance > 1:
-        keep = np.ones(len(peaks), bool)
-        for k in np.argsort(x[peaks], kind="stable")[::-1]:
-            if keep[k]:
-                a, b = np.searchsorted(peaks, peaks[k] - distance, side="right"), np.searchsorted(peaks, peaks[k] + distance)
-                keep[a:k] = False
-                keep[k + 1 : b] = False
-        peaks = peaks[keep]
+        peaks = peaks[apart(peaks, x[peaks], distance)]
     if prominence:
         peaks = peaks[prominences(x, peaks)[0] >= prominence]
     return peaks

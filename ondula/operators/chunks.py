@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ondula.functions import crests, kernels
 from ondula.functions.carried import Filter
 
 #: Samples of a chunk.
@@ -167,3 +168,83 @@ def joined_up(samples: DataFrame, fill: list[str], before: int, after: int, size
     until = own_order().rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({"_n": F.max("_n").over(until), **{c: F.last(c, ignorenulls=True).over(until) for c in fill}})
     return rows.filter("idx >= 0").withColumn("_own", F.col("_home") == F.col("_chunk")).drop("_home")
+
+
+def _split(stack: crests.Walls) -> list[pa.Array]:
+    """Heights and lows of walls, each as an array of one list."""
+    return [pa.array([[w[k] for w in stack]], pa.list_(pa.float64())) for k in (0, 1)]
+
+
+def _joined(row: dict, side: str) -> crests.Walls:
+    return list(zip(row[f"{side}_heights"], row[f"{side}_lows"], strict=True))
+
+
+_WALLS = ("left_heights", "left_lows", "right_heights", "right_lows")
+
+
+def crested(samples: DataFrame, source: str, sign: float, prominence: bool, size: int | None = None) -> DataFrame:
+    """The samples with a column _y: of a maximum (sign -1: minimum) its prominence, or infinity if that is not asked for; null for other samples.
+
+    As `scanned`: chunks tell their borders and walls, one small row for each chunk of a recording carries them along it, and each chunk finds its own peaks.
+    """
+    parts = chunked(samples, size)
+    slim = parts.select("rec", "_chunk", "idx", (F.col(f"`{source}`").cast("double") * sign).alias("_x"))
+    lists = ", ".join(f"{w} array<double>" for w in _WALLS)
+
+    def tell(group: pa.Table) -> pa.Table:
+        t = crests.tell(doubles(group.column("_x")))
+        walls = dict(zip(_WALLS, [*_split(t.left), *_split(t.right)], strict=True))
+        rest = {"start": pa.array([group.column("idx")[0].as_py()], pa.int64()), "n": pa.array([group.num_rows], pa.int64()), "edges": pa.array([t.edges], pa.list_(pa.float64())), "rests": pa.array([[t.high, t.left_rest, t.right_rest]], pa.list_(pa.float64()))}
+        return pa.table({"rec": group.column("rec")[:1], "_chunk": group.column("_chunk")[:1], **rest, **walls})
+
+    told = in_groups(slim, ("rec", "_chunk"), "idx", tell, f"{kind_of(slim, 'rec', '_chunk')}, start long, n long, edges array<double>, rests array<double>, {lists}")
+
+    def carry(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        got = crests.carry([r["start"] for r in rows], [r["n"] for r in rows], [crests.Told(r["edges"], r["rests"][0], _joined(r, "left"), r["rests"][1], _joined(r, "right"), r["rests"][2]) for r in rows])
+        walls = {w: pa.array([[x[k] for x in getattr(g, side)] for g in got], pa.list_(pa.float64())) for w, side, k in zip(_WALLS, ("left", "left", "right", "right"), (0, 1, 0, 1), strict=True)}
+        return pa.table({"rec": group.column("rec"), "_chunk": group.column("_chunk"), "crests": pa.array([g.crests for g in got], pa.list_(pa.int64())), **walls})
+
+    states = in_groups(told, ("rec",), "_chunk", carry, f"{kind_of(slim, 'rec', '_chunk')}, crests array<long>, {lists}")
+    states = states.select("rec", "_chunk", F.struct("crests", *_WALLS).alias("_state"), F.lit(-1).cast(samples.schema["idx"].dataType).alias("idx"))
+    names = samples.columns
+
+    def finish(group: pa.Table) -> pa.Table:
+        own, state = group.slice(1), group.column("_state")[0].as_py()
+        got = crests.Carried(state["crests"], _joined(state, "left"), _joined(state, "right"))
+        y = crests.crests(sign * doubles(own.column(source)), own.column("idx")[0].as_py(), got, prominence)
+        return own.select(names).append_column("_y", pa.array(y, pa.float64(), from_pandas=True))
+
+    both = parts.unionByName(states, allowMissingColumns=True)
+    return in_groups(both, ("rec", "_chunk"), "idx", finish, f"{kind_of(samples, *names)}, _y double")
+
+
+def spaced(found: DataFrame, distance: int, size: int | None = None) -> DataFrame:
+    """Of the rows (rec, idx, _h) those that stay when the highest goes first and removes all that are closer than `distance`.
+
+    A row that is the highest within the distance stays and removes its neighbours, whatever else there is; chunks see that for themselves. What is open lies between two such
+    rows, at least the distance from either, so that each such stretch is a group of its own.
+    """
+    size = max(size or CHUNK, 1)
+    parts = chunked(found.select("rec", "idx", "_h"), size).withColumn("_home", F.col("_chunk"))
+    both = parts.withColumn("_chunk", F.explode(lent_edges(2 * distance, 2 * distance, size)))
+    kind = kind_of(found, "rec")
+
+    def settle(group: pa.Table) -> pa.Table:
+        places = group.column("idx").to_numpy()
+        status = crests.dominant(places, group.column("_h").to_numpy(), distance)
+        own = pc.equal(group.column("_home"), group.column("_chunk"))
+        rows = group.append_column("_status", pa.array(status, pa.int64())).append_column("_top", pa.array(np.where(status == 1, places, 0), pa.int64(), mask=status != 1))
+        return rows.select(["rec", "idx", "_h", "_status", "_top"]).filter(own)
+
+    settled = in_groups(both, ("rec", "_chunk"), "idx", settle, f"{kind}, idx long, _h double, _status long, _top long").filter("_status <> 0")
+    stretches = joined_up(settled, ["_top"], 0, 0, size).filter("_own")
+
+    def choose(group: pa.Table) -> pa.Table:
+        free = group.filter(pc.equal(group.column("_status"), -1))
+        keep = kernels.apart(free.column("idx").to_numpy(), free.column("_h").to_numpy(), distance)
+        return free.select(["rec", "idx"]).filter(pa.array(keep))
+
+    free = stretches.filter("_status = -1").withColumn("_top", F.coalesce("_top", F.lit(-1)))
+    chosen = in_groups(free, ("rec", "_top"), "idx", choose, f"{kind}, idx long")
+    return settled.filter("_status = 1").select("rec", "idx").unionByName(chosen)

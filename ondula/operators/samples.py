@@ -11,10 +11,8 @@ from dataclasses import replace
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ondula.dataset import Dataset, PipelineError, by_time, quoted, whole
 from ondula.functions import carried, kernels
@@ -136,17 +134,6 @@ def standardised(samples: DataFrame, source: str, out: str, widths: dict[float,
     return samples.drop(out).join(done, ["rec", "idx"])
 
 
-def _per_recording(ds: Dataset, source: str, kernel: Callable[[np.ndarray, float], np.ndarray]) -> DataFrame:
-    """The samples with a column _y, a kernel of the whole recording: one Arrow group each, whose other columns pass through as they are."""
-
-    def work(table: pa.Table) -> pa.Table:
-        table = table.sort_by("idx")
-        y = kernel(table.column(source).to_numpy().astype(float), float(table.column("frequency")[0].as_py()))
-        return table.append_column("_y", pa.array(np.asarray(y, float)))
-
-    return ds.samples.groupBy("rec").applyInArrow(work, StructType([*ds.samples.schema.fields, StructField("_y", DoubleType())]))
-
-
 def filtered(ds: Dataset, function: str, source: str, out: str | None = None, power: int = 1, window: str | int = "", time: str = "", frequency=1, ftype: str = "low") -> Dataset:
     """A filtered copy of a channel: DERIVATIVE, AVERAGE, SLIDING_STANDARD, SAVGOL, BUTTERWORTH or KALMAN."""
     ds.needs(source)
@@ -181,34 +168,29 @@ def filtered(ds: Dataset, function: str, source: str, out: str | None = None, po
 # events
 
 
-def _plain_peaks(samples: DataFrame, x: Column, height: float) -> DataFrame:
-    """rec, idx of strict maxima, plateaus at their middle, by windows alone."""
-    runs = samples.select("rec", "idx", x.alias("x")).withColumn("new", (F.coalesce(F.lag("x").over(by_time()) != F.col("x"), F.lit(True))).cast("int"))
-    runs = runs.withColumn("run", F.sum("new").over(to_here())).groupBy("rec", "run").agg(F.first("x").alias("x"), F.min("idx").alias("a"), F.max("idx").alias("b"))
-    order = Window.partitionBy("rec").orderBy("run")
-    top = runs.withColumns({"l": F.lag("x").over(order), "r": F.lead("x").over(order)}).filter((F.col("l") < F.col("x")) & (F.col("r") < F.col("x")))
-    if height:
-        top = top.filter(F.col("x") >= height)
-    return top.select("rec", F.floor((F.col("a") + F.col("b")) / 2).cast("long").alias("idx"))
-
-
 def peaks(ds: Dataset, channel: str, difference: str = "", prominence: float = 0, height: float = 0, form: str = "MAX", overwrite: bool = True) -> Dataset:
-    """Marks the channel's maxima (or minima) with its name."""
+    """Marks the channel's maxima (or minima) with its name: those of at least `height`, of them the highest of those closer than `difference`, of them those of at least `prominence`."""
     ds.needs(channel)
     sign = -1.0 if form.upper() == "MIN" else 1.0
+    found = chunks.crested(ds.samples, channel, sign, bool(prominence))
+    hit = F.col("_y").isNotNull()
+    if height:
+        hit = hit & (quoted(channel) * sign >= height)
+    steep = F.col("_y") >= prominence if prominence else F.lit(True)
     apart = duration(difference)
-    if not prominence and not apart.amount:
-        found = _plain_peaks(ds.samples, quoted(channel) * sign, height)
-    else:
-
-        def kernel(v: np.ndarray, fs: float) -> np.ndarray:
-            hit = np.zeros(len(v))
-            hit[kernels.find_peaks(sign * v, height, max(1, apart.count(fs)), prominence)] = 1
-            return hit
-
-        hits = _per_recording(ds, channel, kernel)
-        return replace(ds, samples=hits.withColumn("markers", _with_marker(F.col("_y") == 1, channel, overwrite)).drop("_y"))
-    return _marked(ds, found, channel, overwrite)
+    if not apart.amount:
+        return replace(ds, samples=found.withColumn("markers", _with_marker(hit & steep, channel, overwrite)).drop("_y"))
+    high = found.filter(hit).select("rec", "idx", "frequency", (quoted(channel) * sign).alias("_h"), steep.alias("_steep"))
+    kept = None
+    for rate in ds.sampling_rates():
+        own, distance = high.filter(F.col("frequency") == rate), apart.count(rate)
+        chosen = chunks.spaced(own, distance) if distance > 1 else own.select("rec", "idx")
+        kept = chosen if kept is None else kept.unionByName(chosen)
+    if kept is None:
+        return ds
+    if prominence:
+        kept = kept.join(high.filter("_steep").select("rec", "idx"), ["rec", "idx"], "left_semi")
+    return _marked(ds, kept, channel, overwrite)
 
 
 def _with_marker(hit: Column, channel: str, overwrite: bool) -> Column:

@@ -138,3 +138,51 @@ def test_one_long_recording_is_many_groups(spark, monkeypatch):
     seen = chunks.in_groups(chunks.chunked(recording(spark, range(5000)).samples), ("rec", "_chunk"), "idx", lambda g: g.select(["idx"]).slice(0, 1).append_column("n", [[g.num_rows]]), "idx long, n long")
     rows = seen.collect()
     assert len(rows) == 100 and {r["n"] for r in rows} == {50} and sorted(r["idx"] for r in rows) == list(range(0, 5000, 50))
+
+
+def waves(seed=21):
+    """Signals with plateaus, over chunk borders too, slopes, gaps and equal peaks."""
+    rng = np.random.default_rng(seed)
+    made = [rng.integers(0, 5, 400).astype(float), np.repeat(rng.integers(0, 9, 60), rng.integers(1, 30, 60)).astype(float), rng.normal(size=300).cumsum(), np.arange(100.0), -np.arange(100.0), np.full(90, 2.0)]
+    made += [10 - np.arange(200) / 20 + np.arange(200) % 2, np.arange(200) / 20 + np.arange(200) % 2, np.tile([0.0, 3, 1, 3], 40), np.array([1.0]), np.array([1.0, 2, 1])]
+    gaps = rng.normal(size=300).round(1)
+    gaps[[0, 40, 41, 150, 299]] = np.nan
+    return [*made, gaps]
+
+
+@pytest.mark.parametrize("settings", [{}, {"prominence": 1.5}, {"difference": "600ms"}, {"difference": "2s", "height": 1.0, "prominence": 0.5}, {"form": "MIN", "prominence": 1.0, "difference": "400ms"}])
+def test_peaks_in_chunks(spark, size, settings):
+    x = waves()
+    ds = smp.peaks(recordings(spark, x), "X", **settings)
+    found = {}
+    for r in ds.samples.filter("array_contains(markers, 'X')").select("rec", "idx").collect():
+        found.setdefault(r["rec"], []).append(r["idx"])
+    sign = -1 if settings.get("form") == "MIN" else 1
+    distance = {"600ms": 6, "2s": 20, "400ms": 4}.get(settings.get("difference"), 1)
+    for k, v in enumerate(x):
+        want = plain_peaks(sign * v, settings.get("height", 0), distance, settings.get("prominence", 0))
+        assert sorted(found.get(k + 1, [])) == want, k
+
+
+def plain_peaks(x, height, distance, prominence):
+    """The definition, sample by sample."""
+    peaks = []
+    for i in range(1, len(x) - 1):
+        j = i
+        while j + 1 < len(x) and x[j + 1] == x[i]:
+            j += 1
+        if x[i - 1] < x[i] and j + 1 < len(x) and x[j + 1] < x[i]:
+            peaks.append((i + j) // 2)
+    peaks = [p for p in peaks if not height or x[p] >= height]
+    kept = []
+    for p in sorted(peaks, key=lambda p: (-x[p], -p)):
+        if all(abs(p - q) >= distance for q in kept):
+            kept.append(p)
+
+    def low(p, step):
+        least, i = x[p], p
+        while 0 <= i < len(x) and x[i] <= x[p]:
+            least, i = min(least, x[i]), i + step
+        return least
+
+    return sorted(p for p in kept if not prominence or x[p] - max(low(p, -1), low(p, 1)) >= prominence)
