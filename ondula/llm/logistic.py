@@ -5,8 +5,17 @@ from __future__ import annotations
 import numpy as np
 
 
-def fit(features: np.ndarray, labels: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> np.ndarray:
-    """Ridge-penalised weights by Newton steps; the first column is the intercept and is not penalised."""
+def fit(features: np.ndarray, labels: np.ndarray, ridge: float = 1.0, rounds: int = 40, rising: list[bool] | None = None) -> np.ndarray:
+    """Ridge-penalised weights by Newton steps; the first column is the intercept and is not penalised. Columns that are `rising` get no negative weight: the most negative leaves."""
+    if rising is not None:
+        held = np.ones(features.shape[1], bool)
+        while True:
+            weights = np.zeros(features.shape[1])
+            weights[held] = fit(features[:, held], labels, ridge, rounds)
+            wrong = np.where(rising, weights, 0.0)
+            if wrong.min() >= 0:
+                return weights
+            held[wrong.argmin()] = False
     weights = np.zeros(features.shape[1])
     penalty = np.full(features.shape[1], ridge)
     penalty[0] = 1e-6

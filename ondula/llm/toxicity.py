@@ -1,15 +1,18 @@
 """Toxicity scores: Levenshtein automata intersected with a lexicon trie, and context windows around the hits.
 
 Learning. From labelled texts each word gets the log-odds of occurring in a toxic rather than a clean text. Words enter the lexicon when the
-odds are high enough and they follow enough different words; how many are enough does not depend on the number of texts. Texts of the training sample then
-get features, and a logistic regression weighs them. The sample has at most `train_rows` rows, chosen by a hash of their ids. Copies and near copies of a text
+odds are high enough and they follow enough different words; how many are enough does not depend on the number of texts. Where a language bends one stem into many words,
+each is too rare for that; so a node of the trie of all words may enter as a stem. Its words are counted among those that share its first ROOT letters, which
+makes texts of other languages neutral without knowing any language: by the clean texts' share a text with m words of the root is expected to have a Poisson number of the
+stem's, and a stem enters when toxic texts exceed that together by STEM_EVIDENCE nats more than clean ones do. Texts of the training sample then
+get features, and a logistic regression weighs them; what counts hits outside quotations cannot lower a score. The sample has at most `train_rows` rows, chosen by a hash of their ids. Copies and near copies of a text
 with its label count once in it, for the lexicon and for the weights: MinHash signatures of word shingles go to the driver (a few MB at most), and a text whose
 signature agrees with that of an earlier one in NEAR_COPY of its places goes.
 
 Scoring. The lexicon is a trie. For a word the automaton of all strings within one edit is run along the trie as bit sets, branches without a live state
 are cut, and a final state at a word end is a hit, exact or misspelled. Short lexicon words match exactly only. Each hit is judged by the words around it:
-inside quotation marks it counts as quoted, otherwise as abuse. One scan of the texts, no shuffle; lexicon and weights are closed over, and bounded by
-`max_lexicon`.
+inside quotation marks it counts as quoted, otherwise as abuse. Different words of a stem beyond what is expected count by the same nats. One scan of the texts, no
+shuffle; lexicon, stems and weights are closed over, and are bounded by what `train_rows` texts hold. Counts are cut off at a few hits, which scales the features only.
 
 Defined cases: null and empty texts have no hits and get the score of a clean text. Equal texts get equal scores. Repeated labels of an id count once
 for each value; null labels are ignored. Without labels of both kinds every score is 0. Very long texts are scored whole. An empty table gives no rows. Columns of docs other than
@@ -18,11 +21,12 @@ id and text are never read for a score, and are kept by `drop_toxic`.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +53,13 @@ THRESHOLD = 0.3
 CACHE_WORDS = 200_000
 _EDGES = re.compile(r"^\W+|\W+$")
 _OPEN, _CLOSE = "\"“«„‘", "\"”»“’"
-FEATURES = ("one", "abuse", "misspelled", "quoted", "kinds", "weight", "density", "near")
+FEATURES = ("one", "abuse", "misspelled", "quoted", "kinds", "weight", "density", "near", "stems")
+#: Letters of a root, and of a stem at least and at most.
+ROOT, STEM_LEAST, STEM_MOST = 2, 4, 8
+#: Nats by which toxic texts exceed the expected words of a stem, of which one text gives at most MOST_NATS; two texts at least have two words of it.
+STEM_EVIDENCE, MOST_NATS, STEM_TEXTS = 12.0, 8.0, 2
+#: Log-odds of a text with a word of the stem being toxic.
+STEM_ODDS = 1.5
 
 
 class Trie:
@@ -114,25 +124,52 @@ class Trie:
 @dataclass
 class Model:
     lexicon: dict[str, float] = field(default_factory=dict)
+    stems: dict[str, float] = field(default_factory=dict)  # the share of the root's words that they have in clean texts
     weights: list[float] | None = None
 
 
 class _Hits(dict):
     """Raw word -> hit or None."""
 
-    def __init__(self, trie: Trie) -> None:
+    def __init__(self, trie: Trie, stems: dict[str, float]) -> None:
         super().__init__()
-        self.trie = trie
+        self.trie, self.stems = trie, stems
+        self.roots = {s[:ROOT] for s in stems}
+        self.bent: dict[str, tuple[str, str | None] | None] = {}  # raw word -> word and stem, where its root has stems
 
     def __missing__(self, raw: str):
         word = _EDGES.sub("", raw)
         self[raw] = found = (*hit, word) if word and (hit := self.trie.find(word)) else None
         return found
 
+    def clear(self) -> None:
+        super().clear()
+        self.bent.clear()
 
-def worker_hits(lexicon: dict[str, float]) -> _Hits:
-    """This worker's hits under a lexicon."""
-    return keep(("hits", frozenset(lexicon.items())), lambda: _Hits(Trie(lexicon)))
+    def nats(self, words: list[str]) -> float:
+        """By how much the different words of stems exceed what their roots' words let expect."""
+        if not self.stems:
+            return 0.0
+        seen = set()
+        for raw in set(words):
+            if raw not in self.bent:
+                word = _EDGES.sub("", raw)
+                stem = next((word[:n] for n in range(STEM_LEAST, min(STEM_MOST + 1, len(word))) if word[:n] in self.stems), None)
+                self.bent[raw] = (word, stem) if word[:ROOT] in self.roots else None
+            seen.add(self.bent[raw])
+        seen.discard(None)
+        roots = Counter(word[:ROOT] for word, _ in seen)
+        return sum(excess(n, self.stems[stem] * roots[stem[:ROOT]]) for stem, n in Counter(stem for _, stem in seen if stem).items())
+
+
+def excess(n: int, expected: float) -> float:
+    """Log-likelihood of n over the expected number."""
+    return n * math.log(n / expected) - (n - expected) if n > expected else 0.0
+
+
+def worker_hits(model: Model) -> _Hits:
+    """This worker's hits under a model."""
+    return keep(("hits", frozenset(model.lexicon.items()), frozenset(model.stems.items())), lambda: _Hits(Trie(model.lexicon), model.stems))
 
 
 def features(text: str | None, hits: _Hits) -> tuple[float, ...]:
@@ -154,14 +191,15 @@ def features(text: str | None, hits: _Hits) -> tuple[float, ...]:
         near += i - before <= WINDOW
         before = i
     cap = 6
-    return 1.0, min(abuse, cap), min(wrong, cap), min(quoted, cap), min(len(kinds), cap), min(weight, 40.0) / 10, float(np.log1p(1000 * len(found) / (len(words) + 20))), min(near, cap)
+    return 1.0, min(abuse, cap), min(wrong, cap), min(quoted, cap), min(len(kinds), cap), min(weight, 40.0) / 10, float(np.log1p(1000 * len(found) / (len(words) + 20))), min(near, cap), min(hits.nats(words), cap) / 2
 
 
-def _measure(lexicon: dict[str, float], weights: list[float] | None):
-    """Features of each row, or the score when weights are given."""
+def _measure(model: Model):
+    """Features of each row, or the score when the model has weights."""
+    weights = model.weights
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hits = worker_hits(lexicon)
+        hits = worker_hits(model)
         for batch in slices(batches):
             if len(hits) > CACHE_WORDS:
                 hits.clear()
@@ -248,11 +286,40 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     kept = by_doc.filter(F.col("contexts") >= MIN_CONTEXTS).withColumn("odds", odds).filter(F.col("odds") - MARGIN * error >= MIN_LOG_ODDS)
     lexicon = {r["word"]: float(r["odds"]) for r in kept.select("word", "odds").collect()}  # words of the bounded sample
-    if not lexicon:
+    stems = bent_stems(sample, sizes)
+    model = Model({w: o for w, o in lexicon.items() if not w.startswith(tuple(stems))}, stems)  # a stem counts its words by itself
+    if not model.lexicon and not model.stems:
         return Model()
-    rows = arrow_map(sample.select("y", "text"), _measure(lexicon, None), "y int, features array<double>").collect()  # at most about train_rows rows of eight numbers
-    weights = logistic.fit(np.array([r["features"] for r in rows]), np.array([float(r["y"]) for r in rows]))
-    return Model(lexicon, weights.tolist())
+    rows = arrow_map(sample.select("y", "text"), _measure(model), "y int, features array<double>").collect()  # at most about train_rows rows of nine numbers
+    rising = [f not in ("one", "quoted") for f in FEATURES]
+    weights = logistic.fit(np.array([r["features"] for r in rows]), np.array([float(r["y"]) for r in rows]), rising=rising)
+    return replace(model, weights=weights.tolist())
+
+
+def bent_stems(sample: DataFrame, sizes: dict[int, int]) -> dict[str, float]:
+    """The stems of the sample's texts (y, text) and the share of their root's words that they have in clean texts."""
+    bare = F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.regexp_replace(w, r"(?U)^\W+|\W+$", ""))
+    words = sample.select(F.xxhash64("text").alias("row"), "y", F.explode(F.array_distinct(bare)).alias("w")).filter(F.length("w") >= ROOT)
+    root = F.substring("w", 1, ROOT)
+    in_text = words.groupBy("row", "y", root.alias("root")).agg(F.count("*").alias("m"))
+    nodes = words.select("row", "y", root.alias("root"), F.explode(F.transform(F.sequence(F.lit(STEM_LEAST), F.lit(STEM_MOST)), lambda n: F.when(F.length("w") > n, F.substring(F.col("w"), F.lit(1), n)))).alias("stem")).filter("stem is not null")
+    nodes = nodes.groupBy("row", "y", "root", "stem").agg(F.count("*").alias("k"))
+    toxic = F.col("y") == 1
+    seen = nodes.groupBy("root", "stem").agg(
+        F.count_if(toxic & (F.col("k") >= 2)).alias("texts"), F.count_if(toxic).alias("in_toxic"), F.count_if(~toxic).alias("in_clean"), F.coalesce(F.sum(F.when(~toxic, F.col("k"))), F.lit(0)).alias("clean")
+    )
+    odds = F.log((F.col("in_toxic") + 0.5) / (sizes[1] + 1)) - F.log((F.col("in_clean") + 0.5) / (sizes[0] + 1))
+    seen = seen.filter((F.col("texts") >= STEM_TEXTS) & (odds >= STEM_ODDS))
+    clean = in_text.groupBy("root").agg(F.coalesce(F.sum(F.when(~toxic, F.col("m"))), F.lit(0)).alias("of"))
+    shares = seen.join(clean, "root").select("root", "stem", ((F.col("clean") + 0.5) / (F.col("of") + 1)).alias("share"))
+    each = nodes.join(shares, ["root", "stem"]).join(in_text, ["row", "y", "root"]).withColumn("expected", F.col("share") * F.col("m"))
+    nats = F.when((F.col("k") > 1) & (F.col("k") > F.col("expected")), F.col("k") * F.log(F.col("k") / F.col("expected")) - F.col("k") + F.col("expected")).otherwise(F.lit(0.0))
+    found = each.groupBy("stem", "share").agg(F.sum(F.least(nats, F.lit(MOST_NATS)) * F.when(toxic, 1).otherwise(-1)).alias("nats")).filter(F.col("nats") >= STEM_EVIDENCE)
+    out: dict[str, float] = {}
+    for r in sorted(found.collect(), key=lambda r: (-round(r["nats"], 6), -len(r["stem"]), r["stem"])):  # nodes of the bounded sample; of a branch the one with the most evidence
+        if not any(r["stem"].startswith(s) or s.startswith(r["stem"]) for s in out):
+            out[r["stem"]] = float(r["share"])
+    return out
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -261,7 +328,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     if model.weights is None:
         scored = chosen.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_hits"))
     else:
-        scored = arrow_map(chosen, _measure(model.lexicon, model.weights), "doc_id long, score double, n_hits long")
+        scored = arrow_map(chosen, _measure(model), "doc_id long, score double, n_hits long")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_hits")
 
 
@@ -271,7 +338,7 @@ def drop_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
         return docs
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].alias("text"))
     kind = packed.schema["row"].dataType.simpleString()
-    scored = arrow_map(packed, _measure(model.lexicon, model.weights), f"row {kind}, score double, n_hits long")
+    scored = arrow_map(packed, _measure(model), f"row {kind}, score double, n_hits long")
     return scored.filter(F.col("score") < THRESHOLD).select("row.*")
 
 

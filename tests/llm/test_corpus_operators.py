@@ -1,14 +1,16 @@
 """Operators that learn or join, and the pipeline."""
 
+import random
 import re
 import zlib
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ondula.llm import ngram_join, site_quality, toxicity
+from ondula.llm import logistic, ngram_join, site_quality, toxicity
 from ondula.llm.common import written
 from ondula.llm.components import components
 
@@ -126,7 +128,7 @@ def test_toxicity_without_labels(spark, edge_docs, empty_docs):
 
 
 def test_edges_under_a_fitted_model(edge_docs, empty_docs):
-    model = toxicity.Model({"passage": 3.0}, [-2.0, 1.0, 1.0, -1.0, 0.5, 0.5, 0.1, 0.1])
+    model = toxicity.Model({"passage": 3.0}, weights=[-2.0, 1.0, 1.0, -1.0, 0.5, 0.5, 0.1, 0.1, 1.0])
     assert toxicity.score(empty_docs, model).collect() == [] and toxicity.drop_toxic(empty_docs, model).collect() == []
     rows = toxicity.score(edge_docs, model).collect()
     texts = edge_docs.collect()
@@ -137,13 +139,35 @@ def test_edges_under_a_fitted_model(edge_docs, empty_docs):
 
 
 def test_quoted_and_misspelled():
-    hits = toxicity.worker_hits({"scoundrel": 3.0})
+    hits = toxicity.worker_hits(toxicity.Model({"scoundrel": 3.0}, {"graus": 0.05}))
     names = toxicity.FEATURES
     read = lambda text: dict(zip(names, toxicity.features(text, hits)))
     assert read("you scoundrel!")["abuse"] == 1
     assert read("you scoundrell!")["misspelled"] == 1
     assert read('he wrote "you scoundrel" once')["quoted"] == 1
-    assert read(None)["density"] == read("")["kinds"] == 0
+    assert read(None)["density"] == read("")["kinds"] == read("")["stems"] == 0
+    few = toxicity.excess(2, 0.05 * 3)
+    assert read("grausam, grausig! graben")["stems"] == min(few, 6) / 2 and read("grausam grausam graben")["stems"] < few / 2
+    assert read("graben " + " ".join(f"gr{i}" for i in range(60)) + " grausam")["stems"] == 0  # one of 62 is no more than clean texts have
+
+
+def test_stems_of_bent_words(spark):
+    """A stem whose words are each too rare enters; roots that clean texts have as often do not, nor single texts that repeat one word."""
+    endings = "am ig en er es lich heit bar los voll sam haft".split()
+    clean = [(0, " ".join([f"gr{x}{i % 7}" for x in "aeiou"] + [f"bald{endings[i % 12]}", f"bald{endings[(i + 5) % 12]}", "und die", f"w{i}"])) for i in range(60)]
+    toxic = [(1, f"graus{endings[i]} und graus{endings[i + 1]} graus{endings[i + 2]} bald{endings[i]} gra1 die t{i}") for i in range(6)]
+    once = [(1, "krumm " * 9 + "krummes")]
+    sample = spark.createDataFrame(clean + toxic + once, "y int, text string")
+    found = toxicity.bent_stems(sample, {0: 60, 1: 7})
+    assert list(found) == ["graus"] and found["graus"] == pytest.approx(0.5 / 301)
+
+
+def test_weights_that_may_only_rise():
+    draw = random.Random(8)
+    rows = [[1.0, float(y), draw.random() - y, draw.random()] for y in (0, 1) * 60]
+    free = logistic.fit(np.array(rows), np.array([0.0, 1.0] * 60))
+    held = logistic.fit(np.array(rows), np.array([0.0, 1.0] * 60), rising=[False, True, True, False])
+    assert free[2] < 0 and held[2] == 0 and held[1] > 0
 
 
 def test_site_posteriors(spark):
