@@ -10,7 +10,9 @@ generalised to a placeholder; above REMOVE they are removed. Most entities are i
 over classes - an e-mail's domain, a network, the first digits of a number - that are entities too.
 
 Scale: the spans and distinct words of all texts are found in one scan and written, with the texts of rows that have personal data. Pairs of word and entity are
-made only for entities and words with LEAST documents, and words that are not too frequent: c(t,e) <= c(e) bounds PMI by log(N / c(t)), which drops no telling word.
+made only where counts allow them to tell: c(t,e) <= c(e) and c(t,e) <= c(t) bound PMI by log(N / c(t)) and by IC(e), which drops no telling word. Entities that stand in the
+same documents have the same counts with every word, and so have words that stand in the same of the documents with personal data: each such set (told by hashes of
+its documents) is one class, and pairs are made of classes. A group of copies is one pair, whatever the number of its words and entities.
 Counts are pre-aggregated in each task before they are shuffled; the sides of joins are written, so that Spark can split a hot entity.
 
 Defined cases: a null text is empty and has no spans. Repeated rows are separate documents with equal spans. Texts without a match pass unchanged. An empty table gives no
@@ -19,6 +21,8 @@ rows. Other columns are ignored by `spans` and kept by `sanitise`, whatever thei
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +41,8 @@ _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 DISCOUNT = 0.5
 GENERALISE = 0.8
 REMOVE = 0.95
-#: The least c(t,e) that can pass GENERALISE after the discount. Rarer words and entities are in no telling pair.
-LEAST = 2
+#: PMI is IC(e) at most, so c(t,e) / (c(t,e) + DISCOUNT) must reach GENERALISE: rarer words and entities are in no telling pair.
+LEAST = math.ceil(round(GENERALISE * DISCOUNT / (1 - GENERALISE), 9))
 #: Nats that the shared documents must tell together, c(t,e) PMI: below, a rare word may be with a frequent class by chance.
 EVIDENCE = 12.0
 TERM = r"\p{L}{3,}"
@@ -161,12 +165,17 @@ def _occurrences(rows: DataFrame) -> DataFrame:
     return rows.withColumn("terms", F.transform(hits, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.array_contains("removed", x["term"]).alias("remove"))))
 
 
+def _same_rows(count: str) -> Column:
+    """One number for all groups that have the same rows and count."""
+    return F.xxhash64(F.first(count), F.bit_xor(F.xxhash64("row_no")), F.bit_xor(F.xxhash64("row_no", F.lit(1))), F.count(F.lit(1)))
+
+
 def term_spans(spanned: DataFrame) -> DataFrame:
     """(row_no, terms) of rows in which words give an entity away; terms: array of (start, end, remove)."""
     n = F.lit(float(max(spanned.count(), 1)))
-    seen = spanned.select("row_no", F.explode("entities").alias("entity"))
-    entities = written(seen.groupBy("entity").agg(F.count(F.lit(1)).alias("c_e")).filter(F.col("c_e") >= LEAST), "pii-entities")
-    known = written(seen.join(entities, "entity"), "pii-known")
+    seen = spanned.select("row_no", F.explode("entities").alias("entity"), F.lit(1).alias("one"))
+    entities = written(seen.groupBy("entity").agg(F.count(F.lit(1)).alias("c_e"), _same_rows("one").alias("e")).filter(F.col("c_e") >= LEAST), "pii-entities")
+    known = written(seen.join(entities, "entity").select("row_no", "e", "c_e").distinct(), "pii-known")
     counts = spanned.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("c_t")).filter(F.col("c_t") >= LEAST)
     # a word above the bound of every entity is in no pair
     least = F.log(n / F.col("c_e")) * GENERALISE - 1e-6
@@ -174,13 +183,17 @@ def term_spans(spanned: DataFrame) -> DataFrame:
     counts = written(counts.join(F.broadcast(top), F.log(n / F.col("c_t")) >= F.col("least")).drop("least"), "pii-counts")
     held = spanned.join(known.select("row_no").distinct(), "row_no", "left_semi").select("row_no", F.explode("words").alias("term"))
     words = written(held.join(counts, "term"), "pii-words")
-    places = written(words.join(known, "row_no").filter((F.log(n / F.col("c_t")) >= least) & (F.col("c_t") * F.log(n / F.col("c_e")) >= EVIDENCE)), "pii-places")
-    pairs = places.groupBy("entity", "term", "c_e", "c_t").agg(F.count(F.lit(1)).alias("c_te")).filter(F.col("c_te") >= LEAST)
+    alike = written(words.groupBy("term").agg(_same_rows("c_t").alias("t")), "pii-alike")
+    classes = written(words.join(alike, "term").select("row_no", "t", "c_t").distinct(), "pii-classes")
+    can_tell = (F.log(n / F.col("c_t")) >= least) & (F.col("c_t") * F.log(n / F.col("c_e")) >= EVIDENCE) & (F.col("c_e") * F.log(n / F.col("c_t")) >= EVIDENCE - 1e-6)
+    places = written(classes.join(known, "row_no").filter(can_tell), "pii-places")
+    pairs = places.groupBy("e", "t", "c_e", "c_t").agg(F.count(F.lit(1)).alias("c_te")).filter(F.col("c_te") >= LEAST)
     share = F.log(n * F.col("c_te") / (F.col("c_t") * F.col("c_e"))) / F.greatest(F.log(n / F.col("c_e")), F.lit(1e-9)) * F.col("c_te") / (F.col("c_te") + DISCOUNT)
     told = F.col("c_te") * F.log(n * F.col("c_te") / (F.col("c_t") * F.col("c_e")))
-    telling = written(pairs.filter(told >= EVIDENCE).select("entity", "term", share.alias("share")).filter(F.col("share") >= GENERALISE - 1e-9), "pii-telling")
-    hits = places.join(telling, ["entity", "term"]).groupBy("row_no", "term").agg(F.max(F.col("share") >= REMOVE).alias("remove"))
-    told = written(hits.groupBy("row_no").agg(F.array_sort(F.collect_list(F.struct("term", "remove"))).alias("told")), "pii-told")
+    telling = written(pairs.filter(told >= EVIDENCE).select("e", "t", share.alias("share")).filter(F.col("share") >= GENERALISE - 1e-9), "pii-telling")
+    hits = written(places.join(telling, ["e", "t"]).groupBy("row_no", "t").agg(F.max(F.col("share") >= REMOVE).alias("remove")), "pii-hits")
+    named = words.join(alike.join(hits.select("t").distinct(), "t", "left_semi"), "term").join(hits, ["row_no", "t"])
+    told = written(named.groupBy("row_no").agg(F.array_sort(F.collect_list(F.struct("term", "remove"))).alias("told")), "pii-told")
     found = spanned.select("row_no", "blank").join(told, "row_no")
     return _occurrences(found).select("row_no", "terms")
 

@@ -362,3 +362,21 @@ def test_plan_fills_windows_and_leaves_little():
     assert len(combos) == expected
     counts, left = packing.solve(histogram, combos)
     assert (counts >= 0).all() and left < 0.3
+
+
+def test_copies_with_many_entities_are_one_pair(spark, monkeypatch):
+    """Words and entities that always stand together are one class each, so a text of many of both makes no product of them."""
+    made = {}
+    kept = pii.written
+
+    def counting(df, name):
+        table = kept(df, name)
+        made[name] = table.count()
+        return table
+
+    monkeypatch.setattr(pii, "written", counting)
+    names = ["".join(chr(97 + int(d)) for d in str(i)) for i in range(300)]
+    text = " ".join(f"user{i}@host{i}.org word{w}" for i, w in enumerate(names))
+    rows = pii.spans(spark.createDataFrame([(i, text) for i in range(6)] + [(10 + i, f"plain text number {w}") for i, w in enumerate(names)], "doc_id long, text string")).collect()
+    assert made["pii-known"] == 6 and made["pii-places"] <= 12
+    assert {r["n_terms"] for r in rows if r["doc_id"] < 10} == {300} and {r["n_terms"] for r in rows if r["doc_id"] >= 10} == {0}
