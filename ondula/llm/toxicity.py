@@ -296,27 +296,57 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return replace(model, weights=weights.tolist())
 
 
+def _branches(text: str | None) -> tuple[Counter, Counter]:
+    """The text's different words by root, and by every node of STEM_LEAST to STEM_MOST letters above them."""
+    words = {w for w in (_EDGES.sub("", raw) for raw in (text or "").lower().split()) if len(w) >= ROOT}
+    return Counter(w[:ROOT] for w in words), Counter(w[:n] for w in words for n in range(STEM_LEAST, min(STEM_MOST + 1, len(w))))
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The nodes above two words or more of each text."""
+    for batch in slices(batches):
+        found = [[s for s, k in _branches(t)[1].items() if k >= 2] for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], ["stems"])
+
+
+def _branched(wanted: frozenset[str]):
+    """Of each text the wanted nodes with their words and those of their roots, and all wanted roots with theirs."""
+    roots = {s[:ROOT] for s in wanted}
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            nodes, under = [], []
+            for text in batch.column("text").to_pylist():
+                of, counted = _branches(text)
+                nodes.append([{"stem": s, "k": counted[s], "m": of[s[:ROOT]]} for s in counted.keys() & wanted])
+                under.append([{"root": r, "m": of[r]} for r in of.keys() & roots])
+            kinds = [pa.list_(pa.struct([("stem", pa.string()), ("k", pa.int64()), ("m", pa.int64())])), pa.list_(pa.struct([("root", pa.string()), ("m", pa.int64())]))]
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(nodes, kinds[0]), pa.array(under, kinds[1])], ["y", "nodes", "roots"])
+
+    return work
+
+
 def bent_stems(sample: DataFrame, sizes: dict[int, int]) -> dict[str, float]:
-    """The stems of the sample's texts (y, text) and the share of their root's words that they have in clean texts."""
-    bare = F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.regexp_replace(w, r"(?U)^\W+|\W+$", ""))
-    words = sample.select(F.xxhash64("text").alias("row"), "y", F.explode(F.array_distinct(bare)).alias("w")).filter(F.length("w") >= ROOT)
-    root = F.substring("w", 1, ROOT)
-    in_text = words.groupBy("row", "y", root.alias("root")).agg(F.count("*").alias("m"))
-    nodes = words.select("row", "y", root.alias("root"), F.explode(F.transform(F.sequence(F.lit(STEM_LEAST), F.lit(STEM_MOST)), lambda n: F.when(F.length("w") > n, F.substring(F.col("w"), F.lit(1), n)))).alias("stem")).filter("stem is not null")
-    nodes = nodes.groupBy("row", "y", "root", "stem").agg(F.count("*").alias("k"))
+    """The stems of the sample's texts (y, text) and the share of their root's words that they have in clean texts.
+
+    Only nodes that toxic texts repeat are counted in the others, so that what is shuffled are some nodes of each text and not all branches of its words.
+    """
     toxic = F.col("y") == 1
-    seen = nodes.groupBy("root", "stem").agg(
-        F.count_if(toxic & (F.col("k") >= 2)).alias("texts"), F.count_if(toxic).alias("in_toxic"), F.count_if(~toxic).alias("in_clean"), F.coalesce(F.sum(F.when(~toxic, F.col("k"))), F.lit(0)).alias("clean")
-    )
+    repeated = arrow_map(sample.filter(toxic).select("text"), _repeated, "stems array<string>").select(F.explode("stems").alias("stem"))
+    wanted = frozenset(r["stem"] for r in repeated.groupBy("stem").count().filter(F.col("count") >= STEM_TEXTS).collect())  # nodes of the bounded sample's toxic texts
+    if not wanted:
+        return {}
+    counted = written(arrow_map(sample.select("y", "text"), _branched(wanted), "y int, nodes array<struct<stem:string,k:long,m:long>>, roots array<struct<root:string,m:long>>"), "tox-branches")
+    nodes = counted.select("y", F.explode("nodes").alias("node")).select("y", "node.*")
+    seen = nodes.groupBy("stem").agg(F.count_if(toxic).alias("in_toxic"), F.count_if(~toxic).alias("in_clean"), F.coalesce(F.sum(F.when(~toxic, F.col("k"))), F.lit(0)).alias("clean"))
     odds = F.log((F.col("in_toxic") + 0.5) / (sizes[1] + 1)) - F.log((F.col("in_clean") + 0.5) / (sizes[0] + 1))
-    seen = seen.filter((F.col("texts") >= STEM_TEXTS) & (odds >= STEM_ODDS))
-    clean = in_text.groupBy("root").agg(F.coalesce(F.sum(F.when(~toxic, F.col("m"))), F.lit(0)).alias("of"))
-    shares = seen.join(clean, "root").select("root", "stem", ((F.col("clean") + 0.5) / (F.col("of") + 1)).alias("share"))
-    each = nodes.join(shares, ["root", "stem"]).join(in_text, ["row", "y", "root"]).withColumn("expected", F.col("share") * F.col("m"))
+    roots = counted.select("y", F.explode("roots").alias("r")).groupBy(F.col("r.root").alias("root")).agg(F.coalesce(F.sum(F.when(~toxic, F.col("r.m"))), F.lit(0)).alias("of"))
+    shares = seen.filter(odds >= STEM_ODDS).withColumn("root", F.substring("stem", 1, ROOT)).join(roots, "root").select("stem", ((F.col("clean") + 0.5) / (F.col("of") + 1)).alias("share"))
+    each = nodes.join(F.broadcast(shares), "stem").withColumn("expected", F.col("share") * F.col("m"))
     nats = F.when((F.col("k") > 1) & (F.col("k") > F.col("expected")), F.col("k") * F.log(F.col("k") / F.col("expected")) - F.col("k") + F.col("expected")).otherwise(F.lit(0.0))
     found = each.groupBy("stem", "share").agg(F.sum(F.least(nats, F.lit(MOST_NATS)) * F.when(toxic, 1).otherwise(-1)).alias("nats")).filter(F.col("nats") >= STEM_EVIDENCE)
     out: dict[str, float] = {}
-    for r in sorted(found.collect(), key=lambda r: (-round(r["nats"], 6), -len(r["stem"]), r["stem"])):  # nodes of the bounded sample; of a branch the one with the most evidence
+    for r in sorted(found.collect(), key=lambda r: (-round(r["nats"], 6), -len(r["stem"]), r["stem"])):  # of a branch the node with the most evidence
         if not any(r["stem"].startswith(s) or s.startswith(r["stem"]) for s in out):
             out[r["stem"]] = float(r["share"])
     return out
