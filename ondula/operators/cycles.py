@@ -299,7 +299,10 @@ def _by_kernel(ds: Dataset, channel: str, out: str, kernel, side: DataFrame | No
 
 
 def expanded(ds: Dataset, channel: str, weights: str = "", mask: str = "", method: str = "FLAT", out: str | None = None) -> Dataset:
-    """A sample channel that holds every cycle's value for weight seconds; invalid cycles hold 0, and the last value fills up to the recording's end."""
+    """A sample channel that holds every cycle's value for weight seconds; invalid cycles hold 0, and the last value fills up to the recording's end.
+
+    Cycles that together hold longer than their recording are an error when it runs.
+    """
     out = out or channel
     if not ds.has(channel):
         return ds
@@ -309,6 +312,9 @@ def expanded(ds: Dataset, channel: str, weights: str = "", mask: str = "", metho
     held = F.when(ds.ok(i, mask) == 1, F.element_at(ds.values(channel), 1)).otherwise(F.lit(0.0))
     spans = ds.tables[i].frame.filter(ds.values(channel).isNotNull()).select("rec", "wave_no", held.alias("y"), (weight * F.col("frequency")).cast("long").alias("n"))
     spans = spans.withColumn("end", F.sum("n").over(by_wave().rowsBetween(Window.unboundedPreceding, 0))).filter("n > 0")
+    lengths = ds.samples.groupBy("rec").agg(F.count(F.lit(1)).alias("_size"))
+    longer = F.raise_error(F.concat(F.lit("cycles hold longer than recording "), F.col("rec").cast("string"), F.lit(", to sample "), F.col("end").cast("string"))).cast("long")
+    spans = spans.join(lengths, "rec").withColumn("n", F.when(F.col("end") > F.col("_size"), longer).otherwise(F.col("n")))
     spread = spans.select("rec", "y", F.explode(F.sequence(F.col("end") - F.col("n"), F.col("end") - 1)).alias("idx"))
     if method.upper() != "FLAT":
         kind = ds.samples.schema["rec"].dataType.simpleString()

@@ -153,7 +153,10 @@ MACROS: dict[str, Callable[..., list[Block]]] = {
 
 
 def _filled(value: Any, given: Block) -> Any:
+    """A setting with its placeholders filled in; one that is nothing but a placeholder becomes what is given, a number stays a number and a list a list."""
     if isinstance(value, str):
+        if (alone := re.fullmatch(r"\{(\w+)\}", value)) and alone[1] in given:
+            return given[alone[1]]
         return re.sub(r"\{(\w+)\}", lambda m: str(given[m.group(1)]) if m.group(1) in given else m.group(0), value)
     if isinstance(value, list):
         return [_filled(v, given) for v in value]
@@ -172,13 +175,27 @@ def from_file(path: str) -> Callable[..., list[Block]]:
     return lambda **given: [_filled(b, given) for b in blocks]
 
 
+def _by_nature(block: Block, name: str) -> bool:
+    settings = STEPS.get(str(block.get("class_name", "")).lower(), {})
+    return name in settings and settings[name].many
+
+
+def spread(block: Block) -> list[Block]:
+    """A block for each value of its lists, shorter lists taken again from their start; lists by nature stay whole."""
+    wide = {k: v for k, v in block.items() if isinstance(v, list) and v and not _by_nature(block, k)}
+    return [{k: (v[i % len(v)] if k in wide else v) for k, v in block.items()} for i in range(max(map(len, wide.values()), default=1))]
+
+
 def expand(block: Block) -> list[Block]:
-    """The blocks of a macro, built in or a TOML file; a list given for a parameter that is no list by nature makes one group of blocks per value."""
+    """The blocks of a macro, built in or a TOML file. A list given for a parameter makes of every block that uses it one for each value, before the next block comes."""
     given = {k: v for k, v in block.items() if k not in ("class_name", "meta_name", "verbosity")}
     called = str(block.get("meta_name", ""))
-    make = MACROS.get(called.lower()) or (from_file(called) if called.endswith(".toml") else None)
-    if make is None:
-        raise PipelineError(f"unknown macro {called!r}")
-    spread = {k: v for k, v in given.items() if isinstance(v, list) and k not in ATOMIC}
-    count = max(map(len, spread.values()), default=1)
-    return [b for i in range(count) for b in make(**{k: (v[i % len(v)] if k in spread else v) for k, v in given.items()})]
+    if called.lower() not in MACROS:
+        if not called.endswith(".toml"):
+            raise PipelineError(f"unknown macro {called!r}")
+        return [one for b in from_file(called)(**given) for one in spread(b)]
+    make = MACROS[called.lower()]
+    lists = {k: v for k, v in given.items() if isinstance(v, list) and k not in ATOMIC}
+    count = max(map(len, lists.values()), default=1)
+    made = [make(**{k: (v[i % len(v)] if k in lists else v) for k, v in given.items()}) for i in range(count)]
+    return [b for same in zip(*made, strict=True) for k, b in enumerate(same) if b not in same[:k]]

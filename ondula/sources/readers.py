@@ -1,6 +1,7 @@
 """Recordings from text exports, CSV files, staged binary records and plain tables, as Datasets.
 
-Files are read as distributed lines, so a large file is split. A line's place is (start of its file block, its order within the block). Headers differ from file to file:
+Files are read as distributed lines, so a large file is split, and every step stays with the splits: a line's place is (start of its split, its order there), and counts and
+values that go on from line to line are carried from split to split by one small row for each (`along`). Headers differ from file to file:
 they are a small table that is joined to the lines, and only distinct header lines reach the driver, which must know the channels' names.
 """
 
@@ -17,9 +18,27 @@ DEFAULT_RATE = 200.0
 
 
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """filename, n (place in the file, which sorts), line of every line of text files."""
-    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
-    return spark.read.text(path).select(F.col("_metadata.file_name").alias("filename"), place.alias("n"), F.regexp_replace("value", "\r", "").alias("line"))
+    """filename, block and id (place in the file), line of every line of text files."""
+    place = F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")
+    return spark.read.text(path).select(F.col("_metadata.file_name").alias("filename"), *place, F.regexp_replace("value", "\r", "").alias("line"))
+
+
+def along(rows: DataFrame, counts: dict[str, Column] | None = None, before: dict[str, Column] | None = None, last: dict[str, Column] | None = None) -> DataFrame:
+    """Adds running values over each file's lines: counts of a condition up to and with the line, and the last known value before it, or up to and with it.
+
+    Windows are by split; what earlier splits of the file hold comes to a split as a row ahead of its lines.
+    """
+    counts, before, last = counts or {}, before or {}, last or {}
+    known = before | last
+    rows = rows.withColumns({**{c: F.coalesce(v.cast("long"), F.lit(0)) for c, v in counts.items()}, **known})
+    told = rows.groupBy("filename", "block").agg(*[F.sum(c).alias(c) for c in counts], *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("id"))).alias(c) for c in known], F.count(F.lit(1)).alias("_lines"))
+    so_far = Window.partitionBy("filename").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    told = told.select("filename", "block", F.lit(-1).cast("long").alias("id"), *[F.coalesce(F.sum(c).over(so_far), F.lit(0)).alias(c) for c in counts], *[F.last(c, ignorenulls=True).over(so_far).alias(c) for c in known])
+    own = Window.partitionBy("filename", "block").orderBy("id")
+    until, ahead = own.rowsBetween(Window.unboundedPreceding, 0), own.rowsBetween(Window.unboundedPreceding, -1)
+    both = rows.unionByName(told, allowMissingColumns=True)
+    running = {**{c: F.sum(c).over(until) for c in counts}, **{c: F.last(c, ignorenulls=True).over(ahead) for c in before}, **{c: F.last(c, ignorenulls=True).over(until) for c in last}}
+    return both.withColumns(running).filter("id >= 0")
 
 
 def _distinct(heads: DataFrame) -> list[str]:
@@ -46,17 +65,22 @@ def labchart(spark: SparkSession, path: str | list[str]) -> Dataset:
     The first row of every block is commented RESET. Cells that are no number are 0, short rows are filled with 0. Recordings with other channels than the union hold 0.
     """
     rows = lines(spark, path)
-    order = Window.partitionBy("filename").orderBy("n")
-    titles = rows.filter(F.col("line").startswith("ChannelTitle=")).groupBy("filename").agg(F.min_by("line", "n").alias("line"))
+    place = F.struct("block", "id")
+    titles = rows.filter(F.col("line").startswith("ChannelTitle=")).groupBy("filename").agg(F.min_by("line", place).alias("line"))
     heads = F.split("line", "\t")
     names = F.transform(F.filter(F.slice(heads, F.lit(2), F.size(heads)), lambda c: F.trim(c) != ""), _tidy)
     titles = titles.select("filename", F.concat(F.array(F.lit("TIME")), names).alias("names"))
-    steps = rows.filter(F.col("line").startswith("Interval=")).groupBy("filename").agg(F.min_by("line", "n").alias("line"))
-    steps = steps.select("filename", F.try_divide(F.lit(1.0), F.regexp_extract("line", r"Interval=\s*([0-9.eE+-]+)", 1).try_cast("double")).alias("rate"))
     channels = tuple(_distinct(titles))
     is_row = F.col("line").rlike("^[0-9]")
-    rows = rows.withColumn("starts", is_row & ~F.coalesce(F.lag(is_row).over(order), F.lit(False))).filter(is_row)
-    cells = rows.withColumn("cells", F.split("line", "\t")).withColumn("idx", (F.row_number().over(order) - 1).cast("long"))
+    begins = rows.filter(is_row).groupBy("filename").agg(F.min(place).alias("begin"))
+    stated = F.regexp_extract("line", r"^Interval=\s*([0-9.eE+-]+)", 1).try_cast("double")
+    steps = rows.filter(F.col("line").startswith("Interval=")).withColumn("rate", F.try_divide(F.lit(1.0), stated)).join(begins, "filename", "left")
+    ahead = F.col("begin").isNull() | (place < F.col("begin"))
+    steps = steps.groupBy("filename").agg(F.max_by("rate", F.when(ahead, place)).alias("rate"), F.collect_set(F.when(~ahead, F.col("rate"))).alias("later"), F.count_if(F.col("rate").isNull()).alias("bad"))
+    complaint = F.when(F.col("bad") > 0, F.lit("malformed Interval= line in ")).when(F.size(F.filter("later", lambda r: r != F.col("rate"))) > 0, F.lit("sampling frequencies differ within "))
+    steps = steps.select("filename", F.when(complaint.isNotNull(), F.raise_error(F.concat(complaint, F.col("filename"))).cast("double")).otherwise(F.col("rate")).alias("rate"))
+    rows = along(rows, counts={"idx": is_row}, before={"_follows": is_row}).filter(is_row)
+    cells = rows.withColumns({"cells": F.split("line", "\t"), "idx": F.col("idx") - 1, "starts": ~F.coalesce("_follows", F.lit(False))})
     cells = cells.join(titles, "filename", "left").join(steps, "filename", "left")
     note = F.regexp_extract("line", r"#\* ([^\t]*)", 1)
     event = F.regexp_extract("line", r"#(\d+) Event Marker", 1)
@@ -71,23 +95,21 @@ def labchart(spark: SparkSession, path: str | list[str]) -> Dataset:
 
 def terason(spark: SparkSession, path: str | list[str]) -> Dataset:
     """Key-value lines, {Data}, a line of names, rows. Rows of deleted data repeat the last good row; the rate is rows over the stated seconds, rounded half to even."""
-    rows = lines(spark, path)
-    order = Window.partitionBy("filename").orderBy("n")
-    after = F.max(F.when(F.trim("line") == "{Data}", F.col("n"))).over(order)
-    body = rows.withColumn("after", after).withColumn("head", F.trim(F.lag("line").over(order)) == "{Data}")
-    heads = body.filter("head").groupBy("filename").agg(F.min_by("line", "n").alias("line"))
+    rows = along(lines(spark, path), counts={"after": F.trim("line") == "{Data}"}, before={"_ahead": F.trim("line")})
+    body = rows.filter("after > 0").withColumn("head", F.col("_ahead") == "{Data}")
+    heads = body.filter("head").groupBy("filename").agg(F.min_by("line", F.struct("block", "id")).alias("line"))
     name = lambda c: F.upper(F.regexp_replace(F.regexp_replace(c, r"(?i)\((sec|cm|cm/s)\)", ""), r"[()\s]", ""))
     heads = heads.select("filename", F.transform(F.split("line", ","), name).alias("names"))
     listed = _distinct(heads)
     times = rows.groupBy("filename").agg(*[F.max(F.when(F.col("line").startswith(k), _seconds(F.col("line")))).alias(a) for k, a in (("Start Time", "t0"), ("End Time", "t1"))])
-    data = body.filter((F.col("n") > F.col("after")) & ~F.col("head") & (F.trim("line") != "")).withColumn("cells", F.split("line", ",")).join(heads, "filename")
+    data = body.filter((F.trim("line") != "{Data}") & ~F.coalesce("head", F.lit(False)) & (F.trim("line") != "")).withColumn("cells", F.split("line", ",")).join(heads, "filename")
     number = {c: _cell(c) for c in listed}
     gone = next((c for c in listed if c.startswith("DELETED")), None)
     wave = next((c for c in listed if c.replace("-", "") == "RWAVE"), None)
     kept = F.struct(*[v.alias(f"x{i}") for i, v in enumerate(number.values())])
-    here = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows_in = F.count(F.lit(1)).over(Window.partitionBy("filename"))
-    filled = data.withColumns({"row": F.last(F.when(number[gone] == 0, kept) if gone else kept, True).over(here), "idx": (F.row_number().over(order) - 1).cast("long"), "rows_in": rows_in}).join(times, "filename")
+    sizes = data.groupBy("filename").agg(F.count(F.lit(1)).alias("rows_in"))
+    filled = along(data, counts={"idx": F.lit(True)}, last={"row": F.when(number[gone] == 0, kept) if gone else kept})
+    filled = filled.withColumn("idx", F.col("idx") - 1).join(sizes, "filename").join(times, "filename")
     none = F.array().cast("array<string>")
     marks = F.filter(F.slice("names", 2, 2), F.isnotnull)
     samples = filled.select(
