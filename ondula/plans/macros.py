@@ -8,6 +8,7 @@ from collections.abc import Callable
 from typing import Any
 
 from ondula.dataset import PipelineError
+from ondula.plans.spec import STEPS
 
 Block = dict[str, Any]
 #: Settings that are lists by nature and are not spread over several blocks.
