@@ -156,18 +156,23 @@ def staged(records: DataFrame, least_rate: float = 200.0) -> Dataset:
     first sample is commented RESET.
     """
     top = records.groupBy("rec").agg(F.greatest(F.lit(least_rate), F.max("fs")).alias("rate"))
-    parts = records.groupBy("rec", "channel", "record", "fs").agg(F.transform(F.array_sort(F.collect_list(F.struct("sample_idx", "value"))), lambda s: s["value"]).alias("v")).join(top, "rec")
-    n = F.size("v")
-    new = F.greatest(F.lit(1), F.floor(n * F.col("rate") / F.col("fs")).cast("int"))
-    step = F.try_divide(n, F.greatest(new - 1, F.lit(1)))
-    held = F.transform(F.sequence(F.lit(0), new - 1), lambda i: F.element_at("v", F.least(F.floor(i * step), n - 1).cast("int") + 1))
-    parts = parts.select("rec", "channel", "record", "rate", F.when(F.col("fs") < F.col("rate"), held).otherwise(F.col("v")).alias("v"))
+    key = ["rec", "channel", "record", "fs"]
+    sizes = records.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("sample_idx").alias("first"), F.max("sample_idx").alias("last")).join(top, "rec")
+    whole = F.col("last") - F.col("first") + 1 == F.col("n")
+    n = F.when(whole, F.col("n")).otherwise(F.raise_error(F.concat(F.lit("samples missing in a record of "), F.col("rec").cast("string"))).cast("long"))
+    slow = F.col("fs") < F.col("rate")
+    sizes = sizes.withColumn("n", n).withColumn("new", F.when(slow, F.greatest(F.lit(1), F.floor(F.col("n") * F.col("rate") / F.col("fs")))).otherwise(F.col("n")).cast("long"))
     order = Window.partitionBy("rec", "channel").orderBy("record")
-    parts = parts.withColumn("end", F.sum(F.size("v")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    sizes = sizes.withColumn("end", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     total = F.max("end").over(Window.partitionBy("rec"))
     own = F.max("end").over(Window.partitionBy("rec", "channel"))
-    parts = parts.withColumn("shift", F.col("end") - F.size("v") + total - own)
-    flat = parts.select("rec", "channel", "rate", "record", "shift", F.posexplode("v").alias("k", "value")).withColumn("idx", (F.col("shift") + F.col("k")).cast("long"))
+    sizes = sizes.select(*key, "rate", "n", "new", "first", (F.col("end") - F.col("new") + total - own).alias("shift"))
+    # sample k of a slow record is held at the places i with floor(i step) = k, the last one at all that are left
+    flat = records.join(sizes, key).withColumn("at", F.col("sample_idx") - F.col("first"))
+    step = F.try_divide("n", F.greatest(F.col("new") - 1, F.lit(1)))
+    near = F.sequence(F.greatest(F.lit(0), F.floor(F.col("at") / step) - 1).cast("long"), F.least(F.col("new") - 1, F.ceil((F.col("at") + 1) / step) + 1).cast("long"))
+    held = F.filter(near, lambda i: F.least(F.floor(i * step), F.col("n") - 1) == F.col("at"))
+    flat = flat.select("rec", "channel", "rate", "record", "shift", "value", F.explode(F.when(slow, held).otherwise(F.array(F.col("at")))).alias("k")).withColumn("idx", (F.col("shift") + F.col("k")).cast("long"))
     names = [r[0] for r in records.select("channel").distinct().orderBy("channel").collect()]  # the channels of a device
     wide = flat.groupBy("rec", "idx").agg(F.first("rate").alias("frequency"), F.max(F.col("k") == 0).alias("start"), *[F.coalesce(F.max(F.when(F.col("channel") == c, F.col("value"))), F.lit(0.0)).alias(c.upper()) for c in names])
     samples = wide.select(

@@ -94,3 +94,28 @@ def test_lists_spread_block_by_block(tmp_path):
     assert made[-1]["channels"] == ["U", "V"]
     twice = macros.expand({"class_name": "meta", "meta_name": "filter_signal", "name": "A", "channel_name": ["P", "Q"]})
     assert [(b["function"].lower(), b["in_channel"]) for b in twice] == [("kalman", "P"), ("kalman", "Q"), ("savgol", "P"), ("savgol", "Q")]
+
+
+def test_staged_records_are_held_by_places(spark):
+    """Against lists; every rate of a record, record lengths that do not fit, channels that start late."""
+    rows, want = [], {}
+    rates = {"A": 200.0, "B": 60.0, "C": 7.0, "D": 199.0}
+    sizes = {"A": [400, 55, 10], "B": [120, 1], "C": [14, 3, 1], "D": [398]}
+    for channel, fs in rates.items():
+        want[channel], starts = [], []
+        for record, n in enumerate(sizes[channel]):
+            values = [float(record * 1000 + i + 1) for i in range(n)]
+            rows += [(1, channel, record, fs, i + 5, v) for i, v in enumerate(values)]
+            new = max(1, int(n * 200.0 / fs)) if fs < 200 else n
+            step = n / max(new - 1, 1)
+            starts.append(len(want[channel]))
+            want[channel] += [values[min(int(i * step), n - 1)] for i in range(new)] if fs < 200 else values
+    ds = readers.staged(spark.createDataFrame(rows, "rec int, channel string, record int, fs double, sample_idx long, value double"))
+    got = sorted(ds.samples.collect(), key=lambda r: r["idx"])
+    total = max(map(len, want.values()))
+    assert [r["idx"] for r in got] == list(range(total))
+    for channel, values in want.items():
+        assert [r[channel] for r in got] == [0.0] * (total - len(values)) + values
+    assert "collect_list" not in ds.samples._jdf.queryExecution().toString()
+    with pytest.raises(Exception, match="samples missing"):
+        readers.staged(spark.createDataFrame([(1, "A", 0, 200.0, 0, 1.0), (1, "A", 0, 200.0, 2, 1.0)], "rec int, channel string, record int, fs double, sample_idx long, value double")).samples.collect()
