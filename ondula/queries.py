@@ -267,7 +267,17 @@ query(
     f"WITH {S}, h AS (SELECT rec, idx, c, max(CASE WHEN c = 'SIGNUP' THEN idx END) OVER (PARTITION BY rec ORDER BY idx) AS a, max(CASE WHEN c = 'PURCHASE' THEN idx END) OVER (PARTITION BY rec ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM s) "
     "SELECT rec, CAST(row_number() OVER (PARTITION BY rec ORDER BY idx) - 1 AS INT) AS wave_no, round((idx - a) / CAST(10 AS DOUBLE), 6) AS y FROM h WHERE c = 'PURCHASE' AND a IS NOT NULL AND (b IS NULL OR a > b)",
 )(lambda ds: scalar(cyc.marker_intervals(ds, "SIGNUP", "PURCHASE", "T"), "T"))
-query("tangents")(lambda ds: marked(smp.tangents(_feet(ds), "VALUE", "TOP", "FOOT"), "VALUE"))
+_ROWS = "PARTITION BY rec ORDER BY idx ROWS BETWEEN"
+_TANGENTS = (
+    "e AS (SELECT rec, idx, x, coalesce(x < lag(x) OVER o AND x < lead(x) OVER o, false) AS lo, coalesce(x > lag(x) OVER o AND x > lead(x) OVER o, false) AS hi FROM s WINDOW o AS (PARTITION BY rec ORDER BY idx)), "
+    f"r AS (SELECT *, max(CASE WHEN lo THEN idx END) OVER ({_ROWS} UNBOUNDED PRECEDING AND CURRENT ROW) AS low, max(CASE WHEN hi THEN idx END) OVER ({_ROWS} UNBOUNDED PRECEDING AND 1 PRECEDING) AS top, "
+    f"min(CASE WHEN hi THEN idx END) OVER ({_ROWS} CURRENT ROW AND UNBOUNDED FOLLOWING) AS next_hi, min(CASE WHEN lo THEN idx END) OVER ({_ROWS} 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_lo FROM e), "
+    "i AS (SELECT * FROM r WHERE low IS NOT NULL AND next_hi IS NOT NULL AND (top IS NULL OR top <= low) AND (next_lo IS NULL OR next_lo > next_hi)), "
+    "d AS (SELECT rec, low, idx, x, CASE WHEN lag(x) OVER o IS NULL THEN lead(x) OVER o - x WHEN lead(x) OVER o IS NULL THEN x - lag(x) OVER o ELSE (lead(x) OVER o - lag(x) OVER o) / 2 END AS slope FROM i WINDOW o AS (PARTITION BY rec, low ORDER BY idx)), "
+    "g AS (SELECT rec, low, arg_max(idx, (slope, -idx)) AS at_idx, arg_max(x, (slope, -idx)) AS at_x, max(slope) AS steep, min(x) AS base FROM d GROUP BY rec, low HAVING count(*) >= 3) "
+    "SELECT DISTINCT rec, arg_min(idx, (abs(steep * (idx - at_idx) + at_x - base), idx)) AS idx FROM d JOIN g USING (rec, low) GROUP BY rec, low"
+)
+query("tangents", f"WITH {S}, {_TANGENTS}")(lambda ds: marked(smp.tangents(_feet(ds), "VALUE", "TOP", "FOOT"), "VALUE"))
 
 
 def _feet(ds: Dataset) -> Dataset:
@@ -341,7 +351,13 @@ def _(ds: Dataset) -> DataFrame:
 query("save_lines", f"WITH {C} SELECT rec, CAST(wave_no AS INT) AS n, CAST(rec AS VARCHAR) || ';' || CAST(len(v) AS VARCHAR) || '.0' AS line FROM c0")(
     lambda ds: writers.text_lines(cyc.arithmetic(cyc.measured(cut_up(ds), "V", "period", "P"), "P", "*", num=10, out="P"), "{FILENAME};{P}", decimal=1)
 )
-query("plot_data")(lambda ds: writers.plot_data(ds, ["VALUE"]).select("rec", "channel", near("t").alias("t"), near("value").alias("value")))
+_TURN = "2 * pi() * m"
+query(
+    "plot_data",
+    f"WITH {S}, f AS (SELECT rec, n, m, sum(x * cos({_TURN} * idx / n)) AS re, -sum(x * sin({_TURN} * idx / n)) AS im FROM s, LATERAL (SELECT unnest(range(0, n // 2 + 1)) AS m) GROUP BY ALL), "
+    "k AS (SELECT DISTINCT rec, n, greatest(1, CAST(floor(n / CAST(10 AS DOUBLE) * 50) AS BIGINT)) AS wide FROM s), j AS (SELECT rec, wide, unnest(range(0, wide)) AS j FROM k) "
+    f"SELECT rec, 'VALUE' AS channel, round(j * (n / CAST(10 AS DOUBLE)) / wide, 6) AS t, round(sum(CASE WHEN m = 0 OR 2 * m = n THEN 1 ELSE 2 END * (re * cos({_TURN} * j / wide) - im * sin({_TURN} * j / wide))) / n, 6) AS value FROM f JOIN j USING (rec) GROUP BY rec, n, wide, j",
+)(lambda ds: writers.plot_data(ds, ["VALUE"]).select("rec", "channel", near("t").alias("t"), near("value").alias("value")))
 
 # shape
 
