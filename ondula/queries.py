@@ -366,15 +366,46 @@ query(
     f"WITH {C}, x AS (SELECT rec, wave_no, row_number() OVER q - 1 AS i, count(*) OVER (PARTITION BY rec, wave_no) AS n, x, lag(x) OVER q AS a, lead(x) OVER q AS b FROM w WINDOW q AS (PARTITION BY rec, wave_no ORDER BY idx)), "
     "p AS (SELECT rec, wave_no, min(CASE WHEN x > a AND x > b THEN i END) AS top, count(CASE WHEN x > a AND x > b THEN 1 END) AS peaks FROM x GROUP BY ALL), "
     "g AS (SELECT rec, wave_no FROM x JOIN p USING (rec, wave_no) WHERE n > 3 AND peaks >= 3 AND x < a AND x < b AND i >= top GROUP BY ALL HAVING count(*) >= 2), "
+    "z AS (SELECT x.*, x - avg(x) OVER w AS d, count(*) OVER (PARTITION BY rec, wave_no, x) AS same FROM x JOIN g USING (rec, wave_no) WINDOW w AS (PARTITION BY rec, wave_no)), "
     "m AS (SELECT rec, wave_no, sum(x) AS auc, sum(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE abs(b - 2 * x + a) / power(1 + (x - a) * (x - a), 1.5) END) AS vci, avg(x) AS mean, quantile_cont(x, 0.5) AS median, stddev_samp(x) AS std, var_samp(x) AS var, "
-    "CASE WHEN sum(x) = 0 THEN 0 ELSE sum(i * x) / sum(x) END AS centre FROM x JOIN g USING (rec, wave_no) GROUP BY ALL) "
-    "SELECT rec, wave_no, round(auc, 6) AS auc, round(vci, 6) AS vci, round(mean, 6) AS mean, round(median, 6) AS median, round(std, 6) AS std, round(var, 6) AS var, round(centre, 6) AS centre FROM c0 LEFT JOIN m USING (rec, wave_no)",
+    "CASE WHEN sum(x) = 0 THEN 0 ELSE sum(i * x) / sum(x) END AS centre FROM x JOIN g USING (rec, wave_no) GROUP BY ALL), "
+    "o AS (SELECT rec, wave_no, arg_min(x, (-same, i)) AS mode, avg(d * d * d) / power(avg(d * d), 1.5) AS skew, avg(d * d * d * d) / (avg(d * d) * avg(d * d)) - 3 AS kurtosis FROM z GROUP BY ALL) "
+    "SELECT rec, wave_no, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("auc", "vci", "mean", "median", "mode", "std", "var", "centre", "skew", "kurtosis")) + " FROM c0 LEFT JOIN m USING (rec, wave_no) LEFT JOIN o USING (rec, wave_no)",
 )(
     lambda ds: cyc.shaped(cut_up(ds), "V", ["AUC", "VCI", "STATS_Y", "STATS_X"], prominence_level=0, out="S").cycles("S").select(
-        "rec", "wave_no", *[near(F.element_at("values", k)).alias(c) for k, c in ((1, "auc"), (2, "vci"), (3, "mean"), (4, "median"), (6, "std"), (7, "var"), (8, "centre"))]
+        "rec", "wave_no", *[near(F.element_at("values", k)).alias(c) for k, c in enumerate(("auc", "vci", "mean", "median", "mode", "std", "var", "centre", "skew", "kurtosis"), 1)]
     )
 )
-query("morphology_full")(lambda ds: cyc.shaped(cut_up(ds), "V", ["X", "Y", "WIDTH_50", "PROMINENCE", "CURVATURE", "SLOPE", "INTEGRAL", "ANGLE", "STATS_Y", "STATS_X", "AUC", "DECAY", "VCI"], out="S").cycles("S").select("rec", "wave_no", F.size("values").cast("long").alias("n"), near(F.element_at("values", -2)).alias("decay")))
+
+
+def shape_columns(features: list[str]) -> list[str]:
+    """A name for every value of a shape vector."""
+    return [f"{f.lower()}_{k}" for f in features for k in range(kernels.SHAPE_WIDTHS[f])]
+
+
+def shape_table(ds: Dataset, features: list[str], **named) -> DataFrame:
+    made = cyc.shaped(cut_up(ds), "V", features, out="S", **named).cycles("S")
+    return made.select("rec", "wave_no", *[near(F.element_at("values", k)).alias(c) for k, c in enumerate(shape_columns(features), 1)])
+
+
+POINTS = ["X", "Y", "CURVATURE", "SLOPE", "INTEGRAL", "ANGLE"]
+_POINT = {
+    "X": lambda k: f"t[{k + 1}] / CAST(10 AS DOUBLE)",
+    "Y": lambda k: f"v[t[{k + 1}] + 1]",
+    "CURVATURE": lambda k: f"abs(v[t[{k + 2}] + 2] - 2 * v[t[{k + 2}] + 1] + v[t[{k + 2}]]) / power(1 + power(v[t[{k + 2}] + 1] - v[t[{k + 2}]], 2), 1.5)",
+    "SLOPE": lambda k: f"10 * (v[t[{k + 2}] + 1] - v[t[{k + 1}] + 1]) / (t[{k + 2}] - t[{k + 1}])",
+    "INTEGRAL": lambda k: f"CASE WHEN t IS NOT NULL THEN list_sum(v[t[{k + 1}] + 1 : t[{k + 2}]]) END",
+    "ANGLE": lambda k: f"CASE WHEN t IS NOT NULL THEN acos(least(1, greatest(-1, (u[{k + 1}] * u[{k + 2}] + w[{k + 1}] * w[{k + 2}]) / (sqrt(u[{k + 1}] * u[{k + 1}] + w[{k + 1}] * w[{k + 1}]) * sqrt(u[{k + 2}] * u[{k + 2}] + w[{k + 2}] * w[{k + 2}]))))) END",
+}
+query(
+    "morph_points",
+    f"WITH {C}, x AS (SELECT rec, wave_no, row_number() OVER q - 1 AS i, x, lag(x) OVER q AS a, lead(x) OVER q AS b FROM w WINDOW q AS (PARTITION BY rec, wave_no ORDER BY idx)), "
+    "h AS (SELECT rec, wave_no, list(i ORDER BY i) AS p FROM x WHERE x > a AND x > b GROUP BY ALL HAVING count(*) >= 3), l AS (SELECT rec, wave_no, list(i ORDER BY i) AS d FROM x JOIN h USING (rec, wave_no) WHERE x < a AND x < b AND i >= p[1] GROUP BY ALL HAVING count(*) >= 2), "
+    "t AS (SELECT rec, wave_no, v, [0, p[1], d[1], p[2], d[2], p[3], len(v) - 1] AS t FROM c0 JOIN h USING (rec, wave_no) JOIN l USING (rec, wave_no) WHERE len(v) > 3), "
+    "q AS (SELECT *, list_transform(range(1, 7), lambda k: t[k + 1] - t[k]) AS u, list_transform(range(1, 7), lambda k: v[t[k + 1] + 1] - v[t[k] + 1]) AS w FROM t) "
+    "SELECT rec, wave_no, " + ", ".join(f"round({_POINT[f](k)}, 6) AS {f.lower()}_{k}" for f in POINTS for k in range(kernels.SHAPE_WIDTHS[f])) + " FROM c0 LEFT JOIN (SELECT rec, wave_no, t, u, w FROM q) USING (rec, wave_no)",
+)(lambda ds: shape_table(ds, POINTS, prominence_level=0))
+query("morphology_full")(lambda ds: shape_table(ds, ["X", "Y", "WIDTH_50", "PROMINENCE", "CURVATURE", "SLOPE", "INTEGRAL", "ANGLE", "STATS_Y", "STATS_X", "AUC", "DECAY", "VCI"]))
 
 # macros
 

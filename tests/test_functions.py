@@ -126,3 +126,60 @@ def test_shape_of_three_bells():
     made = kernels.shape(wave, 100, True, ["X", "Y", "PROMINENCE", "WIDTH_50"], 0.05)
     assert len(made) == 24 and np.allclose(made[:7], [0, 0.75, 1.12, 1.5, 1.87, 2.25, 2.99], atol=0.02)
     assert all(v != v for v in kernels.shape(wave, 100, False, ["X"], 0.05))
+
+
+def plain_shape(y, rate, level):
+    """Widths at half, prominences and decay by their definitions."""
+    def maxima(v):
+        return [i for i in range(1, len(v) - 1) if v[i - 1] < v[i] > v[i + 1]]
+
+    def bases(v, p):
+        left = right = p
+        while left > 0 and v[left - 1] <= v[p]:
+            left -= 1
+        while right < len(v) - 1 and v[right + 1] <= v[p]:
+            right += 1
+        low, high = int(np.argmin(v[left : p + 1])), int(np.argmin(v[p : right + 1]))
+        low = max(k for k in range(left, p + 1) if v[k] == v[left + low])  # the nearest of equals
+        return low, p + high, v[p] - max(v[low], v[p + high])
+
+    def width(v, p):
+        low, high, prominence = bases(v, p)
+        line = v[p] - prominence / 2
+        i = p
+        while i > low and v[i] > line:
+            i -= 1
+        a = i if v[i] >= line else i + (line - v[i]) / (v[i + 1] - v[i])
+        j = p
+        while j < high and v[j] > line:
+            j += 1
+        b = j if v[j] >= line else j - (line - v[j]) / (v[j - 1] - v[j])
+        return b - a
+
+    peaks = [p for p in maxima(y) if bases(y, p)[2] >= level]
+    valleys = [p for p in maxima(-y) if bases(-y, p)[2] >= level and p >= peaks[0]]
+    if len(peaks) < 3 or len(valleys) < 2:
+        return None
+    at = [(y, peaks[0]), (-y, valleys[0]), (y, peaks[1]), (-y, valleys[1]), (y, peaks[2])]
+    decay = 0.0
+    if len(peaks) > 3:
+        p = peaks[3]
+        end = next((k for k in range(p + 1, len(y)) if y[k] <= 0.3 * y[p]), len(y) - 1)
+        decay = (y[p] - y[end]) / (end - p) if end > p else 0.0
+    return [width(v, p) for v, p in at] + [bases(v, p)[2] for v, p in at] + [decay]
+
+
+def test_widths_prominences_and_decay_by_definition():
+    rng = np.random.default_rng(17)
+    seen = 0
+    for _ in range(200):
+        y = np.cumsum(rng.normal(size=rng.integers(8, 60))) + 20
+        got = kernels.shape(y, 100.0, True, ["WIDTH_50", "PROMINENCE", "DECAY"], 0.05)
+        peaks = kernels.find_peaks(y, prominence=0.05)
+        want = plain_shape(y, 100.0, 0.05) if len(peaks) else None
+        if want is None:
+            assert np.isnan(got).all()
+        else:
+            seen += 1
+            assert np.allclose(got, want, rtol=0, atol=1e-9)
+    assert seen > 50
