@@ -99,6 +99,7 @@ def terason_dist(name: str, index_channel_terason: str, channel_name_diameter: s
 
 
 def take_max(name: str, channel: str, mask_name: str, time: str, resultant: str) -> list[Block]:
+    """The first cycles in a row that fill the time, or the first at all. Both runs keep to the mask, as its name asks, where an older form of this macro takes any cycle."""
     take = lambda out, run: {"class_name": "take", "in": name, "in_channel": channel, "mask": mask_name, "time": time, "consecutive": run, "out_channel": out, "out": name}
     return [take("take_consecs", True), take("take_nonconsecs", False), {"class_name": "priority", "in": name, "channels": ["take_consecs", "take_nonconsecs"], "out_channel": resultant, "out": name}]
 

@@ -415,20 +415,20 @@ BEATS = (
 )
 
 
-def _mean_sql(value: str, name: str) -> str:
+def _mean_sql(value: str, name: str, places: int = 6) -> str:
     known = f"CASE WHEN {value} IS NOT NULL THEN period END"
-    return f"round(sum(period * ({value})) / nullif(sum({known}), 0), 6) AS {name}"
+    return f"round(sum(period * ({value})) / nullif(sum({known}), 0), {places}) AS {name}"
 
 
 def _ratio(a: str, b: str) -> str:
     return f"CASE WHEN {b} <> 0 THEN {a} / {b} END"
 
 
-def finals(ds: Dataset, **channels: str) -> DataFrame:
+def finals(ds: Dataset, places: int = 6, **channels: str) -> DataFrame:
     """One row per recording of what a macro leaves."""
     made = None
     for name, channel in channels.items():
-        one = ds.cycles(channel).select("rec", near(F.element_at("values", 1)).alias(name))
+        one = ds.cycles(channel).select("rec", near(F.element_at("values", 1), places).alias(name))
         made = one if made is None else made.join(one, "rec")
     return made
 
@@ -456,3 +456,33 @@ query("macro_respiract", f"WITH {C}, b AS (SELECT rec, len(v) / CAST(10 AS DOUBL
 
 def _renamed(ds: Dataset, name: str) -> Dataset:
     return Dataset(ds.samples.withColumnRenamed("VALUE", name), (name,))
+
+
+def _faster(ds: Dataset, rate: float) -> Dataset:
+    """The same samples at another rate."""
+    return Dataset(ds.samples.withColumn("frequency", F.lit(rate)), ds.channels, rates=(rate,))
+
+
+_LINE = {0: (0.6, 0.4, 0.2, 0.0, -0.2), 1: (0.4, 0.3, 0.2, 0.1, 0.0)}  # a line through five samples, at its first and second
+
+
+def _line_sql(function: str, row: int) -> str:
+    """The line's value `row` samples from an end, by lead (start) or lag (end)."""
+    return " + ".join(f"CAST({c} AS DOUBLE) * {function}(pos, {k - row}) OVER o" for k, c in enumerate(_LINE[row]))
+
+
+query(
+    "macro_filter_signal",
+    KALMAN[: KALMAN.rindex(" SELECT rec, idx, round(pos, 6)")]
+    + f", z AS (SELECT *, count(*) OVER (PARTITION BY rec) AS n FROM k WHERE idx >= 0) SELECT rec, idx, round(CASE WHEN idx = 0 THEN {_line_sql('lead', 0)} WHEN idx = 1 THEN {_line_sql('lead', 1)} WHEN idx = n - 1 THEN {_line_sql('lag', 0)} WHEN idx = n - 2 THEN {_line_sql('lag', 1)} "
+    "ELSE avg(pos) OVER (PARTITION BY rec ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) END, 6) AS y FROM z WINDOW o AS (PARTITION BY rec ORDER BY idx)",
+)(lambda ds: sampled(macro(_faster(ds, 100.0), meta_name="filter_signal", channel_name="VALUE"), "VALUE"))
+
+VESSEL = {"diameter": "v", "area": "list_transform(v, lambda x: x * x * CAST(0.7854 AS DOUBLE))", "velocity": "v", "flow": "list_transform(v, lambda x: x * x * x * CAST(0.7854 AS DOUBLE))"}
+KINDS = {"sys": "list_max({0})", "mean": "list_avg({0})", "dias": "list_min({0})", "amp": "list_max({0}) - list_min({0})"}
+RATIOS = {"pi": ("amp", "mean"), "ri": ("amp", "sys"), "sd": ("sys", "dias")}
+_KINDS_SQL = ", ".join(f"CASE WHEN len(v) > 0 THEN {form.format(body)} ELSE 0 END AS {kind}_{tag}_w" for tag, body in VESSEL.items() for kind, form in KINDS.items())
+VESSEL_MEANS = {f"{k}_{tag}": f"{k}_{tag}_w" for tag in VESSEL for k in KINDS} | {f"{k}_{tag}": _ratio(f"{a}_{tag}_w", f"{b}_{tag}_w") for tag in ("velocity", "flow") for k, (a, b) in RATIOS.items() if k != "sd"}  # a beat's minimum may be near 0
+query("macro_terason_tools", f"WITH {C}, b AS (SELECT rec, len(v) / CAST(10 AS DOUBLE) AS period, {_KINDS_SQL} FROM c0) SELECT rec, {', '.join(_mean_sql(v, k, 4) for k, v in VESSEL_MEANS.items())} FROM b GROUP BY rec")(
+    lambda ds: finals(macro(cut_up(ds), meta_name="terason_tools", diameter_wave="V", velocity_wave="V"), places=4, **{k: k.upper() for k in VESSEL_MEANS})
+)
