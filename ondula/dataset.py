@@ -42,6 +42,7 @@ class Table:
     frame: DataFrame
     channels: tuple[str, ...] = ()
     masks: tuple[str, ...] = ()
+    sparse: bool = True  # recordings may be without any cycle
 
 
 @dataclass(frozen=True)
@@ -127,7 +128,7 @@ class Dataset:
             side = other.frame.select("rec", "wave_no", *columns)
             frame = frame.drop(*columns).join(side, ["rec", "wave_no"], "left")
             got, kept = (*got, *(c for c in other.channels if c in channels)), (*kept, *(m for m in other.masks if m in masks))
-        return self.add_table(Table(frame, got, kept)), len(self.tables)
+        return self.add_table(Table(frame, got, kept, any(self.tables[i].sparse for i in wanted))), len(self.tables)
 
     def values(self, channel: str) -> Column:
         return F.col(_column(channel))

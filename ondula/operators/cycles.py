@@ -48,7 +48,7 @@ def partition(ds: Dataset, channels: list[str], index: str, outs: list[str] | No
         every = every.filter("wave_no > 0").withColumn("wave_no", F.col("wave_no") - 1)
     if del_last:
         every = every.withColumn("_last", F.max("wave_no").over(whole())).filter(F.col("wave_no") < F.col("_last")).drop("_last")
-    return ds.add_table(Table(every, tuple(outs)))
+    return ds.add_table(Table(every, tuple(outs), sparse=del_first or del_last))
 
 
 def _field(array: str, name: str) -> Column:
@@ -74,8 +74,25 @@ def sliced(ds: Dataset, channel: str, start: float, end: float, out: str | None
 
 
 def arithmetic(ds: Dataset, channel: str, operator: str, second: str | None = None, num: float | None = None, out: str | None = None) -> Dataset:
-    """A channel and a number, or two channels cycle by cycle and value by value, to the shorter of them. "-1" is the reciprocal, with 0 for that of 0."""
+    """A channel and a number, or two channels cycle by cycle and value by value, to the shorter of them. "-1" is the reciprocal, with 0 for that of 0.
+
+    A recording without cycles of the channel gets one, of a NaN.
+    """
     out = out or channel
+    return _never_empty(_calculated(ds, channel, operator, second, num, out), out)
+
+
+def _never_empty(ds: Dataset, channel: str) -> Dataset:
+    table = ds.tables[ds.table_of(channel)]
+    if not table.sparse:
+        return ds
+    own = table.frame.select("rec", "wave_no", "frequency", _column(channel)).filter(ds.values(channel).isNotNull())
+    without = ds.recordings().join(own.select("rec").distinct(), "rec", "left_anti")
+    nan = without.select("rec", F.lit(0).cast("int").alias("wave_no"), "frequency", F.array(F.lit(C.NAN)).alias(_column(channel)))
+    return ds.add_table(Table(own.unionByName(nan), (channel,), sparse=False))
+
+
+def _calculated(ds: Dataset, channel: str, operator: str, second: str | None, num: float | None, out: str) -> Dataset:
     if operator == "-1":
         if second:
             raise PipelineError("a reciprocal takes one channel")

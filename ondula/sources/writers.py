@@ -3,61 +3,63 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ondula.dataset import Dataset, _column, quoted
+from ondula.dataset import Dataset, quoted
 from ondula.functions import kernels
 
 PLOT_RATE = 50.0
 
 
+def _shown(decimal: int, delim: str) -> Callable[[Column], Column]:
+    """Numbers as text by the rule that rounds to the nearest decimal of the exact value, which column functions do not have."""
+
+    @F.pandas_udf("string")
+    def shown(values: pd.Series) -> pd.Series:
+        return values.map(lambda cell: delim.join(str(round(float("nan" if v is None else v), decimal)) for v in cell), na_action="ignore")
+
+    return shown
+
+
 def text_lines(ds: Dataset, form: str, delim: str = ",", decimal: int = 2, name: str = "") -> DataFrame:
     """rec, n, line: a template with {CHANNEL}, {FILENAME}, {FREQUENCY} and {NAME} filled in.
 
-    A channel of one cycle fills every line of its recording; channels of more cycles give a line each, to the shortest. Unknown keys stay as they are.
+    A channel of one cycle fills every line of its recording; channels of more cycles give a line each, to the shortest. Unknown keys stay as they are. Lines are joined to
+    cycles by their number; no recording is gathered into a row.
     """
     form, delim = form.upper(), delim.upper()
+    shown = _shown(decimal, delim)
     keys = [k for k in dict.fromkeys(re.findall(r"\{([^{}]+)\}", form)) if ds.has(k)]
-    rows = ds.recordings()
+    rows, many = ds.recordings(), {}
     for i, key in enumerate(keys):
-        cycles = ds.cycles(key).groupBy("rec").agg(F.transform(F.array_sort(F.collect_list(F.struct("wave_no", "values"))), lambda s: s["values"]).alias(f"k{i}"))
-        rows = rows.join(cycles, "rec", "left")
-
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for row in frame.to_dict("records"):
-                number = lambda v: str(round(float(v), decimal))
-                text = form.replace("{NAME}", name).replace("{FILENAME}", str(row["filename"])).replace("{FREQUENCY}", number(row["frequency"]))
-                many = {}
-                for i, key in enumerate(keys):
-                    cells = [delim.join(number(v) for v in values) for values in (row[f"k{i}"] if row[f"k{i}"] is not None else [])]
-                    if len(cells) == 1:
-                        text = text.replace("{" + key + "}", cells[0])
-                    else:
-                        many[key] = cells
-                for n, picked in enumerate(zip(*many.values(), strict=False) if many else [()]):
-                    line = text
-                    for key, cell in zip(many, picked, strict=True):
-                        line = line.replace("{" + key + "}", cell)
-                    out.append((row["rec"], n, line))
-            yield pd.DataFrame(out, columns=["rec", "n", "line"])
-
-    kind = ds.samples.schema["rec"].dataType.simpleString()
-    return rows.mapInPandas(work, f"rec {kind}, n int, line string")
+        order = Window.partitionBy("rec").orderBy("wave_no")
+        cells = ds.cycles(key).select("rec", (F.row_number().over(order) - 1).alias("n"), F.count(F.lit(1)).over(Window.partitionBy("rec")).alias("of"), shown("values").alias(f"many{i}"))
+        known = cells.filter("n = 0").select("rec", F.col("of").alias(f"of{i}"), F.when(F.col("of") == 1, F.col(f"many{i}")).alias(f"one{i}"))
+        rows = rows.join(known, "rec", "left").withColumn(f"of{i}", F.coalesce(f"of{i}", F.lit(0)))
+        many[i] = cells.filter("of > 1").drop("of")
+    lengths = [F.when(F.col(f"of{i}") != 1, F.col(f"of{i}")) for i in many]
+    count = F.coalesce(F.least(*lengths) if len(lengths) > 1 else lengths[0], F.lit(1)) if lengths else F.lit(1)
+    rows = rows.withColumn("n", F.explode(F.when(count > 0, F.sequence(F.lit(0), count.cast("int") - 1))))
+    for cells in many.values():
+        rows = rows.join(cells, ["rec", "n"], "left")
+    line = F.replace(F.lit(form.replace("{NAME}", name)), F.lit("{FILENAME}"), F.col("filename"))
+    line = F.replace(line, F.lit("{FREQUENCY}"), shown(F.array(F.col("frequency").cast("double"))))
+    for i, key in enumerate(keys):
+        line = F.replace(line, F.lit("{" + key + "}"), F.coalesce(f"one{i}", f"many{i}"))
+    return rows.select("rec", F.col("n").cast("int").alias("n"), line.alias("line"))
 
 
 def save(ds: Dataset, path: str, form: str, header: str = "", delim: str = ",", append: bool = False, decimal: int = 2, name: str = "") -> None:
-    """Writes the lines in order of recordings as text files under `path`, headed by one line of header."""
-    body = text_lines(ds, form, delim, decimal, name).orderBy("rec", "n").select("line")
+    """Writes the lines in order of recordings as text files under `path`, whose names sort as they do, headed by one line of header."""
+    body = text_lines(ds, form, delim, decimal, name)
+    rows = body.select(F.lit(1).alias("part"), "rec", "n", "line")
     if header:
-        head = ds.samples.sparkSession.createDataFrame([(header.upper(),)], "value string")
-        head.coalesce(1).write.mode("append" if append else "overwrite").text(path)
-    body.write.mode("append" if append or header else "overwrite").text(path)
+        rows = rows.unionByName(body.sparkSession.createDataFrame([(0, header.upper())], "part int, line string"), allowMissingColumns=True)
+    rows.orderBy("part", "rec", "n").select("line").write.mode("append" if append else "overwrite").text(path)
 
 
 def plot_data(ds: Dataset, channels: list[str], rate: float = PLOT_RATE) -> DataFrame:

@@ -5,8 +5,8 @@ import pytest
 from ondula.operators import cycles as cyc
 from ondula.plans import macros
 from ondula.plans.pipeline import run
-from ondula.sources import readers
-from tests.helpers import recording
+from ondula.sources import readers, writers
+from tests.helpers import recording, recordings
 
 
 @pytest.fixture
@@ -119,3 +119,23 @@ def test_staged_records_are_held_by_places(spark):
     assert "collect_list" not in ds.samples._jdf.queryExecution().toString()
     with pytest.raises(Exception, match="samples missing"):
         readers.staged(spark.createDataFrame([(1, "A", 0, 200.0, 0, 1.0), (1, "A", 0, 200.0, 2, 1.0)], "rec int, channel string, record int, fs double, sample_idx long, value double")).samples.collect()
+
+
+def test_lines_go_to_the_shortest_channel(spark, tmp_path):
+    ds = cyc.partition(recording(spark, [1, 4, 2.675, 3, 9], {1: ["M"], 3: ["M"]}), ["X"], "M", ["W"])
+    ds = cyc.measured(ds, "W", "max", "TOP")
+    ds = cyc.sliced(ds, "W", 0, 0.5, "PART")
+    ds = cyc.take(ds, "TOP", waves=2, consecutive=False, out="TWO")
+    ds = cyc.aggregated(ds, "TOP", "mean", out="A")
+    lines = [r["line"] for r in writers.text_lines(ds, "{name}:{filename} {frequency} {A};{two};{part};{other}", decimal=2, name="N").orderBy("n").collect()]
+    assert lines == ["N:one 10.0 4.67;1.0;;{OTHER}", "N:one 10.0 4.67;4.0;4.0;{OTHER}"]
+    assert [r["line"] for r in writers.text_lines(ds, "{W}", decimal=2).orderBy("n").collect()] == ["1.0", "4.0,2.67", "3.0,9.0"]  # 2.675 is a little less than that
+    assert [r["line"] for r in writers.text_lines(ds, "{A}").collect()] == ["4.67"]
+    writers.save(ds, str(tmp_path / "out"), "{top}", header="top")
+    assert "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*"))).split() == ["TOP", "1.0", "4.0", "9.0"]
+
+
+def test_arithmetic_of_a_recording_without_cycles(spark):
+    ds = cyc.partition(recordings(spark, [[1, 2, 3, 4], [5, 6]], [{1: ["M"], 2: ["M"]}, {1: ["M"]}]), ["X"], "M", ["W"], del_first=True, del_last=True)
+    made = cyc.arithmetic(ds, "W", "+", num=1, out="Y").cycles("Y").orderBy("rec").collect()
+    assert [(r["rec"], r["wave_no"]) for r in made] == [(1, 0), (2, 0)] and made[0]["values"] == [3.0] and made[1]["values"][0] != made[1]["values"][0]
