@@ -6,7 +6,7 @@ negative, by how much more of its kind stands outside articles than inside, a li
 the text. What is nested in it and speaks against itself (an advert, a form, a list of links) is left out: the weights of the elements that hold less than half of the
 region's words decide.
 
-Labelled pages are those that mark their article with exactly one `article` or `main` element, at most `train_pages` of them, chosen by a hash; one page counts for all that have the
+Labelled pages are those that mark their article with exactly one `article` or `main` element, about `train_pages` of them, chosen by a hash; one page counts for all that have the
 same set of block features, so that one site's template does not outvote all others; and the layouts below, written for this purpose, which cover
 what few pages mark. Scoring is one scan without a shuffle; a model is a few thousand weights at most.
 
@@ -341,9 +341,11 @@ def learn(pages: list[str]) -> Model:
 
 
 def fit(pages: DataFrame, html_col: str = "html", train_pages: int = TRAIN_PAGES) -> Model:
-    """Learns from at most `train_pages` of the pages that mark their article; one for each set of features."""
-    marked = pages.select(F.col(html_col).alias("html")).filter(F.lower("html").rlike(r"<(article|main)[\s>]"))
-    sample = marked.orderBy(F.xxhash64("html")).limit(train_pages)
+    """Learns from about `train_pages` of the pages that mark their article, chosen by a hash of the row; one for each set of features."""
+    marked = pages.filter(F.lower(html_col).rlike(r"<(article|main)[\s>]"))
+    share = min(1.0, train_pages / max(marked.count(), 1))
+    chosen = F.pmod(F.xxhash64(*pages.columns), F.lit(1 << 20)) < int(share * (1 << 20))
+    sample = marked.filter(chosen).select(F.col(html_col).alias("html"))
     seen = arrow_map(sample, _observe, "seen string").filter("seen is not null").distinct().orderBy("seen")
     return learn([r["seen"] for r in seen.collect()])  # at most train_pages strings of a page's different features
 
