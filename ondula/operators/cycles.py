@@ -13,6 +13,7 @@ from ondula.dataset import Dataset, PipelineError, Table, _column, _mask, by_tim
 from ondula.functions import cycles as C
 from ondula.functions import kernels
 from ondula.functions.duration import duration
+from ondula.operators import chunks
 from ondula.operators.samples import per_batch, to_here
 
 log = logging.getLogger("ondula")
@@ -332,18 +333,20 @@ def expanded(ds: Dataset, channel: str, weights: str = "", mask: str = "", metho
     lengths = ds.samples.groupBy("rec").agg(F.count(F.lit(1)).alias("_size"))
     longer = F.raise_error(F.concat(F.lit("cycles hold longer than recording "), F.col("rec").cast("string"), F.lit(", to sample "), F.col("end").cast("string"))).cast("long")
     spans = spans.join(lengths, "rec").withColumn("n", F.when(F.col("end") > F.col("_size"), longer).otherwise(F.col("n")))
-    spread = spans.select("rec", "y", F.explode(F.sequence(F.col("end") - F.col("n"), F.col("end") - 1)).alias("idx"))
-    if method.upper() != "FLAT":
+    if method.upper() == "FLAT":
+        known = spans.select("rec", "y", (F.col("end") - F.col("n")).alias("idx"))  # what follows a start is filled from it
+    else:
         kind = ds.samples.schema["rec"].dataType.simpleString()
 
         def work(frame):
             frame = frame.sort_values("idx")
             return frame.assign(y=kernels.smooth(frame["y"].to_numpy(float), method.upper()))[["rec", "y", "idx"]]
 
-        spread = spread.groupBy("rec").applyInPandas(work, f"rec {kind}, y double, idx long")
-    back = Window.partitionBy("rec").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    joined = ds.samples.join(spread, ["rec", "idx"], "left").withColumn(out, F.coalesce(F.last("y", True).over(back), F.lit(0.0))).drop("y")
-    return ds.with_samples(joined, out)
+        every = spans.select("rec", "y", F.explode(F.sequence(F.col("end") - F.col("n"), F.col("end") - 1)).alias("idx"))
+        known = every.groupBy("rec").applyInPandas(work, f"rec {kind}, y double, idx long")
+    joined = ds.samples.join(known.withColumnRenamed("y", "_held"), ["rec", "idx"], "left")
+    filled = chunks.joined_up(joined, ["_held"], before=0, after=0).filter("_own").withColumn(out, F.coalesce("_held", F.lit(0.0)))
+    return ds.with_samples(filled.select(*[quoted(c) for c in dict.fromkeys([*ds.samples.columns, out])]), out)
 
 
 def marker_intervals(ds: Dataset, first: str, second: str, out: str) -> Dataset:
