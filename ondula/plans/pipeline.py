@@ -126,7 +126,8 @@ def run(spark: SparkSession, blocks: Iterable[dict[str, Any]], catalog: Catalog
         elif kind == "save":
             writers.save(ds, f"{s['folder']}{s['save_name']}", s["format"], s["header"], s["delim"], s["append"], s["decimal"], s["in"])
         elif kind == "plot":
-            writers.plot_data(ds, s["in_channel"]).write.mode("overwrite").parquet(s["save"])
+            made = writers.plotted(ds, s["in_channel"], s["index"], s["comments"], s["title"], s["in"])
+            made.write.mode("overwrite").partitionBy("filename").parquet(s["save"].replace("{NAME}", s["in"]).replace("{FILENAME}", "").rstrip("/_- "))
         elif kind == "partitions":
             catalog[s["out"]] = cyc.partition(ds, s["channels"], s["index"], s["outs"], s["del_first"], s["del_last"])
         else:

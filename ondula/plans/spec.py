@@ -28,7 +28,7 @@ CHANNELS = IN_OUT | {"in_channel": NAME, "out_channel": NAME}
 STEPS: dict[str, dict[str, Setting]] = {
     "read": {"out": NAME, "folder": TEXT, "file": TEXT, "ext": TEXT, "format": Setting("choice", "LABCHART")},
     "save": {"in": NAME, "folder": TEXT, "save_name": TEXT, "format": TEXT, "header": TEXT, "delim": Setting("text", ","), "append": Setting("flag", False), "decimal": Setting("whole", 2)},
-    "plot": {"in": NAME, "in_channel": Setting("name", (), True), "index": Setting("name", (), True), "save": TEXT},
+    "plot": {"in": NAME, "in_channel": Setting("name", (), True), "index": Setting("name", (), True), "comments": Setting("text", (), True), "title": TEXT, "save": TEXT},
     "delete": {"in": NAME},
     "cut": IN_OUT | {"form": Setting("choice", "COMMENT"), "comment1": Setting("text", (), True), "comment2": Setting("text", (), True), "reset": Setting("flag", False), "boundary": TEXT, "start": TEXT, "period": TEXT, "direction": Setting("text", "+")},
     "filter": CHANNELS | {"function": Setting("choice", ""), "power": Setting("whole", 1), "window": TEXT, "time": TEXT, "frequency": Setting("number", 1), "ftype": Setting("text", "low")},

@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ondula.dataset import Dataset, quoted
+from ondula.dataset import Dataset, PipelineError, quoted
 from ondula.functions import kernels
+from ondula.operators.samples import tidy
 
 PLOT_RATE = 50.0
 
@@ -70,13 +71,35 @@ def plot_data(ds: Dataset, channels: list[str], rate: float = PLOT_RATE) -> Data
         frame = frame.sort_values("idx")
         seconds = len(frame) / float(frame["frequency"].iloc[0])
         n = max(1, int(seconds * rate))
-        return pd.concat([pd.DataFrame({"rec": frame["rec"].iloc[0], "channel": c, "t": [k * seconds / n for k in range(n)], "value": kernels.fourier_resample(frame[f"x{i}"].to_numpy(float), n)}) for i, c in enumerate(channels)])
+        return pd.concat([pd.DataFrame({"rec": frame["rec"].iloc[0], "channel": c, "t": [k / rate for k in range(n)], "value": kernels.fourier_resample(frame[f"x{i}"].to_numpy(float), n)}) for i, c in enumerate(channels)])
 
     picked = ds.samples.select("rec", "idx", "frequency", *[quoted(c).alias(f"x{i}") for i, c in enumerate(channels) if c in ds.channels])
     return picked.groupBy("rec").applyInPandas(work, f"rec {kind}, channel string, t double, value double")
 
 
-def plot_marks(ds: Dataset, markers: list[str]) -> DataFrame:
-    """rec, t, mark, comment: where to draw markers and comments."""
-    at = ds.samples.select("rec", (F.col("idx") / F.col("frequency")).alias("t"), F.explode_outer(F.array_intersect("markers", F.array(*map(F.lit, markers)))).alias("mark"), "comment")
-    return at.filter("mark is not null or comment <> ''")
+def plotted(ds: Dataset, channels: list[str], index: list[str] = (), comments: list[str] = (), title: str = "", name: str = "") -> DataFrame:
+    """rec, filename, title, panel, channel, kind, t, value, text: all that a plot shows, a panel for each channel that there is.
+
+    kind is "line", "marker" (a sample that carries the panel's marker, at its own value) or "comment". index has a marker for each channel, or is taken again from its start; one that
+    is no channel marks nothing, and a panel whose marker is empty shows neither markers nor comments. title is a template of {NAME} and {FILENAME}.
+    """
+    panels = [(i, c, index[i % len(index)] if index else "") for i, c in enumerate(channels) if c in ds.channels]
+    if not panels:
+        raise PipelineError(f"nothing to plot: none of {', '.join(channels)} is a channel")
+    lines = plot_data(ds, list(dict.fromkeys(c for _, c, _ in panels)))
+    own = F.array(*[F.struct(F.lit(i).alias("panel"), F.lit(c).alias("channel")) for i, c, _ in panels])
+    lines = lines.withColumn("p", F.explode(F.filter(own, lambda p: p["channel"] == F.col("channel")))).select("rec", "p.panel", "channel", F.lit("line").alias("kind"), "t", "value", F.lit("").alias("text"))
+    drawn = []
+    for i, c, mark in panels:
+        if not mark:
+            continue
+        point = lambda kind, value, text, i=i, c=c: F.struct(F.lit(i).alias("panel"), F.lit(c).alias("channel"), F.lit(kind).alias("kind"), value.cast("double").alias("value"), text.alias("text"))
+        if mark in ds.channels:
+            drawn.append(F.when(F.array_contains("markers", mark), point("marker", quoted(c), F.lit(mark))))
+        if comments:
+            drawn.append(F.when(F.col("comment").isin([tidy(x) for x in comments]), point("comment", F.lit(None), F.col("comment"))))
+    if drawn:
+        points = ds.samples.select("rec", (F.col("idx") / F.col("frequency")).alias("t"), F.explode(F.filter(F.array(*drawn), lambda p: p.isNotNull())).alias("p"))
+        lines = lines.unionByName(points.select("rec", "t", "p.*"))
+    files = ds.recordings().select("rec", "filename", F.replace(F.lit(title.upper().replace("{NAME}", name)), F.lit("{FILENAME}"), F.col("filename")).alias("title"))
+    return lines.join(files, "rec").select("rec", "filename", "title", "panel", "channel", "kind", "t", "value", "text")

@@ -139,3 +139,16 @@ def test_arithmetic_of_a_recording_without_cycles(spark):
     ds = cyc.partition(recordings(spark, [[1, 2, 3, 4], [5, 6]], [{1: ["M"], 2: ["M"]}, {1: ["M"]}]), ["X"], "M", ["W"], del_first=True, del_last=True)
     made = cyc.arithmetic(ds, "W", "+", num=1, out="Y").cycles("Y").orderBy("rec").collect()
     assert [(r["rec"], r["wave_no"]) for r in made] == [(1, 0), (2, 0)] and made[0]["values"] == [3.0] and made[1]["values"][0] != made[1]["values"][0]
+
+
+def test_plots_show_markers_comments_and_titles(spark, tmp_path):
+    ds = recording(spark, [0, 1, 0, -1] * 5, {3: ["X"], 7: ["M"]}, {4: "GO", 9: "STOP"})
+    blocks = [{"class_name": "plot", "in": "A", "in_channel": ["X", "GONE", "X"], "index": ["X", "X", ""], "comments": ["go"], "title": "{name} of {filename}", "save": str(tmp_path / "{NAME}")}]
+    run(spark, blocks, {"A": ds})
+    rows = spark.read.parquet(str(tmp_path / "A")).collect()
+    assert {r["title"] for r in rows} == {"A OF one"} and {(r["panel"], r["channel"]) for r in rows} == {(0, "X"), (2, "X")}
+    assert sorted((r["panel"], r["kind"], r["t"], r["value"], r["text"]) for r in rows if r["kind"] != "line") == [(0, "comment", 0.4, None, "GO"), (0, "marker", 0.3, -1.0, "X")]
+    line = sorted((r["t"], r["value"]) for r in rows if r["kind"] == "line" and r["panel"] == 2)
+    assert len(line) == 100 and line[1][0] == 0.02 and abs(line[5][1] - 1) < 1e-9
+    with pytest.raises(Exception, match="nothing to plot"):
+        writers.plotted(ds, ["GONE"])
