@@ -1,6 +1,9 @@
 """From documents to packed training sequences: toxicity, exact dedup, near-duplicate join, sanitisation, packing.
 
-Each stage takes and returns the columns of documents, but the last, which returns the pieces of packed sequences.
+Each stage takes and returns the columns of documents, whatever they are, but the last, which returns the pieces of packed sequences.
+
+Defined cases: a null or empty text is no toxic one; of all rows with such texts the one with the smallest id stays, and is packed as one end token. Rows with null ids are documents too. Very long texts
+are taken whole. Repeated rows go with the copies. Labels that are missing or of one kind only reject nothing. An empty table gives no pieces.
 """
 
 from __future__ import annotations
