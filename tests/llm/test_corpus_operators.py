@@ -300,6 +300,11 @@ def test_stages_by_plain_versions(spark, data_dir):
             kind["quoted" if opened and any(x and x[-1] in '"”»“’' for x in right) else "wrong" if wrong else "abuse"] += 1
         near = sum(b - a <= 6 for (a, _), (b, _) in zip(found, found[1:]))
         row = [1.0, *(min(kind[k], 6) for k in ("abuse", "wrong", "quoted")), min(len({h[2] for _, h in found}), 6), min(sum(h[0] for _, h in found), 40) / 10, math.log1p(1000 * len(found) / (len(words) + 20)), min(near, 6)]
+        bare, nats = {re.sub(r"^\W+|\W+$", "", w) for w in words}, 0.0
+        for stem, share in model.stems.items():
+            n, expected = sum(w.startswith(stem) and w != stem for w in bare), share * sum(w[:2] == stem[:2] for w in bare)
+            nats += n * math.log(n / expected) - (n - expected) if n > expected else 0
+        row.append(min(nats, 6) / 2)
         return 1 / (1 + math.exp(-sum(a * b for a, b in zip(row, model.weights)))) >= 0.3
 
     listed = [(r["doc_id"], r["text"]) for r in docs.collect()]
@@ -318,3 +323,18 @@ def test_stages_by_plain_versions(spark, data_dir):
                 out += re.escape(text[at:a]) + (names[k] if k in names else "(<TERM>)?")
             at = max(at, b)
         assert re.fullmatch(out + re.escape(text[at:]), r["text"] or ""), r["doc_id"]
+
+
+def test_pipeline_of_empty_and_odd_tables(spark, edge_docs, empty_docs, tmp_path):
+    """Whole runs over an empty table, and over one with nulls, copies, long texts and columns that clash."""
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    for name, docs in (("empty", empty_docs), ("odd", edge_docs)):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.write.parquet(str(tmp_path / name / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).collect() == []
+    rows = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    texts = {r["doc_id"]: r["text"] for r in edge_docs.collect()}
+    kept = {r["doc_id"] for r in rows}
+    assert kept <= set(texts) and {i for i in kept if not (texts[i] or "").strip()} == {0, 2}
+    assert {0, 2, 3, 6, 9, None} <= kept and not kept & {1, 4, 5, 7, 8}
+    assert {r["doc_id"]: r["doc_tokens"] for r in rows}[0] == 1
