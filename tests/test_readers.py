@@ -1,5 +1,7 @@
 """Files in many splits, and pipelines whose macros are given numbers and lists."""
 
+import math
+
 import pytest
 
 from ondula.operators import cycles as cyc
@@ -152,3 +154,10 @@ def test_plots_show_markers_comments_and_titles(spark, tmp_path):
     assert len(line) == 100 and line[1][0] == 0.02 and abs(line[5][1] - 1) < 1e-9
     with pytest.raises(Exception, match="nothing to plot"):
         writers.plotted(ds, ["GONE"])
+
+
+def test_plot_points_lie_where_the_resampled_values_do(spark):
+    x = [math.cos(2 * math.pi * 3 * k / 51) for k in range(51)]
+    points = writers.plot_data(recording(spark, x), ["X"]).orderBy("t").collect()
+    assert len(points) == 254 and [p["t"] for p in points] == [k * 5.1 / 254 for k in range(254)]  # 5.1 s hold 255 steps of 1/50 s less a rounding error
+    assert all(abs(p["value"] - math.cos(2 * math.pi * 3 * p["t"] / 5.1)) < 1e-9 for p in points)
