@@ -17,6 +17,8 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 #: Python work is done in slices of about this many text bytes, so that a worker's memory does not follow the batch size.
 SLICE_BYTES = 4 << 20
+#: Rows of a written table that one file takes, where a bound on the rows is known.
+FILE_ROWS = 1 << 14
 
 _written: dict[str, SparkSession] = {}
 
@@ -45,14 +47,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: cuts the lineage, survives lost executors, keeps column pruning.
 
-    The table goes when the driver ends, or by `release`.
+    The table goes when the driver ends, or by `release`. rows: at most so many, where that is known before; a small table is then a few files and not one for each partition of its
+    shuffle. Every file that Hadoop makes on a local disk without its native library starts a process of the executor (chmod).
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).write.parquet(path)
     if not _written:
         atexit.register(_remove_all)
     _written[path] = spark

@@ -349,7 +349,7 @@ class _Join:
         self.info = every.filter("kind = 0").drop("kind")
         self.total = max(1, self.info.count())
         alike = self.info.filter("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.any_value("sketch").alias("sketch"), F.any_value("small").alias("small"))
-        self.reps = written(alike, "ngram-reps")
+        self.reps = written(alike, "ngram-reps", self.total)
         often = every.filter("kind = 1").groupBy("s1").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "s1").limit(FREQUENT).toPandas()
         often = often.assign(token=often["s1"].to_numpy(np.int64).view(np.uint64)).sort_values("token")
         self.weights = docs.sparkSession.sparkContext.broadcast((often["token"].to_numpy(), often["n"].to_numpy(np.int64)))
@@ -360,20 +360,21 @@ class _Join:
         posted = arrow_map(own, _post(self.weights, split), _POSTING)
         return written(_led(posted.withColumn("component", F.col("rep")), F.col("place")), "ngram-lists")
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that link, as (u, v)."""
-        pairs = written(pairs, "ngram-pairs")
+    def links(self, pairs: DataFrame, rows: int | None = None) -> DataFrame:
+        """The pairs (a, b) that link, as (u, v). rows: a bound on the pairs, where one is known."""
+        pairs = written(pairs, "ngram-pairs", rows)
+        rows = pairs.count()
         side = lambda c: pairs.groupBy(F.col(c).alias("id")).agg(F.ceil(F.count(F.lit(1)) / SPREAD).alias("parts")).filter("parts > 1")
-        busy = written(side("a").unionByName(side("b")).groupBy("id").agg(F.max("parts").alias("parts")), "ngram-busy")
+        busy = written(side("a").unionByName(side("b")).groupBy("id").agg(F.max("parts").alias("parts")), "ngram-busy", 2 * rows // SPREAD)
         sketches = self.reps.select("rep", "n", "sketch")
         near = _attach(_attach(pairs, sketches, busy, "a"), sketches, busy, "b")
-        near = written(arrow_map(near, _sketch_pass, "a long, b long").distinct(), "ngram-near")
-        ids = written(near.select(F.col("a").alias("key")).union(near.select(F.col("b").alias("key"))).distinct(), "ngram-ids")
+        near = written(arrow_map(near, _sketch_pass, "a long, b long").distinct(), "ngram-near", rows)
+        ids = written(near.select(F.col("a").alias("key")).union(near.select(F.col("b").alias("key"))).distinct(), "ngram-ids", 2 * rows)
         sets = written(arrow_map(_only(self.docs, ids, max(1, ids.count())), _sets, "rep long, tokens array<long>").join(ids.withColumnRenamed("key", "rep"), "rep", "left_semi"), "ngram-sets")
         both = _attach(_attach(near, sets, busy, "a"), sets, busy, "b")
         shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
         sizes = F.size("tokens_a") + F.size("tokens_b")
-        found = written(both.filter((100 + THRESHOLD) * shared >= THRESHOLD * sizes).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "ngram-links")
+        found = written(both.filter((100 + THRESHOLD) * shared >= THRESHOLD * sizes).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "ngram-links", rows)
         release(pairs, busy, near, ids, sets)
         return found
 
@@ -416,21 +417,27 @@ def _open_pairs(lists: DataFrame, known: DataFrame, reps: DataFrame, block: int)
     return rows.filter("a is not null").select("a", "b").unionByName(across).distinct()
 
 
+def _known(links: DataFrame) -> DataFrame:
+    """The components of links, written."""
+    rows = links.count()
+    return written(components(links, rows=rows), "ngram-known", 2 * rows)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", split: int = SPLIT, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id and text_key (hash of the text) of every row of docs."""
     join = _Join(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     lists = join.lists(split)
-    links = join.links(_pairs_of(lists))
-    known = written(components(links), "ngram-known")
+    links = join.links(_pairs_of(lists), 2 * lists.count())
+    known = _known(links)
     second = written(_led(_labelled(lists, known), F.xxhash64("rep")), "ngram-second")
-    links = links.unionByName(join.links(_pairs_of(second)))
+    links = links.unionByName(join.links(_pairs_of(second), 2 * second.count()))
     release(known, second)
-    known = written(components(links), "ngram-known")
+    known = _known(links)
     last = join.links(_open_pairs(lists, known, join.reps, block))
     release(known, lists)
-    known = written(components(links.unionByName(last)), "ngram-known")
+    known = _known(links.unionByName(last))
     named = join.reps.join(known.select(F.col("id").alias("rep"), "component"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
-    named = written(named, "ngram-named")
+    named = written(named, "ngram-named", join.total)
     release(join.reps, known)
     return join.info.drop("sketch", "small").join(named, ["s1", "s2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), "text_key")
 

@@ -21,6 +21,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -47,12 +48,12 @@ PACKED = PIECES + ", sequence_id long, offset long"
 
 def _cut(path: str, window: int, end_id: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, library = rank_encoder(path), keep(("library", path), lambda: library_ids(path))
+        coder, library = keep(("pack", path), lambda: (rank_encoder(path), cache(lambda: library_ids(path))))  # few texts need the library
         for batch in slices(batches):
             rows: tuple[list, ...] = ([], [], [], [], [])
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 text = text or ""
-                own_ids = library([text]).flat if _LONG_RUN.search(text) else coder.encode_to_numpy(text, allowed_special="all")
+                own_ids = library()([text]).flat if _LONG_RUN.search(text) else coder.encode_to_numpy(text, allowed_special="all")
                 ids = np.append(own_ids, end_id).astype("<u4")
                 for start in range(0, len(ids), window):
                     own = ids[start : start + window]

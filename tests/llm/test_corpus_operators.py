@@ -1,5 +1,6 @@
 """Operators that learn or join, and the pipeline."""
 
+import importlib
 import random
 import re
 import zlib
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ondula.llm import logistic, ngram_join, site_quality, toxicity
+from ondula.llm import common, logistic, ngram_join, site_quality, toxicity
 from ondula.llm.common import written
 from ondula.llm.components import components
 
@@ -93,6 +94,26 @@ def apart(a, b):
     return row[-1]
 
 
+def test_small_tables_are_few_files(spark, monkeypatch):
+    """Every file of a local disk starts a process of the executor, so tables of a few rows are not a file for each partition of their shuffle."""
+    made, module = [], importlib.import_module("ondula.llm.components")
+    monkeypatch.setattr(module, "written", lambda *a: made.append(common.written(*a)) or made[-1])
+    monkeypatch.setattr(module, "release", lambda *tables: None)
+    wide = {"spark.sql.shuffle.partitions": "20", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in wide}
+    for k, v in wide.items():
+        spark.conf.set(k, v)
+    try:
+        got = module.components(spark.createDataFrame([(i, i + 1) for i in range(300)], "u long, v long")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(got) == 301 and {r["component"] for r in got} == {0}
+    assert len(made) > 8 and {len(t.inputFiles()) for t in made[1:]} == {1}
+    for t in made:
+        common.release(t)
+
+
 def test_automaton():
     import random
 
