@@ -10,6 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 ROOT = str(Path(__file__).resolve().parents[2])
 #: White space that separates words everywhere in this subpackage.
@@ -51,11 +52,12 @@ def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: cuts the lineage, survives lost executors, keeps column pruning.
 
     The table goes when the driver ends, or by `release`. rows: at most so many, where that is known before; a small table is then a few files and not one for each partition of its
-    shuffle. Every file that Hadoop makes on a local disk without its native library starts a process of the executor (chmod).
+    shuffle. Every file and folder that Hadoop makes on a local disk without its native library starts a process of the executor or driver (chmod); so there is no success marker, which nobody reads.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).write.parquet(path)
+    files = df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))
+    files.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     if not _written:
         atexit.register(_remove_all)
     _written[path] = spark
@@ -72,6 +74,25 @@ def release(*tables: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Computes df into Spark's own blocks on the executors' disks, of which Hadoop makes no files. The caller unpersists it.
+
+    For tables of a few steps that depend on the rows of their sources only, not on the order or number of their partitions: blocks that are lost with an executor are computed again.
+    """
+    table = df.persist(StorageLevel.DISK_ONLY)
+    table.count()
+    return table
+
+
+def written_whole(df: DataFrame, name: str, rows: int) -> DataFrame:
+    """`written` in files of FILE_ROWS rows, for a table that is small beside what its tasks read: they run as they are dealt, and only their rows are put together."""
+    table = stored(df)
+    try:
+        return written(table, name, rows)
+    finally:
+        table.unpersist()
+
+
 def _remove_all() -> None:
     for path, spark in _written.items():
         try:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ondula.llm.common import SPACE_CLASS, text_of, written
+from ondula.llm.common import SPACE_CLASS, text_of, written, written_whole
 
 BITS_PER_ROW = 32
 #: Positions of a key in the filter.
@@ -66,20 +66,21 @@ def with_suspicion(rows: DataFrame, bitmaps: DataFrame, bits: int) -> DataFrame:
     return rows
 
 
-def _groups(keys: DataFrame, bitmaps: DataFrame, bits: int) -> DataFrame:
-    """(key, keep_id, group_size) of every key that two or more rows have; written, so that the join below can split a hot key."""
+def _groups(keys: DataFrame, bitmaps: DataFrame, bits: int, rows: int) -> DataFrame:
+    """(key, keep_id, group_size) of every key that two or more of the rows have; written, so that the join below can split a hot key."""
     suspects = with_suspicion(keys, bitmaps, bits).filter("suspect")
     return written(
-        suspects.groupBy("key").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1"), "exact-groups"
+        suspects.groupBy("key").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1"), "exact-groups", rows // 2
     )
 
 
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
     keys = written(docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("key")), "exact-keys")
-    bits = filter_bits(keys.count())
-    bitmaps = written(filter_of(keys, bits, 2), "exact-bitmaps")
-    groups = _groups(keys, bitmaps, bits)
+    rows = keys.count()
+    bits = filter_bits(rows)
+    bitmaps = written_whole(filter_of(keys, bits, 2), "exact-bitmaps", bits // BITMAP_BITS)
+    groups = _groups(keys, bitmaps, bits, rows)
     tested = with_suspicion(keys, bitmaps, bits)
     alone = tested.filter("not suspect").select("id", "key", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     suspects = tested.filter("suspect").drop("suspect").join(groups, "key", "left").select(
@@ -95,9 +96,10 @@ def drop_duplicates_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str
     columns = docs.columns
     keyed = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), docs[id_col].alias("id"), text_key(text_col).alias("key"))
     keys = written(keyed.select("id", "key"), "exact-keys")
-    bits = filter_bits(keys.count())
-    bitmaps = written(filter_of(keys, bits, 2), "exact-bitmaps")
-    groups = _groups(keys, bitmaps, bits)
+    rows = keys.count()
+    bits = filter_bits(rows)
+    bitmaps = written_whole(filter_of(keys, bits, 2), "exact-bitmaps", bits // BITMAP_BITS)
+    groups = _groups(keys, bitmaps, bits, rows)
     tested = with_suspicion(keyed, bitmaps, bits)
     suspects = tested.filter("suspect").join(groups, "key", "left").filter(F.col("keep_id").isNull() & F.col("group_size").isNull() | F.col("id").eqNullSafe(F.col("keep_id")))
     return tested.filter("not suspect").select("row.*").unionByName(suspects.select("row.*"))

@@ -36,9 +36,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ondula.llm.common import arrow_map, documents, keep, release, slices, written
+from ondula.llm.common import arrow_map, documents, keep, release, slices, stored, written, written_whole
 from ondula.llm.components import components
-from ondula.llm.exact_dedup import filter_bits, filter_of, with_suspicion
+from ondula.llm.exact_dedup import BITMAP_BITS, filter_bits, filter_of, with_suspicion
 
 WORDS = 5
 THRESHOLD = 80
@@ -320,7 +320,7 @@ def _sketch_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _members(ids: DataFrame, bits: int) -> DataFrame:
     """Bitmaps of the positions of ids (column key): a filter of fixed size for one scan of the texts."""
-    return written(filter_of(ids, bits), "ngram-members")
+    return written_whole(filter_of(ids, bits), "ngram-members", bits // BITMAP_BITS)
 
 
 def _only(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -406,8 +406,9 @@ def _open_pairs(lists: DataFrame, known: DataFrame, reps: DataFrame, block: int)
     rows = written(arrow_map(dealt, _open(block), _OPEN), "ngram-open")
     blocks = rows.filter("block is not null").drop("a", "b")
     sizes = blocks.filter("low = high").groupBy("token", "low").agg(F.sum(F.size("reps")).alias("k"))
-    main = written(sizes.groupBy("token").agg(F.max_by("low", F.struct("k", "low")).alias("main")), "ngram-main")
+    main = stored(sizes.groupBy("token").agg(F.max_by("low", F.struct("k", "low")).alias("main")))
     ranked = written(blocks.join(main, "token", "left").withColumn("apart", ~F.coalesce((F.col("low") == F.col("high")) & (F.col("low") == F.col("main")), F.lit(False))), "ngram-blocks")
+    main.unpersist()
     a, b = (ranked.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ranked.columns if c != "token"]) for k in "ab")
     meet = F.expr("not apart_b or block_a < block_b") & F.expr("not (low_a = high_a and low_b = high_b and low_a = low_b)")
     sizes = (100 * F.col("n_high_a") >= THRESHOLD * F.col("n_low_b")) & (100 * F.col("n_high_b") >= THRESHOLD * F.col("n_low_a"))
@@ -445,7 +446,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all columns, that have the smallest id of their component."""
     gone = near_duplicates(docs, id_col, text_col).filter("component_id <> doc_id").select(F.xxhash64("doc_id", "text_key").alias("key"))
-    gone = written(gone.distinct(), "ngram-gone")
+    gone = written(gone.distinct(), "ngram-gone", docs.count())
     n = max(1, gone.count())
     own = F.xxhash64(docs[id_col].cast("long"), F.xxhash64(docs[text_col]))
     keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), own.alias("key"))

@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ondula.llm.common import documents, text_of, written
+from ondula.llm.common import documents, stored, text_of, written
 
 _LOCAL = "A-Za-z0-9._%+-"
 #: Patterns in the order of the result.
@@ -171,37 +171,40 @@ def _same_rows(count: str) -> Column:
 
 
 def term_spans(spanned: DataFrame) -> DataFrame:
-    """(row_no, terms) of rows in which words give an entity away; terms: array of (start, end, remove)."""
+    """(row_no, terms) of rows in which words give an entity away, written; terms: array of (start, end, remove)."""
     n = F.lit(float(max(spanned.count(), 1)))
     seen = spanned.select("row_no", F.explode("entities").alias("entity"), F.lit(1).alias("one"))
-    entities = written(seen.groupBy("entity").agg(F.count(F.lit(1)).alias("c_e"), _same_rows("one").alias("e")).filter(F.col("c_e") >= LEAST), "pii-entities")
+    entities = stored(seen.groupBy("entity").agg(F.count(F.lit(1)).alias("c_e"), _same_rows("one").alias("e")).filter(F.col("c_e") >= LEAST))
     known = written(seen.join(entities, "entity").select("row_no", "e", "c_e").distinct(), "pii-known")
     counts = spanned.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("c_t")).filter(F.col("c_t") >= LEAST)
     # a word above the bound of every entity is in no pair
     least = F.log(n / F.col("c_e")) * GENERALISE - 1e-6
     top = entities.agg(F.min(least).alias("least"))
-    counts = written(counts.join(F.broadcast(top), F.log(n / F.col("c_t")) >= F.col("least")).drop("least"), "pii-counts")
+    counts = stored(counts.join(F.broadcast(top), F.log(n / F.col("c_t")) >= F.col("least")).drop("least"))
     held = spanned.join(known.select("row_no").distinct(), "row_no", "left_semi").select("row_no", F.explode("words").alias("term"))
-    words = written(held.join(counts, "term"), "pii-words")
-    alike = written(words.groupBy("term").agg(_same_rows("c_t").alias("t")), "pii-alike")
-    classes = written(words.join(alike, "term").select("row_no", "t", "c_t").distinct(), "pii-classes")
+    words = stored(held.join(counts, "term"))
+    alike = stored(words.groupBy("term").agg(_same_rows("c_t").alias("t")))
+    classes = stored(words.join(alike, "term").select("row_no", "t", "c_t").distinct())
     can_tell = (F.log(n / F.col("c_t")) >= least) & (F.col("c_t") * F.log(n / F.col("c_e")) >= EVIDENCE) & (F.col("c_e") * F.log(n / F.col("c_t")) >= EVIDENCE - 1e-6)
     places = written(classes.join(known, "row_no").filter(can_tell), "pii-places")
     pairs = places.groupBy("e", "t", "c_e", "c_t").agg(F.count(F.lit(1)).alias("c_te")).filter(F.col("c_te") >= LEAST)
     share = F.log(n * F.col("c_te") / (F.col("c_t") * F.col("c_e"))) / F.greatest(F.log(n / F.col("c_e")), F.lit(1e-9)) * F.col("c_te") / (F.col("c_te") + DISCOUNT)
     told = F.col("c_te") * F.log(n * F.col("c_te") / (F.col("c_t") * F.col("c_e")))
-    telling = written(pairs.filter(told >= EVIDENCE).select("e", "t", share.alias("share")).filter(F.col("share") >= GENERALISE - 1e-9), "pii-telling")
-    hits = written(places.join(telling, ["e", "t"]).groupBy("row_no", "t").agg(F.max(F.col("share") >= REMOVE).alias("remove")), "pii-hits")
+    telling = stored(pairs.filter(told >= EVIDENCE).select("e", "t", share.alias("share")).filter(F.col("share") >= GENERALISE - 1e-9))
+    hits = stored(places.join(telling, ["e", "t"]).groupBy("row_no", "t").agg(F.max(F.col("share") >= REMOVE).alias("remove")))
     named = words.join(alike.join(hits.select("t").distinct(), "t", "left_semi"), "term").join(hits, ["row_no", "t"])
-    told = written(named.groupBy("row_no").agg(F.array_sort(F.collect_list(F.struct("term", "remove"))).alias("told")), "pii-told")
+    told = stored(named.groupBy("row_no").agg(F.array_sort(F.collect_list(F.struct("term", "remove"))).alias("told")))
     found = spanned.select("row_no", "blank").join(told, "row_no")
-    return _occurrences(found).select("row_no", "terms")
+    out = written(_occurrences(found).select("row_no", "terms"), "pii-terms")
+    for table in (told, hits, telling, classes, alike, words, counts, entities):
+        table.unpersist()
+    return out
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, counts by kind, base_sha256, spans, n_terms of every row."""
     spanned = _spanned(docs, id_col, text_col)
-    told = written(term_spans(spanned), "pii-terms")
+    told = term_spans(spanned)
     label = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     base = spanned.select("row_no", F.col("id").alias("doc_id"), *[F.size(k).cast("long").alias(f"n_{k}") for k in PATTERNS], F.concat_ws(",", *[F.transform(k, label) for k in PATTERNS]).alias("base"))
     joined = base.join(told, "row_no", "left")
@@ -218,7 +221,7 @@ def _masked(text: Column, marks: Column) -> Column:
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns of docs, with personal data replaced by its kind and telling words generalised or removed."""
     spanned = _spanned(docs, id_col, text_col)
-    told = written(term_spans(spanned), "pii-terms")
+    told = term_spans(spanned)
     marked = spanned.filter("blank is not null").join(told, "row_no", "left")
     base = F.transform(F.concat(*PATTERNS), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")).alias("put")))
     terms = F.transform(F.coalesce("terms", F.array().cast(_PLACES)), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["remove"], F.lit("")).otherwise(F.lit("<TERM>")).alias("put")))

@@ -5,13 +5,14 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ondula.llm import common, logistic, ngram_join, site_quality, toxicity
+from ondula.llm import common, exact_dedup, logistic, ngram_join, pii, site_quality, toxicity
 from ondula.llm.common import written
 from ondula.llm.components import components
 
@@ -114,6 +115,25 @@ def test_small_tables_are_few_files(spark, monkeypatch):
         common.release(t)
 
 
+def test_small_tables_start_few_processes(spark, docs):
+    """Tables of a few steps are Spark's blocks and leave none; filters are one file; no table has a success marker."""
+    wide = {"spark.sql.shuffle.partitions": "20", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, blocks, seen = {k: spark.conf.get(k) for k in wide}, spark.sparkContext._jsc.getPersistentRDDs().size(), set(common._written)
+    for k, v in wide.items():
+        spark.conf.set(k, v)
+    try:
+        pii.sanitise(docs)
+        made = [name.rsplit("/", 1)[1].rsplit("-", 1)[0] for name in common._written if name not in seen]
+        assert made == ["pii-spans", "pii-known", "pii-places", "pii-terms", "pii-marks"]
+        members = ngram_join._members(spark.range(300).select(F.col("id").alias("key")), exact_dedup.filter_bits(300_000))
+        assert members.count() > 200 and len(members.inputFiles()) == 1
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == blocks
+    assert not Path(members.inputFiles()[0].removeprefix("file://")).with_name("_SUCCESS").exists()
+
+
 def test_automaton():
     import random
 
