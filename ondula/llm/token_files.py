@@ -60,8 +60,34 @@ def _bit_length(values: np.ndarray) -> np.ndarray:
     return np.frexp(values.astype(np.float64))[1]
 
 
+def _pack_blocks(values: np.ndarray, width: int) -> np.ndarray:
+    """pack_bits of each row of BLOCK values, as rows of bytes: 64 bits at a time over all rows."""
+    columns = values.T.astype(np.uint64, order="C")
+    words = np.zeros((BLOCK * width // 64, len(values)), np.uint64)
+    for i, column in enumerate(columns):
+        word, shift = divmod(i * width, 64)
+        words[word] |= column << np.uint64(shift)
+        if shift + width > 64:
+            words[word + 1] |= column >> np.uint64(64 - shift)
+    return np.ascontiguousarray(words.T).astype("<u8", copy=False).view(np.uint8)
+
+
+def _unpack_blocks(packed: np.ndarray, width: int) -> np.ndarray:
+    """The inverse of _pack_blocks."""
+    words = np.ascontiguousarray(np.ascontiguousarray(packed).view("<u8").T)
+    columns = np.empty((BLOCK, len(packed)), np.uint32)
+    mask = np.uint64((1 << width) - 1)
+    for i in range(BLOCK):
+        word, shift = divmod(i * width, 64)
+        value = words[word] >> np.uint64(shift)
+        if shift + width > 64:
+            value |= words[word + 1] << np.uint64(64 - shift)
+        columns[i] = value & mask
+    return columns.T
+
+
 def encode_segment(ids: np.ndarray) -> bytes:
-    ids = ids.astype(np.uint32)
+    ids = ids.astype(np.uint32, copy=False)
     count = len(ids)
     n_blocks = -(-count // BLOCK)
     if not n_blocks:
@@ -69,28 +95,28 @@ def encode_segment(ids: np.ndarray) -> bytes:
     padded = np.append(ids, np.full(n_blocks * BLOCK - count, ids[-1], np.uint32)).reshape(n_blocks, BLOCK)
     low = padded.min(axis=1)
     rest = padded - low[:, None]
-    need = _bit_length(rest)
-    width = np.sort(need, axis=1)[:, min(BLOCK - 1, BLOCK * PERCENTILE // 100)]
-    over = need > width[:, None]
-    packed: list[bytes] = [b""] * n_blocks
+    rank = min(BLOCK - 1, BLOCK * PERCENTILE // 100)
+    width = _bit_length(np.partition(rest, rank, axis=1)[:, rank]).astype(np.int64)
+    row, column = np.nonzero(rest.astype(np.uint64) >> width[:, None].astype(np.uint64))
+    exceptions = np.bincount(row, minlength=n_blocks)
+    sizes = 8 + BLOCK // 8 * width + 6 * exceptions
+    at = np.cumsum(sizes) - sizes  # of each block, counted from the first
+    out = np.zeros(int(sizes.sum()), np.uint8)
+    heads = np.zeros(n_blocks, np.dtype([("low", "<u4"), ("width", "u1"), ("zero", "u1"), ("exceptions", "<u2")]))
+    heads["low"], heads["width"], heads["exceptions"] = low, width, exceptions
+    out[at[:, None] + np.arange(8)] = heads.view(np.uint8).reshape(n_blocks, 8)
     for w in np.unique(width).tolist():  # blocks of one width are packed together
         own = np.flatnonzero(width == w)
         if w:
-            kept = rest[own] & np.uint32((1 << w) - 1)
-            bits = ((kept[:, :, None] >> np.arange(w, dtype=np.uint32)) & 1).astype(np.uint8).reshape(len(own), BLOCK * w)
-            for i, row in zip(own.tolist(), np.packbits(bits, axis=1, bitorder="little"), strict=True):
-                packed[i] = row.tobytes()
-    blocks, starts, at = [], [], len(MAGIC) + 8 + 4 * n_blocks
-    counts = over.sum(axis=1).tolist()
-    for i, (m, w, k) in enumerate(zip(low.tolist(), width.tolist(), counts, strict=True)):
-        block = struct.pack("<IBBH", m, w, 0, k) + packed[i]
-        if k:
-            where = np.flatnonzero(over[i])
-            block += where.astype("<u2").tobytes() + (rest[i, where] >> np.uint32(w)).astype("<u4").tobytes()
-        starts.append(at)
-        blocks.append(block)
-        at += len(block)
-    return MAGIC + struct.pack("<II", count, n_blocks) + np.array(starts, "<u4").tobytes() + b"".join(blocks)
+            out[(at[own] + 8)[:, None] + np.arange(BLOCK // 8 * w)] = _pack_blocks(rest[own] & np.uint32((1 << w) - 1), w)
+    if len(row):
+        nth = np.arange(len(row)) - (np.cumsum(exceptions) - exceptions)[row]
+        where = (at + 8 + BLOCK // 8 * width)[row]
+        out[(where + 2 * nth)[:, None] + np.arange(2)] = column.astype("<u2")[:, None].view(np.uint8)
+        high = (rest[row, column].astype(np.uint64) >> width[row].astype(np.uint64)).astype("<u4")
+        out[(where + 2 * exceptions[row] + 4 * nth)[:, None] + np.arange(4)] = high[:, None].view(np.uint8)
+    starts = at + len(MAGIC) + 8 + 4 * n_blocks
+    return MAGIC + struct.pack("<II", count, n_blocks) + starts.astype("<u4").tobytes() + out.tobytes()
 
 
 def block_starts(data: bytes) -> tuple[int, np.ndarray]:
@@ -115,24 +141,25 @@ def decode_block(data: bytes, start: int) -> np.ndarray:
 
 def decode_segment(data: bytes) -> np.ndarray:
     count, starts = block_starts(data)
+    if not count:
+        return np.zeros(0, np.uint32)
     out = np.zeros((len(starts), BLOCK), np.uint32)
     raw = np.frombuffer(data, np.uint8)
-    heads = raw[starts[:, None] + np.arange(8)] if len(starts) else np.zeros((0, 8), np.uint8)
+    at = starts.astype(np.int64)
+    heads = raw[at[:, None] + np.arange(8)]
     low = heads[:, :4].copy().view("<u4")[:, 0]
-    width, k = heads[:, 4], heads[:, 6:8].copy().view("<u2")[:, 0]
+    width, exceptions = heads[:, 4].astype(np.int64), heads[:, 6:8].copy().view("<u2")[:, 0].astype(np.int64)
     for w in np.unique(width).tolist():
         own = np.flatnonzero(width == w)
         if w:
-            size = BLOCK * w // 8
-            bits = np.unpackbits(raw[(starts[own].astype(np.int64) + 8)[:, None] + np.arange(size)], axis=1, bitorder="little").reshape(len(own), BLOCK, w)
-            values = np.zeros((len(own), BLOCK), np.uint32)
-            for b in range(w):
-                values |= bits[:, :, b].astype(np.uint32) << np.uint32(b)
-            out[own] = values
-    for i in np.flatnonzero(k).tolist():
-        at, n, w = int(starts[i]) + 8 + BLOCK * int(width[i]) // 8, int(k[i]), int(width[i])
-        where = np.frombuffer(data, "<u2", n, at)
-        out[i, where] |= np.frombuffer(data, "<u4", n, at + 2 * n) << np.uint32(w)
+            out[own] = _unpack_blocks(raw[(at[own] + 8)[:, None] + np.arange(BLOCK // 8 * w)], w)
+    row = np.repeat(np.arange(len(starts)), exceptions)
+    if len(row):
+        nth = np.arange(len(row)) - (np.cumsum(exceptions) - exceptions)[row]
+        where = (at + 8 + BLOCK // 8 * width)[row]
+        column = raw[(where + 2 * nth)[:, None] + np.arange(2)].view("<u2")[:, 0]
+        high = raw[(where + 2 * exceptions[row] + 4 * nth)[:, None] + np.arange(4)].view("<u4")[:, 0]
+        out[row, column] |= (high.astype(np.uint64) << width[row].astype(np.uint64)).astype(np.uint32)
     return (out + low[:, None]).ravel()[:count]
 
 
@@ -156,7 +183,7 @@ def _encode(path: str, end_id: int, kind: str):
         tail = np.array([end_id], np.uint32)
         inside = 0
         for batch in slices(batches):
-            ids, sizes = encoder([t or "" for t in batch.column("text").to_pylist()])
+            ids, sizes = encoder(batch.column("text"))
             ends = np.cumsum(sizes)
             for doc, end, size in zip(batch.column("doc_id").to_pylist(), ends.tolist(), sizes.tolist(), strict=True):
                 docs.append(doc)

@@ -12,6 +12,8 @@ import re
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 from ondula.llm.common import keep
@@ -22,6 +24,8 @@ CACHE_CHUNKS = 400_000
 CALL_TEXTS = 2_000
 #: A space between white space: there a cut at the space would change the ids.
 _UNSAFE = re.compile(r"\s \s|\s \Z|<\|")
+#: Lower case or normal form may take more than one character, or there may be an added token.
+_NOT_BY_CHARACTER = re.compile("[\u0100-\U0010ffff]|<\\|")
 
 
 class Ragged:
@@ -74,20 +78,33 @@ def library_ids(path: str) -> Callable[[list[str]], Ragged]:
     return encode
 
 
+class _Seen(dict):
+    """Chunk -> number, in order of first sight."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = number = len(self)
+        self.new.append(chunk)
+        return number
+
+
 class WordPieces:
     """The library's ids for chunks under a vocabulary with word ends: distinct lower-cased words go to the library many to a call.
 
     The words are cut and lower-cased here, so the library gets them without its normaliser and splits at spaces only. Every word ends in exactly one id that
-    carries the word end, so a call's ids can be cut into words again. Chunks with characters from U+0100 on, where lower case and normal
-    form are not by character, and chunks that may hold added tokens go to the library as they are.
+    carries the word end, so a call's ids can be cut into words again. Words are kept for later calls, until there are more than `limit`. Chunks with characters from
+    U+0100 on, where lower case and normal form are not by character, and chunks that may hold added tokens go to the library as they are.
     """
 
     CALL_WORDS = 20_000
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, limit: int = CACHE_CHUNKS) -> None:
         from tokenizers import pre_tokenizers
 
-        self.whole, self.words = load(path), load(path)
+        self.whole, self.words, self.limit = load(path), load(path), limit
         self.words.normalizer = None
         self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         with open(path, encoding="utf-8") as f:
@@ -97,49 +114,48 @@ class WordPieces:
         self.ends = np.zeros(max(vocab.values()) + 8, bool)
         for token, number in vocab.items():
             self.ends[number] = token.endswith(spec["model"]["end_of_word_suffix"])
+        self.reset()
+
+    def reset(self) -> None:
+        self.seen = _Seen()
+        self.known = Ragged(np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
     def __call__(self, chunks: list[str]) -> Ragged:
-        numbers: dict[str, int] = {}
+        if len(self.seen) > self.limit:
+            self.reset()
+        number = self.seen.__getitem__
         parts: list[int] = []
         ends = np.zeros(len(chunks), np.int64)
         other: list[str] = []
         for i, chunk in enumerate(chunks):
-            if (chunk.isascii() or max(chunk) < "\u0100") and "<|" not in chunk:
+            if _NOT_BY_CHARACTER.search(chunk):
+                other.append(chunk)
+                parts.append(-len(other))
+            else:
                 low = chunk.lower()
                 if low.isalpha():
-                    parts.append(numbers.setdefault(low, len(numbers)))
+                    parts.append(number(low))
                 else:
-                    parts += [numbers.setdefault(w, len(numbers)) for w in self.pattern.findall(low)]
-            else:
-                other.append(chunk)
-                parts.append(-len(other))
+                    parts += map(number, self.pattern.findall(low))
             ends[i] = len(parts)
-        listed = list(numbers)
+        self._learn()
+        rest = [np.array(e.ids, np.uint32) for e in self.whole.encode_batch_fast(other, add_special_tokens=False)] if other else []
+        lengths = np.concatenate([self.known.lengths, np.fromiter(map(len, rest), np.int64, len(rest))])
+        picked = np.array(parts, np.int64)
+        return Ragged(np.concatenate([self.known.flat, *rest]), lengths).take(np.where(picked < 0, len(self.known) - 1 - picked, picked), ends)
+
+    def _learn(self) -> None:
+        new, self.seen.new = self.seen.new, []
         found = [np.zeros(0, np.uint32)]
-        for at in range(0, len(listed), self.CALL_WORDS):
-            text = " ".join(listed[at : at + self.CALL_WORDS])
+        for at in range(0, len(new), self.CALL_WORDS):
+            text = " ".join(new[at : at + self.CALL_WORDS])
             found.append(np.array(self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32))
         flat = np.concatenate(found)
         cuts = np.flatnonzero(self.ends[flat]) + 1
-        if len(cuts) != len(listed):
+        if len(cuts) != len(new):
+            self.reset()
             raise ValueError("the vocabulary does not end every word")
-        rest = [np.array(e.ids, np.uint32) for e in self.whole.encode_batch_fast(other, add_special_tokens=False)] if other else []
-        lengths = np.concatenate([np.diff(cuts, prepend=0), np.fromiter(map(len, rest), np.int64, len(rest))]).astype(np.int64)
-        picked = np.array(parts, np.int64)
-        return Ragged(np.concatenate([flat, *rest]), lengths).take(np.where(picked < 0, len(listed) - 1 - picked, picked), ends)
-
-
-class _Seen(dict):
-    """Chunk -> number, in order of first sight."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, chunk: str) -> int:
-        self[chunk] = number = len(self)
-        self.new.append(chunk)
-        return number
+        self.known = Ragged(np.concatenate([self.known.flat, flat]), np.concatenate([self.known.lengths, np.diff(cuts, prepend=0)]))
 
 
 class ChunkEncoder:
@@ -171,21 +187,39 @@ class ChunkEncoder:
                 return [text]
             first, *rest = text.split(" ")
             return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
-        if "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):  # these four are white space to str.split only
-            return [text]
-        return text.split()
+        return [text] if "<|" in text else text.split()
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in one array, and the number of ids of each text."""
-        if len(self.seen) > self.limit:
-            self.forget()
+    def _numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all chunks, and how many of them each text has."""
         numbers, counts = [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             parts = self.chunks(text)
             counts[i] = len(parts)
             numbers.extend(map(self.seen.__getitem__, parts))
+        return np.array(numbers, np.int64), counts
+
+    def _word_numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same where white space is dropped: Arrow cuts at ASCII white space, and each distinct chunk is looked up once."""
+        whole = pc.match_substring(texts, "<|")  # an added token may hold white space
+        parts = pc.ascii_split_whitespace(pc.if_else(whole, "a", texts))
+        counts = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = parts.flatten().dictionary_encode()
+        distinct = flat.dictionary.to_numpy(zero_copy_only=False)  # faster than to_pylist
+        numbers = np.fromiter(map(self.seen.__getitem__, distinct), np.int64, len(distinct))[flat.indices.to_numpy()]
+        rows = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+        for at, text in zip((np.cumsum(counts) - counts)[rows].tolist(), texts.take(pa.array(rows)).to_pylist(), strict=True):
+            numbers[at] = self.seen[text]
+        return numbers, counts
+
+    def __call__(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in one array, and the number of ids of each text."""
+        if len(self.seen) > self.limit:
+            self.forget()
+        if self.spaced:
+            picked, counts = self._numbers([t or "" for t in texts.to_pylist()] if isinstance(texts, pa.Array) else texts)
+        else:
+            picked, counts = self._word_numbers(pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), ""))
         self._learn()
-        picked = np.array(numbers, np.int64)
         self.uses += np.bincount(picked, minlength=len(self.uses))
         made = self.known.take(picked, np.cumsum(counts))
         return made.flat, made.lengths

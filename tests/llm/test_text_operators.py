@@ -380,3 +380,40 @@ def test_copies_with_many_entities_are_one_pair(spark, monkeypatch):
     rows = pii.spans(spark.createDataFrame([(i, text) for i in range(6)] + [(10 + i, f"plain text number {w}") for i, w in enumerate(names)], "doc_id long, text string")).collect()
     assert made["pii-known"] == 6 and made["pii-places"] <= 12
     assert {r["n_terms"] for r in rows if r["doc_id"] < 10} == {300} and {r["n_terms"] for r in rows if r["doc_id"] >= 10} == {0}
+
+
+ODD_SPACES = ["a b\u0085c", "one　two three  four", "x\x1cy \x1dz\x1e \x1f", "\x0bv\x0cf\r\nr", "Été ÀB, ñandú! 12", "İ <|endoftext|> it's we'll", " ", "", None, "́ é ﬁ Ⅷ"]
+
+
+def test_word_encoder_cuts_as_the_library_and_keeps_words():
+    import pyarrow as pa
+
+    from ondula.llm import tokens
+
+    path = default_path("word_bpe_49k.json")
+    library = load(path)
+    texts = [*ODD_SPACES, *(t for t in LONG_TEXTS if len(t) < 60_000)]
+    for limit in (2, 1000):  # below the number of words everything is forgotten between calls
+        encoder = tokens.ChunkEncoder(tokens.WordPieces(path, limit), spaced=False, limit=limit)
+        for some in (texts, texts[::-1], texts[3:]):
+            flat, sizes = encoder(pa.array(some))
+            assert flat.tolist() == [x for t in some for x in library.encode(t or "", add_special_tokens=False).ids]
+            assert sizes.tolist() == [len(library.encode(t or "", add_special_tokens=False).ids) for t in some]
+    pieces = tokens.WordPieces(path)
+    pieces(["alpha", "beta,", "gamma"])
+    pieces.words = None  # the library is not asked for a known word again
+    made = pieces(["Alpha,", "BETA", "gamma"])
+    assert [made[i].tolist() for i in range(3)] == [library.encode(t, add_special_tokens=False).ids for t in ("alpha,", "beta", "gamma")]
+
+
+def test_segments_of_all_widths():
+    import numpy as np
+
+    draw = np.random.default_rng(2)
+    for bits in (0, 1, 5, 8, 15, 16, 17, 31, 32):
+        for count in (1, 127, 128, 129, 3000):
+            ids = np.where(draw.random(count) < 0.05, draw.integers(0, 1 << 32, count), draw.integers(0, 1 << bits, count)).astype(np.uint32)
+            data = token_files.encode_segment(ids)
+            assert (token_files.decode_segment(data) == ids).all()
+            assert (np.concatenate([token_files.decode_block(data, int(at)) for at in token_files.block_starts(data)[1]])[:count] == ids).all()
+    assert len(token_files.decode_segment(token_files.encode_segment(np.zeros(0, np.uint32)))) == 0
