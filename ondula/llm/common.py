@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import os
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -18,6 +21,9 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 #: Python work is done in slices of about this many text bytes, so that a worker's memory does not follow the batch size.
 SLICE_BYTES = 4 << 20
+#: For tables of the package's own, where the shared folder is on a local disk: Hadoop's checksummed file system sets modes by a chmod process for each file and each checksum, its raw one makes
+#: plain files without a process. Other file systems (hdfs, s3a) do not see these options.
+PLAIN_FILES = {"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false", "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 #: Rows of a written table that one file takes, where a bound on the rows is known.
 FILE_ROWS = 1 << 14
 
@@ -52,12 +58,12 @@ def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: cuts the lineage, survives lost executors, keeps column pruning.
 
     The table goes when the driver ends, or by `release`. rows: at most so many, where that is known before; a small table is then a few files and not one for each partition of its
-    shuffle. Every file and folder that Hadoop makes on a local disk without its native library starts a process of the executor or driver (chmod); so there is no success marker, which nobody reads.
+    shuffle. On a local disk there are no checksum files and no success marker, see PLAIN_FILES.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     files = df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))
-    files.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+    files.write.options(**PLAIN_FILES).parquet(path)
     if not _written:
         atexit.register(_remove_all)
     _written[path] = spark
@@ -102,9 +108,28 @@ def _remove_all() -> None:
             return
 
 
+def give_back() -> None:
+    """Gives memory that is free in this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """work, after which a worker, which waits for later tasks, keeps no free memory."""
+
+    def then(batches: Iterator) -> Iterator:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return then
+
+
 def arrow_map(df: DataFrame, work: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
     reach_workers(df.sparkSession)
-    return df.mapInArrow(work, schema)
+    return df.mapInArrow(tidy(work), schema)
 
 
 _kept: dict = {}

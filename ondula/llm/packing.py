@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ondula.llm.common import arrow_map, documents, keep, slices, written
+from ondula.llm.common import arrow_map, documents, keep, slices, tidy, written
 from ondula.llm.tokens import default_path, library_ids, rank_encoder
 
 log = logging.getLogger("ondula")
@@ -184,7 +184,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDO
     total = cut.count()
     parts = max(1, -(-total // TASK_PIECES))
     dealt = cut.repartition(parts, F.xxhash64("doc_id", "start")).sortWithinPartitions("doc_id", "start", "length", "ids_crc32")
-    return dealt.mapInPandas(_pack_partition(plan, histogram, window), PACKED)
+    return dealt.mapInPandas(tidy(_pack_partition(plan, histogram, window)), PACKED)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators that learn or join, and the pipeline."""
 
 import importlib
+import os
 import random
 import re
 import zlib
@@ -379,3 +380,15 @@ def test_pipeline_of_empty_and_odd_tables(spark, edge_docs, empty_docs, tmp_path
     assert kept <= set(texts) and {i for i in kept if not (texts[i] or "").strip()} == {0, 2}
     assert {0, 2, 3, 6, 9, None} <= kept and not kept & {1, 4, 5, 7, 8}
     assert {r["doc_id"]: r["doc_tokens"] for r in rows}[0] == 1
+
+
+def test_written_tables_are_plain_files(spark):
+    """On a local disk Hadoop's checksummed files cost a process each to set their modes, which counts as a second copy of the JVM while it starts."""
+    from ondula.llm.common import release, written
+
+    table = written(spark.range(0, 100, 1, 5), "plain")
+    names = os.listdir(table.written_at.removeprefix("file:"))
+    assert len(names) == 5 and all(n.startswith("part-") for n in names)
+    assert table.count() == 100
+    release(table)
+    assert not os.path.exists(table.written_at.removeprefix("file:"))
