@@ -7,9 +7,10 @@ from ondula.dataset import Dataset, PipelineError
 from ondula.operators import cycles as cyc
 from ondula.operators import samples as smp
 from ondula.plans.pipeline import run
+from ondula.queries import finals
 from ondula.sources import readers, writers
 from ondula.streaming.live import live_cycles
-from tests.helpers import SAMPLE, recording
+from tests.helpers import SAMPLE, recording, recordings
 
 def cycles(ds, channel):
     return [r["values"] for r in ds.cycles(channel).orderBy("wave_no").collect()]
@@ -47,6 +48,33 @@ def test_mean_drops_nan_and_empty_gives_nan(spark):
     assert str(cycles(cyc.aggregated(none, "W", "mean", mask="K", out="A"), "A")) == "[[nan]]"
 
 
+@pytest.mark.parametrize(("form", "mask", "weights"), [("mean", "", "P"), ("mean", "K", "P"), ("difference", "", ""), ("median", "K", ""), ("mode", "", "")])
+def test_aggregates_side_by_side_are_those_one_by_one(spark, form, mask, weights):
+    """Channels of two tables, of different lengths, with a NaN, and one that only some recordings have."""
+    nan = float("nan")
+    ds = cyc.partition(recordings(spark, [[1, 5, 2, 4, 6, 3, 3, 3], [nan, 2, 3, 1], [7, 8]], [{2: ["M"], 4: ["M"], 6: ["M"]}, {2: ["M"]}, {}]), ["X"], "M", ["W"])
+    ds = cyc.check(cyc.measured(cyc.measured(cyc.measured(ds, "W", "max", "T"), "W", "min", "L"), "W", "period", "P"), "W", "MAX", "<", 6, mask="K")
+    ds = cyc.take(ds, "W", False, waves=2, out="F")
+    each = [("W", "A"), ("T", "B"), ("L", "C"), ("F", "D"), ("none", "E")]
+    together, single = cyc.aggregated_each(ds, each, form, mask, weights), ds
+    for channel, out in each:
+        single = cyc.aggregated(single, channel, form, mask, weights, out=out)
+    for _, out in each[:-1]:
+        assert str(sorted(map(tuple, together.cycles(out).collect()))) == str(sorted(map(tuple, single.cycles(out).collect()))), out
+    assert not together.has("E") and together.table_of("A") == together.table_of("C")
+
+
+def test_vessel_means_cut_the_samples_once(spark):
+    ds = cyc.partition(recording(spark, [1, 2, 4, 2, 3, 5], {2: ["M"], 4: ["M"]}), ["X"], "M", ["W"])
+    made = run(spark, [{"class_name": "meta", "meta_name": "terason_tools", "name": "A", "diameter_wave": "W", "velocity_wave": "W"}], {"A": ds})["A"]
+    means = [f"{k}_{tag}".upper() for tag in ("diameter", "area", "velocity", "flow") for k in ("sys", "mean", "dias", "amp")] + [f"{k}_{tag}" for tag in ("VELOCITY", "FLOW") for k in ("PI", "RI", "SD")]
+    assert len({made.table_of(m) for m in means}) == 1
+    found = finals(made, **{m: m for m in means})
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Window [") == cyc.measured(ds, "W", "max").cycles("W")._jdf.queryExecution().optimizedPlan().toString().count("Window [")
+    row = found.first()
+    assert (row["SYS_DIAMETER"], row["DIAS_DIAMETER"], row["RI_VELOCITY"]) == (pytest.approx(11 / 3), 2.0, pytest.approx((0.5 + 0.5 + 0.4) / 3, abs=1e-6))
+
+
 def test_unknown_names_are_errors(spark):
     ds = recording(spark, [1])
     with pytest.raises(PipelineError):
