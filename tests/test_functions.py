@@ -183,3 +183,12 @@ def test_widths_prominences_and_decay_by_definition():
             seen += 1
             assert np.allclose(got, want, rtol=0, atol=1e-9)
     assert seen > 50
+
+
+def test_shapes_without_flat_peaks():
+    """A plateau is a peak at its middle, or with flats off none: three peaks become two, and the cycle has no shape."""
+    flat = np.array([0.0, 3, 0, 2, 2, 0, 3, 1, 2, 0])
+    assert kernels.local_maxima(flat).tolist() == [1, 3, 6, 8] and kernels.local_maxima(flat, flats=False).tolist() == [1, 6, 8]
+    assert kernels.find_peaks(flat, prominence=2, flats=False).tolist() == [1, 6]
+    assert kernels.shape(flat, 10.0, True, ["X"], 0)[3] == 0.3 and kernels.shape(flat, 10.0, True, ["X"], 0, flats=False)[3] == 0.6
+    assert all(v == v for v in kernels.shape(flat[:8], 10.0, True, ["AUC", "STATS_Y"], 0)) and all(v != v for v in kernels.shape(flat[:8], 10.0, True, ["AUC", "STATS_Y"], 0, flats=False))
