@@ -1,5 +1,7 @@
 """Steps over recordings in chunks against kernels of whole recordings."""
 
+import itertools
+
 import numpy as np
 import pytest
 
@@ -164,6 +166,31 @@ def test_peaks_in_chunks(spark, size, settings):
         assert sorted(found.get(k + 1, [])) == want, k
 
 
+@pytest.mark.parametrize("settings", [{}, {"prominence": 1.5}, {"difference": "600ms"}, {"difference": "2s", "height": 1.0, "prominence": 0.5}, {"form": "MIN", "prominence": 1.0, "difference": "400ms"}])
+def test_peaks_without_flat_ones_in_chunks(spark, size, settings):
+    """Plateaus are left out before the distance is looked at, and bound the prominence of others."""
+    x = [*waves(), np.array([0.0, 4, 0, 9, 9, 2, 5, 1, 9, 9, 9, 0, 3, 0])]
+    ds = smp.peaks(recordings(spark, x), "X", **settings, flats=False)
+    found = {}
+    for r in ds.samples.filter("array_contains(markers, 'X')").select("rec", "idx").collect():
+        found.setdefault(r["rec"], []).append(r["idx"])
+    sign = -1 if settings.get("form") == "MIN" else 1
+    distance = {"600ms": 6, "2s": 20, "400ms": 4}.get(settings.get("difference"), 1)
+    for k, v in enumerate(x):
+        want = strict_peaks(sign * v, settings.get("height", 0), distance, settings.get("prominence", 0))
+        assert sorted(found.get(k + 1, [])) == want, k
+
+
+def strict_peaks(x, height, distance, prominence):
+    """Samples above both neighbours, by the definition."""
+    kept = []
+    for p in sorted((p for p in range(1, len(x) - 1) if x[p - 1] < x[p] > x[p + 1] and (not height or x[p] >= height)), key=lambda p: (-x[p], -p)):
+        if all(abs(p - q) >= distance for q in kept):
+            kept.append(p)
+    lows = {p: [min(itertools.takewhile(lambda v, p=p: v <= x[p], side)) for side in (x[p::-1], x[p:])] for p in kept}
+    return sorted(p for p in kept if not prominence or x[p] - max(lows[p]) >= prominence)
+
+
 def plain_peaks(x, height, distance, prominence):
     """The definition, sample by sample."""
     peaks = []

@@ -20,14 +20,14 @@ def test_query_gives_rows(spark, data_dir, name):
 
 @pytest.fixture(scope="module")
 def level(tmp_path_factory):
-    """The events of two users by values of 0 to 8, so that neighbours are often equal; their folder and a connection."""
+    """The events of two users by nine values, 0 to 80, so that neighbours are often equal; their folder and a connection."""
     folder, connection = tmp_path_factory.mktemp("level"), duckdb.connect()
-    connection.execute(f"COPY (SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_seconds(i) AS ts, i % 2 AS user_id, CASE WHEN i // 2 % 11 = 3 THEN 'purchase' ELSE 'view' END AS event_type, CAST(hash(i) % 9 AS DOUBLE) AS value, '' AS props FROM range(1200) t(i)) TO '{folder}/events.parquet' (FORMAT parquet)")
+    connection.execute(f"COPY (SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_seconds(i) AS ts, i % 2 AS user_id, CASE WHEN i // 2 % 11 = 3 THEN 'purchase' ELSE 'view' END AS event_type, CAST(hash(i) % 9 * 10 AS DOUBLE) AS value, '' AS props FROM range(1200) t(i)) TO '{folder}/events.parquet' (FORMAT parquet)")
     connection.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
     return str(folder), connection
 
 
-@pytest.mark.parametrize("name", ["morph_scalars"])
+@pytest.mark.parametrize("name", ["morph_scalars", "peaks_distance"])
 def test_equal_neighbours_match_sql(spark, level, name):
     folder, connection = level
     own, other = same_rows(QUERIES[name](spark, folder), connection, SQL[name])
