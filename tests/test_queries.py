@@ -27,7 +27,7 @@ def level(tmp_path_factory):
     return str(folder), connection
 
 
-@pytest.mark.parametrize("name", ["morph_scalars", "peaks_distance", "peaks_height", "peaks_min", "peaks_plain", "peaks_prominence"])
+@pytest.mark.parametrize("name", ["morph_scalars", "peaks_distance", "peaks_height", "peaks_min", "peaks_plain", "peaks_prominence", "tangents"])
 def test_equal_neighbours_match_sql(spark, level, name):
     folder, connection = level
     own, other = same_rows(QUERIES[name](spark, folder), connection, SQL[name])
